@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pairloom.llm import bpe, packing, sstable
+from pairloom.llm import bpe, license_scan, packing, quality, sstable, token_counts, winnow
 from pairloom.llm._shared import documents
 
 
@@ -14,19 +14,40 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), path, public_tokenizers.PATTERN)
 
 
+def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.compare_neighbours(documents(spark, sf_dir))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return sstable.read_shards(sstable.write_shards(documents(spark, sf_dir), path, end_id=2))
 
 
+def op6_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
+    return quality.judge(documents(spark, sf_dir)).select(*counts, "base_failed", "kept")
+
+
+def op8_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir), license_scan.known_digests(spark))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_winnowing": op2_winnowing,
+    "op3_token_counts": op3_token_counts,
     "op5_token_shards": op5_token_shards,
+    "op6_robust_outliers": op6_robust_outliers,
+    "op8_license_digests": op8_license_digests,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_license_digests": license_scan.oracle()}
