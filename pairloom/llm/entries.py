@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pairloom.llm import bpe, license_scan, packing, quality, sstable, token_counts, winnow
+from pairloom.llm import bpe, jaccard_join, license_scan, packing, quality, sstable, token_counts, winnow
 from pairloom.llm._shared import documents
 
 
@@ -36,6 +36,10 @@ def op8_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents(spark, sf_dir), license_scan.known_digests(spark))
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_documents(documents(spark, sf_dir), size=3, percent=90)
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -47,6 +51,7 @@ QUERIES = {
     "op5_token_shards": op5_token_shards,
     "op6_robust_outliers": op6_robust_outliers,
     "op8_license_digests": op8_license_digests,
+    "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
