@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pairloom.llm import bpe, jaccard_join, license_scan, packing, quality, sstable, token_counts, winnow
+from pairloom.llm import bpe, jaccard_join, license_scan, packing, quality, sstable, suffix_dedup, token_counts, winnow
 from pairloom.llm._shared import documents
 
 
@@ -22,6 +22,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return suffix_dedup.remove_repeats(docs, digest=True).withColumnRenamed("text", "kept_sha256")
+
+
 def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return sstable.read_shards(sstable.write_shards(documents(spark, sf_dir), path, end_id=2))
@@ -48,6 +53,7 @@ QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_winnowing": op2_winnowing,
     "op3_token_counts": op3_token_counts,
+    "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_token_shards": op5_token_shards,
     "op6_robust_outliers": op6_robust_outliers,
     "op8_license_digests": op8_license_digests,
