@@ -28,8 +28,8 @@ from pairloom.llm._shared import discard, id_text, materialise, prepare
 from pairloom.llm.tokens import library_coder
 
 CAPACITY = 2048
-#: Nodes the search may open after its first full packing; then the best found stands.
-NODES = 300
+#: Nodes the search may open beyond one for each length, which a first full packing needs at most.
+NODES = 200
 
 Pattern = tuple[tuple[int, ...], int]
 
@@ -137,13 +137,12 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int
         start[s] = n
     # depth first; a node is (counters, patterns as a linked list, sequences, waste)
     stack = [(start, None, 0, 0)]
-    reached = False
+    nodes += len(counts)
     while stack and nodes and used > least:
-        nodes -= reached
+        nodes -= 1
         left, path, bins, waste = stack.pop()
         there = np.flatnonzero(left)
         if not len(there):
-            reached = True
             if bins < used:
                 used, best = bins, []
                 while path:
@@ -151,7 +150,6 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int
                     path = path[1]
             continue
         if waste > (used - 1) * capacity - total:
-            reached = True
             continue
         first = int(there[-1])
         left[first] -= 1
