@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pairloom.llm import bpe, jaccard_join, license_scan, packing, quality, sstable, suffix_dedup, token_counts, winnow
+from pairloom.llm import bpe, jaccard_join, license_scan, ngram_lm, packing, quality, sstable, suffix_dedup, token_counts, winnow
 from pairloom.llm._shared import documents
 
 
@@ -37,6 +37,10 @@ def op6_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir)).select(*counts, "base_failed", "kept")
 
 
+def op7_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score_documents(documents(spark, sf_dir))
+
+
 def op8_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents(spark, sf_dir), license_scan.known_digests(spark))
 
@@ -56,6 +60,7 @@ QUERIES = {
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_token_shards": op5_token_shards,
     "op6_robust_outliers": op6_robust_outliers,
+    "op7_stupid_backoff": op7_stupid_backoff,
     "op8_license_digests": op8_license_digests,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_best_fit_packing": op10_best_fit_packing,
