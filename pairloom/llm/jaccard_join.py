@@ -35,7 +35,9 @@ from pairloom.llm._shared import discard, id_text, materialise, partitions, prep
 from pairloom.llm.components import Forest, connected_components
 from pairloom.llm.words import mix, shingle_sets
 
-GROUPS = 16
+#: Random sets of n shingles differ by about sqrt(n * GROUPS) counts, similar ones by a
+#: twentieth of n and less: so many groups tell sets of up to 10,000 shingles apart.
+GROUPS = 128
 LEAF = 32
 FAN = 16
 #: Sets in a block of a cell.
@@ -46,6 +48,20 @@ FREQUENT = 65_536
 OFTEN = 6
 
 
+#: A count that does not fit two bytes; it bounds nothing.
+_FULL = 65_535
+
+
+def pack_points(pts: np.ndarray) -> list[bytes]:
+    return [p.tobytes() for p in np.minimum(pts, _FULL).astype(np.uint16)]
+
+
+def unpack_points(packed: list[bytes]) -> np.ndarray:
+    pts = np.frombuffer(b"".join(packed), np.uint16).reshape(-1, GROUPS).astype(np.int32)
+    pts[pts == _FULL] = 2**30
+    return pts
+
+
 def points(sets: list[np.ndarray]) -> np.ndarray:
     """Group counts of each set; one row per set."""
     out = np.zeros((len(sets), GROUPS), np.int32)
@@ -63,9 +79,8 @@ class CountTree:
     (100 + percent) * shared >= percent * (sum of both sizes).
     """
 
-    def __init__(self, pts: np.ndarray, percent: int):
+    def __init__(self, pts: np.ndarray, percent: int, total: np.ndarray):
         self.percent = percent
-        total = pts.sum(1, dtype=np.int64)
         order = np.argsort(total, kind="stable")
         slab = LEAF * FAN
         for at in range(0, len(order), slab):  # within a slab of like totals, by the coordinate that spreads most
@@ -82,9 +97,9 @@ class CountTree:
             self.levels.append((high, low_n, high_n))
             step = FAN
 
-    def survivors(self, point: np.ndarray) -> np.ndarray:
+    def survivors(self, point: np.ndarray, n: int) -> np.ndarray:
         """Places (in the order given at first) of the points that the bound doesn't rule out."""
-        n, p = int(point.sum()), self.percent
+        p = self.percent
         alive = None
         for depth in range(len(self.levels) - 1, -1, -1):
             high, low_n, high_n = self.levels[depth]
@@ -107,16 +122,16 @@ class CountTree:
         return np.sort(self.order[alive[ok]])
 
 
-def forest_links(pts: np.ndarray, percent: int, confirm: Callable[[int, np.ndarray], np.ndarray] | None = None, left: np.ndarray | None = None) -> list[tuple[int, int]]:
+def forest_links(pts: np.ndarray, total: np.ndarray, percent: int, confirm: Callable[[int, np.ndarray], np.ndarray] | None = None, left: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that connect what survivors (or those that ``confirm`` keeps) connect.
 
     ``left``: only pairs of a true and a false entry are looked at.
     """
-    tree, forest, out = CountTree(pts, percent), Forest(len(pts)), []
+    tree, forest, out = CountTree(pts, percent, total), Forest(len(pts)), []
     for i in range(len(pts)):
         if left is not None and not left[i]:
             continue
-        near = tree.survivors(pts[i])
+        near = tree.survivors(pts[i], int(total[i]))
         near = near[near > i] if left is None else near[~left[near]]
         step = 4
         while len(near):
@@ -189,7 +204,7 @@ def _sketches(docs: DataFrame, size: int, percent: int, hot: np.ndarray) -> Data
             pts = points(sets)
             yield pa.RecordBatch.from_arrays(
                 [b["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()),
-                 pa.array(keys, pa.binary()), pa.array([p.tobytes() for p in pts], pa.binary())],
+                 pa.array(keys, pa.binary()), pa.array(pack_points(pts), pa.binary())],
                 ["doc_id", "n", "d1", "d2", "keys", "point"],
             )
 
@@ -200,11 +215,32 @@ def _spread_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         keys = b["keys"].to_pylist()
         many = np.array([len(k) // 8 for k in keys], np.int64)
-        rows = np.repeat(np.arange(len(keys)), many)
-        for at in range(0, len(rows), 50_000):
-            part = pa.array(rows[at : at + 50_000])
-            flat = np.frombuffer(b"".join(keys), np.int64)[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(flat), b["rep"].take(part), b["point"].take(part)], ["key", "rep", "point"])
+        flat, rows = np.frombuffer(b"".join(keys), np.int64), np.repeat(np.arange(len(keys)), many)
+        for at in range(0, len(rows), 100_000):
+            part = pa.array(rows[at : at + 100_000])
+            yield pa.RecordBatch.from_arrays([pa.array(flat[at : at + 100_000]), b["rep"].take(part), b["n"].take(part)], ["key", "rep", "n"])
+
+
+def _meeting(percent: int) -> Callable:
+    """Rows, sorted by key and size, whose key another set of a fitting size has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: pa.RecordBatch | None = None  # the row before this batch, and whether it has been sent
+        sent = True
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b] if last is None else [last, b]).combine_chunks()
+            key, n = t["key"].to_numpy(), t["n"].to_numpy()
+            fits = (key[1:] == key[:-1]) & (100 * n[:-1] >= percent * n[1:])
+            keep = np.r_[fits, False] | np.r_[False, fits]
+            if last is not None and sent:
+                keep[0] = False
+            last, sent = t.slice(len(key) - 1).to_batches()[0], bool(keep[-1])
+            out = t.filter(pa.array(keep)).select(["key", "rep"])
+            yield from out.to_batches()
+
+    return run
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -239,8 +275,7 @@ def _candidates(percent: int) -> Callable:
             t, rep = t.filter(pa.array(shared)), rep[shared]
             size = size[size > 1]
             first = np.cumsum(size) - size
-            pts = np.frombuffer(b"".join(t["point"].to_pylist()), np.int32).reshape(-1, GROUPS)
-            total = pts.sum(1, dtype=np.int64)
+            pts, total = unpack_points(t["point"].to_pylist()), t["n"].to_numpy()
             a, b = [], []
             # groups that fit a leaf, all at once: a tree of one leaf is its points
             small = np.repeat(size <= LEAF, size)
@@ -254,7 +289,7 @@ def _candidates(percent: int) -> Callable:
                 a.append(rep[i[ok]])
                 b.append(rep[j[ok]])
             for at, n in zip(first[size > LEAF].tolist(), size[size > LEAF].tolist(), strict=True):
-                found = np.array(forest_links(pts[at : at + n], percent), np.int64).reshape(-1, 2)
+                found = np.array(forest_links(pts[at : at + n], total[at : at + n], percent), np.int64).reshape(-1, 2)
                 a.append(rep[at + found[:, 0]])
                 b.append(rep[at + found[:, 1]])
             from pairloom.llm.components import star_forest
@@ -284,7 +319,7 @@ def _verify(size: int, percent: int) -> Callable:
 
                 side = g["left"].to_numpy(zero_copy_only=False)
                 cross = g["cross"][0].as_py()
-                found = forest_links(points(sets), percent, confirm, side if cross else None)
+                found = forest_links(points(sets), np.array([len(x) for x in sets]), percent, confirm, side if cross else None)
                 if found:
                     i, j = np.array(found).T
                     yield pa.RecordBatch.from_arrays([pa.array(rep[i]), pa.array(rep[j])], ["a", "b"])
@@ -311,8 +346,11 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> Data
     # equal sets have equal keys and points: the smallest id stands for all
     classes = real.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("point").alias("point"))
     reps = materialise(classes, "classes")
-    spread = reps.select("rep", "keys", "point").mapInArrow(_spread_keys, "key long, rep long, point binary")
-    by_key = spread.repartition(many, "key").sortWithinPartitions("key", "rep")
+    spread = reps.select("rep", "n", "keys").mapInArrow(_spread_keys, "key long, rep long, n long")
+    # most first shingles are one set's alone: points travel only where sets of fitting sizes meet
+    met = spread.repartition(many, "key").sortWithinPartitions("key", "n").mapInArrow(_meeting(percent), "key long, rep long")
+    met = met.join(reps.select("rep", "n", "point"), "rep")
+    by_key = met.repartition(many, "key").sortWithinPartitions("key", "rep")
     rough = materialise(by_key.mapInArrow(_candidates(percent), "a long, b long"), "candidates")
     cells = connected_components(rough)
     discard(rough)
