@@ -36,6 +36,16 @@ class Operation:
 TABLE: dict[str, Operation] = {}
 
 
+class Precision:
+    """Where the order of values decides (indices, K lowest), equal rows must give equal values.
+
+    Matrix products add up in an order that depends on the place of a row, so
+    they are used for other reductions only.
+    """
+
+    ordered = False
+
+
 def register(name, arity, dim, kernel, columns, adjoint=None, rewrite=None) -> None:
     TABLE[name] = Operation(name, arity, dim, kernel, columns, adjoint, rewrite)
 
@@ -340,8 +350,10 @@ def _dot_rewrite(a, p):
 def _dot(x, y):
     if x.shape[0] == 1 and y.shape[1] == 1:
         x, y = y, x
-    if x.shape[1] == 1 and y.shape[0] == 1:  # rows i against rows j: one matrix product
-        return (x[:, 0] @ y[0].T)[..., None]
+    if x.shape[1] == 1 and y.shape[0] == 1:
+        if not Precision.ordered:  # rows i against rows j: one matrix product
+            return (x[:, 0] @ y[0].T)[..., None]
+        return sum(x[..., k] * y[..., k] for k in range(x.shape[-1]))[..., None]
     return (x * y).sum(-1, keepdims=True)
 
 
@@ -368,7 +380,7 @@ _rewritten("Norm", 1, lambda a, p: call("Norm2", a[0]))
 def _sqdist(x, y):
     if x.shape[0] == 1 and y.shape[1] == 1:
         x, y = y, x
-    if x.shape[1] == 1 and y.shape[0] == 1 and x.shape[-1] > 8:
+    if not Precision.ordered and x.shape[1] == 1 and y.shape[0] == 1 and x.shape[-1] > 8:
         a, b = x[:, 0], y[0]
         # about a common point far fewer digits cancel
         m = b.mean(0)

@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.operators.reductions import EXPONENTIAL, Reduction
+from pairloom.functions.ops import Precision
+from pairloom.operators.reductions import EXPONENTIAL, K_LOWEST, VALUE_ARG, Reduction
 from pairloom.plans.evaluate import as_columns, on_blocks
 from pairloom.plans.expr import PM, VI, VJ, Expr, Var
 from pairloom.session import ship
@@ -62,6 +63,7 @@ class PairKernel:
         return out | {k: v[:, None] for k, v in kept.items()} | {k: v[None] for k, v in other.items()}
 
     def fold(self, state, kept, other, ids: np.ndarray):
+        Precision.ordered = self.reduction.name in K_LOWEST or self.reduction.name in VALUE_ARG
         rows, width = len(next(iter(state))), max(self.formula.dim, 1)
         n = len(ids)
         step = max(1, min(n, TILE // max(1, min(rows, 1024) * width)))

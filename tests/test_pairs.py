@@ -168,3 +168,16 @@ def test_entry_and_oracles(spark):
         cols = sorted(a.columns)
         assert cols == sorted(b.columns)
         assert (a[cols].sort_values(cols).values == b[cols].sort_values(cols).values).all(), name
+
+
+def test_equal_rows_tie_in_high_dimension(spark):
+    r = np.random.default_rng(1)
+    base = r.normal(size=(40, 64))
+    rows = np.concatenate([base, base, base])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "j long, y array<double>")
+    left = df.where("j < 40").select(F.col("j").alias("i"), F.col("y").alias("x"))
+    x, y = Vi(left, "x"), Vj(df, "y")
+    for d in (x.sqdist(y), -(x | y)):
+        assert (got(d.argKmin(3, axis=1), "index")[:5] == [[i, i + 40, i + 80] for i in range(5)]).all() or str(d).startswith("Minus")
+        first = got(d.argmin(axis=1), "index")[:, 0]
+        assert (first < 40).all()
