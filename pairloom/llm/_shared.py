@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pairloom.session import ship
 
 #: Arrow batches end at this many bytes, so that very long texts stay few per batch.
-ARROW_BATCH_BYTES = 16 * 1024 * 1024
+ARROW_BATCH_BYTES = 4 * 1024 * 1024
 
 
 def prepare(spark: SparkSession) -> SparkSession:

@@ -20,8 +20,27 @@ _LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
 _NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
 _SPACES = "\t-\r \x85\xa0"
 
-#: Entries a worker keeps in each of its tables; a full table is emptied.
-MEMO_ENTRIES = 300_000
+#: Entries a worker keeps in each of its tables.
+MEMO_ENTRIES = 500_000
+
+
+class Memo(dict):
+    """A table of bounded size: when half of it is full, what was not used since the last time goes."""
+
+    def __init__(self, entries: int):
+        super().__init__()
+        self.half, self.old = entries // 2, {}
+
+    def ask(self, keys: set) -> list:
+        """Those of ``keys`` that have to be made; the others are here afterwards."""
+        new = keys - self.keys()
+        if len(self) + len(new) > self.half:
+            self.old = dict(self)
+            self.clear()
+            new = keys
+        back = new & self.old.keys()
+        self.update((k, self.old[k]) for k in back)
+        return list(new - back)
 
 
 def latin_pattern(pattern: str) -> re.Pattern:
@@ -57,33 +76,27 @@ class ChunkCoder:
         self.encode_many = encode_many
         self.space = " " if leading_space else ""
         self.lower = lower
-        self.entries = entries
-        self.chunks: dict[str, bytes | None] = {}
-        self.matches: dict[str, bytes] = {}
+        self.chunks: Memo = Memo(entries)  # None: not to be joined chunk by chunk
+        self.matches: Memo = Memo(entries)
 
     def split(self, text: str) -> list[str]:
         if self.lower:
             text = text.lower()
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return self.wide.findall(text)
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return self.wide.findall(text)
         return self.narrow.findall(text)
 
     def _ids_of(self, found: list[list[str]]) -> list[bytes]:
-        fresh = list(set().union(*found) - self.matches.keys())
-        if len(self.matches) + len(fresh) > self.entries:
-            self.matches.clear()
-            fresh = list(set().union(*found))
+        fresh = self.matches.ask(set().union(*found))
         self.matches.update(zip(fresh, self.encode_many(fresh), strict=True))
         return [b"".join(map(self.matches.__getitem__, x)) for x in found]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [t.split(" ") for t in texts]
-        fresh = set().union(*(x[1:] if self.space else x for x in cut)) - self.chunks.keys()
-        if len(self.chunks) + len(fresh) > self.entries:
-            self.chunks.clear()
-            fresh = set().union(*(x[1:] if self.space else x for x in cut))
+        fresh = self.chunks.ask(set().union(*(x[1:] if self.space else x for x in cut)))
         good = []
         for c in fresh:
             # A chunk of spaces joins the white space around it: its text takes the slow path.
