@@ -95,6 +95,32 @@ class PairReduce:
         return out
 
 
+    def diff(self, v: str | Var, u: str = "u", saved: str = "saved") -> PairReduce:
+        """The directional derivative by a variable, along column ``u`` of that variable's side.
+
+        A log-sum-exp also needs its own result in column ``saved`` of the kept side.
+        """
+        v = next(x for x in self.variables if name_of(x) == v) if isinstance(v, str) else v
+        name = self.reduction.name
+        fresh = 1 + max((x.ind for x in self.variables), default=0)
+        way = Var(fresh, v.dim, v.cat, u)
+        if name.startswith("Arg") or name == "Zero":
+            out = self._like(self.formula, None, "Sum")
+            out.reduction = Reduction.of("Zero", self.formula.dim)
+            return out
+        d = diff.differential(self.formula, v, way)
+        if name in ("LogSumExp", "LogSumExpWeight"):
+            own = Var(fresh + 1, self.reduction.weight_dim, self.keep, saved)
+            w = self.weight if self.weight is not None else IntCst(1)
+            d = call("Exp", self.formula - own) * (w * d + diff.differential(w, v, way))
+        elif name != "Sum":
+            raise NotImplementedError(f"{name} has no derivative")
+        out = self._like(d, None, "Sum")
+        if str(d).startswith("Zero("):
+            out.reduction = Reduction.of("Zero", d.dim)
+        return out
+
+
 def transpose(e: Expr) -> Expr:
     """The formula with categories Vi and Vj exchanged."""
     if isinstance(e, Var):

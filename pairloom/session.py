@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -25,3 +26,9 @@ def ship(spark: SparkSession) -> SparkSession:
     sc.addPyFile(target)
     sc._pairloom_shipped = True
     return spark
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new URI under the folder that the cluster shares; a temporary one where none is named."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

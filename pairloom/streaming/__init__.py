@@ -45,6 +45,16 @@ def fold_stream(query: PairReduce, left: DataFrame, stream: DataFrame, folder: s
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint")
 
 
+def reduce_available(query: PairReduce, left: DataFrame, stream: DataFrame, folder: str, left_id: str = "i", right_id: str = "j") -> DataFrame:
+    """Everything the stream has now, batch by batch; the state goes on where the folder's last run ended."""
+    run = fold_stream(query, left, stream, folder, left_id, right_id).trigger(availableNow=True).start()
+    run.awaitTermination()
+    spark = left.sparkSession
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/state")
+    found = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(root)
+    return state(query, left, folder, max(int(f.getPath().getName()) for f in found), left_id)
+
+
 def state(query: PairReduce, left: DataFrame, folder: str, number: int, left_id: str = "i") -> DataFrame:
     """i and the result columns after batch ``number``; rows without pairs get the neutral value."""
     now = left.sparkSession.read.parquet(f"{folder}/state/{number}")

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairloom import streaming
 from pairloom.genred import PairReduce, generic_argkmin, generic_argmin, generic_logsumexp, generic_sum
 from pairloom.operators import cluster
 from pairloom.operators.solve import KernelSolve
@@ -273,6 +274,46 @@ def _tensor_gradient(spark, sf_dir):
     return _shown(q.run(suppliers(spark, sf_dir).withColumn("eta", F.lit(1.0)), nations(spark, sf_dir)), 3)
 
 
+@_query("tensor_directional", _lr(f"SELECT i, {_R('sum(-2 * ((x1-y1) + 2 * (x2-y2) + 3 * (x3-y3)) * exp(-f) * b)')} AS v1 FROM p GROUP BY i"))
+def _tensor_directional(spark, sf_dir):
+    left = suppliers(spark, sf_dir).withColumn("u", F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0)))
+    return _shown(PairReduce("Exp(-SqDist(x,y))*b", ALIASES, "Sum", 1).diff("x").run(left, nations(spark, sf_dir)), 1)
+
+
+@_query("gradient_of_logsumexp", _lr("SELECT i, " + ", ".join(_R(f"sum(-2 * (x{k}-y{k}) * exp(-f)) / sum(exp(-f))") + f" AS v{k}" for k in (1, 2, 3)) + " FROM p GROUP BY i"))
+def _gradient_of_logsumexp(spark, sf_dir):
+    left, right = suppliers(spark, sf_dir), nations(spark, sf_dir)
+    q = PairReduce("-SqDist(x,y)", ALIASES[:2], "LogSumExp", 1)
+    own = q.run(left, right).select("i", F.col("value")[0].alias("saved"))
+    return _shown(q.grad("x").run(left.join(own, "i").withColumn("eta", F.lit(1.0)), right), 3)
+
+
+@_query("parameter_scale", _lr(f"SELECT i, {_R('sum(exp(-2.5::DOUBLE * f) * b)')} AS v1 FROM p GROUP BY i"))
+def _parameter(spark, sf_dir):
+    q = PairReduce("Exp(-g*SqDist(x,y))*b", [*ALIASES, "g = Pm(1)"], "Sum", 1)
+    return _shown(q.run(suppliers(spark, sf_dir), nations(spark, sf_dir), params={"g": 2.5}), 1)
+
+
+@_query("batch_broadcast", f"WITH {POINTS_SQL}, p AS (SELECT l.i, r.j % 3 AS g, {_D2} AS f, b FROM l, r) SELECT CAST(g AS BIGINT) AS g, i, {_R('sum(exp(-f) * b)')} AS v1 FROM p GROUP BY g, i")
+def _batch_broadcast(spark, sf_dir):
+    """Only the j side has the batch key: every i meets every batch."""
+    left, right = suppliers(spark, sf_dir), nations(spark, sf_dir).withColumn("g", F.col("j") % 3)
+    x, y, b = Vi(left, "x", dim=3), Vj(right, "y", dim=3, batch=["g"]), Vj(right, "b", dim=1, batch=["g"])
+    return _shown(((-x.sqdist(y)).exp() * b).sum(axis=1), 1)
+
+
+@_query("stream_logsumexp", _lr(f"SELECT i, {_R('ln(sum(exp(-f)))')} AS v1 FROM p GROUP BY i"))
+def _stream(spark, sf_dir):
+    """Nations arrive as a stream; states of suppliers merge."""
+    from pairloom.session import work_folder
+
+    raw = spark.readStream.schema(table(spark, sf_dir, "nation").schema).parquet(f"{sf_dir}/nation*.parquet")
+    y = [(F.col("n_nationkey") + 1).cast("double") / 26.0, (F.col("n_regionkey") + 1).cast("double") / 6.0, F.length("n_name").cast("double") / 20.0]
+    stream = points(raw, "n_nationkey", {"y": y}, "j")
+    q = PairReduce("-SqDist(x,y)", ALIASES[:2], "LogSumExp", 1)
+    return _shown(streaming.reduce_available(q, suppliers(spark, sf_dir), stream, work_folder(spark, "stream")), 1)
+
+
 @_query("columns_strategy", _lr(f"SELECT i, {_R('sum(exp(-f) * b)')} AS v1 FROM p GROUP BY i"))
 def _columns(spark, sf_dir):
     return _shown(PairReduce("Exp(-SqDist(x,y))*b", ALIASES, "Sum", 1).run(suppliers(spark, sf_dir), nations(spark, sf_dir), strategy="columns"), 1)
