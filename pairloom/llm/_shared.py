@@ -20,6 +20,21 @@ from pairloom.session import ship
 ARROW_BATCH_BYTES = 4 * 1024 * 1024
 
 
+_caches: dict[str, dict] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """What an operator keeps in a worker process between tasks; other operators' caches are emptied.
+
+    A worker outlives the stage it was started for, and the tables of one
+    operator would otherwise take memory from the next.
+    """
+    for name, held in _caches.items():
+        if name != owner:
+            held.clear()
+    return _caches.setdefault(owner, {})
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Bound Arrow batches by bytes as well as by rows; let workers import this package."""
     ship(spark)

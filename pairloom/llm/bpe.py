@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pairloom.llm._shared import id_text, prepare
+from pairloom.llm._shared import id_text, prepare, worker_cache
 from pairloom.llm.tokens import ChunkCoder
 
 
@@ -149,14 +149,12 @@ class ByteBpe:
         return b"".join(map(self.vocabulary.__getitem__, ids))
 
 
-_engines: dict[tuple[str, str], ByteBpe] = {}
-
-
 def engine(path: str, pattern: str) -> ByteBpe:
     """One per worker process."""
-    if (path, pattern) not in _engines:
-        _engines[path, pattern] = ByteBpe.from_file(path, pattern)
-    return _engines[path, pattern]
+    held = worker_cache("byte bpe")
+    if (path, pattern) not in held:
+        held[path, pattern] = ByteBpe.from_file(path, pattern)
+    return held[path, pattern]
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:

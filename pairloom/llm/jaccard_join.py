@@ -31,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm._shared import discard, id_text, materialise, partitions, prepare
-from pairloom.llm.components import Forest, connected_components
+from pairloom.llm._shared import discard, id_text, materialise, partitions, prepare, worker_cache
+from pairloom.llm.components import connected_components, star_forest
 from pairloom.llm.words import mix, shingle_sets
 
 #: Random sets of n shingles differ by about sqrt(n * GROUPS) counts, similar ones by a
@@ -40,8 +40,9 @@ from pairloom.llm.words import mix, shingle_sets
 GROUPS = 128
 LEAF = 32
 FAN = 16
-#: Sets in a block of a cell.
+#: Sets in a block of a cell, and about as many shingles in all.
 BLOCK = 2048
+BLOCK_SHINGLES = 1_500_000
 #: Shingles known as frequent: 16 bytes each, at most so many on every executor.
 FREQUENT = 65_536
 #: Texts of a task that make a shingle a candidate for that.
@@ -97,19 +98,34 @@ class CountTree:
             self.levels.append((high, low_n, high_n))
             step = FAN
 
-    def survivors(self, point: np.ndarray, n: int) -> np.ndarray:
-        """Places (in the order given at first) of the points that the bound doesn't rule out."""
+    def label(self, component: np.ndarray) -> None:
+        """Tells each node the smallest and largest component below it."""
+        low = high = component[self.order]
+        self.labels, step = [], LEAF
+        for _ in self.levels:
+            cut = np.arange(0, len(low), step)
+            low, high = np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut)
+            self.labels.append((low, high))
+            step = FAN
+
+    def survivors(self, point: np.ndarray, n: int, own: int | None = None) -> np.ndarray:
+        """Places (in the order given at first) of the points that the bound doesn't rule out.
+
+        With ``own`` also without nodes that are all of that component.
+        """
         p = self.percent
         alive = None
         for depth in range(len(self.levels) - 1, -1, -1):
             high, low_n, high_n = self.levels[depth]
-            if alive is not None:
-                alive = (alive[:, None] * FAN + np.arange(FAN)).ravel()
-                alive = alive[alive < len(high)]
-                high, low_n, high_n = high[alive], low_n[alive], high_n[alive]
+            alive = np.arange(len(high)) if alive is None else (alive[:, None] * FAN + np.arange(FAN)).ravel()
+            alive = alive[alive < len(high)]
+            if own is not None:
+                low, top = self.labels[depth]
+                alive = alive[(low[alive] != own) | (top[alive] != own)]
+            high, low_n, high_n = high[alive], low_n[alive], high_n[alive]
             ok = (100 * high_n >= p * n) & (p * low_n <= 100 * n)
             ok &= (100 + p) * np.minimum(high, point).sum(1, dtype=np.int64) >= p * (n + low_n)
-            alive = np.flatnonzero(ok) if alive is None else alive[ok]
+            alive = alive[ok]
             if not len(alive):
                 return alive
         if alive is None:
@@ -127,23 +143,29 @@ def forest_links(pts: np.ndarray, total: np.ndarray, percent: int, confirm: Call
 
     ``left``: only pairs of a true and a false entry are looked at.
     """
-    tree, forest, out = CountTree(pts, percent, total), Forest(len(pts)), []
+    tree, component, out = CountTree(pts, percent, total), np.arange(len(pts)), []
+    tree.label(component)
+    trees = len(pts)
     for i in range(len(pts)):
         if left is not None and not left[i]:
             continue
-        near = tree.survivors(pts[i], int(total[i]))
+        near = tree.survivors(pts[i], int(total[i]), int(component[i]))
         near = near[near > i] if left is None else near[~left[near]]
-        step = 4
+        before, step = trees, 4
         while len(near):
-            if forest.trees == 1:
-                return out
-            mine = forest.find(i)
-            near = near[[forest.find(j) != mine for j in near.tolist()]]
+            near = near[component[near] != component[i]]
             some, near = near[:step], near[step:]
             step *= 4
             for j in (some if confirm is None or not len(some) else some[confirm(i, some)]).tolist():
-                if forest.union(i, j):
+                a, b = sorted((int(component[i]), int(component[j])))
+                if a != b:
+                    component[component == b] = a
+                    trees -= 1
                     out.append((i, j))
+        if trees == 1:
+            return out
+        if trees < before:
+            tree.label(component)
     return out
 
 
@@ -155,6 +177,7 @@ def _hot_shingles(docs: DataFrame, size: int) -> np.ndarray:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("jaccard join")
         held: list[np.ndarray] = []
         n = 0
 
@@ -292,8 +315,6 @@ def _candidates(percent: int) -> Callable:
                 found = np.array(forest_links(pts[at : at + n], total[at : at + n], percent), np.int64).reshape(-1, 2)
                 a.append(rep[at + found[:, 0]])
                 b.append(rep[at + found[:, 1]])
-            from pairloom.llm.components import star_forest
-
             x, y = star_forest(np.concatenate(a), np.concatenate(b))
             yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
 
@@ -302,6 +323,7 @@ def _candidates(percent: int) -> Callable:
 
 def _verify(size: int, percent: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("jaccard join")
         for t in _grouped(batches, "task"):
             task = t["task"].to_numpy()
             cut = np.flatnonzero(np.r_[True, task[1:] != task[:-1]])
@@ -356,7 +378,9 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> Data
     discard(rough)
     own = cells.select(F.col("component").alias("rep"), F.col("component").alias("cell")).distinct()
     members = materialise(cells.select(F.col("node").alias("rep"), F.col("component").alias("cell")).unionByName(own), "cells")
-    sizes = members.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    weighed = members.join(reps.select("rep", "n"), "rep")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    sizes = weighed.groupBy("cell").agg(blocks.alias("blocks"))
     placed = members.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     pairs = placed.select("rep", "cell", "block", other).select(

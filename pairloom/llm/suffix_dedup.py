@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairloom.llm._shared import discard, filesystem, materialise, new_folder, partitions, prepare, remove
+from pairloom.llm._shared import discard, filesystem, materialise, new_folder, partitions, prepare, worker_cache
 from pairloom.llm.suffix_array import common_prefixes, suffix_order
 from pairloom.llm.words import mix
 
@@ -220,6 +220,7 @@ def _make_blocks(folder: str, many: int, block_bytes: int) -> Callable:
         return rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("suffix dedup")
         held: list[pa.RecordBatch] = []
         size = 0
         for b in batches:
@@ -391,6 +392,7 @@ def _mark(rows: np.ndarray, lowest: np.ndarray, some: np.ndarray, out: np.ndarra
 
 
 def _sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    worker_cache("suffix dedup")
     for bucket, t in _groups(batches, "bucket"):
         size = t["n"].to_pylist()
         seeds = np.concatenate([np.frombuffer(x, _U) for x in t["seeds"].to_pylist()])

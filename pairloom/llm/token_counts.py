@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pairloom.llm._shared import id_text, prepare
+from pairloom.llm._shared import id_text, prepare, worker_cache
 from pairloom.llm.tokens import MEMO_ENTRIES, byte_symbols
 
 END = 256  # the mark after the last byte of a word
@@ -144,9 +144,6 @@ class Counts:
         return [w.total() for w in words], [sum(get(x) * n for x, n in w.items()) for w in words]
 
 
-_counts: dict[str, Counts] = {}
-
-
 def count_tokens(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_words, n_tokens of every row, by greedy longest match.
 
@@ -155,10 +152,11 @@ def count_tokens(docs: DataFrame, path: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _counts:
-            _counts[path] = Counts(path)
+        held = worker_cache("token counts")
+        if path not in held:
+            held[path] = Counts(path)
         for b in batches:
-            words, pieces = _counts[path].of(b["text"].to_pylist())
+            words, pieces = held[path].of(b["text"].to_pylist())
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(words, pa.int64()), pa.array(pieces, pa.int64())], ["doc_id", "n_words", "n_tokens"])
 
     prepare(docs.sparkSession)

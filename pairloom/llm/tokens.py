@@ -12,9 +12,12 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 
+from pairloom.llm._shared import worker_cache
+
 #: Letters, numbers and white space of the first 256 code points.
 _LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
 _NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -24,23 +27,27 @@ _SPACES = "\t-\r \x85\xa0"
 MEMO_ENTRIES = 500_000
 
 
-class Memo(dict):
-    """A table of bounded size: when half of it is full, what was not used since the last time goes."""
+class Memo:
+    """A table of bounded size: when half of it is full, what was not used since the last time goes.
+
+    ``now`` and ``old`` are plain dicts: only with those a set difference looks
+    up the set's members instead of walking the table.
+    """
 
     def __init__(self, entries: int):
-        super().__init__()
-        self.half, self.old = entries // 2, {}
+        self.half = entries // 2
+        self.now: dict = {}
+        self.old: dict = {}
 
     def ask(self, keys: set) -> list:
-        """Those of ``keys`` that have to be made; the others are here afterwards."""
-        new = keys - self.keys()
-        if len(self) + len(new) > self.half:
-            self.old = dict(self)
-            self.clear()
-            new = keys
-        back = new & self.old.keys()
-        self.update((k, self.old[k]) for k in back)
-        return list(new - back)
+        """Those of ``keys`` that have to be made; the others are in ``now`` afterwards."""
+        new = keys.difference(self.now)
+        if len(self.now) + len(new) > self.half:
+            self.old, self.now, new = self.now, {}, keys
+        old = self.old
+        back = {k: old[k] for k in new if k in old}
+        self.now.update(back)
+        return list(new.difference(back))
 
 
 def latin_pattern(pattern: str) -> re.Pattern:
@@ -90,22 +97,25 @@ class ChunkCoder:
         return self.narrow.findall(text)
 
     def _ids_of(self, found: list[list[str]]) -> list[bytes]:
-        fresh = self.matches.ask(set().union(*found))
-        self.matches.update(zip(fresh, self.encode_many(fresh), strict=True))
-        return [b"".join(map(self.matches.__getitem__, x)) for x in found]
+        fresh = self.matches.ask(set(chain.from_iterable(found)))
+        self.matches.now.update(zip(fresh, self.encode_many(fresh), strict=True))
+        get = self.matches.now.__getitem__
+        return [get(x[0]) if len(x) == 1 else b"".join(map(get, x)) for x in found]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [t.split(" ") for t in texts]
-        fresh = self.chunks.ask(set().union(*(x[1:] if self.space else x for x in cut)))
-        good = []
-        for c in fresh:
-            # A chunk of spaces joins the white space around it: its text takes the slow path.
-            if self.space and (not c or c[0].isspace()):
-                self.chunks[c] = None
-            else:
-                good.append(c)
-        self.chunks.update(zip(good, self._ids_of([self.split(self.space + c) for c in good]), strict=True))
-        get = self.chunks.__getitem__
+        space, narrow = self.space, self.narrow.findall
+        fresh = self.chunks.ask(set(chain.from_iterable(x[1:] if space else x for x in cut)))
+        # A chunk of spaces joins the white space around it: its text takes the slow path.
+        good = [c for c in fresh if c and not c[0].isspace()] if space else fresh
+        if len(good) < len(fresh):
+            self.chunks.now.update((c, None) for c in fresh if not c or c[0].isspace())
+        if self.lower:
+            found = [narrow(c.lower()) if c.isascii() else self.split(c) for c in good]
+        else:
+            found = [narrow(space + c) if c.isascii() else self.split(space + c) for c in good]
+        self.chunks.now.update(zip(good, self._ids_of(found), strict=True))
+        get = self.chunks.now.__getitem__
         out: list[bytes | None] = []
         heads: list[tuple[int, list[str]]] = []
         for k, x in enumerate(cut):
@@ -286,11 +296,9 @@ class LibraryCoder:
         return out
 
 
-_coders: dict[str, LibraryCoder] = {}
-
-
 def library_coder(path: str) -> LibraryCoder:
     """One per worker process, whatever the number of tasks it runs."""
-    if path not in _coders:
-        _coders[path] = LibraryCoder(path)
-    return _coders[path]
+    held = worker_cache(f"tokens {path}")
+    if path not in held:
+        held[path] = LibraryCoder(path)
+    return held[path]
