@@ -501,11 +501,10 @@ def remove_repeats(docs: DataFrame, whole_characters: bool = False, digest: bool
     blocks = materialise(made.where(F.col("bucket") < 0).select("block"), "blocks")
     discard(made)
     by_block = repeated.repartition(many, "block").sortWithinPartitions("block", "bucket")
-    sent = materialise(by_block.mapInArrow(_send_contexts(fine), "block string, bucket int, n int, seeds binary, lowest binary, rows binary"), "contexts")
-    discard(repeated)
+    sent = by_block.mapInArrow(_send_contexts(fine), "block string, bucket int, n int, seeds binary, lowest binary, rows binary")
     to_shard = sent.repartition(many, "bucket").sortWithinPartitions("bucket", "block")
     answers = materialise(to_shard.mapInArrow(_sort_shards, "block string, bucket int, n int, answer binary"), "answers")
-    discard(sent)
+    discard(repeated)
     none = blocks.select("block", F.lit(-1).alias("bucket"), F.lit(0).alias("n"), F.lit(None).cast("binary").alias("answer"))
     tasks = answers.unionByName(none).repartition(many, "block").sortWithinPartitions("block", "bucket")
     names = docs.columns
