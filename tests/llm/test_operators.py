@@ -299,6 +299,18 @@ def test_op6_counts_and_verdicts(spark, docs, odd, empty):
     assert all(many[k].kept for k, *_ in clean) and not any(many[k].kept for k, *_ in junk)
 
 
+def test_op6_each_rate_rejects_alone(spark):
+    clean = [(k, prose(60 + k % 90, 1000 + k), "en", "s") for k in range(400)]
+    symbols = [(1000 + k, " ".join(w + "#" * (n % 3 == 0) for n, w in enumerate(prose(80, 5000 + k).split())), "en", "s") for k in range(40)]
+    words = [prose(86, 6000 + k).split() for k in range(40)]
+    repeats = [(2000 + k, " ".join([*w, *w[20:34]]), "en", "s") for k, w in enumerate(words)]
+    lines = [(3000 + k, "\n".join([*w[:3], *w[:3], " ".join(w[3:57])]), "en", "s") for k, w in enumerate(words)]
+    many = rows(quality.judge(spark.createDataFrame(clean + symbols + repeats + lines, "doc_id long, text string, lang string, source string")))
+    assert all(many[k].kept for k, *_ in clean)
+    for some in (symbols, repeats, lines):
+        assert not any(many[k].base_failed or many[k].kept for k, *_ in some)
+
+
 def test_op6_estimate_is_robust(spark):
     r = np.random.default_rng(0)
     good = r.multivariate_normal([1, 2, 3, 4], np.diag([1, 4, 1, 1]) + 0.5, 4000)
