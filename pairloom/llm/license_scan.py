@@ -7,12 +7,19 @@ SHA-256 of their canonical form, with a table of known digests.  That table is
 one row per licence, so it is broadcast below ``BROADCAST_ROWS`` and joined by
 shuffle beyond.
 
-All of it is SQL that other engines read too: ``canonical_sql`` is both the
-Spark expression and, but for function names, the oracle's.
+That much is SQL that other engines read too: ``canonical_sql`` is both the
+Spark expression and, but for function names, the oracle's.  A licence is also
+looked up by its published form, which drops a line only if it states a
+copyright: a line of the body may begin with the word by the way it is wrapped.
+Titles, list numbers and appendices are told apart in the table of known
+licences (``published``), not in the documents.
 """
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,6 +79,30 @@ NOTICES = {
 }
 KNOWN = {"MIT": MIT, "ISC": ISC, "0BSD": ZERO_BSD, "BSD-2-Clause": BSD_2, "BSD-3-Clause": BSD_3, "Zlib": ZLIB, **NOTICES}
 
+#: Full texts, one file each.
+FULL = Path(__file__).parent / "licences"
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "License: MIT"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD License", "BSD 0-Clause License", "BSD Zero Clause License (0BSD)"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "The 2-Clause BSD License", "BSD 2-Clause \"Simplified\" License", "Simplified BSD License", "FreeBSD License", "BSD License", "The BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "The 3-Clause BSD License", "BSD 3-Clause \"New\" or \"Revised\" License", "New BSD License", "Modified BSD License", "Revised BSD License", "BSD License", "The BSD License"),
+    "Zlib": ("zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License"),
+}
+#: Where the terms of a full text end and its appendix begins.
+APPENDIX = re.compile(r"\n[ \t]*(END OF TERMS AND CONDITIONS|Exhibit A - )")
+#: A line that states a copyright (a sign, a year, a placeholder or a holder follows), in lower case.
+STATEMENT = (
+    r"(^|\n)[ \t*#/;>-]*("
+    r"copyright[ \t]*[:,]?[ \t]*([(]c[)]|©|&copy;|[12][0-9]{3}|[<\[{]|by[ \t]|yyyy)"
+    r"|[(]c[)][ \t]*(copyright|©|[12][0-9]{3}|[<\[{])"
+    r"|©"
+    r"|copyright[ \t]+(?!(notices?|holders?|holder's|owners?|ownership|owned|laws?|licen[sc]es?|licensors?|statements?|interests?|permissions?|disclaimers?"
+    r"|doctrines?|treaty|treaties|act|rights?|claims?|messages?|information|protection|infringement|term|status|and|or|to|in|on|of|for|is|are|as|over|under|with|from"
+    r"|if|that|this|these|those|which|resulting|can|may|will|must|shall|applicable|the[ \t]+(software|program|library|work|code))\b|the[ \t]*(\n|$))[a-z]"
+    r")[^\n]*"
+)
+
 
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
@@ -98,24 +129,70 @@ def canonical(column: str = "text") -> Column:
     return F.expr(canonical_sql(column))
 
 
-def known_digests(spark: SparkSession, texts: dict[str, str] = KNOWN) -> DataFrame:
-    """digest, license_id; of several licences with one canonical text the first by name."""
-    table = spark.createDataFrame(sorted(texts.items()), "license_id string, text string")
-    return table.groupBy(F.sha2(canonical(), 256).alias("digest")).agg(F.min("license_id").alias("license_id"))
+def _dropped(column: str) -> Column:
+    return F.regexp_replace(F.lower(F.coalesce(column, F.lit(""))), STATEMENT, "\n")
+
+
+def _finished(x: Column) -> Column:
+    """What ``canonical_sql`` does once copyright lines are gone."""
+    x = F.regexp_replace(x, "all rights reserved", " ")
+    for a, b in SPELLINGS:
+        x = F.replace(x, F.lit(a), F.lit(b))
+    return F.trim(F.regexp_replace(x, "[^a-z0-9]+", " "))
+
+
+def published_form(column: str = "text") -> Column:
+    """The canonical text, but for lines of the body that only begin with "copyright"."""
+    return _finished(_dropped(column))
+
+
+def published() -> list[tuple[str, str]]:
+    """(license id, text) of every form in which the known licences are usually published."""
+    texts = [*KNOWN.items()]
+    isc = "Permission to use, copy, modify, and"
+    texts += [(k, KNOWN[k].replace(isc + "/or", isc, 1)) for k in ("ISC", "0BSD")]
+    texts += [(k, KNOWN[k].replace("COPYRIGHT HOLDER OR", "COPYRIGHT OWNER OR", 1)) for k in ("BSD-2-Clause", "BSD-3-Clause")]
+    texts += [(k, re.sub(r"\n[1-9]\. ", "\n", t)) for k, t in texts if re.search(r"\n[1-9]\. ", t)]
+    texts += [(k, f"{title}\n\n{t}") for k, t in texts for title in TITLES.get(k, ())]
+    for path in sorted(FULL.glob("*.txt")):
+        t = path.read_text(encoding="utf-8")
+        texts.append((path.stem, t))
+        if cut := APPENDIX.search(t):
+            texts += [(path.stem, t[: cut.start()])]
+            if cut[1].startswith("END"):
+                texts += [(path.stem, t[: cut.end()])]
+    return texts
+
+
+def known_digests(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
+    """digest, license_id; of several licences with one canonical text the first by name.
+
+    Canonical and published forms of ``texts``, by default of all that ``published`` has.
+    """
+    table = spark.createDataFrame(sorted(set(published() if texts is None else texts.items())), "license_id string, text string")
+    forms = table.select("license_id", F.explode(F.array(canonical(), published_form())).alias("form"))
+    return forms.groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("license_id").alias("license_id"))
 
 
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     """doc_id, digest, n_words of the canonical text, license_id (null: none) for every row.
 
+    The licence is that of the digest, or else that of the published form.
     Rows that repeat stay; an empty or null text has the digest of no text and
     no licence unless ``known`` has that digest; an empty table gives no rows;
     other columns are not read.  The texts are scanned once and not shuffled.
     """
     small = known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    form = docs.select(F.col("doc_id").cast("long").alias("doc_id"), canonical().alias("form"))
+    # only a line that begins so, or with the sign or (c), can set the two forms apart
+    twofold = F.lower(F.coalesce("text", F.lit(""))).rlike(r"(^|\n)[ \t*#/;>-]*(copyright|[(]c[)]|©)")
+    form = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), canonical().alias("form"), F.when(twofold, F.sha2(published_form(), 256)).alias("other")
+    )
     words = F.when(F.col("form") == "", 0).otherwise(F.length("form") - F.length(F.replace("form", F.lit(" "), F.lit(""))) + 1)
-    rows = form.select("doc_id", F.sha2("form", 256).alias("digest"), words.cast("long").alias("n_words"))
-    return rows.join(F.broadcast(known) if small else known, "digest", "left").select("doc_id", "digest", "n_words", "license_id")
+    rows = form.select("doc_id", F.sha2("form", 256).alias("digest"), words.cast("long").alias("n_words"), "other")
+    also = known.select(F.col("digest").alias("other"), F.col("license_id").alias("other_id"))
+    found = rows.join(F.broadcast(known) if small else known, "digest", "left").join(F.broadcast(also) if small else also, "other", "left")
+    return found.select("doc_id", "digest", "n_words", F.coalesce("license_id", "other_id").alias("license_id"))
 
 
 def oracle() -> str:

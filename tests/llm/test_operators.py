@@ -5,6 +5,8 @@ import collections
 import hashlib
 import math
 import random
+import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -352,6 +354,29 @@ def test_op8_canonical_digests(spark, docs, odd, empty):
     assert license_scan.scan(odd, known).count() == 6 and license_scan.scan(empty, known).count() == 0
 
 
+def test_op8_published_forms(spark):
+    wrap = lambda t, n: "\n\n".join(textwrap.fill(p, n, break_long_words=False, break_on_hyphens=False) for p in t.split("\n\n"))
+    head = "Copyright (c) 2004-2010 by Some One, Inc.\nCopyright The Other Authors\n\n"
+    isc = license_scan.ISC.replace("that the above copyright", "that the above\ncopyright")
+    cases = [("ISC", isc), ("ISC", "ISC License\n\n" + head + isc), ("MIT", "MIT License\n\n" + head + license_scan.MIT)]
+    cases += [("ISC", isc.replace("and/or", "and", 1)), ("BSD-3-Clause", head + license_scan.BSD_3.replace("\n1. ", "\n * ").replace("\n2. ", "\n * ").replace("\n3. ", "\n * "))]
+    cases += [(k, f"{title}\n\n{head}{license_scan.KNOWN[k]}") for k, titles in license_scan.TITLES.items() for title in titles if "BSD License" not in title[-14:]]
+    cases += [(k, head + wrap(license_scan.KNOWN[k], n)) for k in license_scan.TITLES for n in range(30, 100, 7)]
+    for path in license_scan.FULL.glob("*.txt"):
+        text = path.read_text(encoding="utf-8")
+        cases += [(path.stem, text), (path.stem, text.replace("\n", "\r\n"))]
+        # a line break before any word "copyright" of the terms changes nothing
+        cut = license_scan.APPENDIX.search(text)
+        terms = text[: cut.start()] if cut else text
+        cases += [(path.stem, re.sub(r"(?<=[a-z,]) (?=copyright\b)", "\n", terms) + text[len(terms) :])]
+    assert {k for k, _ in cases} >= {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"}
+    known = license_scan.known_digests(spark)
+    found = rows(license_scan.scan(spark.createDataFrame([(n, t) for n, (_, t) in enumerate(cases)], "doc_id long, text string"), known))
+    assert not [(k, t[:200], found[n].license_id) for n, (k, t) in enumerate(cases) if found[n].license_id != k]
+    more = spark.createDataFrame([(1, isc + "\nand more"), (2, "MIT License"), (3, head)], "doc_id long, text string")
+    assert all(r.license_id is None for r in license_scan.scan(more, known).collect())
+
+
 def brute_components(pairs, size, percent):
     sets = []
     for _, t in pairs:
