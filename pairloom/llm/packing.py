@@ -16,7 +16,7 @@ leave the task that made them.
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
+from collections import defaultdict, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,52 +75,91 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
-def completions(counts: np.ndarray, first: int, capacity: int, keep: int = 3) -> list[tuple[int, ...]]:
-    """Undominated fillings of what ``first`` leaves, least waste first.
+def completions(counts: np.ndarray, first: int, capacity: int, tries: int = NODES, slack: int | None = None) -> Iterator[tuple[int, ...]]:
+    """Undominated fillings of what ``first`` leaves: perfect ones as they are found, then least waste first.
 
     ``counts[s]`` items of length ``s`` are left, ``first`` already taken.  A
-    single item that fills the room dominates all other fillings.
+    single item that fills the room dominates all other fillings.  Fillings
+    have any number of pieces: the last two are found at once for each of
+    ``tries`` beginnings, which are taken by turns from those of no piece, one
+    piece, two pieces and so on.  Of the others the ``NODES`` fillings of least
+    waste are kept, none that wastes more than ``slack``.
     """
     room = capacity - first
     if room <= 0 or not counts[1 : room + 1].any():
-        return [()]
+        yield ()
+        return
     if counts[room]:
-        return [(room,)]
+        yield (room,)
+        return
+    slack = room if slack is None else slack
     at = np.arange(len(counts))
     largest = np.maximum.accumulate(np.where(counts > 0, at, 0))  # largest length at hand up to each
-    found: dict[tuple[int, ...], int] = {(int(largest[room]),): room - int(largest[room])}
     sizes = np.flatnonzero(counts[: room + 1])[::-1]
+    least = int(sizes[-1])
+
+    def pairs(outer: tuple[int, ...], space: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Waste and both lengths of pairs that fill ``space``, least waste first."""
+        free = counts.copy()
+        for x in outer:
+            free[x] -= 1
+        there = np.maximum.accumulate(np.where(free > 0, at, 0))
+        a = sizes[(free[sizes] > 0) & (sizes <= min(outer[-1] if outer else space, space))]
+        b = there[np.minimum(space - a, a)]
+        b = np.where((b == a) & (free[a] < 2), there[a - 1], b)
+        a, b = a[b > 0], b[b > 0]
+        waste = space - a - b
+        order = np.argsort(waste, kind="stable")[:NODES]
+        order = order[waste[order] <= slack]
+        return waste[order], a[order], b[order]
+
+    def longer(outer: tuple[int, ...], space: int) -> Iterator[tuple[tuple[int, ...], int]]:
+        for x in sizes[np.searchsorted(-sizes, -min(outer[-1] if outer else space, space - 2 * least)) :].tolist():
+            if outer.count(x) < counts[x]:
+                yield (*outer, x), space - x
 
-    def pairs(outer: tuple[int, ...], space: int) -> None:
-        a = sizes[sizes <= space]
-        if outer:
-            a = a[a <= outer[-1]]
-        if not len(a):
-            return
-        b = largest[np.minimum(space - a, a)]
-        # an item may not be used more often than it is there
-        taken = np.bincount(outer, minlength=len(counts)) if outer else np.zeros(len(counts), int)
-        ok = (counts[a] - taken[a] >= 1) & (b > 0)
-        same = b == a
-        ok &= np.where(same, counts[a] - taken[a] >= 2, counts[b] - taken[b] >= 1)
-        a, b = a[ok], b[ok]
-        if len(a):
-            waste = space - a - b
-            for k in np.argsort(waste, kind="stable")[:keep]:
-                found[(*outer, int(a[k]), int(b[k]))] = int(waste[k])
-
-    pairs((), room)
-    if min(found.values()):
-        for a in sizes[:48].tolist():
-            pairs((a,), room - a)
-            if not min(found.values()):
-                break
-    ranked = sorted(found, key=lambda x: (found[x], [-v for v in x]))
     out: list[tuple[int, ...]] = []
-    for x in ranked:  # dominated: item for item no longer than another filling of the same number
-        if not any(len(x) <= len(y) and all(p <= q for p, q in zip(x, y, strict=False)) for y in out):
-            out.append(x)
-    return out[:keep]
+
+    def dominated(x: tuple[int, ...]) -> bool:
+        """Item for item no longer than another filling of the same number."""
+        return any(len(x) <= len(y) and all(p <= q for p, q in zip(x, y, strict=False)) for y in out)
+
+    outers: list[tuple[int, ...]] = [()]
+    rest = [np.array([[room - int(largest[room])], [0], [int(largest[room])], [0]])]  # waste, beginning, two lengths
+    levels: list[deque] = [deque([iter([((), room)])])]
+    while tries and any(levels):
+        for depth, level in enumerate(levels):
+            while level and (turn := next(level[0], None)) is None:
+                level.popleft()
+            if not level or not tries:
+                continue
+            level.rotate(-1)
+            tries -= 1
+            outer, space = turn
+            waste, a, b = pairs(outer, space)
+            perfect = int((waste == 0).sum())
+            for x in zip(a[:perfect].tolist(), b[:perfect].tolist(), strict=True):
+                if not dominated(filling := (*outer, *x)):
+                    out.append(filling)
+                    yield filling
+            rest.append(np.stack([waste, np.full(len(a), len(outers)), a, b])[:, perfect:])
+            outers.append(outer)
+            if space >= 3 * least:
+                if depth + 1 == len(levels):
+                    levels.append(deque())
+                levels[depth + 1].append(longer(outer, space))
+        if sum(x.shape[1] for x in rest) > 4 * NODES:
+            rest = [_shortest(rest)]
+    for _, k, a, b in _shortest(rest).T.tolist():
+        filling = (*outers[k], a, b) if b else (*outers[k], a)
+        if not dominated(filling):
+            out.append(filling)
+            yield filling
+
+
+def _shortest(parts: list[np.ndarray]) -> np.ndarray:
+    every = np.concatenate(parts, axis=1)
+    return every[:, np.argsort(every[0], kind="stable")[:NODES]]
 
 
 def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[Pattern]:
@@ -135,33 +174,40 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int
     start = np.zeros(capacity + 1, np.int64)
     for s, n in counts.items():
         start[s] = n
-    # depth first; a node is (counters, patterns as a linked list, sequences, waste)
-    stack = [(start, None, 0, 0)]
+    # depth first; a node is (counters, patterns as a linked list, sequences, waste, longest length, fillings not yet opened)
+    stack: list[tuple] = []
     nodes += len(counts)
-    while stack and nodes and used > least:
-        nodes -= 1
-        left, path, bins, waste = stack.pop()
-        there = np.flatnonzero(left)
-        if not len(there):
-            if bins < used:
-                used, best = bins, []
-                while path:
-                    best.append(path[0])
-                    path = path[1]
+    new: tuple | None = (start, None, 0, 0)
+    while (new or stack) and nodes and used > least:
+        if new:
+            nodes -= 1
+            left, path, bins, waste = new
+            new = None
+            there = np.flatnonzero(left)
+            slack = (used - 1) * capacity - total - waste
+            if not len(there):
+                if bins < used:
+                    used, best = bins, []
+                    while path:
+                        best.append(path[0])
+                        path = path[1]
+            elif slack >= 0:
+                first = int(there[-1])
+                rest = left.copy()
+                rest[first] -= 1
+                stack.append((left, path, bins, waste, first, completions(rest, first, capacity, slack=slack)))
             continue
-        if waste > (used - 1) * capacity - total:
+        left, path, bins, waste, first, fillings = stack[-1]
+        filling = next(fillings, None)
+        if filling is None:
+            stack.pop()
             continue
-        first = int(there[-1])
-        left[first] -= 1
-        fillings = completions(left, first, capacity)
-        left[first] += 1
-        for filling in reversed(fillings):  # the least waste is opened first
-            whole = (first, *filling)
-            need = np.bincount(whole, minlength=capacity + 1)
-            times = int((left[need > 0] // need[need > 0]).min())
-            spill = times * (capacity - sum(whole))
-            if waste + spill <= (used - 1) * capacity - total or not filling:
-                stack.append((left - need * times, ((whole, times), path), bins + times, waste + spill))
+        whole = (first, *filling)
+        need = np.bincount(whole, minlength=capacity + 1)
+        times = int((left[need > 0] // need[need > 0]).min())
+        spill = times * (capacity - sum(whole))
+        if waste + spill <= (used - 1) * capacity - total or not filling:
+            new = (left - need * times, ((whole, times), path), bins + times, waste + spill)
     return best
 
 

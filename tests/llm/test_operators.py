@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -498,6 +499,33 @@ def test_op10_search(seed):
     assert bins == fewest(sorted(sizes.tolist(), reverse=True), [])
 
 
+def test_op10_fillings_of_many_pieces():
+    # only five more pieces fill the room: 30 + (15 + 14 + 13 + 14 + 14)
+    counts = np.bincount([15, 14, 14, 14, 13, 19, 11], minlength=101)
+    assert next(packing.completions(counts, 30, 100)) == (15, 14, 14, 14, 13)
+    for seed in range(30):
+        r = np.random.default_rng(seed)
+        sizes = sorted(r.integers(3, 40, r.integers(1, 9)).tolist())
+        fits = [sum(c) for n in range(len(sizes) + 1) for c in itertools.combinations(sizes, n) if sum(c) <= 60]
+        found = list(packing.completions(np.bincount(sizes, minlength=101), 40, 100, 100_000))
+        assert all(not collections.Counter(x) - collections.Counter(sizes) and sum(x) <= 60 for x in found) and len(set(found)) == len(found)
+        assert max(map(sum, found)) == max(fits)
+
+
+def test_op10_search_packs_short_pieces():
+    # sequences of six pieces, cut at random places, so that they fill 100 sequences to the last token
+    r = np.random.default_rng(3)
+    sizes = [s for _ in range(100) for s in np.diff(np.r_[0, np.arange(1, 6) * 341 + r.integers(-34, 35, 5), 2048]).tolist()]
+    counts = collections.Counter(sizes)
+    packed = packing.bin_completion(counts)
+    used = collections.Counter()
+    for whole, n in packed:
+        assert sum(whole) <= 2048
+        for s in whole:
+            used[s] += n
+    assert used == counts and sum(n for _, n in packed) <= 101 < sum(n for _, n in packing.best_fit_decreasing(counts, 2048))
+
+
 def test_bpe_merges_in_rank_order():
     vocabulary = [bytes([b]) for b in range(256)] + [b"ab", b"bc", b"abc", b"aa", b"aaa"]
     coder = bpe.ByteBpe(vocabulary, public_tokenizers.PATTERN)
