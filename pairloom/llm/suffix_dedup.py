@@ -98,7 +98,7 @@ def anchors(buf: np.ndarray, ends: np.ndarray) -> np.ndarray:
     Strings across two texts may add anchors; those only cost time.
     """
     out, step = [], 1 << 20
-    for at in range(0, max(0, len(buf) - LENGTH + 1), step):
+    for at in range(0, max(0, len(buf) - SEED + 1), step):  # to the last seed, not the last string: its seeds may lie a step further
         low, high = max(0, at - _SPAN), min(len(buf), at + step + LENGTH + SEED)
         h = _rolling(buf[low:high])
         if len(h) < _SPAN:

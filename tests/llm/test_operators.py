@@ -217,6 +217,17 @@ def test_op4_shards_of_one_anchor():
         assert [(int(bits) >> s) & 1 for s in range(33)] == [int(least[x[2 + s : 52 + s].tobytes()] < i) for s in range(33)]
 
 
+@pytest.mark.parametrize("more", [18, 30, 40, 49, 50])
+def test_op4_anchors_at_the_end_of_a_step(more):
+    n = (1 << 20) + more
+    buf = np.random.default_rng(more).integers(97, 123, n).astype(np.uint8)
+    found = set(suffix_dedup.anchors(buf, np.array([n])).tolist())
+    low = n - 300
+    h = suffix_dedup.seed_hashes(buf, np.arange(low, n - suffix_dedup.SEED + 1))
+    span = suffix_dedup.LENGTH - suffix_dedup.SEED + 1
+    assert {low + k + int(h[k : k + span].argmin()) for k in range(len(h) - span + 1)} <= found
+
+
 def test_op4_odd_rows(spark, odd, empty):
     found = sorted((r.doc_id is None, r.doc_id or 0, r.n_removed, r.n_bytes) for r in suffix_dedup.remove_repeats(odd).collect())
     n0, n1 = len(BASE[0].encode()), len(BASE[1].encode())
