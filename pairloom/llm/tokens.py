@@ -83,8 +83,12 @@ class ChunkCoder:
         self.encode_many = encode_many
         self.space = " " if leading_space else ""
         self.lower = lower
-        self.chunks: Memo = Memo(entries)  # None: not to be joined chunk by chunk
-        self.matches: Memo = Memo(entries)
+        self.entries = entries
+        self.forget()
+
+    def forget(self) -> None:
+        self.chunks: Memo = Memo(self.entries)  # None: not to be joined chunk by chunk
+        self.matches: Memo = Memo(self.entries)
 
     def split(self, text: str) -> list[str]:
         if self.lower:
@@ -224,8 +228,10 @@ class LibraryCoder:
     """ids as ``tokenizers`` gives them for a byte-pair vocabulary file.
 
     Words never seen are merged by ``MergeTable``; one in ``PROBE`` of them
-    is also encoded by the library, and a difference hands all to the library.
+    is also encoded by the library.  A difference drops the tables and hands
+    this batch and all later ones to the library; batches before it stay.
     Texts outside Latin-1 of a normalising vocabulary go to the library whole.
+    Names of added tokens within texts are plain text (``encode_special_tokens``).
     """
 
     PROBE = 512
@@ -278,6 +284,14 @@ class LibraryCoder:
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if self.trusted:
+            out = self._encode(texts)
+            if self.trusted:
+                return out
+            self.coder.forget()
+        return self._library(texts)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         if not self.words:
             return self.coder.encode(texts)
         # The normaliser composes, folds case and collapses white space: on Latin-1 without

@@ -111,6 +111,18 @@ def test_library_coder(name):
     assert [small.encode([t])[0] for t in plain[:300]] == coder._library(plain[:300])
 
 
+def test_library_coder_drops_what_a_failed_table_made():
+    coder = tokens.LibraryCoder(public_tokenizers.path("byte_bpe_50k.json"))
+    right = coder.table.run
+    coder.table.run = lambda symbols, sizes: [x if k == 0 else x + x for k, x in enumerate(right(symbols, sizes))]
+    first, second = prose(300, 71), prose(300, 72) + " a few new words"
+    coder.encode([first])
+    assert coder.trusted  # the one word that was probed was right
+    coder.PROBE = 1
+    assert coder.encode([first, second]) == coder._library([first, second]) and not coder.trusted
+    assert coder.encode([first]) == coder._library([first])
+
+
 def windows(text):
     words = [w for w in text.replace("\t", " ").replace("\n", " ").split(" ") if w]
     return words
