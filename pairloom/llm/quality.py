@@ -152,13 +152,13 @@ def estimates(vectors: DataFrame) -> DataFrame:
     """key, center, precision: the minimum-covariance-determinant estimate of each key."""
     p = DIMENSIONS
     xs = [F.col(f"x{i}") for i in range(p)]
-    middle = vectors.groupBy("key").agg(*(F.percentile_approx(x, [0.16, 0.5, 0.84], 1000).alias(f"q{i}") for i, x in enumerate(xs)))
-    spread = [F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 2, 2) + FLOORS[i] ** 2 for i in range(p)]
-    start = middle.select(
-        "key",
-        F.array(*(F.col(f"q{i}")[1] for i in range(p))).alias("center"),
-        F.array(*(1 / spread[i] if i == j else F.lit(0.0) for i in range(p) for j in range(p))).alias("precision"),
+    middle = vectors.groupBy("key").agg(F.array(*(F.percentile_approx(x, 0.5, 1000) for x in xs)).alias("center"))
+    apart = vectors.join(middle, "key").groupBy("key").agg(
+        F.first("center").alias("center"), *(F.percentile_approx(F.abs(x - F.col("center")[i]), 0.5, 1000).alias(f"m{i}") for i, x in enumerate(xs))
     )
+    # a normal deviate is 1.4826 median absolute deviations
+    spread = [F.pow(1.4826 * F.col(f"m{i}"), 2) + FLOORS[i] ** 2 for i in range(p)]
+    start = apart.select("key", "center", F.array(*(1 / spread[i] if i == j else F.lit(0.0) for i in range(p) for j in range(p))).alias("precision"))
     now = materialise(start, "mcd")
     for _ in range(STEPS):
         near = vectors.join(now, "key").withColumn("d2", _distance())

@@ -349,6 +349,16 @@ def test_op6_estimate_is_robust(spark):
     assert np.allclose(cov, np.cov(good.T), rtol=0.5, atol=0.5)
 
 
+def test_op6_start_is_the_mad(spark, monkeypatch):
+    monkeypatch.setattr(quality, "STEPS", 0)
+    r = np.random.default_rng(1)
+    x = np.r_[r.normal(0, 1, (800, 4)), r.normal(50, 1, (200, 4))]  # a fifth on one side
+    df = spark.createDataFrame([("k", *map(float, v)) for v in x], "key string, x0 double, x1 double, x2 double, x3 double")
+    m = quality.estimates(df).first()
+    mad = 1.4826 * np.median(abs(x - np.median(x, 0)), 0)
+    assert np.allclose(1 / np.diag(np.array(m.precision).reshape(4, 4)), mad**2 + np.array(quality.FLOORS) ** 2, rtol=0.05)
+
+
 def test_op7_scores_by_definition(docs, odd, empty):
     texts = {k * 3: (t or "").encode().lower().split() for k, t in enumerate(TEXTS)}
     grams = lambda w: collections.Counter([tuple(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1)] + [()] * len(w))
