@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from pairloom.llm._shared import id_text, prepare, worker_cache
-from pairloom.llm.tokens import ChunkCoder
+from pairloom.llm.tokens import ChunkCoder, gathered, merge_by_heap
 
 
 class PerfectHash:
@@ -93,7 +92,10 @@ class ByteBpe:
             for cut in range(1, len(t))
             if (a := index.get(t[:cut])) is not None and (b := index.get(t[cut:])) is not None
         }
-        self.digits = [str(k) for k in range(len(vocabulary))]
+        self.made = range(len(vocabulary))
+        #: each token's bytes, and its decimal number with a comma: texts of both are one ``take``
+        self.bytes = pa.array(vocabulary, pa.large_binary())
+        self.decimals = pa.array([b"%d," % k for k in range(len(vocabulary))], pa.large_binary())
         self.coder = ChunkCoder(pattern, self._many)
 
     @classmethod
@@ -108,42 +110,33 @@ class ByteBpe:
         return [rank] if rank >= 0 else self.merge(raw)
 
     def merge(self, raw: bytes) -> list[int]:
-        ids = [self.byte[b] for b in raw]
-        n = len(ids)
-        after = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
-        get, push, pop = self.pairs.get, heapq.heappush, heapq.heappop
-        # a pair waits as (rank, place of its left token); one that has changed since is passed over
-        heap = [(r << 32) | i for i in range(n - 1) if (r := get((ids[i] << 20) | ids[i + 1])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            top = pop(heap)
-            r, i = top >> 32, top & 0xFFFFFFFF
-            j = after[i]
-            if ids[i] < 0 or j >= n or get((ids[i] << 20) | ids[j]) != r:
-                continue
-            ids[i], ids[j] = r, -1
-            k = after[i] = after[j]
-            if k < n:
-                before[k] = i
-                if (x := get((r << 20) | ids[k])) is not None:
-                    push(heap, (x << 32) | i)
-            p = before[i]
-            if p >= 0 and (x := get((ids[p] << 20) | r)) is not None:
-                push(heap, (x << 32) | p)
-        return [x for x in ids if x >= 0]
-
-    def _many(self, matches: list[str]) -> list[bytes]:
-        found = [self.word(m.encode("utf-8")) for m in matches]
-        flat = np.array([x for f in found for x in f], "<u4").tobytes()
-        out, at = [], 0
-        for f in found:
-            out.append(flat[at : at + 4 * len(f)])
-            at += 4 * len(f)
-        return out
-
-    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(x, "<u4") for x in self.coder.encode(texts)]
+        return merge_by_heap([self.byte[b] for b in raw], self.pairs, self.made)
+
+    def _many(self, flat: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+        raw, ends = flat.tobytes(), np.cumsum(sizes).tolist()
+        found = [self.word(raw[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=False)]
+        many = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) * 4).tolist()
+        packed = np.array([x for f in found for x in f], "<u4").tobytes()
+        return [packed[a:b] for a, b in zip([0, *many[:-1]], many, strict=False)]
+
+    def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, where each text's end)."""
+        return self.coder.encode_flat(texts)
+
+    @staticmethod
+    def _joined(table: pa.Array, ids: np.ndarray, ends: np.ndarray) -> tuple[memoryview, np.ndarray]:
+        """Entries of ``table`` for all ids back to back, and where each text's end."""
+        taken = table.take(pa.array(ids))
+        edge = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1, 8 * taken.offset)
+        return memoryview(taken.buffers()[2] or b"")[int(edge[0]) :], edge[ends] - edge[0]
+
+    def decode_batch(self, ids: np.ndarray, ends: np.ndarray) -> tuple[memoryview, np.ndarray]:
+        """Bytes that ids stand for, of all texts, and where each text's end."""
+        return self._joined(self.bytes, ids, ends)
+
+    def decimal_batch(self, ids: np.ndarray, ends: np.ndarray) -> tuple[memoryview, np.ndarray]:
+        """Decimal ids, each with a comma behind it."""
+        return self._joined(self.decimals, ids, ends)
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.vocabulary.__getitem__, ids))
@@ -163,7 +156,8 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = engine(path, pattern)
         for b in batches:
-            ids = pa.array(coder.encode_batch(b["text"].to_pylist()), pa.list_(pa.int32()))
+            flat, ends = coder.encode_batch(b["text"])
+            ids = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(flat.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([b["doc_id"], ids], ["doc_id", "ids"])
 
     prepare(docs.sparkSession)
@@ -183,6 +177,12 @@ def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
     return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, bytes binary")
 
 
+def _digests(data: memoryview, ends: np.ndarray, last: int = 0) -> list[str]:
+    """SHA-256 of each text's part, without its ``last`` bytes."""
+    edge = ends.tolist()
+    return [hashlib.sha256(data[a : max(a, b - last)]).hexdigest() for a, b in zip([0, *edge[:-1]], edge, strict=False)]
+
+
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Digests of each text's ids and of what they decode to.
 
@@ -194,14 +194,11 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = engine(path, pattern)
-        digit = coder.digits.__getitem__
-        for b in batches:
-            size, of_ids, of_bytes = [], [], []
-            for ids in coder.encode_batch(b["text"].to_pylist()):
-                x = ids.tolist()
-                size.append(len(x))
-                of_ids.append(hashlib.sha256(",".join(map(digit, x)).encode()).hexdigest())
-                of_bytes.append(hashlib.sha256(coder.decode(x)).hexdigest())
+        for b in gathered(batches):
+            ids, ends = coder.encode_batch(b["text"])
+            size = np.diff(ends, prepend=0)
+            of_ids = _digests(*coder.decimal_batch(ids, ends), last=1)
+            of_bytes = _digests(*coder.decode_batch(ids, ends))
             yield pa.RecordBatch.from_arrays(
                 [b["doc_id"], pa.array(size, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],

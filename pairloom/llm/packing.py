@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.llm._shared import discard, id_text, materialise, prepare
-from pairloom.llm.tokens import library_coder
+from pairloom.llm.tokens import gathered, library_coder
 
 CAPACITY = 2048
 #: Nodes the search may open beyond one for each length, which a first full packing needs at most.
@@ -251,25 +251,37 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, with_ids
 
         coder = library_coder(tokenizer)
         part = TaskContext.get().partitionId()
-        seen: dict[int, int] = defaultdict(int)
-        end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            cols: list[list] = [[] for _ in range(8)]
-            for doc, ids in zip(batch["doc_id"].to_pylist(), coder.encode(batch["text"].to_pylist()), strict=True):
-                ids += end
-                n = len(ids) // 4
-                at, k = 0, 0
-                while at < n:
-                    size = (n - 1) % capacity + 1 if not at else capacity
-                    data = ids[4 * at : 4 * (at + size)]
-                    for c, v in zip(cols, (doc, k, at, size, zlib.crc32(data), data, part, seen[size]), strict=True):
-                        c.append(v)
-                    seen[size] += 1
-                    at, k = at + size, k + 1
-            arrays = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64()), strict=True)]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids", "part", "number"]
-            keep = [i for i, x in enumerate(names) if with_ids or x != "ids"]
-            yield pa.RecordBatch.from_arrays([arrays[i] for i in keep], [names[i] for i in keep])
+        seen = np.zeros(capacity + 1, np.int64)
+        for batch in gathered(batches):
+            ids, ends = coder.encode_flat(batch["text"])
+            n = np.diff(ends, prepend=0) + 1  # with the end id
+            ids = np.insert(ids, ends, end_id).astype("<u4")
+            many = -(-n // capacity)
+            row = np.repeat(np.arange(len(n)), many)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+            head = (n - 1) % capacity + 1  # length of the first piece
+            length = np.where(piece == 0, head[row], capacity)
+            start = np.where(piece == 0, 0, head[row] + (piece - 1) * capacity)
+            stop = np.cumsum(length)
+            raw, edge = memoryview(ids).cast("B"), (4 * np.r_[0, stop]).tolist()
+            crc = [zlib.crc32(raw[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+            # pieces of one length are numbered in order of the task
+            order = np.argsort(length, kind="stable")
+            first = np.flatnonzero(np.r_[True, np.diff(length[order]) != 0]) if len(order) else order
+            number = np.empty(len(order), np.int64)
+            number[order] = np.arange(len(order)) - np.repeat(first, np.diff(np.r_[first, len(order)])) + seen[length[order]]
+            seen += np.bincount(length, minlength=capacity + 1)
+            cols = {
+                "doc_id": batch["doc_id"].take(pa.array(row)),
+                "piece": pa.array(piece.astype(np.int32)),
+                "start": pa.array(start),
+                "length": pa.array(length),
+                "ids_crc32": pa.array(crc, pa.int64()),
+                "ids": pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(4 * np.r_[0, stop]), pa.py_buffer(ids)]).cast(pa.binary()) if with_ids else None,
+                "part": pa.array(np.full(len(row), part, np.int32)),
+                "number": pa.array(number),
+            }
+            yield pa.RecordBatch.from_pydict({k: v for k, v in cols.items() if v is not None})
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, " + "ids binary, " * with_ids + "part int, number long"
     return id_text(docs).mapInArrow(run, schema)

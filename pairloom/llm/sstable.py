@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.llm._shared import filesystem, id_text, materialise, new_folder, partitions, prepare
-from pairloom.llm.tokens import library_coder
+from pairloom.llm.tokens import gathered, library_coder
 
 MAGIC = b"PLSST001"
 FOOTER = struct.Struct("<QQQQQI8s")  # filter at, index at, end, documents, tokens, bytes of an id, magic
@@ -91,7 +91,7 @@ class ShardWriter:
                 if x != y:
                     break
                 shared += 1
-        value = ids.astype(f"<u{self.id_bytes}").tobytes()
+        value = ids.astype(f"<u{self.id_bytes}", copy=False).tobytes()
         self.block += _varint(shared) + _varint(len(key) - shared) + _varint(len(value)) + key[shared:] + value
         self.last = key
         self.keys.append(key)
@@ -189,13 +189,17 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str | Non
         width = 2 if max(coder.library.get_vocab_size() - 1, end_id) < 1 << 16 else 4
         fs, path = filesystem(folder)
         name = f"{TaskContext.get().partitionId():08d}-{uuid.uuid4().hex}.sst"
-        end = np.array([end_id], "<u4")
-        for b in batches:
-            for doc, ids in zip(b["doc_id"].to_pylist(), coder.encode(b["text"].to_pylist()), strict=True):
-                if writer is None:
-                    fs.create_dir(path, recursive=True)
-                    writer, first = ShardWriter(fs.open_output_stream(f"{path}/{name}"), width), doc
-                writer.add(key_of(doc), np.concatenate([np.frombuffer(ids, "<u4"), end]))
+        for b in gathered(batches):
+            if not b.num_rows:
+                continue
+            ids, ends = coder.encode_flat(b["text"])
+            ids = np.insert(ids, ends, end_id).astype(f"<u{width}")
+            edge = (np.r_[0, ends] + np.arange(len(ends) + 1)).tolist()
+            if writer is None:
+                fs.create_dir(path, recursive=True)
+                writer, first = ShardWriter(fs.open_output_stream(f"{path}/{name}"), width), b["doc_id"][0].as_py()
+            for doc, low, high in zip(b["doc_id"].to_pylist(), edge[:-1], edge[1:], strict=True):
+                writer.add(key_of(doc), ids[low:high])
         if writer is not None:
             writer.close()
             row = [TaskContext.get().partitionId()], [f"{folder}/{name}"], [first], [doc], [len(writer.keys)], [writer.tokens]

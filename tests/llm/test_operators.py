@@ -103,24 +103,59 @@ def test_op1_is_the_library(docs, odd, empty):
 def test_library_coder(name):
     coder = tokens.LibraryCoder(public_tokenizers.path(name))
     r = random.Random(1)
-    alphabet = list("abc'sStTdDlL  \n\t\xa0\x85éÀß12²½.,!?<|>") + ["ſ", "Σ", "中", "’", " ", "\x1c", "́", "İ", "don't", "  ", "<|endoftext|>"]
-    some = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 30))) for _ in range(3000)]
-    assert coder.encode(some) == coder._library(some) and coder.trusted
-    small = tokens.ChunkCoder(coder.coder.wide.pattern, coder._many, coder.coder.space == " ", coder.coder.lower, entries=50)
-    plain = [t for t in some if t.isascii() and "\x1c" not in t]
-    assert [small.encode([t])[0] for t in plain[:300]] == coder._library(plain[:300])
-
-
-def test_library_coder_drops_what_a_failed_table_made():
-    coder = tokens.LibraryCoder(public_tokenizers.path("byte_bpe_50k.json"))
-    right = coder.table.run
-    coder.table.run = lambda symbols, sizes: [x if k == 0 else x + x for k, x in enumerate(right(symbols, sizes))]
-    first, second = prose(300, 71), prose(300, 72) + " a few new words"
-    coder.encode([first])
-    assert coder.trusted  # the one word that was probed was right
-    coder.PROBE = 1
-    assert coder.encode([first, second]) == coder._library([first, second]) and not coder.trusted
-    assert coder.encode([first]) == coder._library([first])
+    alphabet = list("abc'sStTdDlL  \n\t\xa0\x85éÀß12²½.,!?<|>()×÷ª") + ["ſ", "Σ", "中", "’", " ", "\x1c", "́", "İ", "don't", "  ", "<|endoftext|>", " \n", "'s", "'ll"]
+    some = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 30))) for _ in range(30_000)]
+    assert coder.encode(some) == coder.by_library(some)
+    small = tokens.ChunkCoder(coder.coder.wide.pattern, coder.merged, coder.words, coder.by_library, entries=50)
+    assert [small.encode([t])[0] for t in some[:300]] == coder.by_library(some[:300])
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_merge_engine_is_the_library(name):
+    """Every token of the vocabulary as a text, random letters of all lengths, and words beyond ``LONG`` symbols."""
+    coder = tokens.LibraryCoder(public_tokenizers.path(name))
+    r = random.Random(2)
+    byte = {c: k for k, c in enumerate(tokens.byte_symbols())}
+    words = [bytes(byte[c] for c in t.removesuffix(coder.end or "\0") if c in byte).decode("utf-8", "ignore") for t in coder.library.get_vocab()]
+    letters = "etaoinshrdlu" * 6 + "abcdefghijklmnopqrstuvwxyz" + "éèüößñç"
+    words += ["".join(r.choice(letters) for _ in range(r.randint(1, 24))) for _ in range(60_000)]
+    words += ["".join(r.choice(letters) for _ in range(r.choice([95, 96, 97, 400, 3000]))) for _ in range(40)] + ["x" * 5000, "ab" * 3000]
+    assert coder.encode(words) == coder.by_library(words)
+    spaced = [" " + w for w in words]
+    assert coder.encode(spaced) == coder.by_library(spaced)
+
+
+def test_chunks_are_cut_where_matches_begin():
+    """Every cut is a match's beginning, and ids of a part are those of the whole."""
+    import regex
+
+    r = random.Random(3)
+    alphabet = list("aB'sé 1\n\t.,-\xa0\x85") + ["’", "中", "'re", "\r\n", "  ", " \n ", "×"]
+    for _ in range(4000):
+        texts = ["".join(r.choice(alphabet) for _ in range(r.randint(1, 14))) for _ in range(3)]
+        raw = [t.encode() for t in texts]
+        starts = np.cumsum([0, *map(len, raw)])
+        cuts = tokens.cut_places(tokens.kinds_of(np.frombuffer(b"".join(raw), np.uint8)), starts[:-1]).tolist()
+        for k, t in enumerate(texts):
+            own = [c - int(starts[k]) for c in cuts if starts[k] <= c < starts[k + 1]]
+            begins = {len(t[: m.start()].encode()) for m in regex.finditer(public_tokenizers.PATTERN, t)}
+            assert set(own) <= begins and 0 in own
+            parts = [raw[k][a:b].decode() for a, b in zip(own, [*own[1:], len(raw[k])], strict=True)]
+            assert [m for p in parts for m in regex.findall(public_tokenizers.PATTERN, p)] == regex.findall(public_tokenizers.PATTERN, t)
+
+
+def test_one_very_long_word_is_quick():
+    import time
+
+    r = random.Random(4)
+    word = "".join(r.choice("acgt") for _ in range(1 << 20))
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        coder = tokens.LibraryCoder(public_tokenizers.path(name))
+        t = time.process_time()
+        got = coder.encode([word])
+        took, t = time.process_time() - t, time.process_time()
+        assert got == coder.by_library([word])
+        assert took < 20 * (time.process_time() - t) + 5
 
 
 def windows(text):
@@ -269,7 +304,7 @@ def test_op5_files_and_lookup(docs, odd, empty):
     manifest = sstable.write_shards(docs, path, end_id=2)
     found, at = rows(sstable.read_shards(manifest, with_ids=True)), 0
     for k in sorted(found):
-        ids = np.r_[np.frombuffer(coder._library([text_of(k)])[0], "<u4"), np.uint32(2)].astype("<u4")
+        ids = np.r_[np.frombuffer(coder.by_library([text_of(k)])[0], "<u4"), np.uint32(2)].astype("<u4")
         r = found[k]
         assert (r.start, r.n_tokens, r.ids_crc32, r.ids) == (at, len(ids), zlib.crc32(ids.tobytes()), ids.tolist())
         at += len(ids)
@@ -482,7 +517,7 @@ def test_op10_packs_every_token(docs, odd, empty):
     assert set(by_doc) == {k * 3 for k in range(len(TEXTS))}
     total = 0
     for k, parts in by_doc.items():
-        ids = np.r_[np.frombuffer(coder._library([text_of(k)])[0], "<u4"), np.uint32(0)].astype("<u4")
+        ids = np.r_[np.frombuffer(coder.by_library([text_of(k)])[0], "<u4"), np.uint32(0)].astype("<u4")
         parts.sort(key=lambda r: r.piece)
         assert [r.piece for r in parts] == list(range(len(parts))) and sum(r.length for r in parts) == len(ids)
         assert all(r.length == 2048 for r in parts[1:])
