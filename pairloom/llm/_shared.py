@@ -8,6 +8,7 @@ a folder of our own is made.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -79,6 +80,20 @@ def remove(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of shuffle files of steps whose results are written, now rather than at the driver's next collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def filesystem(uri: str):
     """(pyarrow file system, path on it) of a shared URI; usable on executors."""
     from pyarrow import fs

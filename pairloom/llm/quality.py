@@ -3,13 +3,16 @@
 One pass over the texts counts words, symbols, repeated lines and repeated
 eight-word windows.  The counts become a vector of rates on stabilising scales,
 and each (language, source) gets a minimum-covariance-determinant estimate:
-from a median/MAD start, concentration steps re-estimate mean and covariance on
-the three quarters of the rows nearest to the estimate before.  Every step is
-two aggregations over a narrow table, with quantile sketches and moment sums
-that combine before any shuffle, so a source that holds a third of all rows is
-no task's burden.  Variances have a floor, as in the regularised estimator:
-most clean documents have no symbols or repeats at all, and a zero covariance
-would reject the first that has one.
+from a median/MAD start and from small random subsets, concentration steps
+re-estimate mean and covariance on the three quarters of the rows nearest to
+the estimate before, until no determinant moves; the estimate of the smallest
+determinant stays.  Every step is two aggregations over a narrow table, with
+quantile sketches and moment sums that combine before any shuffle; estimates, a
+small row for each group, are broadcast to the rows after their number is
+checked.  So a source that holds a third of all rows is no task's burden.
+Variances have a floor, as in the regularised estimator: most clean documents
+have no symbols or repeats at all, and a zero covariance would reject the first
+that has one.
 
 A document is rejected if its squared Mahalanobis distance passes ``CUTOFF``.
 """
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm._shared import discard, materialise, prepare
+from pairloom.llm._shared import discard, free_name, materialise, prepare
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -33,7 +36,14 @@ SYMBOLS = "#*$%&|<>"
 
 #: Rows a step keeps; half the breakdown of the median start remains.
 KEEP = 0.75
-STEPS = 4
+#: Concentration steps at most; they end as soon as no logarithm of a determinant moves by ``SETTLED``.
+STEPS = 12
+SETTLED = 0.01
+#: Random starts beside the median/MAD one, and about how many rows of a group each begins with.
+STARTS = 2
+PICKS = 40
+#: Estimates up to this many are broadcast (about 300 bytes each).
+BROADCAST_ROWS = 100_000
 #: Groups with fewer rows are estimated with all small groups of their language.
 MIN_ROWS = 100
 DIMENSIONS = 4
@@ -119,8 +129,23 @@ def vector() -> list[Column]:
     ]
 
 
-def _inverse(rows: DataFrame) -> DataFrame:
-    """key, center, precision from key, n, sums and cross sums: one small row for each group."""
+def _joined(rows: DataFrame, small: DataFrame, on: str | list[str], many: int, how: str = "inner") -> DataFrame:
+    """``rows`` with the rows of ``small`` for their group: without a shuffle of ``rows`` if those are not ``many``."""
+    return rows.join(F.broadcast(small) if many <= BROADCAST_ROWS else small, on, how)
+
+
+def _moments(rows: DataFrame) -> DataFrame:
+    """key, start, n, sums and cross sums."""
+    xs = [F.col(f"x{i}") for i in range(DIMENSIONS)]
+    return rows.groupBy("key", "start").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.array(*(F.sum(x) for x in xs)).alias("s"),
+        F.array(*(F.sum(a * b) for a in xs for b in xs)).alias("c"),
+    )
+
+
+def _estimate(rows: DataFrame) -> DataFrame:
+    """key, start, center, precision, logdet from moments: one small row for each group and start."""
     p = DIMENSIONS
     # how far the covariance of the central KEEP of a normal cloud falls short (even degrees have closed forms)
     low, high = 0.0, 100.0
@@ -135,11 +160,13 @@ def _inverse(rows: DataFrame) -> DataFrame:
             n = np.maximum(b["n"].to_numpy(zero_copy_only=False), 1)[:, None]
             s = np.array(b["s"].to_pylist(), float).reshape(-1, p) / n
             c = np.array(b["c"].to_pylist(), float).reshape(-1, p, p) / n[:, :, None] - s[:, :, None] * s[:, None, :]
-            inv = np.linalg.inv(factor * (c + c.transpose(0, 2, 1)) / 2 + floors) if len(s) else np.zeros((0, p, p))
+            cov = factor * (c + c.transpose(0, 2, 1)) / 2 + floors
+            inv = np.linalg.inv(cov) if len(s) else np.zeros((0, p, p))
+            det = np.linalg.slogdet(cov)[1] if len(s) else np.zeros(0)
             arrays = [pa.array(list(x), pa.list_(pa.float64())) for x in (s, inv.reshape(-1, p * p))]
-            yield pa.RecordBatch.from_arrays([b["key"], *arrays], ["key", "center", "precision"])
+            yield pa.RecordBatch.from_arrays([b["key"], b["start"], *arrays, pa.array(det)], ["key", "start", "center", "precision", "logdet"])
 
-    return rows.mapInArrow(run, "key string, center array<double>, precision array<double>")
+    return rows.mapInArrow(run, "key string, start int, center array<double>, precision array<double>, logdet double")
 
 
 def _distance() -> Column:
@@ -152,55 +179,63 @@ def estimates(vectors: DataFrame) -> DataFrame:
     """key, center, precision: the minimum-covariance-determinant estimate of each key."""
     p = DIMENSIONS
     xs = [F.col(f"x{i}") for i in range(p)]
-    middle = vectors.groupBy("key").agg(F.array(*(F.percentile_approx(x, 0.5, 1000) for x in xs)).alias("center"))
-    apart = vectors.join(middle, "key").groupBy("key").agg(
+    middle = materialise(vectors.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.array(*(F.percentile_approx(x, 0.5, 1000) for x in xs)).alias("center")), "mcd")
+    many = middle.count() * (STARTS + 1)  # rows of every small table below, at most
+    apart = _joined(vectors, middle, "key", many).groupBy("key").agg(
         F.first("center").alias("center"), *(F.percentile_approx(F.abs(x - F.col("center")[i]), 0.5, 1000).alias(f"m{i}") for i, x in enumerate(xs))
     )
     # a normal deviate is 1.4826 median absolute deviations
     spread = [F.pow(1.4826 * F.col(f"m{i}"), 2) + FLOORS[i] ** 2 for i in range(p)]
-    start = apart.select("key", "center", F.array(*(1 / spread[i] if i == j else F.lit(0.0) for i in range(p) for j in range(p))).alias("precision"))
-    now = materialise(start, "mcd")
+    mad = F.array(*(1 / spread[i] if i == j else F.lit(0.0) for i in range(p) for j in range(p))).alias("precision")
+    now = apart.select("key", F.lit(0).alias("start"), "center", mad, F.lit(None).cast("double").alias("logdet"))
+    # rows whose hash falls low: which ones depends on the rows alone, so a lost task makes the same start again
+    start = F.explode(F.array(*(F.lit(k) for k in range(1, STARTS + 1)))).alias("start")
+    picked = _joined(vectors, middle, "key", many).select("key", "rows", *xs, start).where(F.pmod(F.xxhash64(*xs, "start"), F.col("rows")) < PICKS)
+    now = materialise(now.unionByName(_estimate(_moments(picked))), "mcd")
     for _ in range(STEPS):
-        near = vectors.join(now, "key").withColumn("d2", _distance())
-        edge = near.groupBy("key").agg(F.percentile_approx("d2", F.lit(KEEP), F.lit(2000)).alias("edge"))
-        core = near.join(edge, "key").where(F.col("d2") <= F.col("edge"))
-        moments = core.groupBy("key").agg(
-            F.count(F.lit(1)).alias("n"),
-            F.array(*(F.sum(x) for x in xs)).alias("s"),
-            F.array(*(F.sum(a * b) for a in xs for b in xs)).alias("c"),
-        )
-        after = materialise(_inverse(moments), "mcd")
-        discard(now)
+        near = _joined(vectors, now, "key", many).withColumn("d2", _distance())
+        edge = materialise(near.groupBy("key", "start").agg(F.percentile_approx("d2", F.lit(KEEP), F.lit(2000)).alias("edge")), "mcd")
+        core = _joined(near, edge, ["key", "start"], many).where(F.col("d2") <= F.col("edge"))
+        after = materialise(_estimate(_moments(core)), "mcd")
+        old = now.select("key", "start", F.col("logdet").alias("before"))
+        moved = after.join(old, ["key", "start"]).agg(F.max(F.coalesce(F.abs(F.col("logdet") - F.col("before")), F.lit(1e9)))).first()[0]
+        discard(now, edge)
         now = after
-    return now
+        if moved is None or moved < SETTLED:
+            break
+    best = F.min_by(F.struct("center", "precision"), F.struct("logdet", "start")).alias("m")
+    out = materialise(now.groupBy("key").agg(best).select("key", "m.center", "m.precision"), "mcd")
+    discard(now, middle)
+    return out
 
 
-def judge(docs: DataFrame) -> DataFrame:
+def judge(docs: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
     """doc_id, lang, source, ``COUNTS``, base_failed, distance, kept for every row.
 
     A null text has no words and fails the base rules; null languages and
     sources are kinds of their own; repeated rows are judged alike; an empty
     table gives no rows; other columns are not read.  A document that fails the
     base rules takes no part in the estimates and has a null distance.  A
-    language whose small groups together have fewer than ``MIN_ROWS`` rows gets
-    an estimate from all small groups.
+    group of fewer than ``min_rows`` rows is estimated with all such groups of its
+    language, and if those together have fewer too, with those of all languages:
+    a covariance of four rates from a handful of rows says nothing.
     """
     counted = materialise(statistics(docs), "statistics")
     good = counted.withColumn("base_failed", base_failed())
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
     tall = good.withColumn("lang_key", name("lang")).withColumn("key", F.concat_ws("\t", name("lang"), name("source")))
     groups = tall.where(~F.col("base_failed")).groupBy("key", "lang_key").count()
-    small = groups.where(F.col("count") < MIN_ROWS)
+    small = groups.where(F.col("count") < min_rows)
     by_lang = small.groupBy("lang_key").agg(F.sum("count").alias("of_lang"))
-    pooled = F.when(F.col("of_lang") >= MIN_ROWS, F.concat(F.lit("lang\t"), F.col("lang_key"))).otherwise(F.lit("rest"))
+    pooled = F.when(F.col("of_lang") >= min_rows, F.concat(F.lit("lang\t"), F.col("lang_key"))).otherwise(F.lit("rest"))
     renamed = materialise(small.join(by_lang, "lang_key").select("key", pooled.alias("pool")), "pools")
-    keyed = tall.join(renamed, "key", "left").withColumn("key", F.coalesce("pool", "key"))
+    keyed = _joined(tall, renamed, "key", renamed.count(), "left").withColumn("key", F.coalesce("pool", "key"))
     for i, x in enumerate(vector()):
         keyed = keyed.withColumn(f"x{i}", x)
     vectors = materialise(keyed.where(~F.col("base_failed")).select("key", *(f"x{i}" for i in range(DIMENSIONS))), "vectors")
     model = estimates(vectors)
     discard(vectors)
-    judged = keyed.join(model, "key", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
+    judged = _joined(keyed, model, "key", model.count(), "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True))
     return judged.select("doc_id", "lang", "source", *COUNTS, "base_failed", "distance", kept.alias("kept"))
 
@@ -211,5 +246,6 @@ def keep_good(docs: DataFrame) -> DataFrame:
     Rows with one ``doc_id`` are judged each by its own text and kept together
     if any of them is; a row with a null id is kept if any such row is.
     """
-    verdict = judge(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(verdict, docs["doc_id"].eqNullSafe(F.col("_kept_id")), "left_semi")
+    name = free_name(docs, "kept_id")
+    verdict = judge(docs).where("kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(verdict, docs["doc_id"].eqNullSafe(F.col(name)), "left_semi")
