@@ -1,16 +1,15 @@
 """Operator 8: documents that are a known licence, by the digest of their canonical text.
 
-Canonical text: lower case; equivalent spellings made one; lines that state a
-copyright and "all rights reserved" dropped; everything but letters, digits and
-spaces turned into spaces; spaces collapsed.  Whole texts are compared, by the
-SHA-256 of their canonical form, with a table of known digests.  That table is
-one row per licence, so it is broadcast below ``BROADCAST_ROWS`` and joined by
+Canonical text: ASCII letters in lower case; lines that state a copyright and
+"all rights reserved" dropped; everything but letters, digits and spaces turned
+into spaces; equivalent spellings made one at the beginnings of words; spaces
+collapsed.  A line is dropped only if it states a copyright (a sign, a year, a
+placeholder or a holder follows): a line of a licence's body may begin with the
+word by the way it is wrapped.  Whole texts are compared, by the SHA-256 of
+their canonical form, with a table of known digests.  That table is one row for
+each published form, so it is broadcast below ``BROADCAST_ROWS`` and joined by
 shuffle beyond.
 
-That much is SQL that other engines read too: ``canonical_sql`` is both the
-Spark expression and, but for function names, the oracle's.  A licence is also
-looked up by its published form, which drops a line only if it states a
-copyright: a line of the body may begin with the word by the way it is wrapped.
 Titles, list numbers and appendices are told apart in the table of known
 licences (``published``), not in the documents.
 """
@@ -26,18 +25,20 @@ from pyspark.sql import functions as F
 #: Known digests below this are sent to every executor (under 100 bytes each).
 BROADCAST_ROWS = 100_000
 
-#: Equivalent spellings, as the guidelines for matching licence texts list them.
+#: Equivalent spellings, as the guidelines for matching licence texts list them.  Each is
+#: replaced where a word begins with it, so that inflected forms follow; of two spellings of which one begins
+#: the other, the longer becomes the shorter.
 SPELLINGS = (
     ("acknowledgment", "acknowledgement"), ("analogue", "analog"), ("analyse", "analyze"), ("artefact", "artifact"),
     ("authorisation", "authorization"), ("authorised", "authorized"), ("calibre", "caliber"), ("cancelled", "canceled"),
     ("capitalisations", "capitalizations"), ("catalogue", "catalog"), ("categorise", "categorize"), ("centre", "center"),
-    ("emphasised", "emphasized"), ("favour", "favor"), ("favourite", "favorite"), ("fulfil", "fulfill"),
-    ("fulfilment", "fulfillment"), ("initialise", "initialize"), ("judgement", "judgment"), ("labelling", "labeling"),
+    ("emphasised", "emphasized"), ("favour", "favor"), ("favourite", "favorite"), ("fulfill", "fulfil"),
+    ("fulfillment", "fulfilment"), ("initialise", "initialize"), ("judgement", "judgment"), ("labelling", "labeling"),
     ("labour", "labor"), ("licence", "license"), ("maximise", "maximize"), ("modelled", "modeled"), ("modelling", "modeling"),
     ("offence", "offense"), ("optimise", "optimize"), ("organisation", "organization"), ("organise", "organize"),
     ("practise", "practice"), ("programme", "program"), ("realise", "realize"), ("recognise", "recognize"),
-    ("signalling", "signaling"), ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "wilfull"),
-    ("noncommercial", "non-commercial"), ("per cent", "percent"), ("sub-license", "sublicense"), ("http://", "https://"),
+    ("signalling", "signaling"), ("utilisation", "utilization"), ("whilst", "while"), ("wilfull", "wilful"), ("willful", "wilful"),
+    ("non commercial", "noncommercial"), ("per cent", "percent"), ("sub license", "sublicense"), ("http ", "https "),
 )
 
 #: Texts of short licences.
@@ -91,59 +92,34 @@ TITLES = {
 }
 #: Where the terms of a full text end and its appendix begins.
 APPENDIX = re.compile(r"\n[ \t]*(END OF TERMS AND CONDITIONS|Exhibit A - )")
+_LEAD = r"[ \t*#/;>-]*"
+_PLAIN = (
+    "notices?|holders?|holder's|owners?|ownership|owned|laws?|licen[sc]es?|licensors?|statements?|interests?|permissions?|disclaimers?"
+    "|doctrines?|treaty|treaties|act|rights?|claims?|messages?|information|protection|infringement|term|status|and|or|to|in|on|of|for|is|are|as|over|under|with|from"
+    r"|if|that|this|these|those|which|resulting|can|may|will|must|shall|applicable|the[ \t]+(software|program|library|work|code)"
+)
 #: A line that states a copyright (a sign, a year, a placeholder or a holder follows), in lower case.
 STATEMENT = (
-    r"(^|\n)[ \t*#/;>-]*("
+    rf"(^|\n){_LEAD}("
     r"copyright[ \t]*[:,]?[ \t]*([(]c[)]|©|&copy;|[12][0-9]{3}|[<\[{]|by[ \t]|yyyy)"
     r"|[(]c[)][ \t]*(copyright|©|[12][0-9]{3}|[<\[{])"
     r"|©"
-    r"|copyright[ \t]+(?!(notices?|holders?|holder's|owners?|ownership|owned|laws?|licen[sc]es?|licensors?|statements?|interests?|permissions?|disclaimers?"
-    r"|doctrines?|treaty|treaties|act|rights?|claims?|messages?|information|protection|infringement|term|status|and|or|to|in|on|of|for|is|are|as|over|under|with|from"
-    r"|if|that|this|these|those|which|resulting|can|may|will|must|shall|applicable|the[ \t]+(software|program|library|work|code))\b|the[ \t]*(\n|$))[a-z]"
+    rf"|copyright[ \t]+(?!({_PLAIN})([^a-z0-9_]|\z)|the[ \t]*([\r\n]|\z))[a-z]"
     r")[^\n]*"
 )
-
-
-def _quoted(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
-
-
-def canonical_sql(column: str, flags: str = "") -> str:
-    """The canonical text as SQL; ``flags`` is an extra argument for engines that replace once by default.
-
-    A null text counts as empty.  Upper-case letters beyond ASCII are left to
-    the engine's lower(); they then become spaces.
-    """
-    sub = lambda x, pattern, by: f"regexp_replace({x}, {_quoted(pattern)}, {_quoted(by)}{flags})"
-    x = f"lower(coalesce({column}, ''))"
-    x = sub(x, "(^|\n)[ \t*#/;>-]*(copyright|[(]c[)]|©)[^\n]*", "\n")
-    x = sub(x, "all rights reserved", " ")
-    for a, b in SPELLINGS:
-        x = f"replace({x}, {_quoted(a)}, {_quoted(b)})"
-    x = sub(x, "[^a-z0-9]+", " ")
-    return f"trim({x})"
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def canonical(column: str = "text") -> Column:
-    # Spark's SQL parser reads backslashes; the pattern holds real newlines and tabs, so there are none
-    return F.expr(canonical_sql(column))
-
-
-def _dropped(column: str) -> Column:
-    return F.regexp_replace(F.lower(F.coalesce(column, F.lit(""))), STATEMENT, "\n")
-
-
-def _finished(x: Column) -> Column:
-    """What ``canonical_sql`` does once copyright lines are gone."""
+    """The canonical text; a null text counts as empty."""
+    x = F.translate(F.coalesce(column, F.lit("")), _UPPER, _UPPER.lower())
+    x = F.regexp_replace(x, STATEMENT, "\n")
     x = F.regexp_replace(x, "all rights reserved", " ")
+    # two spaces between words and one at the ends: a replaced word shares none with its neighbours
+    x = F.concat(F.lit(" "), F.regexp_replace(x, "[^a-z0-9]+", "  "), F.lit(" "))
     for a, b in SPELLINGS:
-        x = F.replace(x, F.lit(a), F.lit(b))
-    return F.trim(F.regexp_replace(x, "[^a-z0-9]+", " "))
-
-
-def published_form(column: str = "text") -> Column:
-    """The canonical text, but for lines of the body that only begin with "copyright"."""
-    return _finished(_dropped(column))
+        x = F.replace(x, F.lit(f" {a}" if a.endswith(" ") else " " + a.replace(" ", "  ")), F.lit(f" {b}"))
+    return F.trim(F.regexp_replace(x, " +", " "))
 
 
 def published() -> list[tuple[str, str]]:
@@ -167,40 +143,50 @@ def published() -> list[tuple[str, str]]:
 def known_digests(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
     """digest, license_id; of several licences with one canonical text the first by name.
 
-    Canonical and published forms of ``texts``, by default of all that ``published`` has.
+    The canonical forms of ``texts``, by default of all that ``published`` has.
     """
     table = spark.createDataFrame(sorted(set(published() if texts is None else texts.items())), "license_id string, text string")
-    forms = table.select("license_id", F.explode(F.array(canonical(), published_form())).alias("form"))
+    forms = table.select("license_id", canonical().alias("form"))
     return forms.groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("license_id").alias("license_id"))
 
 
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     """doc_id, digest, n_words of the canonical text, license_id (null: none) for every row.
 
-    The licence is that of the digest, or else that of the published form.
     Rows that repeat stay; an empty or null text has the digest of no text and
     no licence unless ``known`` has that digest; an empty table gives no rows;
     other columns are not read.  The texts are scanned once and not shuffled.
     """
     small = known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    # only a line that begins so, or with the sign or (c), can set the two forms apart
-    twofold = F.lower(F.coalesce("text", F.lit(""))).rlike(r"(^|\n)[ \t*#/;>-]*(copyright|[(]c[)]|©)")
-    form = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), canonical().alias("form"), F.when(twofold, F.sha2(published_form(), 256)).alias("other")
-    )
+    form = docs.select(F.col("doc_id").cast("long").alias("doc_id"), canonical().alias("form"))
     words = F.when(F.col("form") == "", 0).otherwise(F.length("form") - F.length(F.replace("form", F.lit(" "), F.lit(""))) + 1)
-    rows = form.select("doc_id", F.sha2("form", 256).alias("digest"), words.cast("long").alias("n_words"), "other")
-    also = known.select(F.col("digest").alias("other"), F.col("license_id").alias("other_id"))
-    found = rows.join(F.broadcast(known) if small else known, "digest", "left").join(F.broadcast(also) if small else also, "other", "left")
-    return found.select("doc_id", "digest", "n_words", F.coalesce("license_id", "other_id").alias("license_id"))
+    rows = form.select("doc_id", F.sha2("form", 256).alias("digest"), words.cast("long").alias("n_words"))
+    return rows.join(F.broadcast(known) if small else known, "digest", "left").select("doc_id", "digest", "n_words", "license_id")
 
 
 def oracle() -> str:
-    form = canonical_sql("text", ", 'g'")
-    rows = " UNION ALL ".join(f"SELECT {_quoted(k)} AS license_id, {_quoted(v)} AS text" for k, v in KNOWN.items())
+    """The same by other means: lines are split and dropped one by one, spellings replaced by expressions on single-spaced words."""
+    quoted = lambda text: "'" + text.replace("'", "''") + "'"
+    lead = "^[ \t*#/;>-]*"
+    states = [lead + r"copyright[ \t]*[:,]?[ \t]*([(]c[)]|©|&copy;|[12][0-9]{3}|[<\[{]|by[ \t]|yyyy)", lead + r"[(]c[)][ \t]*(copyright|©|[12][0-9]{3}|[<\[{])", lead + "©"]
+    holder, body = lead + r"copyright[ \t]+[a-z]", lead + rf"copyright[ \t]+(({_PLAIN})([^a-z0-9_]|$)|the[ \t]*(\r|$))"
+    stated = " OR ".join(f"regexp_matches(x, {quoted(p)})" for p in states)
+    stated += f" OR (regexp_matches(x, {quoted(holder)}) AND NOT regexp_matches(x, {quoted(body)}))"
+
+    def form(text: str) -> str:
+        low = f"translate(coalesce({text}, ''), '{_UPPER}', '{_UPPER.lower()}')"
+        x = f"array_to_string(list_filter(string_split({low}, chr(10)), lambda x: NOT ({stated})), chr(10))"
+        x = f"replace({x}, 'all rights reserved', ' ')"
+        x = f"trim(regexp_replace({x}, '[^a-z0-9]+', ' ', 'g'))"
+        for a, b in SPELLINGS:
+            end = r"\b" if a.endswith(" ") else ""  # a whole word, not the beginning of one
+            x = f"regexp_replace({x}, {quoted(chr(92) + 'b' + a.strip() + end)}, {quoted(b.strip())}, 'g')"
+        return x
+
+    rows = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in sorted(set(published())))
     return f"""
-WITH form AS (SELECT doc_id, {form} AS form FROM documents),
-known AS (SELECT sha256({form}) AS digest, min(license_id) AS license_id FROM ({rows}) GROUP BY 1)
+WITH form AS (SELECT doc_id, {form("text")} AS form FROM documents),
+known AS (SELECT sha256({form("text")}) AS digest, min(license_id) AS license_id FROM (VALUES {rows}) t(license_id, text) GROUP BY 1)
 SELECT CAST(doc_id AS BIGINT) AS doc_id, sha256(form) AS digest,
   CAST(CASE WHEN form = '' THEN 0 ELSE length(form) - length(replace(form, ' ', '')) + 1 END AS BIGINT) AS n_words,
   license_id
