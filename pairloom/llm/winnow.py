@@ -1,16 +1,15 @@
 """Operator 2: document fingerprints by winnowing, in SQL functions only.
 
 Words are maximal runs of anything but ASCII white space.  Every ``GRAM``
-consecutive words have a hash, put together from the rolling hashes of their
-words; of every ``SPAN`` consecutive hashes the smallest is chosen, the
+consecutive words have a rolling hash, the cyclic polynomial: the 64-bit hashes
+of the words, each turned by its place, combined by exclusive or, so that the
+next gram's is this one's turned once, less the word that leaves, with the word
+that comes.  Of every ``SPAN`` consecutive hashes the smallest is chosen, the
 rightmost of equal ones, and its place is kept.  Two texts that share a run of
 ``GRAM + SPAN - 1`` words therefore share a chosen hash.
 
-A hash and its place live in one long: the upper ``64 - PLACE_BITS`` bits are
-the hash, the lower ones count down from the right, so that a plain minimum
-chooses the rightmost of equal hashes.  Places wrap beyond 2 ** PLACE_BITS
-words.  A text of fewer words than a gram is one gram of all its words (a text
-of white space alone: of itself); an empty text has no fingerprint.
+A text of fewer words than a gram is one gram of all its words (a text of white
+space alone: of itself); an empty text has no fingerprint.
 """
 
 from __future__ import annotations
@@ -18,40 +17,54 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairloom.llm._shared import id_text, partitions, prepare
+from pairloom.llm._shared import free_name, id_text, partitions, prepare
 
 GRAM = 5
 SPAN = 8
-PLACE_BITS = 21
-_MASK = (1 << PLACE_BITS) - 1
-#: Ranges of ids at most; a range is one group of the ordering over all ids.
-RANGES = 2000
+
+
+def _turned(x: Column, by: int) -> Column:
+    """The 64 bits of ``x`` turned left."""
+    return F.shiftleft(x, by).bitwiseOR(F.shiftrightunsigned(x, 64 - by)) if by else x
 
 
 def _with_chosen(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Adds ``out``: the chosen (hash, place) longs of column ``text``, in text order."""
-    words, hashes, grams = f"_{out}_words", f"_{out}_hashes", f"_{out}_grams"
+    """Adds ``out``: the chosen (hash, place) of column ``text``, in text order."""
+    words, hashes, grams, least = (free_name(df, f"{out}_{x}") for x in ("words", "hashes", "grams", "least"))
     df = df.withColumn(words, F.array_remove(F.split(F.col(text), r"[ \t-\r]+"), ""))
     df = df.withColumn(hashes, F.transform(words, lambda w: F.xxhash64(w)))
     h, n = F.col(hashes), F.size(hashes)
-    packed = lambda x, i: x.bitwiseAND(F.lit(~_MASK)).bitwiseOR(F.lit(_MASK) - i.cast("long").bitwiseAND(F.lit(_MASK)))
-    each = F.transform(F.sequence(F.lit(0), n - GRAM), lambda i: packed(F.xxhash64(*(F.get(h, i + k) for k in range(GRAM))), i))
-    whole = F.array(packed(F.when(n > 0, F.xxhash64(h)).otherwise(F.xxhash64(F.col(text))), F.lit(0)))
+
+    def gram(i: Column) -> Column:
+        value = _turned(F.get(h, i), GRAM - 1)
+        for k in range(1, GRAM):
+            value = value.bitwiseXOR(_turned(F.get(h, i + k), GRAM - 1 - k))
+        return value
+
+    each = F.transform(F.sequence(F.lit(0), n - GRAM), gram)
+    whole = F.array(F.when(n > 0, F.xxhash64(h)).otherwise(F.xxhash64(F.col(text))))
     df = df.withColumn(grams, F.when(n >= GRAM, each).when(F.length(text) > 0, whole).otherwise(F.array().cast("array<bigint>")))
     g, m = F.col(grams), F.size(grams)
-    spans = F.array_distinct(F.transform(F.sequence(F.lit(0), m - SPAN), lambda i: F.least(*(F.get(g, i + k) for k in range(SPAN)))))
-    chosen = F.when(m > SPAN, spans).when(m > 0, F.array(F.array_min(g))).otherwise(g)
-    return df.withColumn(out, chosen).drop(words, hashes, grams)
+    df = df.withColumn(least, F.transform(F.sequence(F.lit(0), F.greatest(m - SPAN, F.lit(0))), lambda i: F.least(*(F.get(g, i + k) for k in range(SPAN)))))
+
+    def rightmost(x: Column, i: Column) -> Column:
+        place = F.when(F.get(g, i + SPAN - 1) == x, i + SPAN - 1)
+        for k in range(SPAN - 2, -1, -1):
+            place = place.when(F.get(g, i + k) == x, i + k)
+        return place
+
+    places = F.array_distinct(F.transform(least, rightmost))
+    chosen = F.transform(places, lambda i: F.struct(F.get(g, i).alias("hash"), i.alias("place")))
+    return df.withColumn(out, F.when(m > 0, chosen).otherwise(F.array().cast("array<struct<hash:bigint,place:int>>"))).drop(words, hashes, grams, least)
 
 
 def _hashes(chosen: str) -> Column:
-    return F.array_distinct(F.transform(chosen, lambda x: F.shiftright(x, PLACE_BITS)))
+    return F.array_distinct(F.col(chosen)["hash"])
 
 
 def _shown(chosen: str) -> Column:
     """hash@place of each chosen gram, in text order."""
-    one = lambda x: F.concat(F.lower(F.hex(F.shiftrightunsigned(x, PLACE_BITS))), F.lit("@"), F.lit(_MASK) - x.bitwiseAND(F.lit(_MASK)))
-    return F.array_join(F.transform(chosen, one), " ")
+    return F.array_join(F.transform(chosen, lambda x: F.concat(F.lower(F.hex(x["hash"])), F.lit("@"), x["place"].cast("string"))), " ")
 
 
 def _likeness(a: Column, b: Column) -> Column:
@@ -61,17 +74,13 @@ def _likeness(a: Column, b: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with fingerprint, hashes (array<long>) and places (array<long>) of column ``text``.
+    """``docs`` with fingerprint, hashes (array<long>) and places (array<int>) of column ``text``.
 
-    A null text counts as empty; columns of these names are replaced.
+    A null text counts as empty; columns of these three names are replaced.
     """
-    df = _with_chosen(docs.withColumn("_winnow_text", F.coalesce(F.col(text).cast("string"), F.lit(""))), "_winnow_text", "_chosen")
-    return (
-        df.withColumn("fingerprint", _shown("_chosen"))
-        .withColumn("hashes", _hashes("_chosen"))
-        .withColumn("places", F.transform("_chosen", lambda x: F.lit(_MASK) - x.bitwiseAND(F.lit(_MASK))))
-        .drop("_winnow_text", "_chosen")
-    )
+    own, chosen = free_name(docs, "winnow_text"), free_name(docs, "winnow_chosen")
+    df = _with_chosen(docs.withColumn(own, F.coalesce(F.col(text).cast("string"), F.lit(""))), own, chosen)
+    return df.withColumn("fingerprint", _shown(chosen)).withColumn("hashes", _hashes(chosen)).withColumn("places", F.col(chosen)["place"]).drop(own, chosen)
 
 
 def compare_neighbours(docs: DataFrame) -> DataFrame:
@@ -90,7 +99,7 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
     """
     spark = prepare(docs.sparkSession)
     texts = id_text(docs)
-    many = min(RANGES, 4 * partitions(spark))
+    many = 4 * partitions(spark)
     # two values for each range, whatever the number of documents
     cuts = texts.agg(F.percentile_approx("doc_id", [k / many for k in range(1, many)], 20 * many)).first()[0]
     cuts = sorted(set(cuts or []))
@@ -121,15 +130,10 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
 
 
 def _range_of(doc_id: Column, cuts: list[int]) -> Column:
-    """Number of the range of an id, by a tree of comparisons; null ids are range -1."""
-
-    def tree(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(doc_id <= cuts[mid], tree(low, mid)).otherwise(tree(mid + 1, high))
-
-    return F.when(doc_id.isNull(), F.lit(-1)).otherwise(tree(0, len(cuts)))
+    """Number of the range of an id, by binary search; null ids are range -1."""
+    at, steps = F.array(*(F.lit(c).cast("long") for c in cuts)), [1 << k for k in range(len(cuts).bit_length() - 1, -1, -1)]
+    found = F.reduce(F.array(*map(F.lit, steps)), F.lit(0), lambda low, step: F.when(F.get(at, low + step - 1) < doc_id, low + step).otherwise(low)) if cuts else F.lit(0)
+    return F.when(doc_id.isNull(), F.lit(-1)).otherwise(found)
 
 
 def _edges(ranged: DataFrame, heads: dict[int, int | None], first_of: dict[int, int]) -> DataFrame:
@@ -138,7 +142,7 @@ def _edges(ranged: DataFrame, heads: dict[int, int | None], first_of: dict[int,
     known = [(h, first_of[r]) for r, h in heads.items() if h is not None]
     parts = []
     if known:
-        # at most RANGES rows; the ids reach the scan as a filter
+        # a row for each range; the ids reach the scan as a filter
         at = spark.createDataFrame(known, "_head long, _to int")
         first = ranged.where(F.col("doc_id").isin([h for h, _ in known])).join(F.broadcast(at), F.col("doc_id") == F.col("_head"))
         parts.append(first.groupBy("_to").agg(F.max("doc_id").alias("doc_id"), F.max("text").alias("text")))
