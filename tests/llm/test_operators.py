@@ -185,6 +185,58 @@ def test_op2_edits_and_guarantee(spark, docs, odd, empty):
     assert f[2].places == list(range(winnow.SPAN - 1, 17 - winnow.GRAM + 1))
 
 
+def brute_fingerprint(hash_of, text):
+    """(hash, place) by rolling the cyclic polynomial over the words, then the minimum of every window."""
+    words = windows(text)
+    turn = lambda x, k: ((x << k) | (x >> (64 - k))) & (2**64 - 1) if k else x
+    h = [hash_of[w] % 2**64 for w in words]
+    if len(words) < winnow.GRAM:
+        return None
+    now = 0
+    grams = []
+    for k, x in enumerate(h):
+        now = turn(now, 1) ^ x
+        if k >= winnow.GRAM:
+            now ^= turn(h[k - winnow.GRAM], winnow.GRAM)
+        if k >= winnow.GRAM - 1:
+            grams.append(now - 2**64 if now >= 2**63 else now)
+    out = {}
+    for at in range(max(1, len(grams) - winnow.SPAN + 1)):
+        some = range(at, min(at + winnow.SPAN, len(grams)))
+        place = max(some, key=lambda i: (-grams[i], i))
+        out[place] = grams[place]
+    return [(out[p], p) for p in sorted(out)]
+
+
+def test_op2_by_brute_force(spark, docs):
+    """Fingerprints, and both likenesses, of every document and edited text."""
+    order = sorted((k * 3 for k in range(len(TEXTS))), reverse=True)
+    texts = {k: text_of(k) for k in order}
+    texts[10**6] = " ".join("ab"[k % 2] for k in range(60))  # ties everywhere
+    texts[10**6 + 1] = prose(9000, 12) + " " + "z " * 40
+    order = sorted(texts, reverse=True)
+    edited = {}
+    for at, k in enumerate(order):
+        t, n = texts[k], texts[order[(at + 1) % len(order)]]
+        edited[k] = t[: len(t) - len(t) // 3] + n[: len(t) // 3]
+    words = sorted({w for t in [*texts.values(), *edited.values()] for w in windows(t)})
+    hash_of = {r.w: r.h for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    found = rows(winnow.compare_neighbours(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)))
+    shown = lambda f: " ".join(f"{h % 2**64:x}@{p}" for h, p in f)
+
+    def likeness(a, b):
+        a, b = ({x.split("@")[0] for x in f.split()} for f in (a, b))
+        return len(a & b) / len(a | b) if a | b else 1.0
+
+    for at, k in enumerate(order):
+        r, following = found[k], found[order[(at + 1) % len(order)]]
+        for text, got in ((texts[k], r.fingerprint), (edited[k], r.edited_fingerprint)):
+            want = brute_fingerprint(hash_of, text)
+            assert (got == shown(want)) if want else got.count("@") == (1 if text else 0)
+        assert abs(r.near_edited - likeness(r.fingerprint, r.edited_fingerprint)) < 1e-12
+        assert abs(r.near_next - likeness(r.fingerprint, following.fingerprint)) < 1e-12
+
+
 def test_op3_counts_are_greedy(docs, odd, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     pieces = set(token_counts.pieces_of(path))
@@ -372,6 +424,64 @@ def test_op6_each_rate_rejects_alone(spark):
         assert not any(many[k].base_failed or many[k].kept for k, *_ in some)
 
 
+def brute_verdicts(items):
+    """``kept`` by definition: the estimate of smallest determinant from many starts, with exact quantiles, for each language and source."""
+    floors = np.diag(np.array(quality.FLOORS) ** 2)
+    stats = {k: brute_counts(t or "") for k, t, *_ in items}
+    good = {k: c for k, c in stats.items() if c[0] >= 20 and 100 * c[4] <= 30 * c[0]}
+    x = {k: np.array([math.log(c[1] / c[0]), math.log1p(100 * c[2] / c[0]), math.log1p(100 * c[3] / c[0]), math.log1p(10 * c[4] / c[0])]) for k, c in good.items()}
+    groups = collections.defaultdict(list)
+    for k, _, *kind in items:
+        if k in good:
+            groups[tuple(kind)].append(k)
+    small = {g for g in groups if len(groups[g]) < quality.MIN_ROWS}
+    of_lang = collections.Counter(g[0] for g in small for _ in groups[g])
+    pooled = collections.defaultdict(list)
+    for g, ks in groups.items():
+        pooled[g if g not in small else ("lang", g[0]) if of_lang[g[0]] >= quality.MIN_ROWS else "rest"] += ks
+    kept = dict.fromkeys(stats, False)
+    r = np.random.default_rng(0)
+    for ks in pooled.values():
+        v = np.array([x[k] for k in ks])
+        best = None
+        for _ in range(30):
+            core = v[r.choice(len(v), min(40, len(v)), replace=False)]
+            for _ in range(25):
+                cov = 1.0 * np.cov(core.T, bias=True) * FACTOR + floors
+                d = np.einsum("ij,jk,ik->i", v - core.mean(0), np.linalg.inv(cov), v - core.mean(0))
+                core = v[d <= np.quantile(d, quality.KEEP, method="inverted_cdf")]
+            cov = np.cov(core.T, bias=True) * FACTOR + floors
+            if best is None or np.linalg.slogdet(cov)[1] < best[0]:
+                best = np.linalg.slogdet(cov)[1], core.mean(0), np.linalg.inv(cov)
+        for k, y in zip(ks, v - best[1], strict=True):
+            kept[k] = bool(y @ best[2] @ y <= quality.CUTOFF)
+    return kept
+
+
+#: Consistency factor of the central three quarters of a four-dimensional normal cloud: 0.75 / P(chi2_6 <= q), P(chi2_4 <= q) = 0.75.
+FACTOR = 0.75 / 0.5045695
+
+
+def test_op6_verdicts_by_brute_force(spark):
+    r = random.Random(8)
+    items = []
+    for k in range(700):
+        kind = [("en", "a"), ("en", "b"), ("de", "a"), ("de", "c"), (None, None)][k % 20 % 5 if k % 20 < 17 else 4]
+        words = prose(r.randint(15, 120), 9000 + k).split()
+        if k % 11 == 0:
+            words = [w + "#" * (r.random() < 0.4) for w in words]
+        if k % 13 == 0:
+            words += words[5 : 5 + r.randint(9, 30)]
+        text = " ".join(words)
+        if k % 17 == 0:
+            text += "\n" + "\n".join(["one line again"] * r.randint(2, 9))
+        items.append((k, None if k == 5 else text, *kind))
+    want = brute_verdicts(items)
+    got = rows(quality.judge(spark.createDataFrame(items, "doc_id long, text string, lang string, source string")))
+    assert {k: v.kept for k, v in got.items()} == want
+    assert 100 < sum(want.values()) < 690
+
+
 def test_op6_estimate_is_robust(spark):
     r = np.random.default_rng(0)
     good = r.multivariate_normal([1, 2, 3, 4], np.diag([1, 4, 1, 1]) + 0.5, 4000)
@@ -423,6 +533,33 @@ def test_op8_canonical_digests(spark, docs, odd, empty):
     assert license_scan.scan(odd, known).count() == 6 and license_scan.scan(empty, known).count() == 0
 
 
+def test_op8_spellings_are_whole(spark):
+    """Both spellings of every pair give one text, also in a row and inflected; and never a third one."""
+    cases = []
+    for n, (a, b) in enumerate(license_scan.SPELLINGS):
+        cases += [(4 * n, f"x {a.strip()} {a.strip()} y {a.strip()}s"), (4 * n + 1, f"X {b.strip()} {b.strip()}, y {b.strip()}s")]
+    cases = [(k, t.replace("https", "https:").replace("http ", "http: ")) if "http" in t else (k, t) for k, t in cases]
+    known = license_scan.known_digests(spark)
+    found = rows(license_scan.scan(spark.createDataFrame(cases, "doc_id long, text string"), known))
+    wrong = [license_scan.SPELLINGS[k // 4] for k, _ in cases if k % 4 == 0 and found[k].digest != found[k + 1].digest]
+    assert [a for a, _ in wrong] in ([], ["http "])  # "https" is a word of its own, "https" with an s none
+    for a, b in (("fulfil", "fulfill"), ("fulfilment", "fulfillment"), ("wilful", "wilfull"), ("wilful", "willful"), ("licences", "licenses"), ("http://x", "https://x")):
+        two = rows(license_scan.scan(spark.createDataFrame([(1, f"the {a} of {a}"), (2, f"the {b} of {b}")], "doc_id long, text string"), known))
+        assert two[1].digest == two[2].digest
+
+
+def test_op8_sql_by_other_means(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    texts = [t for _, t in license_scan.published()] + TEXTS
+    texts += ["copyright the\r", "copyright the", "copyright the\r\nx", "© x\n(c) 1999\n(c) the\ncopyright noticeé\ncopyright notice\nCopyright Some One", "http http http", "İ \u212a Ä"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/d")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    want = {r[0]: r for r in con.execute(license_scan.oracle()).fetchall()}
+    got = {r.doc_id: tuple(r) for r in license_scan.scan(spark.read.parquet(f"{tmp_path}/d"), license_scan.known_digests(spark)).collect()}
+    assert got == want and sum(r[3] is not None for r in got.values()) >= len(license_scan.published())
+
+
 def test_op8_published_forms(spark):
     wrap = lambda t, n: "\n\n".join(textwrap.fill(p, n, break_long_words=False, break_on_hyphens=False) for p in t.split("\n\n"))
     head = "Copyright (c) 2004-2010 by Some One, Inc.\nCopyright The Other Authors\n\n"
@@ -481,6 +618,67 @@ def test_op9_components_by_definition(spark, monkeypatch, size, percent, block):
     assert {k: (x.n_shingles, x.component_id) for k, x in found.items()} == brute_components(pairs, size, percent)
 
 
+def near_copies(n, seed, base, changes):
+    r = random.Random(seed)
+    out = []
+    for _ in range(n):
+        w = base.split()
+        for _ in range(r.randint(0, changes)):
+            w[r.randrange(len(w))] = r.choice(VOCABULARY)
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize(("hot", "boxes"), [(2048, 4096), (40, 4096), (40, 2)])
+def test_op9_many_trees_and_blocks(spark, monkeypatch, hot, boxes):
+    """Keys of several trees and cells of many blocks, one of which a single pair across blocks connects."""
+    monkeypatch.setattr(jaccard_join, "HOT", hot)
+    monkeypatch.setattr(jaccard_join, "BOXES", boxes)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 6)
+    texts = near_copies(100, 1, BASE[0], 9) + near_copies(60, 2, BASE[6], 60)
+    chain = BASE[2].split()
+    for k in range(40):  # each links with its neighbours only
+        chain[3 * k % len(chain)] = VOCABULARY[k]
+        texts.append(" ".join(chain))
+    pairs = list(enumerate(texts))
+    df = spark.createDataFrame(pairs, "doc_id long, text string").repartition(4)
+    found = rows(jaccard_join.similar_documents(df, 3, 80))
+    assert {k: (x.n_shingles, x.component_id) for k, x in found.items()} == brute_components(pairs, 3, 80)
+
+
+def test_op9_texts_move_once_a_round(spark, monkeypatch):
+    """A cell of 20 blocks: each text goes to one block, of what a block connects one goes on."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 10)
+    sent = []
+    plain = jaccard_join._verified
+    monkeypatch.setattr(jaccard_join, "_verified", lambda docs, rows, *a: (sent.append(rows.count()), plain(docs, rows, *a))[1])
+    texts = near_copies(200, 5, prose(400, 77), 3)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = rows(jaccard_join.similar_documents(df, 5, 80))
+    assert {x.component_id for x in found.values()} == {0}
+    classes = len(set(texts))
+    assert sent[0] == classes and sum(sent[1:]) <= classes / 4
+
+
+def test_op9_points_bound_what_sets_share():
+    r = np.random.default_rng(2)
+    for n, m, both in ((300, 330, 280), (1000, 1100, 900), (3000, 2600, 2500), (9000, 9500, 7000)):
+        base = r.integers(0, 2**63, n + m, dtype=np.uint64)
+        a, b = np.sort(base[:n]), np.sort(np.r_[base[:both], base[n : n + m - both]])
+        p, q = jaccard_join.points([a, b])
+        groups = min(len(p), len(q))
+        packed = [jaccard_join.unpack_point(jaccard_join.pack_point(x)) for x in (p, q)]
+        x, y = jaccard_join.folded(packed, groups)
+        assert both <= np.minimum(x, y).sum() < both + 0.95 * (min(n, m) - both) + 1
+
+
+def test_op9_rows_of_one_id_are_sets_of_their_own(spark):
+    texts = [(1, BASE[0]), (1, BASE[6]), (2, BASE[0] + " tail"), (3, BASE[6] + " tail"), (4, BASE[2]), (1, BASE[0])]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    found = sorted((r.doc_id, r.component_id) for r in jaccard_join.similar_documents(df, 3, 90).collect())
+    assert found == [(1, 1), (1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+
+
 def test_op9_odd_rows(odd, empty):
     got = sorted((r.doc_id is None, r.doc_id or 0, r.component_id) for r in jaccard_join.similar_documents(odd, 3, 90).collect() if r.doc_id is not None)
     assert got == [(False, 1, 1), (False, 1, 1), (False, 1, 1), (False, 2, 1)]
