@@ -5,6 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairloom.session import checkpoints
+
+
+def _running(df: DataFrame, order: list[str], amount: Column, name: str) -> DataFrame:
+    """Adds the sum of ``amount`` over all rows before each row, in order of ``order``, by ranges.
+
+    Every range has a running sum of its own; what lies before a range is one
+    number for each range.  So no task orders more than a range.
+    """
+    checkpoints(df.sparkSession)
+    placed = df.withColumn("_amount", amount).repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).checkpoint()
+    own = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy("_range").agg(F.sum("_amount").alias("_total"))
+    # one row for each range
+    before = totals.select("_range", F.coalesce(F.sum("_total").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    summed = placed.withColumn("_own", F.coalesce(F.sum("_amount").over(own), F.lit(0))).join(F.broadcast(before), "_range")
+    return summed.withColumn(name, F.col("_own") + F.col("_before")).drop("_amount", "_range", "_own", "_before")
+
 
 def grid_cluster(df: DataFrame, column: str, size: float, dim: int, label: str = "label") -> DataFrame:
     """Adds the number of each point's cubic bin, bins numbered in order without gaps.
@@ -15,7 +33,7 @@ def grid_cluster(df: DataFrame, column: str, size: float, dim: int, label: str =
     bins = [F.floor((F.col(column)[d] if array else F.col(column)) / size).alias(f"_bin{d}") for d in range(dim)]
     names = [f"_bin{d}" for d in range(dim)]
     binned = df.select("*", *bins)
-    ranked = binned.select(*names).distinct().withColumn(label, F.row_number().over(Window.orderBy(*names)) - 1)
+    ranked = _running(binned.select(*names).distinct(), names, F.lit(1), label).withColumn(label, F.col(label).cast("int"))
     return binned.join(ranked, names).drop(*names)
 
 
@@ -26,9 +44,8 @@ def sort_clusters(df: DataFrame, label: str, row_id: str) -> DataFrame:
 
 def cluster_ranges(df: DataFrame, label: str) -> DataFrame:
     """label, start, end: places of each label's rows once sorted by label."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    end = F.sum("n").over(Window.orderBy(label).rowsBetween(Window.unboundedPreceding, 0))
-    return counts.select(label, (end - F.col("n")).alias("start"), end.alias("end"))
+    counts = _running(df.groupBy(label).agg(F.count(F.lit(1)).alias("n")), [label], F.col("n"), "start")
+    return counts.select(label, "start", (F.col("start") + F.col("n")).alias("end"))
 
 
 def cluster_centroids(df: DataFrame, column: str, label: str, dim: int, weight: Column | str | None = None) -> DataFrame:
@@ -53,8 +70,17 @@ def from_matrix(keep: DataFrame, left: str = "bi", right: str = "bj") -> DataFra
 def close_blocks(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
     """Block pairs whose centroids are closer than ``radius``; tables (label, centroid)."""
     d = F.aggregate(F.zip_with("ca", "cb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    pairs = a.select(F.col("label").alias("bi"), F.col("centroid").alias("ca")).crossJoin(b.select(F.col("label").alias("bj"), F.col("centroid").alias("cb")))
-    return pairs.where(d < radius * radius).select("bi", "bj")
+    first = a.select(F.size("centroid")).first()
+    dims = min(3, first[0]) if first else 0
+    # centroids that close lie in neighbouring cells of that size in each of the first coordinates
+    cell = lambda k: F.floor(F.col("centroid")[k] / radius)
+    if not dims:
+        return a.select(F.col("label").alias("bi"), F.col("label").alias("bj")).limit(0)
+    left = a.select(F.col("label").alias("bi"), F.col("centroid").alias("ca"), *(cell(k).alias(f"_c{k}") for k in range(dims)))
+    for k in range(dims):
+        left = left.withColumn(f"_c{k}", F.explode(F.array(*(F.col(f"_c{k}") + s for s in (-1, 0, 1)))))
+    right = b.select(F.col("label").alias("bj"), F.col("centroid").alias("cb"), *(cell(k).alias(f"_c{k}") for k in range(dims)))
+    return left.join(right, [f"_c{k}" for k in range(dims)]).where(d < radius * radius).select("bi", "bj")
 
 
 def swap_axes(ranges: DataFrame) -> DataFrame:

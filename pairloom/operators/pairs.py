@@ -8,7 +8,8 @@
 * ranges: blocks of i meet the blocks of j that a table of pairs lists.
 * columns: a plain join and component columns, for short vectors and for SQL.
 
-In all of them pairs exist only inside a tile of ``TILE`` numbers.
+In the first four, pairs exist only inside a tile: ``TILE`` numbers in the
+widest part of the formula that has rows of both sides.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.functions.ops import Precision
@@ -32,6 +33,10 @@ SMALL_BYTES = 64 * 1024 * 1024
 TILE = 4_000_000
 #: Rows in a block where both sides are large.
 BLOCK_ROWS = 8192
+#: Numbers of pairs that a task folds where one side is small; more are dealt to more tasks.
+TASK = 50_000_000
+#: Exponents of one bucket of sums of exponentials: e to this power is far from overflow.
+BUCKET = 500.0
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -52,6 +57,18 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, 1)
 
 
+def pair_width(e: Expr | None, ordered: bool = False) -> int:
+    """Numbers for one pair in the widest subtree that has variables of both sides.
+
+    Distances and products of vectors are matrix products, but not where order
+    decides (``ordered``): then they too go through all components.
+    """
+    if e is None or len({v.cat for v in e.variables()} & {VI, VJ}) < 2:
+        return 0
+    inner = max((c.dim for c in e.children), default=0) if ordered and e.name in ("SqDist", "Scalprod", "WeightedSqDist", "WeightedSqNorm") else 0
+    return max(e.dim, inner, *(pair_width(c, ordered) for c in e.children))
+
+
 class PairKernel:
     """Folds blocks of rows of the kept side against blocks of the reduced side."""
 
@@ -64,7 +81,7 @@ class PairKernel:
 
     def fold(self, state, kept, other, ids: np.ndarray):
         Precision.ordered = self.reduction.name in K_LOWEST or self.reduction.name in VALUE_ARG
-        rows, width = len(next(iter(state))), max(self.formula.dim, 1)
+        rows, width = len(next(iter(state))), max(self.formula.dim, pair_width(self.formula, Precision.ordered), pair_width(self.weight), 1)
         n = len(ids)
         step = max(1, min(n, TILE // max(1, min(rows, 1024) * width)))
         tall = max(1, TILE // max(1, step * width))
@@ -190,6 +207,10 @@ def _by_small_side(spark, kernel, kept, other, kept_vars, other_vars, kept_id, o
     ids, there = _sorted_side(whole[other_id].to_numpy().astype(np.int64), _table(whole, other_vars))
     sent = spark.sparkContext.broadcast((ids, there))
     reduction = kernel.reduction
+    # a small file is one partition however many pairs its rows make
+    work = len(ids) * max(pair_width(kernel.formula, reduction.name in K_LOWEST or reduction.name in VALUE_ARG), 1)
+    if work * 64 > TASK and (tasks := -(-kept.count() * work // TASK)) > 1:
+        kept = kept.repartition(int(min(tasks, 64 * spark.sparkContext.defaultParallelism)))
     kind = reduction.partial_type
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,18 +233,23 @@ def _rows(columns: list, names: list[str], partial: list, kind: str) -> pa.Recor
 
 
 def _packed(df: DataFrame, keys: list[str], block: str | None, row_id: str, prefix: str) -> DataFrame:
-    """One row per block: its keys and ``rows``, the structs of its rows."""
-    if block is None:
+    """One row per block: its keys and ``rows``, the structs of its rows.
+
+    Batches and clusters of more than ``BLOCK_ROWS`` rows are cut: a hot one is
+    no single block.
+    """
+    if block is not None:
+        df = df.withColumnRenamed(block, "_block")
+    tags = [*keys, *(["_block"] if block is not None else [])]
+    if tags:
         many = F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("long")
-        if keys:  # large batches are cut: a hot key is no single block
-            df = df.join(df.groupBy(*keys).agg(many.alias("_many")), keys)
-        else:
-            df = df.withColumn("_many", F.lit(max(1, -(-df.count() // BLOCK_ROWS))))
-        df = df.withColumn("_block", F.pmod(F.xxhash64(row_id), F.col("_many"))).drop("_many")
+        df = df.join(df.groupBy(*tags).agg(many.alias("_many")), tags)
     else:
-        df = df.withColumnRenamed(block, "_block")
-    cols = [c for c in df.columns if c not in (*keys, "_block")]
-    return df.groupBy(*keys, "_block").agg(F.collect_list(F.struct(*cols)).alias(prefix)).withColumnRenamed("_block", f"_{prefix}_block")
+        df = df.withColumn("_many", F.lit(max(1, -(-df.count() // BLOCK_ROWS))))
+    df = df.withColumn("_part", F.pmod(F.xxhash64(row_id), F.col("_many"))).drop("_many")
+    cols = [c for c in df.columns if c not in (*tags, "_part")]
+    packed = df.groupBy(*tags, "_part").agg(F.collect_list(F.struct(*cols)).alias(prefix)).drop("_part")
+    return packed.withColumnRenamed("_block", f"_{prefix}_block") if block is not None else packed
 
 
 def _by_blocks(kernel, kept, other, kept_vars, other_vars, kept_id, other_id, kept_keys, other_keys, keys, ranges) -> DataFrame:
@@ -293,4 +319,34 @@ def _by_columns(kernel, kept, other, kept_vars, other_vars, kept_id, other_id, k
         one = lambda c: F.when(F.isnan(c), F.array().cast("array<struct<v:double,i:bigint>>")).otherwise(F.array(F.struct((sign * c).alias("v"), j.alias("i"))))
         partial = F.array(*map(one, f))
     tag = [(F.col(f"a_{k}") if k in kept_keys else F.col(f"b_{k}")).alias(k) for k in keys]
-    return pairs.select(*tag, F.col(f"a_{kept_id}").alias(kept_id), partial.alias("partial"))
+    terms = pairs.select(*tag, F.col(f"a_{kept_id}").alias(kept_id), partial.alias("partial"))
+    if r.name in EXPONENTIAL:
+        return _summed_by_bucket(terms, [*keys, kept_id], r.weight_dim)
+    if r.name in K_LOWEST:
+        return _lowest_of_each(terms, [*keys, kept_id], r.dim, r.k)
+    return terms
+
+
+def _summed_by_bucket(terms: DataFrame, by: list[str], size: int) -> DataFrame:
+    """Partial states of exponential sums from single terms: a few for each row, by hash aggregation.
+
+    Terms of one ``BUCKET`` of exponents are summed against its lower end, which
+    neither overflows nor loses them, so no list of terms is ever collected.
+    """
+    m, s = F.col("partial")["m"], F.col("partial")["s"]
+    bucket = F.when(m.isin(float("inf"), float("-inf")) | F.isnan(m), F.lit(0.0)).otherwise(F.floor(m / BUCKET) * BUCKET)
+    rows = terms.select(*by, m.alias("_m"), bucket.cast("double").alias("_bucket"), *(s[d].alias(f"_s{d}") for d in range(size)))
+    weight = F.when(F.col("_m") == F.lit(float("-inf")), F.lit(0.0)).otherwise(F.exp(F.col("_m") - F.col("_bucket")))
+    summed = rows.groupBy(*by, "_bucket").agg(F.max("_m").alias("m"), *(F.sum(weight * F.col(f"_s{d}")).alias(f"s{d}") for d in range(size)))
+    scale = F.when(F.col("m") == F.lit(float("-inf")), F.lit(1.0)).otherwise(F.exp(F.col("_bucket") - F.col("m")))
+    return summed.select(*by, F.struct("m", F.array(*(F.col(f"s{d}") * scale for d in range(size))).alias("s")).alias("partial"))
+
+
+def _lowest_of_each(terms: DataFrame, by: list[str], dim: int, k: int) -> DataFrame:
+    """Partial states of the K lowest: a window's limit keeps K rows a group in each task before they move."""
+    rows = terms.select(*by, F.posexplode("partial").alias("_d", "_x")).select(*by, "_d", F.explode("_x").alias("_x"))
+    first = Window.partitionBy(*by, "_d").orderBy("_x.v", "_x.i")
+    few = rows.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k)
+    of = lambda d: F.sort_array(F.collect_list(F.when(F.col("_d") == d, F.col("_x")))).alias(f"_{d}")
+    lists = few.groupBy(*by).agg(*(of(d) for d in range(dim)))
+    return lists.select(*by, F.array(*(F.col(f"_{d}") for d in range(dim))).alias("partial"))

@@ -7,18 +7,11 @@ products reach the driver.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.plans.expr import VI, VJ, Var, call
-
-
-def _folder(df: DataFrame) -> None:
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp())
+from pairloom.session import checkpoints
 
 
 def solve(kernel, table: DataFrame, row_id: str, b: str, alpha: float = 1e-10, eps: float = 1e-6, max_iterations: int = 500, preconditioner: str | None = None) -> DataFrame:
@@ -26,13 +19,13 @@ def solve(kernel, table: DataFrame, row_id: str, b: str, alpha: float = 1e-10, e
 
     ``kernel`` is a symmetric tensor of dim 1 between the table and itself.
     ``preconditioner``: "diagonal" divides residuals by the diagonal of K + alpha.
-    An unfinished solution is returned as it stands; a curvature that isn't
-    positive raises, as the matrix then isn't positive definite.
+    Raises ``ArithmeticError`` if the residual is still larger after
+    ``max_iterations``, and ``ValueError`` for a curvature that isn't positive,
+    as the matrix then isn't positive definite.
     """
     from pairloom.tensor import SymTensor
 
-    _folder(table)
-    spark = table.sparkSession
+    checkpoints(table.sparkSession)
     dim = len(table.select(b).first()[0]) if table.schema[b].dataType.typeName() == "array" else 1
     vector = F.col(b) if table.schema[b].dataType.typeName() == "array" else F.array(F.col(b).cast("double"))
     p_var = Var(10_000_000, dim, VJ, "_p")
@@ -69,9 +62,11 @@ def solve(kernel, table: DataFrame, row_id: str, b: str, alpha: float = 1e-10, e
     precond = lambda r: F.transform(r, lambda x: x / F.col("m"))
     state = state.withColumn("p", precond("r")).checkpoint()
     n, rr, rz = state.select(F.count(F.lit(1)), _dot("r", "r"), F.sum(F.aggregate(F.zip_with("r", precond("r"), lambda u, v: u * v), F.lit(0.0), lambda u, v: u + v))).first()
-    for _ in range(max_iterations):
-        if not n or rr < n * dim * eps * eps:
-            break
+    done = 0
+    while n and rr >= n * dim * eps * eps:
+        if done == max_iterations:
+            raise ArithmeticError(f"not solved in {max_iterations} iterations: the residual is {(rr / (n * dim)) ** 0.5:.3g}, not {eps:.3g}")
+        done += 1
         state = state.join(apply(state, "p"), row_id).checkpoint()
         (pq,) = state.select(_dot("p", "q")).first()
         if not pq > 0:
@@ -109,6 +104,31 @@ class KernelSolve:
         return solve(t, right, right_id, self.unknown.name, alpha, eps, max_iterations)
 
 
+    def grad(self, v: str, left: DataFrame, right: DataFrame, e: str = "eta", params: dict | None = None, alpha: float = 1e-10, eps: float = 1e-6, left_id: str = "i", right_id: str = "j", max_iterations: int = 500) -> DataFrame:
+        """The gradient of the solution by variable ``v``, applied to column ``e`` of ``right``: (id, value).
+
+        With z solving (K + alpha) z = e: z itself by the right-hand side; by any
+        other variable, minus the gradient of the product K a applied to z, where
+        a is the solution.  A variable of side i gives a row for each i, one of
+        side j for each j.
+        """
+        from pairloom.genred import PairReduce
+
+        more = {"params": params, "alpha": alpha, "eps": eps, "left_id": left_id, "right_id": right_id, "max_iterations": max_iterations}
+        unknown = self.unknown.name
+        z = self.run(left, right.drop(unknown).withColumnRenamed(e, unknown), **more)
+        if v == unknown:
+            return z
+        a = self.run(left, right, **more)
+        kernel = self.kernel
+        product = PairReduce(call("Mult", kernel, Var(10_000_001, self.unknown.dim, VJ, unknown)), (), "Sum", 1).grad(v, e)
+        # z has the rows of side i, as K is square
+        near = left.join(z.select(F.col(right_id).alias(left_id), F.col("value").alias(e)), left_id)
+        far = right.drop(unknown, e).join(a.select(right_id, F.col("value").alias(unknown)), right_id)
+        out = product.run(near, far, params, left_id=left_id, right_id=right_id)
+        return out.withColumn("value", F.transform("value", lambda x: -x))
+
+
 def _without(tree, v):
     """The factor beside ``v`` in a product."""
     if getattr(tree, "name", "") == "Mult":

@@ -28,7 +28,27 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that the cluster shares (``spark.checkpoint.dir``).
+
+    Where none is named a temporary one is made and named, but only for a
+    local master: executors of a cluster would each write to their own disk.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="pairloom-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
+
+
+def checkpoints(spark: SparkSession) -> None:
+    """Lets ``checkpoint()`` write to the shared folder."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_root(spark))
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A new URI under the folder that the cluster shares; a temporary one where none is named."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new URI under the folder that the cluster shares."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"

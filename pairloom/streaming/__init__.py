@@ -12,18 +12,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.genred import PairReduce
-from pairloom.operators.pairs import PairKernel, _by_columns, _vars, name_of
+from pairloom.operators.pairs import PairKernel, _by_blocks, _by_small_side, _fits, _vars, name_of
 from pairloom.plans.expr import VI, VJ
+from pairloom.session import ship
 
 
 def partial_states(query: PairReduce, left: DataFrame, right: DataFrame, left_id: str = "i", right_id: str = "j") -> DataFrame:
-    """i, partial: what a batch of rows j contributes to each row i."""
+    """i, partial: what a batch of rows j contributes to each row i, one state (or one for each block of j)."""
     exprs = [query.formula, query.weight]
     kernel = PairKernel(query.formula, query.weight, query.reduction, VI, {})
     kept, other = _vars(exprs, VI), _vars(exprs, VJ)
     a = left.select(F.col(left_id).cast("long").alias(left_id), *dict.fromkeys(name_of(v) for v in kept))
     b = right.select(F.col(right_id).cast("long").alias(right_id), *dict.fromkeys(name_of(v) for v in other))
-    return _by_columns(kernel, a, b, kept, other, left_id, right_id, [], [], [], None)
+    if _fits(b, other):
+        return _by_small_side(ship(left.sparkSession), kernel, a, b, kept, other, left_id, right_id)
+    return _by_blocks(kernel, a, b, kept, other, left_id, right_id, [], [], [], None)
 
 
 def fold_stream(query: PairReduce, left: DataFrame, stream: DataFrame, folder: str, left_id: str = "i", right_id: str = "j"):
@@ -41,6 +44,9 @@ def fold_stream(query: PairReduce, left: DataFrame, stream: DataFrame, folder: s
             new = new.unionByName(spark.read.parquet(f"{folder}/state/{number - 1}"))
         merged = new.groupBy(left_id).agg(query.reduction.merge("partial").alias("partial"))
         merged.write.mode("overwrite").parquet(f"{folder}/state/{number}")
+        if number > 1:  # the version before may be needed by a retry, older ones not
+            old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/state/{number - 2}")
+            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint")
 

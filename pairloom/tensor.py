@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.genred import PairReduce, transpose
+from pairloom.operators.cluster import swap_axes
 from pairloom.plans import diff
 from pairloom.plans.expr import PM, VI, VJ, Expr, IntCst, Var, call, lift, power
 
@@ -270,7 +271,13 @@ class SymTensor:
     def t(self) -> SymTensor:
         swap = {VI: VJ, VJ: VI}
         tables = {swap[c]: t for c, t in self.tables.items()}
-        return SymTensor(transpose(self.expr), tables, self.params, self.ranges)
+        ranges = self.ranges
+        if ranges is not None:  # blocks change their side with the rows
+            ranges = swap_axes(ranges)
+            for c, old, new in ((VI, "bj", "bi"), (VJ, "bi", "bj")):
+                df, *rest = tables[c]
+                tables[c] = (df.withColumnRenamed(old, new), *rest)
+        return SymTensor(transpose(self.expr), tables, self.params, ranges)
 
     @property
     def T(self) -> SymTensor:

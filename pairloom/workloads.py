@@ -152,9 +152,45 @@ _VECTOR = {
 }
 for _name, (_formula, _cols) in _VECTOR.items():
     _sum_query(f"op_{_name}", _formula, _cols)
-_sum_query("op_bspline", "BSpline(Concat(Concat(y - 1, y), y + 1), Elem(x, 0), 1)", [])
+def _spline_sql() -> list[str]:
+    """First-order B-splines over the knots y - 1, y, y + 1: two ramps each, by cases."""
+    t = [f"(y{d} + ({s}))" for s in (-1, 0, 1) for d in (1, 2, 3)]
+    out = []
+    for k in range(7):
+        up = f"CASE WHEN {t[k]} <= x1 AND x1 < {t[k + 1]} THEN coalesce((x1 - {t[k]}) / nullif({t[k + 1]} - {t[k]}, 0), 0) ELSE 0::DOUBLE END"
+        down = f"CASE WHEN {t[k + 1]} <= x1 AND x1 < {t[k + 2]} THEN coalesce(({t[k + 2]} - x1) / nullif({t[k + 2]} - {t[k + 1]}, 0), 0) ELSE 0::DOUBLE END"
+        out.append(f"{up} + {down}")
+    return out
+
+
+_sum_query("op_bspline", "BSpline(Concat(Concat(y - 1, y), y + 1), Elem(x, 0), 1)", _spline_sql())
+
+
+def _warping_sql() -> tuple[str, list[str]]:
+    """Columns c.., r.., w.. of the alignment of three by three components, and the six gradients; the temperature is a half."""
+    cells = [(i, j) for i in (1, 2, 3) for j in (1, 2, 3)]
+    steps = [", ".join(f"(x{i} - y{j}) * (x{i} - y{j}) AS c{i}{j}" for i, j in cells)]
+    for i, j in cells:
+        behind = [f"r{a}{b}" for a, b in ((i - 1, j), (i, j - 1), (i - 1, j - 1)) if a and b]
+        low = f"least({', '.join(behind)})"
+        soft = f" + {low} - 0.5::DOUBLE * ln({' + '.join(f'exp(-2 * ({b} - {low}))' for b in behind)})" if behind else ""
+        steps.append(f"c{i}{j}{soft} AS r{i}{j}")
+    for i, j in reversed(cells):
+        ahead = [(a, b) for a, b in ((i + 1, j), (i, j + 1), (i + 1, j + 1)) if a < 4 and b < 4]
+        steps.append((" + ".join(f"w{a}{b} * exp(2 * (r{a}{b} - r{i}{j} - c{a}{b}))" for a, b in ahead) or "1::DOUBLE") + f" AS w{i}{j}")
+    table = "SELECT l.*, r.* FROM l, r"
+    for x in steps:
+        table = f"SELECT *, {x} FROM ({table})"
+    by_x = [" + ".join(f"2 * (x{i} - y{j}) * w{i}{j}" for j in (1, 2, 3)) for i in (1, 2, 3)]
+    by_y = [" - ".join(["0", *(f"2 * (x{i} - y{j}) * w{i}{j}" for i in (1, 2, 3))]) for j in (1, 2, 3)]
+    return table, by_x + by_y
+
+
+_WARPED, _WARPED_GRADIENT = _warping_sql()
 _sum_query("op_softdtw_sqdist", "SoftDTW_SqDist(x, y, RatCst(1,2))", [])
+ORACLES["op_softdtw_sqdist"] = f"WITH {POINTS_SQL} SELECT i, round(sum(r33), {DIGITS}) + 0.0::DOUBLE AS v1 FROM ({_WARPED}) GROUP BY i"
 _sum_query("op_grad_softdtw_sqdist", "GradSoftDTW_SqDist(x, y, RatCst(1,2))", [])
+ORACLES["op_grad_softdtw_sqdist"] = f"WITH {POINTS_SQL} SELECT i, {', '.join(f'round(sum({g}), {DIGITS}) + 0.0::DOUBLE AS v{k + 1}' for k, g in enumerate(_WARPED_GRADIENT))} FROM ({_WARPED}) GROUP BY i"
 
 
 # -- reductions: {f} of SqDist, over j ------------------------------------------------
@@ -383,8 +419,24 @@ def _sparse(spark, sf_dir):
 def _swapped(spark, sf_dir):
     left, right = _gridded(spark, sf_dir)
     a, b = cluster.cluster_centroids(left, "x", "bi", 3).withColumnRenamed("bi", "label"), cluster.cluster_centroids(right, "y", "bj", 3).withColumnRenamed("bj", "label")
-    ranges = cluster.swap_axes(cluster.swap_axes(cluster.close_blocks(a, b, 0.8)))
-    return _shown(PairReduce("Exp(-SqDist(x,y))*Elem(x,0)", ALIASES, "Sum", 0).run(left, right, ranges=ranges), 1)
+    # the nations become side i, so the blocks of the pairs change sides too
+    ranges = cluster.swap_axes(cluster.close_blocks(a, b, 0.8))
+    q = PairReduce("Exp(-SqDist(x,y))*Elem(y,0)", ["x = Vi(3)", "y = Vj(3)"], "Sum", 1)
+    right, left = right.withColumnRenamed("y", "x"), left.withColumnRenamed("x", "y")
+    out = q.run(right.withColumnRenamed("bj", "bi").withColumnRenamed("j", "i"), left.withColumnRenamed("bi", "bj").withColumnRenamed("i", "j"), ranges=ranges)
+    return _shown(out.withColumnRenamed("i", "j"), 1)
+
+
+@_query("tensor_transpose_ranged", f"WITH {_GRID}, p AS (SELECT j, {_D2} AS f, x1 FROM lc JOIN ca USING (bi), rc JOIN cb USING (bj) WHERE {_NEAR}) SELECT r.j, round(coalesce(sum(exp(-f) * x1), 0.0::DOUBLE), {DIGITS}) + 0.0::DOUBLE AS v1 FROM r LEFT JOIN p ON r.j = p.j GROUP BY r.j")
+def _transposed_ranged(spark, sf_dir):
+    """The transpose of a block-sparse kernel times a vector over i."""
+    left, right = _gridded(spark, sf_dir)
+    a, b = cluster.cluster_centroids(left, "x", "bi", 3).withColumnRenamed("bi", "label"), cluster.cluster_centroids(right, "y", "bj", 3).withColumnRenamed("bj", "label")
+    left = left.withColumn("c", F.col("x")[0])
+    x, y, c = Vi(left, "x", dim=3), Vj(right, "y", dim=3), Vi(left, "c", dim=1)
+    kernel = (-x.sqdist(y)).exp() * c
+    kernel.ranges = cluster.close_blocks(a, b, 0.8)
+    return _shown(kernel.t().sum(axis=1), 1)
 
 
 @_query("ranges_from_matrix", "SELECT DISTINCT CAST(n_regionkey AS BIGINT) AS bi, CAST(n_nationkey AS BIGINT) AS bj FROM nation WHERE n_nationkey % 2 = 0")
@@ -422,10 +474,10 @@ def _classifier(spark, sf_dir):
     return votes.groupBy("i").agg(F.min(F.struct((-F.col("count")).alias("c"), "label")).alias("best")).select("i", F.col("best.label").cast("int").alias("label"))
 
 
-@_query("attention_softmax", f"WITH {_E}, w AS (SELECT a.id AS i, exp({_EDOT}) AS w, c.v FROM e a, e c) SELECT i, {', '.join(_R(f'sum(w * v[{k}]) / sum(w)') + f' AS v{k}' for k in range(1, 5))} FROM w GROUP BY i")
+@_query("attention_softmax", f"WITH {_E}, w AS (SELECT a.id AS i, exp({_EDOT}) AS w, c.v FROM e a, e c) SELECT i, {', '.join(_R(f'sum(w * v[{k}]) / sum(w)') + f' AS v{k}' for k in range(1, 65))} FROM w GROUP BY i")
 def _attention(spark, sf_dir):
     q = PairReduce("(x|y)", ["x = Vi(64)", "y = Vj(64)"], "SumSoftMaxWeight", 1, formula2="y")
-    return _shown(q.run(embeddings(spark, sf_dir, "i", "x"), embeddings(spark, sf_dir, "j", "y")), 4)
+    return _shown(q.run(embeddings(spark, sf_dir, "i", "x"), embeddings(spark, sf_dir, "j", "y")), 64)
 
 
 @_query("varifold_matvec", f"WITH {_E} SELECT a.id AS i, {_R(f'sum(exp(-{_ED}) * {_EDOT} * {_EDOT} * c.label)')} AS v1 FROM e a, e c GROUP BY 1")
@@ -452,40 +504,119 @@ def _theta(spark, sf_dir):
     return _shown((x.sqdist(y) < 0.3).sum(axis=1), 1)
 
 
-@_query("kmeans_step", f"WITH {_E}, c AS (SELECT id, v FROM e WHERE id < 8), n AS (SELECT a.id, a.v, first(c.id ORDER BY {_ED}, c.id) AS k FROM e a, c GROUP BY a.id, a.v) SELECT k, count(*) AS n, {', '.join(_R(f'avg(v[{d}])') + f' AS v{d}' for d in range(1, 5))} FROM n GROUP BY k")
+@_query("kmeans_step", f"WITH {_E}, c AS (SELECT id, v FROM e WHERE id < 8), n AS (SELECT a.id, a.v, first(c.id ORDER BY {_ED}, c.id) AS k FROM e a, c GROUP BY a.id, a.v) SELECT k, count(*) AS n, {', '.join(_R(f'avg(v[{d}])') + f' AS v{d}' for d in range(1, 65))} FROM n GROUP BY k")
 def _kmeans(spark, sf_dir):
     """One Lloyd step from the first eight vectors as centres."""
     left = embeddings(spark, sf_dir, "i", "x")
     right = embeddings(spark, sf_dir, "j", "y").where(F.col("j") < 8)
     near = PairReduce("SqDist(x,y)", ["x = Vi(64)", "y = Vj(64)"], "ArgMin", 1).run(left, right)
     joined = near.select("i", F.col("index")[0].alias("k")).join(left.select("i", "x"), "i")
-    return joined.groupBy("k").agg(F.count(F.lit(1)).alias("n"), *((F.round(F.avg(F.col("x")[d]), DIGITS) + 0.0).alias(f"v{d + 1}") for d in range(4)))
+    return joined.groupBy("k").agg(F.count(F.lit(1)).alias("n"), *((F.round(F.avg(F.col("x")[d]), DIGITS) + 0.0).alias(f"v{d + 1}") for d in range(64)))
+
+
+@_query("kmeans_lloyd", f"WITH {_E}, c0 AS (SELECT id AS k, v FROM e WHERE id < 8)" + "".join(f", n{s} AS (SELECT a.id, a.v, first(c.k ORDER BY {_ED}, c.k) AS k FROM e a, c{s} c GROUP BY a.id, a.v), c{s + 1} AS (SELECT k, [{', '.join(f'avg(v[{d}])' for d in range(1, 65))}] AS v FROM n{s} GROUP BY k)" for s in range(3)) + f" SELECT k, {', '.join(_R(f'v[{d}]') + f' AS v{d}' for d in range(1, 65))} FROM c3")
+def _lloyd(spark, sf_dir):
+    """Three Lloyd steps from the first eight vectors as centres."""
+    left = embeddings(spark, sf_dir, "i", "x")
+    centres = embeddings(spark, sf_dir, "j", "y").where(F.col("j") < 8).select("j", "y")
+    return components(kmeans(left, centres, "x", "y", 64, 3).withColumnRenamed("j", "k"), "y", "v", 64, DIGITS)
+
+
+def kmeans(left: DataFrame, centres: DataFrame, x: str, y: str, dim: int, steps: int) -> DataFrame:
+    """Centres (j, ``y``) after ``steps`` Lloyd steps over the rows (i, ``x``); a centre without rows goes."""
+    q = PairReduce(f"SqDist({x},{y})", [f"{x} = Vi({dim})", f"{y} = Vj({dim})"], "ArgMin", 1)
+    for _ in range(steps):
+        near = q.run(left, centres).select("i", F.col("index")[0].alias("j")).join(left.select("i", x), "i")
+        centres = near.groupBy("j").agg(F.array(*(F.avg(F.col(x)[d]) for d in range(dim))).alias(y))
+    return centres
+
 
+def _solved_sql(kernel: str, b: str) -> str:
+    """j, v1: (K + 0.1) a = ``b`` over the nations by Gauss-Jordan elimination, a row of the matrix and the right-hand side each a list."""
+    return f"""WITH RECURSIVE {POINTS_SQL}, k AS (SELECT s.j AS i, t.j, {kernel} + CASE WHEN s.j = t.j THEN 0.1::DOUBLE ELSE 0 END AS k FROM r s, r t),
+m AS (SELECT list(line ORDER BY i) AS m, count(*) AS n FROM (SELECT i, list_append(list(k ORDER BY j), (SELECT {b} FROM r WHERE r.j = k.i)) AS line FROM k GROUP BY i)),
+g AS (SELECT 1 AS step, n, m FROM m
+UNION ALL SELECT step + 1, n, list_transform(m, lambda line, p: CASE WHEN p = step THEN list_transform(line, lambda v: v / line[step]) ELSE list_transform(list_zip(line, m[step]), lambda t: t[1] - line[step] / m[step][step] * t[2]) END) FROM g WHERE step <= n)
+SELECT j, round(m[p][n + 1], 4) + 0.0::DOUBLE AS v1 FROM g, (SELECT j, row_number() OVER (ORDER BY j) AS p FROM r) WHERE step = n + 1"""
 
-@_query("rbf_interpolation")
+
+_KERNEL_D2 = "((s.y1-t.y1)*(s.y1-t.y1) + (s.y2-t.y2)*(s.y2-t.y2) + (s.y3-t.y3)*(s.y3-t.y3))"
+
+
+def _both_nations(spark, sf_dir):
+    right = nations(spark, sf_dir)
+    return right.select(F.col("j").alias("i"), F.col("y").alias("x")), right
+
+
+@_query("rbf_interpolation", _solved_sql(f"exp(-{_KERNEL_D2})", "b"))
 def _rbf(spark, sf_dir):
     """a with (K + alpha) a = b over the nations, Gaussian K."""
-    right = nations(spark, sf_dir)
-    left = right.select(F.col("j").alias("i"), F.col("y").alias("x"))
     solver = KernelSolve("Exp(-SqDist(x,y))*b", ALIASES, "b", axis=1)
-    return _shown(solver.run(left, right, alpha=0.1), 1)
+    return components(solver.run(*_both_nations(spark, sf_dir), alpha=0.1, eps=1e-9), "value", "v", 1, 4)
 
 
-@_query("laplacian_kernel_solve")
+@_query("laplacian_kernel_solve", _solved_sql(f"exp(-sqrt({_KERNEL_D2}))", "b"))
 def _laplacian(spark, sf_dir):
-    right = nations(spark, sf_dir)
-    left = right.select(F.col("j").alias("i"), F.col("y").alias("x"))
-    return _shown(KernelSolve("Exp(-Norm2(x-y))*b", ALIASES, "b", axis=1).run(left, right, alpha=0.1), 1)
+    return components(KernelSolve("Exp(-Norm2(x-y))*b", ALIASES, "b", axis=1).run(*_both_nations(spark, sf_dir), alpha=0.1, eps=1e-9), "value", "v", 1, 4)
+
 
+@_query("gradient_of_solve", _solved_sql(f"exp(-{_KERNEL_D2})", "y1"))
+def _gradient_of_solve(spark, sf_dir):
+    """The gradient of the solution by the right-hand side, applied to the first coordinate."""
+    left, right = _both_nations(spark, sf_dir)
+    out = KernelSolve("Exp(-SqDist(x,y))*b", ALIASES, "b").grad("b", left, right.withColumn("eta", F.col("y")[0]), alpha=0.1, eps=1e-9)
+    return components(out, "value", "v", 1, 4)
 
-@_query("power_iteration")
+
+_KERNEL_R = f"k AS (SELECT s.j AS i, t.j, exp(-{_KERNEL_D2}) AS k FROM r s, r t)"
+
+
+@_query("power_iteration", f"WITH {POINTS_SQL}, {_KERNEL_R}, a0 AS (SELECT j, b FROM r)" + "".join(f", o{s} AS (SELECT i AS j, sum(k * b) AS b FROM k JOIN a{s} USING (j) GROUP BY i), a{s + 1} AS (SELECT j, b / (SELECT sqrt(sum(b * b)) FROM o{s}) AS b FROM o{s})" for s in range(3)) + f" SELECT j, {_R('b')} AS v1 FROM a3")
 def _power(spark, sf_dir):
     """Three steps towards the first eigenvector of the Gaussian kernel of the nations."""
-    right = nations(spark, sf_dir)
-    left = right.select(F.col("j").alias("i"), F.col("y").alias("x"))
+    left, right = _both_nations(spark, sf_dir)
     q = PairReduce("Exp(-SqDist(x,y))*b", ALIASES, "Sum", 1)
     for _ in range(3):
         out = q.run(left, right).select(F.col("i").alias("j"), F.col("value")[0].alias("b"))
         norm = out.agg(F.sqrt(F.sum(F.col("b") * F.col("b")))).first()[0]
         right = right.drop("b").join(out.withColumn("b", F.col("b") / norm), "j")
     return right.select("j", F.round("b", DIGITS).alias("v1"))
+
+
+@_query("power_iteration_operator", f"WITH {POINTS_SQL}, {_KERNEL_R} SELECT i, {_R('sum(k * b)')} AS v1 FROM k JOIN r USING (j) GROUP BY i")
+def _matvec(spark, sf_dir):
+    """One product through the linear operator's own method."""
+    left, right = _both_nations(spark, sf_dir)
+    x, y, b = Vi(left, "x", dim=3), Vj(right, "y", dim=3), Vj(right, "b", dim=1)
+    return _shown((-x.sqdist(y)).exp().matvec(b), 1)
+
+
+@_query("anisotropic_full", _lr(f"SELECT i, {_R('sum(exp(-(2*(x1-y1)*(x1-y1) + (x2-y2)*(x2-y2) + 3*(x3-y3)*(x3-y3) + (x1-y1)*(x2-y2))) * b)')} AS v1 FROM p GROUP BY i"))
+def _anisotropic_full(spark, sf_dir):
+    """A full matrix of weights: half the mixed term on either side of the diagonal."""
+    x, y, b = _xy(spark, sf_dir)
+    return _shown((-(x - y).weightedsqnorm(Pm([2.0, 0.5, 0.0, 0.5, 1.0, 0.0, 0.0, 0.0, 3.0]))).exp() @ b, 1)
+
+
+@_query("anisotropic_scalar", _lr(f"SELECT i, {_R('sum(exp(-(2 * f)) * b)')} AS v1 FROM p GROUP BY i"))
+def _anisotropic_scalar(spark, sf_dir):
+    x, y, b = _xy(spark, sf_dir)
+    return _shown((-(x - y).weightedsqnorm(Pm(2.0))).exp() @ b, 1)
+
+
+@_query("directional_logsumexp", _lr(f"SELECT i, {_R('sum(exp(-f) * (2 * (x1-y1) * y1 + 2 * (x2-y2) * y2 + 2 * (x3-y3) * y3)) / sum(exp(-f))')} AS v1 FROM p GROUP BY i"))
+def _directional_logsumexp(spark, sf_dir):
+    """The derivative of a log-sum-exp along y, given its own values."""
+    left, right = suppliers(spark, sf_dir), nations(spark, sf_dir)
+    q = PairReduce("-SqDist(x,y)", ALIASES[:2], "LogSumExp", 1)
+    own = q.run(left, right).select("i", F.col("value")[0].alias("saved"))
+    return _shown(q.diff("y").run(left.join(own, "i"), right.withColumn("u", F.col("y"))), 1)
+
+
+@_query("complex_tensor", _lr(f"SELECT i, {_R('sum(x1 * y1 - x2 * y2)')} AS v1, {_R('sum(x1 * y2 + x2 * y1)')} AS v2 FROM p GROUP BY i"))
+def _complex(spark, sf_dir):
+    """Complex numbers of two coordinates each: the sum of their products."""
+    left = suppliers(spark, sf_dir).withColumn("z", F.slice("x", 1, 2))
+    right = nations(spark, sf_dir).withColumn("w", F.slice("y", 1, 2))
+    z, w = Vi(left, "z", dim=2), Vj(right, "w", dim=2)
+    return _shown((z.op("ComplexMult", w)).sum(axis=1), 2)
