@@ -2,20 +2,19 @@
 
 Intermediate tables go to the folder that the cluster names in
 ``spark.checkpoint.dir``: every executor reaches it, and files written there
-survive lost executors.  Only where that setting is absent (tests, a laptop)
-a folder of our own is made.
+survive lost executors.  Only with a local master and without that setting
+(tests, a laptop) a folder of our own is made; a cluster without it is an error.
 """
 
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.session import ship
+from pairloom.session import shared_root, ship
 
 #: Arrow batches end at this many bytes, so that very long texts stay few per batch.
 ARROW_BATCH_BYTES = 4 * 1024 * 1024
@@ -43,14 +42,6 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_root(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="pairloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
 def new_folder(spark: SparkSession, name: str) -> str:
     """A URI under the shared root that nothing else uses."""
     return f"{shared_root(spark)}/pairloom-{name}-{uuid.uuid4().hex}"

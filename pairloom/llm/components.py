@@ -61,6 +61,17 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], ["a", "b"])
 
 
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [(b["a"].to_numpy(), b["b"].to_numpy()) for b in batches if b.num_rows]
+    if held:
+        a, c = star_forest(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], ["node", "component"])
+
+
+#: So few links are settled in one task.
+SMALL = 20_000
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """node, component (its smallest node) for every node of ``links`` (a, b) but the smallest ones.
 
@@ -68,6 +79,10 @@ def connected_components(links: DataFrame) -> DataFrame:
     """
     clean = links.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b"))).select("a", "b")
     now = materialise(clean.mapInArrow(_local, "a long, b long").distinct(), "links")
+    if now.count() <= SMALL:
+        done = materialise(now.coalesce(1).mapInArrow(_whole, "node long, component long"), "components")
+        discard(now)
+        return done
     mark = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -1,8 +1,8 @@
 """Operator 4: bytes of passages that an earlier document has too.
 
 A byte is removed if it lies in a string of ``LENGTH`` bytes that also starts
-in a document with a smaller id.  The result is exact (up to 64-bit hashes of
-strings); the steps only decide which strings meet where.
+in a document with a smaller id.  The result is exact: hashes only decide which
+strings meet where, and what has equal hashes is compared byte by byte.
 
  1. Texts are written in blocks to the shared folder.  Of every string of
     LENGTH bytes the smallest hash of its ``SEED``-byte parts is an anchor; equal
@@ -292,6 +292,16 @@ def _row_hash(rows: np.ndarray) -> np.ndarray:
     return h
 
 
+def _new_contexts(rows: np.ndarray, seed: np.ndarray, h: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Where another context begins in ``order``, by (seed, hash); rows of equal hashes are compared."""
+    new = np.r_[True, (seed[order[1:]] != seed[order[:-1]]) | (h[order[1:]] != h[order[:-1]])]
+    same = np.flatnonzero(~new)
+    for i in range(0, len(same), 100_000):
+        k = same[i : i + 100_000]
+        new[k] = (rows[order[k]] != rows[order[k - 1]]).any(1)
+    return new
+
+
 def _send_contexts(many: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for uri, t in _groups(batches, "block"):
@@ -308,8 +318,8 @@ def _send_contexts(many: int) -> Callable:
             # distinct contexts in order of anchor and hash: answers come back in this order
             h = _row_hash(rows)
             order = np.lexsort((h, seed))
-            at, seed, h = at[order], seed[order], h[order]
-            new = np.r_[True, (seed[1:] != seed[:-1]) | (h[1:] != h[:-1])]
+            new = _new_contexts(rows, seed, h, order)
+            at, seed = at[order], seed[order]
             first = np.flatnonzero(new)
             ids = block.ids[block.text_of(at)]
             lowest = np.minimum.reduceat(ids, first)
@@ -377,13 +387,19 @@ def _mark(rows: np.ndarray, lowest: np.ndarray, some: np.ndarray, out: np.ndarra
             body = rows[row[cut]][np.arange(len(cut))[:, None], 2 + shift[cut][:, None] + np.arange(LENGTH)]
             digest = _row_hash(body)
             order = np.argsort(digest)
-            tables.append((digest[order], least[order], order))
-        for k, (digest, least, order) in enumerate(tables):
+            tables.append((digest[order], least[order], order, body[order]))
+        for k, (digest, least, order, body) in enumerate(tables):
             best = least.copy()
-            for j, (other, value, _) in enumerate(tables):
-                if j != k and len(other):
-                    spot = np.minimum(np.searchsorted(other, digest), len(other) - 1)
-                    best = np.where(other[spot] == digest, np.minimum(best, value[spot]), best)
+            for j, (other, value, _, text) in enumerate(tables):
+                spot = np.searchsorted(other, digest) if j != k else ()
+                while len(spot):  # strings of one digest stand together: each is compared
+                    live = np.flatnonzero(spot < len(other))
+                    live = live[other[spot[live]] == digest[live]]
+                    if not len(live):
+                        break
+                    hit = live[(text[spot[live]] == body[live]).all(1)]
+                    best[hit] = np.minimum(best[hit], value[spot[hit]])
+                    spot = np.where(np.isin(np.arange(len(spot)), live), spot + 1, len(other))
             shards[k][3] = np.empty_like(best)
             shards[k][3][order] = best
     for row, shift, number, least, _ in shards:
@@ -400,8 +416,8 @@ def _sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = np.concatenate([_swell(x, n * (_WIDTH + 2), np.uint8).reshape(n, -1) for x, n in zip(t["rows"].to_pylist(), size, strict=True)])
         h = _row_hash(rows)
         order = np.lexsort((h, seeds))
-        seeds, h = seeds[order], h[order]
-        new = np.r_[True, (seeds[1:] != seeds[:-1]) | (h[1:] != h[:-1])]
+        new = _new_contexts(rows, seeds, h, order)
+        seeds = seeds[order]
         first = np.flatnonzero(new)
         lowest = np.minimum.reduceat(ids[order], first)
         bits = covered(rows[order[first]], seeds[first], lowest)
@@ -438,7 +454,7 @@ def removed_bytes(block: Block, at: np.ndarray, context: np.ndarray, answer: np.
     return np.cumsum(edge[:-1]) > 0
 
 
-def _finish(whole_characters: bool, names: list[str], digest: bool) -> Callable:
+def _finish(whole_characters: bool, names: list[str], digest: bool, counts: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for uri, t in _groups(batches, "block"):
             block = Block.read(f"{uri}.texts")
@@ -474,24 +490,25 @@ def _finish(whole_characters: bool, names: list[str], digest: bool) -> Callable:
                     else:
                         c = part[n]
                         cols.append(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c)
-                cols += [x.slice(a, 4096) for x in extra]
+                cols += [x.slice(a, 4096) for x in extra] * counts
                 yield pa.RecordBatch.from_arrays(cols, [f"c{i}" for i in range(len(cols))])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, whole_characters: bool = False, digest: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, whole_characters: bool = False, digest: bool = False, block_bytes: int = BLOCK_BYTES, counts: bool = True) -> DataFrame:
     """``docs`` with what earlier documents have taken out of ``text``.
 
     All columns stay; ``text`` becomes the kept bytes (binary), their SHA-256
     with ``digest``, or with ``whole_characters`` a string from which only whole
-    characters are taken.  Added: n_bytes, n_removed, n_spans (columns of these
-    names are replaced).  A null text is empty (and stays null as a string); a
+    characters are taken.  Added with ``counts``: n_bytes, n_removed, n_spans
+    (columns of these names are replaced then, and stay without).  A null text is empty (and stays null as a string); a
     row with a null id is left as it is and takes nothing from others; rows of
     one id take nothing from each other; an empty table gives no rows.
     """
     spark = prepare(docs.sparkSession)
-    docs = docs.select([c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans")])
+    if counts:
+        docs = docs.select([c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans")])
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
     many, folder = partitions(spark), new_folder(spark, "blocks")
     fine = 4 * many
@@ -510,6 +527,6 @@ def remove_repeats(docs: DataFrame, whole_characters: bool = False, digest: bool
     names = docs.columns
     kind = T.StringType() if whole_characters or digest else T.BinaryType()
     fields = [T.StructField(n, kind if n == "text" else docs.schema[n].dataType) for n in names]
-    fields += [T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")]
+    fields += [T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")] * counts
     plain = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(fields)])
-    return tasks.mapInArrow(_finish(whole_characters, names, digest), plain).toDF(*(f.name for f in fields))
+    return tasks.mapInArrow(_finish(whole_characters, names, digest, counts), plain).toDF(*(f.name for f in fields))

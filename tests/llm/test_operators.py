@@ -698,7 +698,9 @@ def test_count_tree_keeps_all_that_can_link():
         assert tree.survivors(pts[i], int(total[i])).tolist() == np.flatnonzero(bound).tolist()
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [0, 20_000])
+def test_components(spark, monkeypatch, small):
+    monkeypatch.setattr(components, "SMALL", small)
     links = [(i, i + 1) for i in range(0, 60)] + [(100, 90), (90, 95), (7, 7), (None, 3), (200, 201), (200, 201)]
     df = spark.createDataFrame(links, "a long, b long").repartition(5)
     found = {r.node: r.component for r in components.connected_components(df).collect()}

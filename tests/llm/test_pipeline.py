@@ -37,3 +37,29 @@ def test_repeated_passages_go(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     out = {r.doc_id: r for r in corpus_pipeline.repeated_passages(spark, docs, "").collect()}
     assert out[1].text == rows[0][1] and PASSAGE[:60] not in out[2].text and out[2].n_chars == len(out[2].text)
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, gone_id int, Kept_ID string, n_bytes long, n_removed int, _range int, part string"
+
+
+def test_stages_take_odd_tables(spark):
+    """Empty tables, nulls in every column, repeated rows, empty and very long texts, clashing names."""
+    more = (7, "k", 9, 3, 1, "p")
+    long_text = prose(20_000, 4)
+    rows = [(k, prose(90, 600 + k), "en", "s", 9, *more) for k in range(25)]
+    rows += [rows[3], rows[3], (None, prose(90, 700), "en", "s", 9, *more), (None,) * 11, (30, None, None, None, None, *more), (31, "", "en", "s", 0, *more), (32, long_text, None, "s", 1, *more), (33, prose(90, 603), "en", None, None, *more)]
+    odd, empty = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([], SCHEMA)
+    kept = []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, empty, "").count() == 0
+        out = stage(spark, odd, "")
+        assert out.columns == odd.columns and out.dtypes == odd.dtypes
+        got = out.collect()
+        assert all(tuple(r)[5:] in (more, (None,) * 6) for r in got)
+        kept.append([r.doc_id for r in got])
+    assert sorted(kept[0], key=str) == sorted([*range(25), 3, 3, None, 32, 33], key=str) or sorted(kept[0], key=str) == sorted([*range(25), 3, 3, None, None, 32, 33], key=str)
+    assert 33 not in kept[1] and kept[1].count(3) == 3 and kept[1].count(None) == 2 and {30, 31, 32} <= set(kept[1])
+    assert len(kept[2]) == len(rows)
+    last = corpus_pipeline.STAGES[-1][1]
+    assert last(spark, empty, "").count() == 0
+    assert sorted({r.doc_id for r in last(spark, odd, "").collect() if r.doc_id is not None}) == [*range(25), 30, 31, 32, 33]
