@@ -32,7 +32,7 @@ class LongestMatch:
 
     Pieces are sequences of symbols below 257; every single symbol that can
     occur must be a piece or lie in one that begins a word's rest, so that
-    matching never gets stuck (checked: a word that cannot be cut counts -1).
+    matching never gets stuck (a word that cannot be cut is one unknown piece).
     """
 
     def __init__(self, pieces: list[tuple[int, ...]]):
@@ -106,7 +106,7 @@ class LongestMatch:
                 break
             total[rest] += self.pops[node[rest]]
             node[rest] = self.fail[node[rest]]
-        return np.where(node < 0, -1, total)
+        return np.where(node < 0, 1, total)
 
 
 def pieces_of(path: str) -> list[tuple[int, ...]]:
