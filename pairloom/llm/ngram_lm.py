@@ -6,7 +6,9 @@ document.  Rows of that join are kept in bulk: a block of texts sends its
 distinct n-grams, sorted and as differences, to the partitions of their hash
 ranges; a partition adds up what all blocks sent and answers each block in the
 order it asked.  Counts of a block are combined before anything moves, so a
-word that is everywhere is one entry for each block.
+word that is everywhere is one entry for each block.  (A row for every n-gram
+of a block would be about 630 million rows for a gigabyte of input, and more to
+move than the limit of four times the input.)
 
 A document is scored against all others: its own n-grams are taken out of the
 counts first.  With c the counts without it,
@@ -20,13 +22,15 @@ where c() is the number of all words: the count of the empty n-gram.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.fs import FileType
 from pyspark.sql import DataFrame
 
-from pairloom.llm._shared import id_text, new_folder, partitions, prepare
+from pairloom.llm._shared import filesystem, id_text, new_folder, partitions, prepare
 from pairloom.llm.suffix_dedup import _buckets, _groups, _pack, _read, _squeeze, _swell, _unpack, _write
 from pairloom.llm.words import run_hashes, word_hashes
 
@@ -67,12 +71,27 @@ def _block_grams(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.r_[_EMPTY, grams], np.r_[total, counts]
 
 
+def _write_once(uri: str, table: pa.Table) -> None:
+    """The file appears whole or not at all; of attempts that write the same rows the first counts."""
+    fs, path = filesystem(uri)
+    draft = f"{path}.{uuid.uuid4().hex}"
+    if fs.get_file_info(path).type != FileType.NotFound:
+        return
+    _write(uri.removesuffix(path.rpartition("/")[2]) + draft.rpartition("/")[2], table)
+    try:
+        fs.move(draft, path)
+    except OSError:  # some stores refuse to move onto a file: then another attempt was first
+        if fs.get_file_info(path).type == FileType.NotFound:
+            raise
+        fs.delete_file(draft)
+
+
 def _ask(folder: str, many: int, block_bytes: int) -> Callable:
     def close(batches: list[pa.RecordBatch], part: int, number: int) -> pa.RecordBatch:
         # the name says which texts these are, so that a retried task writes the same file again
         uri = f"{folder}/{part:08d}-{number:06d}"
         table = pa.Table.from_batches(batches)
-        _write(uri, table)
+        _write_once(uri, table)
         grams, counts = _block_grams(_texts(table))
         bucket = _buckets(grams, many)
         cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]).tolist()
