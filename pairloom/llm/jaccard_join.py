@@ -603,7 +603,8 @@ def _verified(docs: DataFrame, rows: DataFrame, size: int, percent: int, name: s
     """Links within the tasks of ``rows`` (task, cls, rep, d1, label, left, cross); texts join them by id."""
     many = partitions(docs.sparkSession)
     texts = id_text(docs).where(F.col("doc_id").isNotNull()).withColumnRenamed("doc_id", "rep")
-    loaded = texts.join(rows, "rep").repartition(many, "task").sortWithinPartitions("task", "cls")
+    # one plan at every size: texts are shuffled by id even where the rows would fit a broadcast
+    loaded = texts.join(rows.hint("merge"), "rep").repartition(many, "task").sortWithinPartitions("task", "cls")
     return materialise(loaded.mapInArrow(_verify(size, percent), "a long, b long"), name)
 
 
