@@ -31,7 +31,9 @@ def on_blocks(e: Expr, values: dict[tuple, np.ndarray]) -> np.ndarray:
                 memo[k] = ops.TABLE[n.name].kernel(*map(go, n.children), *n.params)
         return memo[k]
 
-    return go(e)
+    out = go(e)
+    memo.clear()  # ``go`` refers to itself: its blocks would stay until the garbage collector comes
+    return out
 
 
 def as_columns(e: Expr, values: dict[tuple, list[Column]]) -> list[Column]:

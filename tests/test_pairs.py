@@ -181,3 +181,125 @@ def test_equal_rows_tie_in_high_dimension(spark):
         assert (got(d.argKmin(3, axis=1), "index")[:5] == [[i, i + 40, i + 80] for i in range(5)]).all() or str(d).startswith("Minus")
         first = got(d.argmin(axis=1), "index")[:, 0]
         assert (first < 40).all()
+
+
+# -- plans at size ---------------------------------------------------------------------
+def _sides(spark, m=7, n=23, dim=3, seed=4, big=1.0):
+    r = np.random.default_rng(seed)
+    left = spark.createDataFrame([(i, [float(v) for v in r.normal(0, big, dim)]) for i in range(m)], "i long, x array<double>")
+    right = spark.createDataFrame([(j, [float(v) for v in r.normal(0, big, dim)], float(r.normal())) for j in range(n)], "j long, y array<double>, b double").repartition(3)
+    return left, right
+
+
+@pytest.mark.parametrize("op", ["LogSumExp", "LogSumExpWeight", "Max_SumShiftExpWeight", "SumSoftMaxWeight", "KMin", "ArgKMin", "KMin_ArgKMin"])
+@pytest.mark.parametrize("big", [1.0, 60.0])
+def test_columns_merge_without_lists(spark, op, big):
+    """Sums of exponentials by buckets (exponents reach some tens of thousands) and K lowest by a window agree with the kernels."""
+    left, right = _sides(spark, big=big)
+    more = {"k": 4} if "K" in op else {}
+    weight = {"formula2": "b"} if "Weight" in op else {}
+    q = PairReduce("SqDist(x,y)" if "K" in op else "SqDist(x,y) - 5", ["x = Vi(3)", "y = Vj(3)", "b = Vj(1)"], op, 1, **more, **weight)
+    flat = lambda df: {r.i: [v for c in df.columns if c != "i" for v in r[c]] for r in df.collect()}
+    got, want = flat(q.run(left, right, strategy="columns")), flat(q.run(left, right))
+    assert set(got) == set(want) and all(np.allclose(got[i], want[i], rtol=1e-9, equal_nan=True) for i in got)
+
+
+def test_tile_is_bounded_by_the_widest_part():
+    import tracemalloc
+
+    from pairloom.operators.pairs import PairKernel, pair_width
+    from pairloom.operators.reductions import Reduction
+    from pairloom.plans.parse import parse
+
+    f, _ = parse("Sum(Abs(x-y))", ["x = Vi(300)", "y = Vj(300)"])
+    assert pair_width(f) == 300 and pair_width(parse("Exp(-SqDist(x,y))", ["x = Vi(300)", "y = Vj(300)"])[0]) == 1
+    x, y = (v.key for v in f.variables())
+    r = np.random.default_rng(0)
+    a, b = r.normal(size=(600, 300)), r.normal(size=(700, 300))
+    red = Reduction.of("Sum", 1)
+    tracemalloc.start()
+    state = PairKernel(f, None, red, 0, {}).fold(red.start(600), {x: a}, {y: b}, np.arange(700))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 250e6  # whole pairs would be 1 GB, twice
+    assert np.allclose(state[0][:5, 0], np.abs(a[:5, None] - b[None]).sum((1, 2)))
+
+
+def test_wide_points_and_wide_results(spark):
+    """300 components, and 300 result columns, by blocks and by the small side."""
+    r = np.random.default_rng(1)
+    x, y, b = r.normal(size=(20, 300)) / 17, r.normal(size=(30, 300)) / 17, r.normal(size=(30, 300))
+    left = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i long, x array<double>")
+    right = spark.createDataFrame([(j, v.tolist(), w.tolist()) for j, (v, w) in enumerate(zip(y, b, strict=True))], "j long, y array<double>, b array<double>")
+    k = np.exp(-((x[:, None] - y[None]) ** 2).sum(-1))
+    q = PairReduce("Exp(-SqDist(x,y))*b", ["x = Vi(300)", "y = Vj(300)", "b = Vj(300)"], "Sum", 1)
+    for strategy in ("auto", "blocks"):
+        got = {r.i: r.value for r in q.run(left, right, strategy=strategy).collect()}
+        assert np.allclose([got[i] for i in range(20)], k @ b)
+
+
+def test_hot_clusters_are_cut(spark, monkeypatch):
+    from pairloom.operators import pairs
+
+    monkeypatch.setattr(pairs, "BLOCK_ROWS", 4)
+    left, right = _sides(spark)
+    left, right = left.withColumn("bi", F.lit(0).cast("long")), right.withColumn("bj", (F.col("j") % 2).cast("long"))
+    ranges = spark.createDataFrame([(0, 0), (0, 1)], "bi long, bj long")
+    q = PairReduce("Exp(-SqDist(x,y))*b", ["x = Vi(3)", "y = Vj(3)", "b = Vj(1)"], "Sum", 1)
+    got, want = ({r.i: r.value[0] for r in x.collect()} for x in (q.run(left, right, ranges=ranges), q.run(left, right)))
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-12 for i in got)
+
+
+def test_ranged_tensor_is_transposed(spark):
+    left, right = _sides(spark)
+    left, right = left.withColumn("bi", F.col("i") % 3), right.withColumn("bj", F.col("j") % 4)
+    x, y = Vi(left, "x", dim=3), Vj(right, "y", dim=3)
+    k = (-x.sqdist(y)).exp()
+    k.ranges = spark.createDataFrame([(0, 1), (1, 1), (2, 3)], "bi long, bj long")
+    there, back = {r.j: r.value[0] for r in k.sum(axis=0).collect()}, {r.j: r.value[0] for r in k.t().sum(axis=1).collect()}
+    assert there.keys() == back.keys() and all(abs(there[j] - back[j]) < 1e-12 for j in there) and any(there.values())
+    assert {r.i: r.value for r in k.t().t().sum(axis=1).collect()} == {r.i: r.value for r in k.sum(axis=1).collect()}
+
+
+def test_gradient_of_solve(spark):
+    """Against finite differences of e . a by the right-hand side and by the points of either side."""
+    from pairloom.operators.solve import KernelSolve
+
+    r = np.random.default_rng(2)
+    x, y, b, e = r.normal(size=(5, 2)), None, r.normal(size=5), r.normal(size=5)
+    y = x.copy()
+    k = lambda x, y: np.exp(-((x[:, None] - y[None]) ** 2).sum(-1)) + 0.3 * np.eye(5)
+    value = lambda x, y, b: e @ np.linalg.solve(k(x, y), b)
+    left = spark.createDataFrame([(i, x[i].tolist()) for i in range(5)], "i long, x array<double>")
+    right = spark.createDataFrame([(j, y[j].tolist(), float(b[j]), float(e[j])) for j in range(5)], "j long, y array<double>, b double, eta double")
+    solver = KernelSolve("Exp(-SqDist(x,y))*b", ["x = Vi(2)", "y = Vj(2)", "b = Vj(1)"], "b")
+    for name, at in (("b", b), ("x", x), ("y", y)):
+        rows = solver.grad(name, left, right, alpha=0.3, eps=1e-11).collect()
+        got = np.array([r.value for r in sorted(rows, key=lambda r: r[0])]).reshape(at.shape)
+        for spot in np.ndindex(at.shape):
+            step = np.zeros_like(at)
+            step[spot] = 1e-6
+            args = {"x": x, "y": y, "b": b}
+            up, down = value(**args | {name: at + step}), value(**args | {name: at - step})
+            assert abs((up - down) / 2e-6 - got[spot]) < 1e-5
+    with pytest.raises(ArithmeticError, match="not solved in 1 iterations"):
+        solver.run(left, right, alpha=0.3, eps=1e-11, max_iterations=1)
+
+
+def test_bins_are_numbered_by_ranges(spark):
+    from pairloom.operators import cluster
+
+    r = np.random.default_rng(3)
+    pts = r.uniform(-2, 2, (200, 2))
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(pts)], "i long, x array<double>")
+    binned = cluster.grid_cluster(df, "x", 0.5, 2)
+    got = {r.i: r.label for r in binned.collect()}
+    bins = [tuple(np.floor(p / 0.5)) for p in pts]
+    rank = {b: k for k, b in enumerate(sorted(set(bins)))}
+    assert got == {i: rank[b] for i, b in enumerate(bins)}
+    ranges = sorted(tuple(r) for r in cluster.cluster_ranges(binned, "label").collect())
+    assert ranges[0][1] == 0 and ranges[-1][2] == 200 and all(a[2] == b[1] for a, b in zip(ranges, ranges[1:], strict=False))
+    means = cluster.cluster_centroids(binned, "x", "label", 2)
+    near = {tuple(r) for r in cluster.close_blocks(means, means, 0.8).collect()}
+    c = {r.label: np.array(r.centroid) for r in means.collect()}
+    assert near == {(a, b) for a in c for b in c if ((c[a] - c[b]) ** 2).sum() < 0.64}
