@@ -287,9 +287,14 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, with_ids
     return id_text(docs).mapInArrow(run, schema)
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, with_ids: bool = False, nodes: int = NODES) -> DataFrame:
     """Pieces of all documents with their ``sequence_id`` and ``offset``.
 
+    The search for fewer sequences opens ``nodes`` nodes beyond one for each
+    length there is; then the best packing so far stands, which never needs
+    more sequences than best fit.  The bound is one for the whole corpus, as
+    the search is over the histogram of lengths.
+
     A null or empty text is the end id alone; rows that repeat are documents of
     their own; a null ``doc_id`` stays null.  Only documents longer than
     ``capacity`` are cut, and only their first piece may be shorter.  An empty
@@ -302,7 +307,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     shift = counts.select("part", "length", F.coalesce(F.sum(F.col("top") + 1).over(before), F.lit(0)).alias("shift"))
     # at most one row for each length up to the capacity
     histogram = {r[0]: r[1] for r in cut.where(F.col("length") < capacity).groupBy("length").count().collect()}
-    slots = Slots(bin_completion(histogram, capacity), capacity)
+    slots = Slots(bin_completion(histogram, capacity, nodes), capacity)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -767,6 +767,45 @@ def test_op10_search(seed):
     assert bins == fewest(sorted(sizes.tolist(), reverse=True), [])
 
 
+def fewest_sequences(sizes, capacity, most):
+    """The exact optimum by depth-first search; ``most`` is known to do."""
+    sizes = sorted(sizes, reverse=True)
+    best, behind = [most], [sum(sizes[k:]) for k in range(len(sizes) + 1)]
+
+    def go(k, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if k == len(sizes):
+            best[0] = len(rooms)
+            return
+        if len(rooms) + max(0, -(-(behind[k] - sum(rooms)) // capacity)) >= best[0]:
+            return
+        for r in sorted(set(rooms)):
+            if r >= sizes[k]:
+                rest = list(rooms)
+                rest.remove(r)
+                go(k + 1, [*rest, r - sizes[k]])
+        go(k + 1, [*rooms, capacity - sizes[k]])
+
+    go(0, [])
+    return best[0]
+
+
+def test_op10_is_optimal_on_small_instances():
+    assert sum(n for _, n in packing.bin_completion(collections.Counter([30, 26, 23, 20, 19, 14, 13, 11, 8, 7, 7]), 60)) == 3
+    beaten = 0
+    for seed in range(600):
+        r = np.random.default_rng(seed)
+        capacity = int(r.choice([60, 100, 150]))
+        low, high = [(1, capacity), (capacity // 10, capacity // 2), (capacity // 6, capacity // 2), (3, capacity // 3)][seed % 4]
+        sizes = r.integers(low, high + 1, int(r.integers(9, 15))).tolist()
+        fit = sum(n for _, n in packing.best_fit_decreasing(collections.Counter(sizes), capacity))
+        found = sum(n for _, n in packing.bin_completion(collections.Counter(sizes), capacity))
+        assert found == fewest_sequences(sizes, capacity, fit)
+        beaten += found < fit
+    assert beaten > 20
+
+
 def test_op10_fillings_of_many_pieces():
     # only five more pieces fill the room: 30 + (15 + 14 + 13 + 14 + 14)
     counts = np.bincount([15, 14, 14, 14, 13, 19, 11], minlength=101)
