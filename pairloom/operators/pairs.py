@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from pairloom.functions.ops import Precision
 from pairloom.operators.reductions import EXPONENTIAL, K_LOWEST, VALUE_ARG, Reduction
-from pairloom.plans.evaluate import as_columns, on_blocks
+from pairloom.plans.evaluate import as_columns, on_blocks, shared_subtrees
 from pairloom.plans.expr import PM, VI, VJ, Expr, Var
 from pairloom.session import ship
 
@@ -305,6 +305,11 @@ def _by_columns(kernel, kept, other, kept_vars, other_vars, kept_id, other_id, k
 
     values = {v.key: parts("a", v) for v in kept_vars} | {v.key: parts("b", v) for v in other_vars}
     values |= {k: [F.lit(float(x)) for x in v] for k, v in kernel.params.items()}
+    # what occurs more than once becomes columns, which later ones refer to
+    for n, e in enumerate(shared_subtrees(*(x for x in (kernel.formula, kernel.weight) if x is not None))):
+        names = [f"_s{n}_{d}" for d in range(e.dim)]
+        pairs = pairs.withColumns(dict(zip(names, as_columns(e, values), strict=True)))
+        values[e.key] = [F.col(c) for c in names]
     r = kernel.reduction
     f = as_columns(kernel.formula, values)
     j = F.col(f"b_{other_id}")

@@ -7,18 +7,23 @@ products reach the driver.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.plans.expr import VI, VJ, Var, call
-from pairloom.session import checkpoints
+from pairloom.session import checkpoints, ship
 
 
-def solve(kernel, table: DataFrame, row_id: str, b: str, alpha: float = 1e-10, eps: float = 1e-6, max_iterations: int = 500, preconditioner: str | None = None) -> DataFrame:
+def solve(kernel, table: DataFrame, row_id: str, b: str, alpha: float = 1e-10, eps: float = 1e-6, max_iterations: int = 500, preconditioner: str | None = None, landmarks: int = 100) -> DataFrame:
     """(row id, value): stops when |r|^2 < size(b) * eps^2, or after ``max_iterations``.
 
     ``kernel`` is a symmetric tensor of dim 1 between the table and itself.
-    ``preconditioner``: "diagonal" divides residuals by the diagonal of K + alpha.
+    ``preconditioner``: "diagonal" divides residuals by the diagonal of K + alpha;
+    "nystrom" applies the inverse of alpha plus the kernel's approximation by
+    ``landmarks`` rows, chosen by a hash of their id, which is one number for
+    each landmark and row, and pays where alpha is small.
     Raises ``ArithmeticError`` if the residual is still larger after
     ``max_iterations``, and ``ValueError`` for a curvature that isn't positive,
     as the matrix then isn't positive definite.
@@ -58,10 +63,22 @@ def solve(kernel, table: DataFrame, row_id: str, b: str, alpha: float = 1e-10, e
         values |= {v.key: [F.lit(float(x)) for x in kernel.params[v.name]] for v in kernel.expr.variables() if v.name in kernel.params}
         start = start.join(diag.select(F.col(row_id).cast("long").alias(row_id), (as_columns(kernel.expr, values)[0] + alpha).alias("m")), row_id)
         scale = F.col("m")
+    nystrom = None
+    if preconditioner == "nystrom":
+        nystrom = _Nystrom(kernel, table, row_id, landmarks, alpha)
+        start = start.join(nystrom.features.withColumnRenamed(nystrom.row_id, row_id), row_id)
+        scale = F.col("features")
     state = start.select(row_id, F.transform("b", lambda x: x * 0.0).alias("a"), F.col("b").alias("r"), scale.alias("m"))
-    precond = lambda r: F.transform(r, lambda x: x / F.col("m"))
-    state = state.withColumn("p", precond("r")).checkpoint()
-    n, rr, rz = state.select(F.count(F.lit(1)), _dot("r", "r"), F.sum(F.aggregate(F.zip_with("r", precond("r"), lambda u, v: u * v), F.lit(0.0), lambda u, v: u + v))).first()
+
+    def conditioned(state: DataFrame) -> DataFrame:
+        """Adds z, the preconditioned residual."""
+        if nystrom is not None:
+            return nystrom.apply(state, dim)
+        return state.withColumn("z", F.transform("r", lambda x: x / F.col("m")))
+
+    state = conditioned(state).withColumn("p", F.col("z")).checkpoint()
+    n, rr, rz = state.select(F.count(F.lit(1)), _dot("r", "r"), _dot("r", "z")).first()
+    state = state.drop("z")
     done = 0
     while n and rr >= n * dim * eps * eps:
         if done == max_iterations:
@@ -73,13 +90,72 @@ def solve(kernel, table: DataFrame, row_id: str, b: str, alpha: float = 1e-10, e
             raise ValueError("the kernel matrix is not positive definite")
         step = rz / pq
         state = state.select(row_id, _axpy("a", "p", step).alias("a"), _axpy("r", "q", -step).alias("r"), "m", "p")
-        state = state.withColumn("z", precond("r")).checkpoint()
+        state = conditioned(state.checkpoint() if nystrom is not None else state).checkpoint()
         rr, new = state.select(_dot("r", "r"), _dot("r", "z")).first()
         state = state.select(row_id, "a", "r", "m", _axpy("z", "p", new / rz).alias("p"))
         rz = new
     return state.select(row_id, F.col("a").alias("value"))
 
 
+class _Nystrom:
+    """z = (alpha + U M^-1 U') ^-1 r, where U has the kernel between all rows and a few landmarks, M among those.
+
+    By the identity of Woodbury that is (r - U (alpha M + U'U)^-1 U'r) / alpha:
+    sums over rows of as many numbers as there are landmarks, squared once.
+    """
+
+    def __init__(self, kernel, table: DataFrame, row_id: str, landmarks: int, alpha: float):
+        from pairloom.operators.pairs import _table, _vars, name_of
+        from pairloom.plans.evaluate import on_blocks
+
+        near, self.row_id, *_ = kernel.tables[VI]
+        expr = kernel.expr
+        mine, theirs = _vars([expr], VI), _vars([expr], VJ)
+        params = {v.key: np.asarray(kernel.params[v.name], float)[None, None] for v in expr.variables() if v.name in kernel.params}
+        chosen = table.orderBy(F.xxhash64(row_id), row_id).limit(landmarks).select(*(name_of(v) for v in theirs)).toArrow()
+        there = {k: v[None] for k, v in _table(chosen, theirs).items()}
+        count, kept_id = chosen.num_rows, self.row_id
+
+        def run(batches):
+            for b in batches:
+                if b.num_rows:
+                    here = {k: v[:, None] for k, v in _table(b, mine).items()}
+                    u = np.broadcast_to(on_blocks(expr, params | here | there), (b.num_rows, count, 1))[..., 0]
+                    yield pa.RecordBatch.from_arrays([b[kept_id].cast(pa.int64()), pa.array(list(u), pa.list_(pa.float64()))], [kept_id, "features"])
+
+        ship(near.sparkSession)
+        self.features = near.select(kept_id, *(name_of(v) for v in mine)).mapInArrow(run, f"{kept_id} long, features array<double>").checkpoint()
+        self.alpha, self.count = alpha, count
+        gram = self._sums(self.features.select(F.col("features").alias("m"), F.col("features").alias("r")), count)
+        own = near.join(table.orderBy(F.xxhash64(row_id), row_id).limit(landmarks).select(F.col(row_id).alias(kept_id), F.xxhash64(row_id).alias("_h")), kept_id)
+        among = own.select(kept_id, "_h").join(self.features, kept_id).orderBy("_h", kept_id).select("features").collect()  # as many rows as landmarks
+        small = np.array([r[0] for r in among]).reshape(count, count)
+        system = alpha * small + gram
+        self.inverse = np.linalg.pinv((system + system.T) / 2)
+
+    @staticmethod
+    def _sums(rows: DataFrame, width: int) -> np.ndarray:
+        """Sum over rows of the products of m with r: (length of m, ``width``)."""
+
+        def run(batches):
+            total = None
+            for b in batches:
+                if b.num_rows:
+                    m, r = (np.array(b[c].to_pylist(), float).reshape(b.num_rows, -1) for c in ("m", "r"))
+                    total = m.T @ r + (0 if total is None else total)
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(list(total), pa.list_(pa.float64()))], ["k", "s"])
+
+        parts = rows.mapInArrow(run, "k long, s array<double>").groupBy("k").agg(F.array(*(F.sum(F.col("s")[d]) for d in range(width))).alias("s"))
+        return np.array([r[0] for r in parts.orderBy("k").select("s").collect()]).reshape(-1, width)
+
+    def apply(self, state: DataFrame, dim: int) -> DataFrame:
+        sent = (self.inverse @ self._sums(state.select("m", "r"), dim)).tolist()
+        weights = F.array(*(F.array(*(F.lit(float(row[d])) for row in sent)) for d in range(dim)))
+        dot = lambda w: F.aggregate(F.zip_with("m", w, lambda u, v: u * v), F.lit(0.0), lambda u, v: u + v)
+        return state.withColumn("z", F.zip_with("r", F.transform(weights, dot), lambda r, s: (r - s) / F.lit(float(self.alpha))))
+
+
 class KernelSolve:
     """The formula form: ``KernelSolve("Exp(-SqDist(x,y))*b", [...], "b")``; b is the unknown's variable."""
 
@@ -97,11 +173,11 @@ class KernelSolve:
         self.unknown = v
         assert not isinstance(self.kernel, Op) or self.kernel.dim == 1, "the formula must be a scalar kernel times the unknown"
 
-    def run(self, left: DataFrame, right: DataFrame, params: dict | None = None, alpha: float = 1e-10, eps: float = 1e-6, left_id: str = "i", right_id: str = "j", max_iterations: int = 500) -> DataFrame:
+    def run(self, left: DataFrame, right: DataFrame, params: dict | None = None, alpha: float = 1e-10, eps: float = 1e-6, left_id: str = "i", right_id: str = "j", max_iterations: int = 500, preconditioner: str | None = None, landmarks: int = 100) -> DataFrame:
         from pairloom.tensor import SymTensor
 
         t = SymTensor(self.kernel, {VI: (left, left_id, []), VJ: (right, right_id, [])}, {k: list(x) for k, x in (params or {}).items()})
-        return solve(t, right, right_id, self.unknown.name, alpha, eps, max_iterations)
+        return solve(t, right, right_id, self.unknown.name, alpha, eps, max_iterations, preconditioner, landmarks)
 
 
     def grad(self, v: str, left: DataFrame, right: DataFrame, e: str = "eta", params: dict | None = None, alpha: float = 1e-10, eps: float = 1e-6, left_id: str = "i", right_id: str = "j", max_iterations: int = 500) -> DataFrame:

@@ -36,14 +36,36 @@ def on_blocks(e: Expr, values: dict[tuple, np.ndarray]) -> np.ndarray:
     return out
 
 
+def shared_subtrees(*trees: Expr) -> list[Expr]:
+    """Operations that occur more than once, innermost first: those that are worth a column of their own.
+
+    A subtree that only occurs within another shared one is that one's business.
+    """
+    seen: dict[tuple, int] = {}
+    order: list[Expr] = []
+
+    def go(n: Expr) -> None:
+        if not n.children:
+            return
+        seen[n.key] = seen.get(n.key, 0) + 1
+        if seen[n.key] == 1:
+            for c in n.children:
+                go(c)
+            order.append(n)
+
+    for t in trees:
+        go(t)
+    return [n for n in order if seen[n.key] > 1]
+
+
 def as_columns(e: Expr, values: dict[tuple, list[Column]]) -> list[Column]:
-    """One DOUBLE column for each component of ``e``."""
+    """One DOUBLE column for each component of ``e``; ``values`` may also have those of subtrees."""
     memo: dict[tuple, list[Column]] = {}
 
     def go(n: Expr) -> list[Column]:
         k = n.key
         if k not in memo:
-            if isinstance(n, Var):
+            if k in values:
                 memo[k] = values[k]
             elif isinstance(n, Const):
                 memo[k] = [F.lit(float(n.value))]

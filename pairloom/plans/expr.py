@@ -77,6 +77,9 @@ class Expr:
         for c in self.children:
             yield from c.walk()
 
+    def contains(self, part: Expr) -> bool:
+        return any(n.key == part.key for n in self.walk())
+
     def variables(self) -> list[Var]:
         found: dict[tuple, Var] = {}
         for n in self.walk():

@@ -261,11 +261,14 @@ class SymTensor:
     def laplacian(self, v):
         return self._with(diff.laplacian(self.expr, self._v(v)), v)
 
-    def factorize(self, _=None):
-        """Equal subexpressions are evaluated once anyway."""
+    def factorize(self, part: SymTensor):
+        """The same tensor; ``part``, which must occur in it, is evaluated once, as all that occurs twice is."""
+        if not self.expr.contains(part.expr):
+            raise ValueError("not a part of the tensor")
         return self
 
-    auto_factorize = factorize
+    def auto_factorize(self):
+        return self
 
     # -- linear operators ----------------------------------------------------------
     def t(self) -> SymTensor:

@@ -148,6 +148,7 @@ _VECTOR = {
     "adjointoperator": ("AdjointOperator(MatVecMult(TensorProd(y, y), x), x, y)", [f"y{k} * {_YY}" for k in (1, 2, 3)]),
     "traceoperator": ("TraceOperator(MatVecMult(TensorProd(y, y), x), x)", [_YY]),
     "sumlinoperator": ("SumLinOperator(MatVecMult(TensorProd(y, y), x), x)", ["(y1+y2+y3)*(y1+y2+y3)"]),
+    "factorize_part": ("Factorize(Exp(-SqDist(x, y)) * (1 + Exp(-SqDist(x, y))), SqDist(x, y))", [f"exp(-{_D2}) + exp(-{_D2})*exp(-{_D2})"]),
     "factorize": ("AutoFactorize(Exp(-SqDist(x, y)) + Square(Exp(-SqDist(x, y))))", [f"exp(-{_D2}) + exp(-{_D2})*exp(-{_D2})"]),
 }
 for _name, (_formula, _cols) in _VECTOR.items():

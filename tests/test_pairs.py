@@ -303,3 +303,28 @@ def test_bins_are_numbered_by_ranges(spark):
     near = {tuple(r) for r in cluster.close_blocks(means, means, 0.8).collect()}
     c = {r.label: np.array(r.centroid) for r in means.collect()}
     assert near == {(a, b) for a in c for b in c if ((c[a] - c[b]) ** 2).sum() < 0.64}
+
+
+def test_nystrom_preconditioner(spark):
+    """With as many landmarks as the kernel has rank, a few steps instead of dozens."""
+    r = np.random.default_rng(5)
+    x, b = r.normal(size=(60, 2)), r.normal(size=60)
+    left = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i long, x array<double>")
+    right = spark.createDataFrame([(j, v.tolist(), float(c)) for j, (v, c) in enumerate(zip(x, b, strict=True))], "j long, y array<double>, b double")
+    solver = KernelSolve("Exp(-SqDist(x,y))*b", ["x = Vi(2)", "y = Vj(2)", "b = Vj(1)"], "b")
+    want = np.linalg.solve(np.exp(-((x[:, None] - x[None]) ** 2).sum(-1)) + 0.01 * np.eye(60), b)
+    out = solver.run(left, right, alpha=0.01, eps=1e-6, max_iterations=7, preconditioner="nystrom", landmarks=45)
+    assert np.allclose(got(out, key="j")[:, 0], want, atol=1e-3)
+    with pytest.raises(ArithmeticError):
+        solver.run(left, right, alpha=0.01, eps=1e-6, max_iterations=7)
+
+
+def test_shared_subtrees_become_columns(spark):
+    left, right = _sides(spark)
+    q = PairReduce("AutoFactorize(Exp(-SqDist(x,y)) * (1 + Exp(-SqDist(x,y))))", ["x = Vi(3)", "y = Vj(3)"], "Sum", 1)
+    out = q.run(left, right, strategy="columns")
+    assert out._jdf.queryExecution().optimizedPlan().toString().lower().count("exp(") <= 2  # once as written, and once in the name of a column
+    a, b = ({r.i: r.value[0] for r in x.collect()} for x in (out, q.run(left, right)))
+    assert all(abs(a[i] - b[i]) < 1e-12 for i in a)
+    with pytest.raises(ValueError, match="no part"):
+        PairReduce("Factorize(Exp(-SqDist(x,y)), Square(y))", ["x = Vi(3)", "y = Vj(3)"], "Sum", 1)
