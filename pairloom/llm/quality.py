@@ -44,6 +44,8 @@ STARTS = 2
 PICKS = 40
 #: Estimates up to this many are broadcast (about 300 bytes each).
 BROADCAST_ROWS = 100_000
+#: Groups whose sums one task puts together and turns into estimates.
+GROUPS_PER_TASK = 5_000
 #: Groups with fewer rows are estimated with all small groups of their language.
 MIN_ROWS = 100
 DIMENSIONS = 4
@@ -144,6 +146,11 @@ def _moments(rows: DataFrame) -> DataFrame:
     )
 
 
+def _few(sums: DataFrame, many: int) -> DataFrame:
+    """Aggregates of ``many`` groups in as few tasks as they need: one group is one small row."""
+    return sums.coalesce(max(1, many // GROUPS_PER_TASK))
+
+
 def _estimate(rows: DataFrame) -> DataFrame:
     """key, start, center, precision, logdet from moments: one small row for each group and start."""
     p = DIMENSIONS
@@ -179,11 +186,13 @@ def estimates(vectors: DataFrame) -> DataFrame:
     """key, center, precision: the minimum-covariance-determinant estimate of each key."""
     p = DIMENSIONS
     xs = [F.col(f"x{i}") for i in range(p)]
-    middle = materialise(vectors.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.array(*(F.percentile_approx(x, 0.5, 1000) for x in xs)).alias("center")), "mcd")
+    middle = vectors.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.array(*(F.percentile_approx(x, 0.5, 1000) for x in xs)).alias("center"))
+    middle = materialise(middle, "mcd")
     many = middle.count() * (STARTS + 1)  # rows of every small table below, at most
     apart = _joined(vectors, middle, "key", many).groupBy("key").agg(
         F.first("center").alias("center"), *(F.percentile_approx(F.abs(x - F.col("center")[i]), 0.5, 1000).alias(f"m{i}") for i, x in enumerate(xs))
     )
+    apart = _few(apart, many)
     # a normal deviate is 1.4826 median absolute deviations
     spread = [F.pow(1.4826 * F.col(f"m{i}"), 2) + FLOORS[i] ** 2 for i in range(p)]
     mad = F.array(*(1 / spread[i] if i == j else F.lit(0.0) for i in range(p) for j in range(p))).alias("precision")
@@ -191,12 +200,13 @@ def estimates(vectors: DataFrame) -> DataFrame:
     # rows whose hash falls low: which ones depends on the rows alone, so a lost task makes the same start again
     start = F.explode(F.array(*(F.lit(k) for k in range(1, STARTS + 1)))).alias("start")
     picked = _joined(vectors, middle, "key", many).select("key", "rows", *xs, start).where(F.pmod(F.xxhash64(*xs, "start"), F.col("rows")) < PICKS)
-    now = materialise(now.unionByName(_estimate(_moments(picked))), "mcd")
+    now = materialise(now.unionByName(_estimate(_few(_moments(picked), many))), "mcd")
     for _ in range(STEPS):
         near = _joined(vectors, now, "key", many).withColumn("d2", _distance())
-        edge = materialise(near.groupBy("key", "start").agg(F.percentile_approx("d2", F.lit(KEEP), F.lit(2000)).alias("edge")), "mcd")
+        edge = near.groupBy("key", "start").agg(F.percentile_approx("d2", F.lit(KEEP), F.lit(2000)).alias("edge"))
+        edge = materialise(_few(edge, many), "mcd")
         core = _joined(near, edge, ["key", "start"], many).where(F.col("d2") <= F.col("edge"))
-        after = materialise(_estimate(_moments(core)), "mcd")
+        after = materialise(_estimate(_few(_moments(core), many)), "mcd")
         old = now.select("key", "start", F.col("logdet").alias("before"))
         moved = after.join(old, ["key", "start"]).agg(F.max(F.coalesce(F.abs(F.col("logdet") - F.col("before")), F.lit(1e9)))).first()[0]
         discard(now, edge)
@@ -204,7 +214,7 @@ def estimates(vectors: DataFrame) -> DataFrame:
         if moved is None or moved < SETTLED:
             break
     best = F.min_by(F.struct("center", "precision"), F.struct("logdet", "start")).alias("m")
-    out = materialise(now.groupBy("key").agg(best).select("key", "m.center", "m.precision"), "mcd")
+    out = materialise(_few(now.groupBy("key").agg(best).select("key", "m.center", "m.precision"), many), "mcd")
     discard(now, middle)
     return out
 
