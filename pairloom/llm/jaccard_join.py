@@ -64,6 +64,8 @@ FREQUENT = 65_536
 OFTEN = 6
 #: A round that leaves more of its sets than this share settles nothing any more.
 STALLED = 0.7
+#: Rows of a later round that may be broadcast, below 100 bytes each.
+BROADCAST_TASKS = 200_000
 #: Rows of one long each that may be broadcast.
 BROADCAST_ROWS = 2_000_000
 
@@ -604,11 +606,15 @@ def _blocks_of(members: DataFrame) -> DataFrame:
 
 
 def _verified(docs: DataFrame, rows: DataFrame, size: int, percent: int, name: str) -> DataFrame:
-    """Links within the tasks of ``rows`` (task, cls, rep, d1, label, left, cross); texts join them by id."""
+    """Links within the tasks of ``rows`` (task, cls, rep, d1, label, left, cross); texts join them by id.
+
+    ``name``: "links" is the first round.
+    """
     many = partitions(docs.sparkSession)
     texts = id_text(docs).where(F.col("doc_id").isNotNull()).withColumnRenamed("doc_id", "rep")
-    # one plan at every size: texts are shuffled by id even where the rows would fit a broadcast
-    loaded = texts.join(rows.hint("merge"), "rep").repartition(many, "task").sortWithinPartitions("task", "cls")
+    # the first round asks for most texts and always shuffles them by id; later ones ask for few
+    few = name != "links" and rows.count() <= BROADCAST_TASKS
+    loaded = texts.join(F.broadcast(rows) if few else rows.hint("merge"), "rep").repartition(many, "task").sortWithinPartitions("task", "cls")
     return materialise(loaded.mapInArrow(_verify(size, percent), "a long, b long"), name)
 
 
@@ -661,7 +667,7 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> Data
         left = roots.count()
         if last_round or not left or left > STALLED * sets:
             break
-        links.append(_verified(docs, roots.select(task, "cls", "rep", "d1", *plain), size, percent, "links"))
+        links.append(_verified(docs, roots.select(task, "cls", "rep", "d1", *plain), size, percent, "later"))
         last_round = not roots.where("blocks > 1").limit(1).count()
         now, sets = roots.drop("blocks", "sets", "block"), left
     every = links[0]
@@ -709,7 +715,7 @@ def _across_blocks(docs: DataFrame, members: DataFrame, met: DataFrame, heads: D
     lists = found.groupBy("cell", "low", "high").agg(F.array_distinct(F.flatten(F.collect_list("sets"))).alias("sets"))
     ask = lists.select(F.xxhash64("cell", "low", "high").alias("task"), "low", F.explode("sets").alias("cls"))
     tasks = ask.join(open_, "cls").select("task", "cls", "rep", "d1", "label", (F.col("block") == F.col("low")).alias("left"), F.lit(True).alias("cross"))
-    out = _verified(docs, tasks, size, percent, "links")
+    out = _verified(docs, materialise(tasks, "tasks"), size, percent, "across")
     discard(found, open_)
     return out
 
@@ -724,3 +730,17 @@ def keep_first(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     name = free_name(docs, "gone_id")
     gone = same.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias(name)).distinct()
     return docs.join(gone, docs["doc_id"] == F.col(name), "left_anti")
+
+
+def oracle(size: int, percent: int) -> str:
+    """The same by a join of all shingle rows and a recursive search for what links reach."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return rf"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[ \t-\r]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i : i + {size - 1}], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - {size - 1}, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= {percent} * (first(x.n) + first(y.n) - count(*))),
+c AS (SELECT DISTINCT a, b FROM l UNION SELECT c.a, l.b FROM c JOIN l ON l.a = c.b)
+SELECT CAST(w.doc_id AS BIGINT) AS doc_id, CAST(coalesce(first(n.n), 0) AS BIGINT) AS n_shingles, CAST(least(w.doc_id, coalesce(min(c.b), w.doc_id)) AS BIGINT) AS component_id
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN c ON c.a = w.doc_id GROUP BY w.doc_id"""
