@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pairloom.llm import bpe, jaccard_join, license_scan, ngram_lm, packing, quality, sstable, suffix_dedup, token_counts, winnow
 from pairloom.llm._shared import documents
@@ -38,7 +39,8 @@ def op6_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_lm.score_documents(documents(spark, sf_dir))
+    scored = ngram_lm.score_documents(documents(spark, sf_dir))
+    return scored.withColumn("log_score", F.round("log_score", ngram_lm.DIGITS) + F.lit(0.0))
 
 
 def op8_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,4 +68,9 @@ QUERIES = {
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLES: dict[str, str] = {"op8_license_digests": license_scan.oracle()}
+ORACLES: dict[str, str] = {
+    "op4_suffix_array_dedup": suffix_dedup.oracle(),
+    "op7_stupid_backoff": ngram_lm.oracle(),
+    "op8_license_digests": license_scan.oracle(),
+    "op9_ngram_jaccard": jaccard_join.oracle(size=3, percent=90),
+}

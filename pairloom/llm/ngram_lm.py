@@ -41,6 +41,9 @@ BLOCK_BYTES = 8 * 1024 * 1024
 #: n-grams are told apart by so many bits of their hash.
 _BITS = np.uint64(16)
 _EMPTY = np.uint64(0)
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Digits behind the point that the query shows of a score.
+DIGITS = 6
 
 
 def _grams(words: np.ndarray) -> list[np.ndarray]:
@@ -187,3 +190,25 @@ def score_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFram
     answered = to_range.mapInArrow(_add_up, "block string, bucket int, n int, totals binary")
     to_block = answered.repartition(many, "block").sortWithinPartitions("block", "bucket")
     return to_block.mapInArrow(_score, "doc_id long, n_words long, log_score double, n_backed_off long")
+
+
+def oracle() -> str:
+    """The scores by joins of rows: exploded n-grams, count tables, sums for each document."""
+    count = lambda k: f"coalesce(c{k}.n, 0)"
+    return rf"""
+WITH w AS (SELECT doc_id, row_number() OVER () AS d, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[ \t-\r]+'), lambda x: x <> '') AS ws FROM documents),
+p AS (SELECT d, i, ws[i] AS w1, CASE WHEN i >= 2 THEN ws[i - 1] || ' ' || ws[i] END AS w2, CASE WHEN i >= 3 THEN ws[i - 2] || ' ' || ws[i - 1] || ' ' || ws[i] END AS w3
+  FROM (SELECT d, ws, unnest(range(1, len(ws) + 1)) AS i FROM w)),
+g AS (SELECT d, g, count(*) AS n FROM (SELECT d, w1 AS g FROM p UNION ALL SELECT d, w2 FROM p UNION ALL SELECT d, w3 FROM p) WHERE g IS NOT NULL GROUP BY d, g),
+t AS (SELECT g, sum(n) AS n FROM g GROUP BY g),
+r AS (SELECT d, g, t.n - g.n AS n FROM g JOIN t USING (g)),
+a AS (SELECT sum(len(ws)) AS words FROM w),
+c AS (SELECT p.d, p.i, {count(1)}::DOUBLE AS n1, {count(2)}::DOUBLE AS n2, {count(3)}::DOUBLE AS n3
+  FROM p LEFT JOIN r c1 ON c1.d = p.d AND c1.g = p.w1 LEFT JOIN r c2 ON c2.d = p.d AND c2.g = p.w2 LEFT JOIN r c3 ON c3.d = p.d AND c3.g = p.w3),
+s AS (SELECT c.*, lag(n1) OVER (PARTITION BY d ORDER BY i) AS before1, lag(n2) OVER (PARTITION BY d ORDER BY i) AS before2, (a.words - len(w.ws))::DOUBLE AS rest FROM c JOIN w USING (d), a),
+s1 AS (SELECT *, CASE WHEN n1 > 0 THEN n1 / greatest(rest, 1) ELSE {BACKOFF}::DOUBLE / (rest + 1) END AS x1 FROM s),
+s2 AS (SELECT *, CASE WHEN i < 2 THEN x1 WHEN n2 > 0 THEN n2 / before1 ELSE {BACKOFF}::DOUBLE * x1 END AS x2 FROM s1),
+s3 AS (SELECT *, CASE WHEN i < 3 THEN x2 WHEN n3 > 0 THEN n3 / before2 ELSE {BACKOFF}::DOUBLE * x2 END AS x3 FROM s2),
+f AS (SELECT d, sum(ln(x3)) AS score, count(*) FILTER ((i = 2 AND n2 = 0) OR (i > 2 AND n3 = 0)) AS backed FROM s3 GROUP BY d)
+SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(len(ws) AS BIGINT) AS n_words, round(coalesce(score, 0::DOUBLE), {DIGITS}) + 0.0::DOUBLE AS log_score, CAST(coalesce(backed, 0) AS BIGINT) AS n_backed_off
+FROM w LEFT JOIN f USING (d)"""

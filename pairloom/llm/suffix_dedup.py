@@ -530,3 +530,19 @@ def remove_repeats(docs: DataFrame, whole_characters: bool = False, digest: bool
     fields += [T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")] * counts
     plain = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(fields)])
     return tasks.mapInArrow(_finish(whole_characters, names, digest, counts), plain).toDF(*(f.name for f in fields))
+
+
+def oracle() -> str:
+    """The same by every string of every text, as hexadecimal digits of its bytes."""
+    return f"""
+WITH h AS (SELECT doc_id, row_number() OVER () AS d, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT d, doc_id, p, substr(h, 2 * p - 1, {2 * LENGTH}) AS s FROM (SELECT d, doc_id, h, unnest(range(1, len(h) // 2 - {LENGTH} + 2)) AS p FROM h)),
+m AS (SELECT s, min(doc_id) AS first FROM s GROUP BY s),
+hit AS (SELECT d, p FROM s JOIN m USING (s) WHERE m.first < s.doc_id),
+b AS (SELECT d, q, substr(h, 2 * q - 1, 2) AS x FROM (SELECT d, h, unnest(range(1, len(h) // 2 + 1)) AS q FROM h)),
+g AS (SELECT b.d, q, x, coalesce(max(hit.p) OVER (PARTITION BY b.d ORDER BY q) > q - {LENGTH}, false) AS gone FROM b LEFT JOIN hit ON hit.d = b.d AND hit.p = b.q),
+e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY d ORDER BY q), false) AS begins FROM g),
+f AS (SELECT d, count(*) FILTER (gone) AS removed, count(*) FILTER (begins) AS spans, string_agg(x, '' ORDER BY q) FILTER (NOT gone) AS kept FROM e GROUP BY d)
+SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM h LEFT JOIN f USING (d)"""
