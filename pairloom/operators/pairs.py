@@ -209,8 +209,9 @@ def _by_small_side(spark, kernel, kept, other, kept_vars, other_vars, kept_id, o
     reduction = kernel.reduction
     # a small file is one partition however many pairs its rows make
     work = len(ids) * max(pair_width(kernel.formula, reduction.name in K_LOWEST or reduction.name in VALUE_ARG), 1)
-    if work * 64 > TASK and (tasks := -(-kept.count() * work // TASK)) > 1:
-        kept = kept.repartition(int(min(tasks, 64 * spark.sparkContext.defaultParallelism)))
+    most = 8 * spark.sparkContext.defaultParallelism
+    if work * 1000 > TASK and (tasks := -(-kept.select(F.lit(1)).limit(most * TASK // work + 1).count() * work // TASK)) > 1:
+        kept = kept.repartition(int(min(tasks, most)))
     kind = reduction.partial_type
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
