@@ -7,10 +7,14 @@ strings meet where, and what has equal hashes is compared byte by byte.
  1. Texts are written in blocks to the shared folder.  Of every string of
     LENGTH bytes the smallest hash of its ``SEED``-byte parts is an anchor; equal
     strings have equal anchors, so strings can only match where anchors do.
- 2. Anchors of a block go, sorted and as differences, to the task of their hash
-    range, which answers with one bit each: in two documents or not.
+ 2. Anchors of a block go, sorted and as differences, to the task of their key
+    range, which answers with those that two documents have.  Keys are hashed
+    once more: anchors are smallest hashes, so ranges of these would be uneven.
  3. Around each repeated anchor lie all strings that have it: its context.
-    Distinct contexts of a block go to the shard of the anchor's hash range.
+    Distinct contexts of a block go to the shard of the anchor's key range.
+    An anchor that may have more than ``HOT`` contexts would be one task's:
+    its strings are asked for one by one instead (step 2 again, with strings
+    for anchors), and repeated ones go to the shard of their own key.
  4. A shard sorts the suffixes of its contexts (Larsson-Sadakane), finds
     common prefixes (Kasai), and so the classes of equal strings and the
     smallest document of each.  Contexts of one anchor beyond ``SHARD`` are
@@ -44,6 +48,14 @@ SEED = 18
 BLOCK_BYTES = 8 * 1024 * 1024
 #: Contexts in one suffix array.
 SHARD = 40_000
+#: Contexts that an anchor may have before its strings are dealt one by one.
+HOT = 40_000
+#: Ranges of keys at least, however few partitions there are: a range is held in memory.
+LEAST_RANGES = 256
+#: Rows of a shard, or places of a block, that are worked on at a time.
+PIECE = 200_000
+#: Anchors that a block has fewer times are not counted one by one.
+_FEW = 4
 _SPAN = LENGTH - SEED + 1  # seeds in a string, and strings around a seed
 _WIDTH = 2 * LENGTH - SEED  # bytes of a context
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -74,18 +86,23 @@ def seed_hashes(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mix(h)
 
 
-def _rolling(buf: np.ndarray) -> np.ndarray:
-    """``seed_hashes`` at every place, from hashes of 1, 2, 4 ... bytes."""
+def _keys(h: np.ndarray) -> np.ndarray:
+    """48 bits by which equal seeds or strings meet, even also for hashes that are the least of some."""
+    return mix(h) >> _U(16)
+
+
+def _rolling(buf: np.ndarray, length: int = SEED) -> np.ndarray:
+    """``seed_hashes`` at every place (or those of ``length`` bytes), from hashes of 1, 2, 4 ... bytes."""
     h, size = buf.astype(_U) + _U(1), 1
     parts = {1: h}
-    while size * 2 <= SEED:
+    while size * 2 <= length:
         h = h[:-size] * _power(size) + h[size:]
         size *= 2
         parts[size] = h
-    n = len(buf) - SEED + 1
+    n = len(buf) - length + 1
     out, at = None, 0
     for size in sorted(parts, reverse=True):
-        if SEED - at >= size:
+        if length - at >= size:
             piece = parts[size][at : at + n]
             out = piece if out is None else out * _power(size) + piece
             at += size
@@ -197,6 +214,34 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[objec
         yield now, pa.Table.from_batches(held)
 
 
+_ASKED = "block string, bucket int, n int, hashes binary, several binary, often binary"
+
+
+def _ask(uri: str, keys: np.ndarray, ids: np.ndarray, many: int) -> list[tuple]:
+    """Rows of _ASKED: a block's distinct keys by range, whether two of its documents have them, and counts of frequent ones."""
+    if not len(keys):
+        return []
+    order = np.argsort(keys)
+    keys, ids = keys[order], ids[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    several = np.minimum.reduceat(ids, first) < np.maximum.reduceat(ids, first)
+    count = np.diff(np.r_[first, len(keys)])
+    kinds = keys[first]
+    bucket = _buckets(kinds, many)
+    cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    rows = []
+    for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(kinds)], strict=True):
+        often = np.flatnonzero(count[a:b] >= _FEW)
+        pairs = np.stack([often, count[a:b][often]]).astype("<u4").tobytes() if len(often) else None
+        rows.append((uri, int(bucket[a]), b - a, _pack(kinds[a:b]), np.packbits(several[a:b]).tobytes(), pairs))
+    return rows
+
+
+def _asked(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["block", "bucket", "n", "hashes", "several", "often"])
+
+
 def _make_blocks(folder: str, many: int, block_bytes: int) -> Callable:
     def close(batches: list[pa.RecordBatch]) -> list[tuple]:
         uri = f"{folder}/{uuid.uuid4().hex}"
@@ -205,19 +250,7 @@ def _make_blocks(folder: str, many: int, block_bytes: int) -> Callable:
         _write(f"{uri}.texts", table)
         at = block.anchors()
         _write(f"{uri}.anchors", pa.table({"gap": np.diff(at, prepend=0).astype(np.uint32)}))
-        rows = [(uri, -1, 0, None, None)]
-        h = seed_hashes(block.buf, at) >> _U(16)
-        order = np.argsort(h)
-        h, ids = h[order], block.ids[block.text_of(at)][order]
-        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
-        if len(first):
-            several = np.minimum.reduceat(ids, first) < np.maximum.reduceat(ids, first)
-            kinds = h[first]
-            bucket = _buckets(kinds, many)
-            cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(kinds)], strict=True):
-                rows.append((uri, int(bucket[a]), b - a, _pack(kinds[a:b]), np.packbits(several[a:b]).tobytes()))
-        return rows
+        return [(uri, -1, 0, None, None, None), *_ask(uri, _keys(seed_hashes(block.buf, at)), block.ids[block.text_of(at)], many)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("suffix dedup")
@@ -230,47 +263,107 @@ def _make_blocks(folder: str, many: int, block_bytes: int) -> Callable:
                 if size and size + n > block_bytes:
                     if i > at:
                         held.append(b.slice(at, i - at))
-                    yield batch(close(held))
+                    yield _asked(close(held))
                     held, size, at = [], 0, i
                 size += n
             if at < b.num_rows:
                 held.append(b.slice(at))
         if held:
-            yield batch(close(held))
+            yield _asked(close(held))
 
-    def batch(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary()
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["block", "bucket", "n", "hashes", "several"])
+    return run
+
+
+def _find_repeated(hot: int | None) -> Callable:
+    """Per block the keys that two documents have; apart from them those that may have more than ``hot`` contexts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, t in _groups(batches, "bucket"):
+            lists = [_unpack(x) for x in t["hashes"].to_pylist()]
+            many = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(v)).astype(bool) for x, v in zip(t["several"].to_pylist(), lists, strict=True)]
+            flat = np.sort(np.concatenate(lists))
+            again = np.concatenate([flat[1:][flat[1:] == flat[:-1]], *(v[m] for v, m in zip(lists, many, strict=True))])
+            again = np.unique(again)
+            if not len(again):
+                continue
+            frequent = np.zeros(len(again), bool)
+            if hot is not None:
+                total = (np.searchsorted(flat, again, "right") - np.searchsorted(flat, again)) * (_FEW - 1)
+                for x, v in zip(t["often"].to_pylist(), lists, strict=True):
+                    if x is not None:
+                        which, count = np.frombuffer(x, "<u4").reshape(2, -1)
+                        spot = np.minimum(np.searchsorted(again, v[which]), len(again) - 1)
+                        same = again[spot] == v[which]  # once each, as a block's keys are distinct
+                        total[spot[same]] += count[same]
+                frequent = total > hot
+            blocks, bits, hots = [], [], []
+            for uri, v in zip(t["block"].to_pylist(), lists, strict=True):
+                spot = np.minimum(np.searchsorted(again, v), len(again) - 1)
+                hit = again[spot] == v
+                if hit.any():
+                    much = frequent[spot[hit]]
+                    blocks.append(uri)
+                    bits.append(_pack(v[hit][~much]))
+                    hots.append(_pack(v[hit][much]) if much.any() else None)
+            if blocks:
+                yield pa.RecordBatch.from_arrays([pa.array(blocks), pa.array([bucket] * len(blocks), pa.int32()), pa.array(bits, pa.binary()), pa.array(hots, pa.binary())], ["block", "bucket", "repeated", "hot"])
 
     return run
 
 
-def _find_repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for bucket, t in _groups(batches, "bucket"):
-        lists = [_unpack(x) for x in t["hashes"].to_pylist()]
-        many = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(v)).astype(bool) for x, v in zip(t["several"].to_pylist(), lists, strict=True)]
-        flat = np.sort(np.concatenate(lists))
-        again = np.concatenate([flat[1:][flat[1:] == flat[:-1]], *(v[m] for v, m in zip(lists, many, strict=True))])
-        again = np.sort(again)
-        if not len(again):
-            continue
-        bits, keep = [], []
-        for k, v in enumerate(lists):
-            hit = again[np.minimum(np.searchsorted(again, v), len(again) - 1)] == v
-            if hit.any():
-                keep.append(k)
-                bits.append(_pack(v[hit]))
-        if keep:
-            yield pa.RecordBatch.from_arrays([t["block"].combine_chunks().take(pa.array(keep)), pa.array([bucket] * len(keep), pa.int32()), pa.array(bits, pa.binary())], ["block", "bucket", "repeated"])
-
-
-def _contexts(block: Block, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, kept): a row has bytes before the seed, bytes from it on, and the context, zero outside its text."""
+def _joined(lists: list[bytes | None]) -> np.ndarray:
+    """Packed arrays as one, sorted."""
+    return np.sort(np.concatenate([np.zeros(0, _U), *(_unpack(x) for x in lists if x is not None)]))
+
+
+def _among(keys: np.ndarray, some: np.ndarray) -> np.ndarray:
+    return some[np.minimum(np.searchsorted(some, keys), len(some) - 1)] == keys if len(some) else np.zeros(len(keys), bool)
+
+
+def _anchors_of(uri: str, block: Block) -> tuple[np.ndarray, np.ndarray]:
+    at = np.cumsum(_read(f"{uri}.anchors")["gap"].to_numpy().astype(np.int64))
+    return at, _keys(seed_hashes(block.buf, at))
+
+
+def _strings_around(block: Block, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, key) of every string of LENGTH bytes that has one of these seeds in it, each place once."""
     text = block.text_of(at)
-    before = np.minimum(at - block.starts[text], LENGTH - SEED)
+    edge = np.zeros(len(block.buf) + 1, np.int32)
+    low = np.maximum(at - (LENGTH - SEED), block.starts[text])
+    high = np.maximum(low, np.minimum(at, block.ends[text] - LENGTH) + 1)
+    np.add.at(edge, low, 1)
+    np.add.at(edge, high, -1)
+    places = np.flatnonzero(np.cumsum(edge[:-1], dtype=np.int32) > 0)
+    keys = np.empty(len(places), _U)
+    i = 0
+    while i < len(places):
+        base = int(places[i])
+        end = int(np.searchsorted(places, base + (1 << 20)))
+        keys[i:end] = _keys(_rolling(block.buf[base : int(places[end - 1]) + LENGTH], LENGTH)[places[i:end] - base])
+        i = end
+    return places, keys
+
+
+def _ask_strings(many: int) -> Callable:
+    """Step 2 for the strings of hot anchors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for uri, t in _groups(batches, "block"):
+            block = Block.read(f"{uri}.texts")
+            at, seed = _anchors_of(uri, block)
+            places, keys = _strings_around(block, at[_among(seed, _joined(t["hot"].to_pylist()))])
+            rows = _ask(uri, keys, block.ids[block.text_of(places)], many)
+            if rows:
+                yield _asked(rows)
+
+    return run
+
+
+def _contexts(block: Block, at: np.ndarray, alone: np.ndarray) -> np.ndarray:
+    """A row has bytes before the seed, bytes from it on, and the context, zero outside its text; ``alone``: of the one string that begins there."""
+    text = block.text_of(at)
+    before = np.where(alone, 0, np.minimum(at - block.starts[text], LENGTH - SEED))
     after = np.minimum(block.ends[text] - at, LENGTH)
-    kept = np.flatnonzero(before + after >= LENGTH)
-    at, before, after = at[kept], before[kept], after[kept]
     rows = np.zeros((len(at), _WIDTH + 2), np.uint8)
     rows[:, 0], rows[:, 1] = before, after
     column = np.arange(_WIDTH) - (LENGTH - SEED)
@@ -279,7 +372,7 @@ def _contexts(block: Block, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         body = block.buf[np.clip(p + column, 0, len(block.buf) - 1)]
         body[(column < -b) | (column >= a)] = 0
         rows[i : i + 50_000, 2:] = body
-    return rows, kept
+    return rows
 
 
 def _row_hash(rows: np.ndarray) -> np.ndarray:
@@ -292,43 +385,45 @@ def _row_hash(rows: np.ndarray) -> np.ndarray:
     return h
 
 
-def _new_contexts(rows: np.ndarray, seed: np.ndarray, h: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Where another context begins in ``order``, by (seed, hash); rows of equal hashes are compared."""
+def _new_contexts(rows: Callable, seed: np.ndarray, h: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Where another context begins in ``order``, by (seed, hash); rows of equal hashes, which ``rows`` gives, are compared."""
     new = np.r_[True, (seed[order[1:]] != seed[order[:-1]]) | (h[order[1:]] != h[order[:-1]])]
     same = np.flatnonzero(~new)
     for i in range(0, len(same), 100_000):
         k = same[i : i + 100_000]
-        new[k] = (rows[order[k]] != rows[order[k - 1]]).any(1)
+        new[k] = (rows(order[k]) != rows(order[k - 1])).any(1)
     return new
 
 
 def _send_contexts(many: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for uri, t in _groups(batches, "block"):
-            again = np.sort(np.concatenate([_unpack(x) for x in t["repeated"].to_pylist()]))
             block = Block.read(f"{uri}.texts")
-            at = np.cumsum(_read(f"{uri}.anchors")["gap"].to_numpy().astype(np.int64))
-            seed = seed_hashes(block.buf, at) >> _U(16)
-            hit = again[np.minimum(np.searchsorted(again, seed), len(again) - 1)] == seed
-            at, seed = at[hit], seed[hit]
-            rows, kept = _contexts(block, at)
-            at, seed = at[kept], seed[kept]
+            at, seed = _anchors_of(uri, block)
+            hit = _among(seed, _joined(t["repeated"].to_pylist()))
+            hot = _among(seed, _joined(t["hot"].to_pylist()))
+            text = block.text_of(at)
+            hit &= np.minimum(at - block.starts[text], LENGTH - SEED) + np.minimum(block.ends[text] - at, LENGTH) >= LENGTH
+            places, keys = _strings_around(block, at[hot]) if hot.any() else (at[:0], seed[:0])
+            again = _among(keys, _joined(t["strings"].to_pylist()))
+            alone = np.repeat([False, True], [hit.sum(), again.sum()])
+            at, seed = np.r_[at[hit], places[again]], np.r_[seed[hit], keys[again]]
             if not len(at):
                 continue
-            # distinct contexts in order of anchor and hash: answers come back in this order
-            h = _row_hash(rows)
+            # distinct contexts in order of key and hash: answers come back in this order
+            h = np.concatenate([_row_hash(_contexts(block, at[i : i + PIECE], alone[i : i + PIECE])) for i in range(0, len(at), PIECE)])
             order = np.lexsort((h, seed))
-            new = _new_contexts(rows, seed, h, order)
-            at, seed = at[order], seed[order]
+            new = _new_contexts(lambda k, at=at, alone=alone, block=block: _contexts(block, at[k], alone[k]), seed, h, order)
+            at, seed, alone = at[order], seed[order], alone[order]
             first = np.flatnonzero(new)
             ids = block.ids[block.text_of(at)]
             lowest = np.minimum.reduceat(ids, first)
-            _write(f"{uri}.found", pa.table({"at": at.astype(np.uint32) if len(block.buf) < 1 << 32 else at, "context": (np.cumsum(new) - 1).astype(np.uint32)}))
-            rows, seed = rows[order[first]], seed[first]
-            bucket = _buckets(seed, many)
+            _write(f"{uri}.found", pa.table({"at": at.astype(np.uint32) if len(block.buf) < 1 << 32 else at, "context": (np.cumsum(new) - 1).astype(np.uint32), "alone": alone}))
+            bucket = _buckets(seed[first], many)
             cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
             for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(first)], strict=True):
-                cols = [uri], [int(bucket[a])], [b - a], [seed[a:b].tobytes()], [lowest[a:b].tobytes()], [_squeeze(rows[a:b])]
+                k = first[a:b]
+                cols = [uri], [int(bucket[a])], [b - a], [seed[k].tobytes()], [lowest[a:b].tobytes()], [_squeeze(_contexts(block, at[k], alone[k]))]
                 kinds = pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["block", "bucket", "n", "seeds", "lowest", "rows"])
 
@@ -407,35 +502,51 @@ def _mark(rows: np.ndarray, lowest: np.ndarray, some: np.ndarray, out: np.ndarra
         np.bitwise_or.at(out, row[hit], _U(1) << shift[hit].astype(_U))
 
 
+def _settle(rows: np.ndarray, seeds: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Answers for contexts of several blocks, with all that belong to their seeds."""
+    h = _row_hash(rows)
+    order = np.lexsort((h, seeds))
+    new = _new_contexts(lambda k: rows[k], seeds, h, order)
+    first = np.flatnonzero(new)
+    lowest = np.minimum.reduceat(ids[order], first)
+    bits = covered(rows[order[first]], seeds[order[first]], lowest)
+    context = np.empty(len(order), np.int64)
+    context[order] = np.cumsum(new) - 1
+    # a block whose smallest document isn't the smallest of all has the whole context covered
+    return np.where(ids > lowest[context], _ALL, bits[context])
+
+
 def _sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     worker_cache("suffix dedup")
     for bucket, t in _groups(batches, "bucket"):
         size = t["n"].to_pylist()
-        seeds = np.concatenate([np.frombuffer(x, _U) for x in t["seeds"].to_pylist()])
-        ids = np.concatenate([np.frombuffer(x, np.int64) for x in t["lowest"].to_pylist()])
-        rows = np.concatenate([_swell(x, n * (_WIDTH + 2), np.uint8).reshape(n, -1) for x, n in zip(t["rows"].to_pylist(), size, strict=True)])
-        h = _row_hash(rows)
-        order = np.lexsort((h, seeds))
-        new = _new_contexts(rows, seeds, h, order)
-        seeds = seeds[order]
-        first = np.flatnonzero(new)
-        lowest = np.minimum.reduceat(ids[order], first)
-        bits = covered(rows[order[first]], seeds[first], lowest)
-        context = np.empty(len(order), np.int64)
-        context[order] = np.cumsum(new) - 1
-        # a block whose smallest document isn't the smallest of all has the whole context covered
-        answer = np.where(ids > lowest[context], _ALL, bits[context])
-        ends = np.cumsum(size)
-        parts = [_squeeze(answer[e - n : e]) for e, n in zip(ends.tolist(), size, strict=True)]
+        seeds = [np.frombuffer(x, _U) for x in t["seeds"].to_pylist()]
+        ids = [np.frombuffer(x, np.int64) for x in t["lowest"].to_pylist()]
+        rows = [_swell(x, n * (_WIDTH + 2), np.uint8).reshape(n, -1) for x, n in zip(t["rows"].to_pylist(), size, strict=True)]
+        t = t.select(["block"])
+        # a block's contexts stand in order of seeds: ranges of seeds are taken one after another
+        limits = np.unique(np.sort(np.concatenate(seeds))[PIECE::PIECE])
+        cuts = [np.r_[0, np.searchsorted(x, limits), len(x)].tolist() for x in seeds]
+        parts: list[list[np.ndarray]] = [[] for _ in seeds]
+        for k in range(len(limits) + 1):
+            some = [(j, c[k], c[k + 1]) for j, c in enumerate(cuts) if c[k + 1] > c[k]]
+            if not some:
+                continue
+            answer = _settle(*(np.concatenate([x[j][a:b] for j, a, b in some]) for x in (rows, seeds, ids)))
+            at = 0
+            for j, a, b in some:
+                parts[j].append(answer[at : at + b - a])
+                at += b - a
+        answers = [_squeeze(np.concatenate(x)) for x in parts]
         yield pa.RecordBatch.from_arrays(
-            [t["block"].combine_chunks(), pa.array([bucket] * len(size), pa.int32()), pa.array(size, pa.int32()), pa.array(parts, pa.binary())],
+            [t["block"].combine_chunks(), pa.array([bucket] * len(size), pa.int32()), pa.array(size, pa.int32()), pa.array(answers, pa.binary())],
             ["block", "bucket", "n", "answer"],
         )
 
 
-def removed_bytes(block: Block, at: np.ndarray, context: np.ndarray, answer: np.ndarray) -> np.ndarray:
+def removed_bytes(block: Block, at: np.ndarray, context: np.ndarray, alone: np.ndarray, answer: np.ndarray) -> np.ndarray:
     """True for every byte of the block that goes."""
-    edge = np.zeros(len(block.buf) + 1, np.int64)
+    edge = np.zeros(len(block.buf) + 1, np.int32)
     if len(at):
         text = block.text_of(at)
         ids = block.ids[text]
@@ -444,14 +555,14 @@ def removed_bytes(block: Block, at: np.ndarray, context: np.ndarray, answer: np.
         bits = answer[context]
         whole = (bits == _ALL) | (ids > lowest)
         p = at[whole]
-        np.add.at(edge, np.maximum(p - (LENGTH - SEED), block.starts[text[whole]]), 1)
+        np.add.at(edge, np.where(alone[whole], p, np.maximum(p - (LENGTH - SEED), block.starts[text[whole]])), 1)
         np.add.at(edge, np.minimum(p + LENGTH, block.ends[text[whole]]), -1)
         some = np.flatnonzero(~whole & (bits != 0))
         for shift in range(_SPAN):
             p = at[some[(bits[some] >> _U(shift)) & _U(1) == 1]] - (LENGTH - SEED) + shift
             np.add.at(edge, p, 1)
             np.add.at(edge, p + LENGTH, -1)
-    return np.cumsum(edge[:-1]) > 0
+    return np.cumsum(edge[:-1], dtype=np.int32) > 0
 
 
 def _finish(whole_characters: bool, names: list[str], digest: bool, counts: bool) -> Callable:
@@ -459,25 +570,27 @@ def _finish(whole_characters: bool, names: list[str], digest: bool, counts: bool
         for uri, t in _groups(batches, "block"):
             block = Block.read(f"{uri}.texts")
             parts = [(n, a) for n, a in zip(t["n"].to_pylist(), t["answer"].to_pylist(), strict=True) if a is not None]
-            at, context, answer = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, _U)
+            at, context, alone, answer = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, _U)
             if parts:
                 found = _read(f"{uri}.found")
-                at, context = found["at"].to_numpy().astype(np.int64), found["context"].to_numpy().astype(np.int64)
+                at, context, alone = found["at"].to_numpy().astype(np.int64), found["context"].to_numpy().astype(np.int64), found["alone"].to_numpy()
                 answer = np.concatenate([_swell(a, n, _U) for n, a in parts])
-            gone = removed_bytes(block, at, context, answer)
+            gone = removed_bytes(block, at, context, alone, answer)
+            del at, context, alone, answer, parts
             if whole_characters and len(gone):
                 # a character goes only if all its bytes do
                 lead = (block.buf & 0xC0) != 0x80
                 lead[block.starts[block.starts < len(lead)]] = True
                 first = np.flatnonzero(lead)
                 gone = np.repeat(np.logical_and.reduceat(gone, first), np.diff(np.r_[first, len(gone)]))
-            count = np.r_[0, np.cumsum(gone)]
+            small = np.int32 if len(gone) < 1 << 31 else np.int64
+            count = np.r_[np.zeros(1, small), np.cumsum(gone, dtype=small)]
             begin = gone & ~np.r_[False, gone[:-1]]
             begin[block.starts[block.starts < len(gone)]] = gone[block.starts[block.starts < len(gone)]]
-            spans = np.r_[0, np.cumsum(begin)]
+            spans = np.r_[np.zeros(1, small), np.cumsum(begin, dtype=small)]
             keep = ~gone
             texts = [block.buf[s:e][keep[s:e]].tobytes() if count[e] > count[s] else raw for s, e, raw in zip(block.starts.tolist(), block.ends.tolist(), block.raw, strict=True)]
-            extra = [pa.array(block.ends - block.starts), pa.array(count[block.ends] - count[block.starts]), pa.array(spans[block.ends] - spans[block.starts])]
+            extra = [pa.array(block.ends - block.starts), pa.array((count[block.ends] - count[block.starts]).astype(np.int64)), pa.array((spans[block.ends] - spans[block.starts]).astype(np.int64))]
             for a in range(0, len(texts), 4096):
                 part = block.table.slice(a, 4096).combine_chunks()
                 cols = []
@@ -496,7 +609,7 @@ def _finish(whole_characters: bool, names: list[str], digest: bool, counts: bool
     return run
 
 
-def remove_repeats(docs: DataFrame, whole_characters: bool = False, digest: bool = False, block_bytes: int = BLOCK_BYTES, counts: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, whole_characters: bool = False, digest: bool = False, block_bytes: int = BLOCK_BYTES, counts: bool = True, hot: int = HOT) -> DataFrame:
     """``docs`` with what earlier documents have taken out of ``text``.
 
     All columns stay; ``text`` becomes the kept bytes (binary), their SHA-256
@@ -504,24 +617,36 @@ def remove_repeats(docs: DataFrame, whole_characters: bool = False, digest: bool
     characters are taken.  Added with ``counts``: n_bytes, n_removed, n_spans
     (columns of these names are replaced then, and stay without).  A null text is empty (and stays null as a string); a
     row with a null id is left as it is and takes nothing from others; rows of
-    one id take nothing from each other; an empty table gives no rows.
+    one id take nothing from each other; an empty table gives no rows.  ``hot``
+    decides how anchors travel, not what is removed.
     """
     spark = prepare(docs.sparkSession)
     if counts:
         docs = docs.select([c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans")])
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
     many, folder = partitions(spark), new_folder(spark, "blocks")
-    fine = 4 * many
-    made = materialise(docs.mapInArrow(_make_blocks(folder, fine, block_bytes), "block string, bucket int, n int, hashes binary, several binary"), "anchors")
-    asked = made.where(F.col("bucket") >= 0).repartition(many, "bucket").sortWithinPartitions("bucket", "block")
-    repeated = materialise(asked.mapInArrow(_find_repeated, "block string, bucket int, repeated binary"), "repeated")
+    fine = max(LEAST_RANGES, 4 * many)
+    made = materialise(docs.mapInArrow(_make_blocks(folder, fine, block_bytes), _ASKED), "anchors")
+    answered = "block string, bucket int, repeated binary, hot binary"
+
+    def by_bucket(rows: DataFrame) -> DataFrame:
+        return rows.repartition(many, "bucket").sortWithinPartitions("bucket", "block")
+
+    repeated = materialise(by_bucket(made.where(F.col("bucket") >= 0)).mapInArrow(_find_repeated(hot), answered), "repeated")
     blocks = materialise(made.where(F.col("bucket") < 0).select("block"), "blocks")
     discard(made)
-    by_block = repeated.repartition(many, "block").sortWithinPartitions("block", "bucket")
+    told = repeated.withColumn("strings", F.lit(None).cast("binary"))
+    much = repeated.where(F.col("hot").isNotNull()).select("block", "bucket", "hot")
+    strings = None
+    if not much.isEmpty():
+        asked = much.repartition(many, "block").sortWithinPartitions("block", "bucket").mapInArrow(_ask_strings(fine), _ASKED)
+        strings = materialise(by_bucket(asked).mapInArrow(_find_repeated(None), answered), "strings")
+        nothing = F.lit(None).cast("binary")
+        told = told.unionByName(strings.select("block", "bucket", nothing.alias("repeated"), nothing.alias("hot"), F.col("repeated").alias("strings")))
+    by_block = told.repartition(many, "block").sortWithinPartitions("block", "bucket")
     sent = by_block.mapInArrow(_send_contexts(fine), "block string, bucket int, n int, seeds binary, lowest binary, rows binary")
-    to_shard = sent.repartition(many, "bucket").sortWithinPartitions("bucket", "block")
-    answers = materialise(to_shard.mapInArrow(_sort_shards, "block string, bucket int, n int, answer binary"), "answers")
-    discard(repeated)
+    answers = materialise(by_bucket(sent).mapInArrow(_sort_shards, "block string, bucket int, n int, answer binary"), "answers")
+    discard(*([repeated] if strings is None else [repeated, strings]))
     none = blocks.select("block", F.lit(-1).alias("bucket"), F.lit(0).alias("n"), F.lit(None).cast("binary").alias("answer"))
     tasks = answers.unionByName(none).repartition(many, "block").sortWithinPartitions("block", "bucket")
     names = docs.columns

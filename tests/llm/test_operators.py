@@ -11,6 +11,8 @@ import textwrap
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -316,6 +318,72 @@ def test_op4_shards_of_one_anchor():
         assert [(int(bits) >> s) & 1 for s in range(33)] == [int(least[x[2 + s : 52 + s].tobytes()] < i) for s in range(33)]
 
 
+@pytest.mark.parametrize("block", [600, 8 << 20])
+@pytest.mark.parametrize("hot", [0, 3])
+def test_op4_strings_of_hot_anchors(spark, docs, block, hot):
+    pairs = [(k * 3, (t or "").encode()) for k, t in enumerate(TEXTS)]
+    want = dict(zip([k for k, _ in pairs], brute_repeats(pairs), strict=True))
+    found = rows(suffix_dedup.remove_repeats(docs, block_bytes=block, hot=hot))
+    assert {k: (r.n_removed, r.n_spans, bytes(r.text)) for k, r in found.items()} == want
+    # a phrase with other words around it each time, repeats beside and across it, runs of one byte, one id twice
+    r = random.Random(hot)
+    some = lambda n: bytes(r.choice(b"abcdefgh ") for _ in range(n))
+    phrase, sides = some(40), [some(30) for _ in range(4)]
+    texts = [some(r.randrange(60)) + r.choice(sides) + phrase[r.randrange(3) :] + r.choice(sides) + some(r.randrange(60)) for _ in range(60)]
+    texts += [b"x" * r.randrange(40, 200) + phrase for _ in range(10)] + [phrase, phrase + b"tail of ten", phrase * 3]
+    pairs = [(k // 2 * 2 if k < 10 else k, t) for k, t in enumerate(texts)]
+    r.shuffle(pairs)
+    want = sorted((k, *w) for (k, _), w in zip(pairs, brute_repeats(pairs), strict=True))
+    table = spark.createDataFrame([(k, t.decode()) for k, t in pairs], "doc_id long, text string")
+    found = suffix_dedup.remove_repeats(table, block_bytes=block, hot=hot).collect()
+    assert sorted((x.doc_id, x.n_removed, x.n_spans, bytes(x.text)) for x in found) == want and any(w[1] for w in want)
+
+
+def test_op4_ranges_are_even(tmp_path):
+    text = bytes(np.random.default_rng(5).integers(97, 123, 1 << 20).astype(np.uint8)).decode()
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], ["doc_id", "text"])
+    n = collections.Counter()
+    for b in suffix_dedup._make_blocks(f"file://{tmp_path}", 64, 8 << 20)(iter([batch])):
+        for bucket, k in zip(b["bucket"].to_pylist(), b["n"].to_pylist(), strict=True):
+            n[bucket] += k * (bucket >= 0)
+    assert max(n.values()) < 1.5 * sum(n.values()) / 64
+
+
+def test_op4_hot_anchors_are_told(tmp_path):
+    r = np.random.default_rng(6)
+    phrase = "eighteen bytes and some more of them"
+    texts = [bytes(r.integers(97, 123, 100).astype(np.uint8)).decode() + phrase + bytes(r.integers(97, 123, 100).astype(np.uint8)).decode() for _ in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array(texts)], ["doc_id", "text"])
+    made = pa.Table.from_batches(suffix_dedup._make_blocks(f"file://{tmp_path}", 8, 3000)(iter([batch])))
+    asked = made.filter(pc.greater_equal(made["bucket"], 0)).sort_by("bucket")
+    sets = []
+    for hot in (40, 10_000):
+        told = pa.Table.from_batches(suffix_dedup._find_repeated(hot)(iter(asked.to_batches())))
+        sets.append([set(suffix_dedup._joined(told[c].to_pylist()).tolist()) for c in ("hot", "repeated")])
+    assert sets[0][0] and not sets[0][0] & sets[0][1] and not sets[1][0] and sets[0][0] | sets[0][1] == sets[1][1]
+
+
+def test_op4_shards_in_pieces(monkeypatch):
+    r = np.random.default_rng(7)
+    body = r.integers(97, 99, (40, 82)).astype(np.uint8)
+    parts = []
+    for k in range(12):
+        some = body[np.sort(r.choice(40, 15, replace=False))].copy()
+        some[:, r.integers(0, 30)] = 120
+        seeds = np.sort(r.integers(0, 6, 15)).astype(np.uint64)
+        some[:, 32:50] = 100 + seeds[:, None]
+        whole = np.concatenate([np.tile(np.uint8([32, 50]), (15, 1)), some], 1)
+        parts.append((f"b{k}", k % 2, 15, seeds.tobytes(), r.integers(0, 99, 15).tobytes(), suffix_dedup._squeeze(whole)))
+    parts.sort(key=lambda x: x[1])
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*parts, strict=True)], ["block", "bucket", "n", "seeds", "lowest", "rows"])
+    got = []
+    for piece in (1, 20, 1000):
+        monkeypatch.setattr(suffix_dedup, "PIECE", piece)
+        tables = pa.Table.from_batches(suffix_dedup._sort_shards(iter([batch])))
+        got.append([(b, suffix_dedup._swell(a, 15, np.uint64).tolist()) for b, a in zip(tables["block"].to_pylist(), tables["answer"].to_pylist(), strict=True)])
+    assert got[0] == got[1] == got[2] and any(any(a) for _, a in got[0])
+
+
 @pytest.mark.parametrize("more", [18, 30, 40, 49, 50])
 def test_op4_anchors_at_the_end_of_a_step(more):
     n = (1 << 20) + more
