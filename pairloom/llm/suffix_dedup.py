@@ -411,9 +411,16 @@ def _send_contexts(many: int) -> Callable:
             if not len(at):
                 continue
             # distinct contexts in order of key and hash: answers come back in this order
-            h = np.concatenate([_row_hash(_contexts(block, at[i : i + PIECE], alone[i : i + PIECE])) for i in range(0, len(at), PIECE)])
+            if len(at) <= PIECE:
+                rows = _contexts(block, at, alone).__getitem__
+            else:  # made again where they are needed
+
+                def rows(k, block=block, at=at, alone=alone):
+                    return _contexts(block, at[k], alone[k])
+
+            h = np.concatenate([_row_hash(rows(slice(i, i + PIECE))) for i in range(0, len(at), PIECE)])
             order = np.lexsort((h, seed))
-            new = _new_contexts(lambda k, at=at, alone=alone, block=block: _contexts(block, at[k], alone[k]), seed, h, order)
+            new = _new_contexts(rows, seed, h, order)
             at, seed, alone = at[order], seed[order], alone[order]
             first = np.flatnonzero(new)
             ids = block.ids[block.text_of(at)]
@@ -423,7 +430,7 @@ def _send_contexts(many: int) -> Callable:
             cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
             for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(first)], strict=True):
                 k = first[a:b]
-                cols = [uri], [int(bucket[a])], [b - a], [seed[k].tobytes()], [lowest[a:b].tobytes()], [_squeeze(_contexts(block, at[k], alone[k]))]
+                cols = [uri], [int(bucket[a])], [b - a], [seed[k].tobytes()], [lowest[a:b].tobytes()], [_squeeze(rows(order[k]))]
                 kinds = pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["block", "bucket", "n", "seeds", "lowest", "rows"])
 
