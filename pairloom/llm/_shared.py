@@ -8,9 +8,11 @@ survive lost executors.  Only with a local master and without that setting
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,12 +31,22 @@ def worker_cache(owner: str) -> dict:
     A worker outlives the stage it was started for, and the tables of one
     operator would otherwise take memory from the next.
     """
-    for name, held in _caches.items():
-        if name != owner:
-            held.clear()
+    others = [held for name, held in _caches.items() if name != owner and held]
+    for held in others:
+        held.clear()
+    if others:
+        give_back()
     return _caches.setdefault(owner, {})
 
 
+def give_back() -> None:
+    """Returns what this process has freed to the system; allocators would keep it for later."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's; others have none
+    if trim is not None:
+        trim(0)
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Bound Arrow batches by bytes as well as by rows; let workers import this package."""
     ship(spark)

@@ -13,37 +13,58 @@ from __future__ import annotations
 import numpy as np
 
 
+#: Suffixes of open groups that are refined at a time, unless one group has more.
+_OPEN = 1 << 18
+
+
+def _places(n: int) -> type:
+    """Four bytes for places and ranks where they fit; arrays of all suffixes are most of what a task holds."""
+    return np.int32 if n < 1 << 29 else np.int64
+
+
 def suffix_order(text: np.ndarray) -> np.ndarray:
     """Places of all suffixes in order; one that ends comes before its continuations."""
     n = len(text)
+    kind = _places(n)
     if not n:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, kind)
     padded = np.concatenate([text, np.zeros(8, np.uint8)])
     word = np.zeros(n, np.uint64)
     for k in range(8):
-        word = (word << np.uint64(8)) | padded[k : n + k]
-    order = np.argsort(word)
+        word <<= np.uint64(8)
+        word |= padded[k : n + k]
+    order = np.argsort(word).astype(kind)
     word = word[order]
     first = np.r_[True, word[1:] != word[:-1]]
-    rank = np.empty(n, np.int64)
-    rank[order] = np.maximum.accumulate(np.where(first, np.arange(n), 0))
+    del word
+    rank = np.empty(n, kind)
+    head = np.where(first, np.arange(n, dtype=kind), kind(0))
+    rank[order] = np.maximum.accumulate(head, out=head)
+    del head
     step = 8
     while True:
         # places in the order that belong to groups of several suffixes
         alone = first & np.r_[first[1:], True]
-        open_ = np.flatnonzero(~alone)
-        if not len(open_):
+        every = np.flatnonzero(~alone).astype(kind)
+        if not len(every):
             return order
-        at = order[open_]
-        ahead = at + step
-        # a suffix that ends within the step comes first, the shortest of all at the front
-        key = (rank[at] << 32) | np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + step + 1, n - at)
-        turn = np.argsort(key)
-        at, key = at[turn], key[turn]
-        order[open_] = at
-        new = np.r_[True, key[1:] != key[:-1]]
-        first[open_] = new
-        rank[at] = np.maximum.accumulate(np.where(new, open_, 0))
+        starts = np.r_[np.flatnonzero(first[every]), len(every)]
+        low = 0
+        while low < len(every):  # whole groups; ranks that others got in this round only tell more
+            high = int(starts[max(np.searchsorted(starts, low + _OPEN, "right") - 1, np.searchsorted(starts, low, "right"))])
+            open_ = every[low:high]
+            low = high
+            at = order[open_]
+            ahead = at + kind(step)
+            # a suffix that ends within the step comes first, the shortest of all at the front
+            key = rank[at].astype(np.int64) << 32
+            key |= np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + kind(step + 1), n - at)
+            turn = np.argsort(key)
+            at, key = at[turn], key[turn]
+            order[open_] = at
+            new = np.r_[True, key[1:] != key[:-1]]
+            first[open_] = new
+            rank[at] = np.maximum.accumulate(np.where(new, open_, kind(0)))
         step *= 2
 
 
@@ -53,9 +74,9 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, width: int, most: int)
     ``text`` is strips of ``width`` bytes; entry [i] belongs to the suffix at i.
     """
     n = len(text)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, _places(n))
     before[order[1:]] = order[:-1]
-    out = np.zeros(n, np.int64)
+    out = np.zeros(n, _places(n))
     strips = np.arange(0, n, width)
     h = np.zeros(len(strips), np.int64)
     for k in range(width):

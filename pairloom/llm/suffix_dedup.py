@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairloom.llm._shared import discard, filesystem, materialise, new_folder, partitions, prepare, worker_cache
+from pairloom.llm._shared import discard, filesystem, give_back, materialise, new_folder, partitions, prepare, worker_cache
 from pairloom.llm.suffix_array import common_prefixes, suffix_order
 from pairloom.llm.words import mix
 
@@ -54,6 +54,8 @@ HOT = 40_000
 LEAST_RANGES = 256
 #: Rows of a shard, or places of a block, that are worked on at a time.
 PIECE = 200_000
+#: Bytes of a block whose hashes are made at a time.
+_STEP = 1 << 18
 #: Anchors that a block has fewer times are not counted one by one.
 _FEW = 4
 _SPAN = LENGTH - SEED + 1  # seeds in a string, and strings around a seed
@@ -94,18 +96,18 @@ def _keys(h: np.ndarray) -> np.ndarray:
 def _rolling(buf: np.ndarray, length: int = SEED) -> np.ndarray:
     """``seed_hashes`` at every place (or those of ``length`` bytes), from hashes of 1, 2, 4 ... bytes."""
     h, size = buf.astype(_U) + _U(1), 1
-    parts = {1: h}
+    parts = {1: h} if length & 1 else {}
     while size * 2 <= length:
         h = h[:-size] * _power(size) + h[size:]
         size *= 2
-        parts[size] = h
+        if length & size:
+            parts[size] = h
     n = len(buf) - length + 1
     out, at = None, 0
     for size in sorted(parts, reverse=True):
-        if length - at >= size:
-            piece = parts[size][at : at + n]
-            out = piece if out is None else out * _power(size) + piece
-            at += size
+        piece = parts[size][at : at + n]
+        out = piece if out is None else out * _power(size) + piece
+        at += size
     return mix(out)
 
 
@@ -114,7 +116,7 @@ def anchors(buf: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
     Strings across two texts may add anchors; those only cost time.
     """
-    out, step = [], 1 << 20
+    out, step = [], _STEP
     for at in range(0, max(0, len(buf) - SEED + 1), step):  # to the last seed, not the last string: its seeds may lie a step further
         low, high = max(0, at - _SPAN), min(len(buf), at + step + LENGTH + SEED)
         h = _rolling(buf[low:high])
@@ -136,9 +138,10 @@ class Block:
 
     def __init__(self, table: pa.Table):
         self.table = table
-        texts = table["text"].to_pylist()
-        self.raw = [b"" if t is None else t.encode("utf-8", "surrogatepass") if isinstance(t, str) else t for t in texts]
-        self.buf = np.frombuffer(b"".join(self.raw), np.uint8)
+        self.raw = [t or b"" for t in table["text"].cast(pa.large_binary()).to_pylist()]
+        #: the texts, with zeros before and after for contexts at the ends
+        self.around = np.frombuffer(b"".join([bytes(LENGTH - SEED), *self.raw, bytes(LENGTH)]), np.uint8)
+        self.buf = self.around[LENGTH - SEED : -LENGTH]
         size = np.array([len(t) for t in self.raw], np.int64)
         self.ends = np.cumsum(size)
         self.starts = self.ends - size
@@ -253,7 +256,6 @@ def _make_blocks(folder: str, many: int, block_bytes: int) -> Callable:
         return [(uri, -1, 0, None, None, None), *_ask(uri, _keys(seed_hashes(block.buf, at)), block.ids[block.text_of(at)], many)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_cache("suffix dedup")
         held: list[pa.RecordBatch] = []
         size = 0
         for b in batches:
@@ -328,17 +330,18 @@ def _anchors_of(uri: str, block: Block) -> tuple[np.ndarray, np.ndarray]:
 def _strings_around(block: Block, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(place, key) of every string of LENGTH bytes that has one of these seeds in it, each place once."""
     text = block.text_of(at)
-    edge = np.zeros(len(block.buf) + 1, np.int32)
+    edge = np.zeros(len(block.buf) + 1, np.int16)
     low = np.maximum(at - (LENGTH - SEED), block.starts[text])
     high = np.maximum(low, np.minimum(at, block.ends[text] - LENGTH) + 1)
-    np.add.at(edge, low, 1)
-    np.add.at(edge, high, -1)
-    places = np.flatnonzero(np.cumsum(edge[:-1], dtype=np.int32) > 0)
+    np.add.at(edge, low, np.int16(1))
+    np.add.at(edge, high, np.int16(-1))
+    places = np.flatnonzero(np.cumsum(edge, dtype=np.int16, out=edge)[:-1] > 0)
+    del edge
     keys = np.empty(len(places), _U)
     i = 0
     while i < len(places):
         base = int(places[i])
-        end = int(np.searchsorted(places, base + (1 << 20)))
+        end = int(np.searchsorted(places, base + _STEP))
         keys[i:end] = _keys(_rolling(block.buf[base : int(places[end - 1]) + LENGTH], LENGTH)[places[i:end] - base])
         i = end
     return places, keys
@@ -364,12 +367,13 @@ def _contexts(block: Block, at: np.ndarray, alone: np.ndarray) -> np.ndarray:
     text = block.text_of(at)
     before = np.where(alone, 0, np.minimum(at - block.starts[text], LENGTH - SEED))
     after = np.minimum(block.ends[text] - at, LENGTH)
-    rows = np.zeros((len(at), _WIDTH + 2), np.uint8)
+    rows = np.empty((len(at), _WIDTH + 2), np.uint8)
     rows[:, 0], rows[:, 1] = before, after
     column = np.arange(_WIDTH) - (LENGTH - SEED)
+    contexts = np.lib.stride_tricks.sliding_window_view(block.around, _WIDTH)  # of every place
     for i in range(0, len(at), 50_000):
-        p, b, a = (x[i : i + 50_000, None] for x in (at, before, after))
-        body = block.buf[np.clip(p + column, 0, len(block.buf) - 1)]
+        b, a = (x[i : i + 50_000, None] for x in (before, after))
+        body = contexts[at[i : i + 50_000]]
         body[(column < -b) | (column >= a)] = 0
         rows[i : i + 50_000, 2:] = body
     return rows
@@ -445,10 +449,12 @@ def string_classes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray
     flat = text.ravel()
     order = suffix_order(flat)
     shared = common_prefixes(flat, order, width, LENGTH)
-    row, shift = np.divmod(order, width)
-    low = (LENGTH - SEED) - rows[:, 0].astype(np.int64)
-    high = (LENGTH - SEED) + rows[:, 1].astype(np.int64) - LENGTH
-    number = np.cumsum(shared[order] < LENGTH)
+    number = np.cumsum(shared[order] < LENGTH, dtype=order.dtype)
+    del shared
+    row, shift = np.divmod(order, order.dtype.type(width))
+    del order
+    low = (LENGTH - SEED) - rows[:, 0].astype(np.int16)
+    high = (LENGTH - SEED) + rows[:, 1].astype(np.int16) - LENGTH
     valid = np.flatnonzero((shift >= low[row]) & (shift <= high[row]))
     return row[valid], shift[valid], number[valid]
 
@@ -481,7 +487,7 @@ def _mark(rows: np.ndarray, lowest: np.ndarray, some: np.ndarray, out: np.ndarra
         row, shift, number = string_classes(rows[part])
         cut = np.flatnonzero(np.r_[True, number[1:] != number[:-1]]) if len(number) else np.zeros(0, np.int64)
         least = np.minimum.reduceat(lowest[part][row], cut) if len(cut) else lowest[:0]
-        shards.append([part[row], shift, np.repeat(np.arange(len(cut)), np.diff(np.r_[cut, len(number)])), least, cut])
+        shards.append([part[row], shift, np.repeat(np.arange(len(cut), dtype=number.dtype), np.diff(np.r_[cut, len(number)])), least, cut])
     if len(shards) > 1:
         # one anchor in several shards: classes by a digest of their string, sorted, found in each other by binary search
         tables = []
@@ -524,7 +530,6 @@ def _settle(rows: np.ndarray, seeds: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 
 def _sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    worker_cache("suffix dedup")
     for bucket, t in _groups(batches, "bucket"):
         size = t["n"].to_pylist()
         seeds = [np.frombuffer(x, _U) for x in t["seeds"].to_pylist()]
@@ -553,7 +558,8 @@ def _sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def removed_bytes(block: Block, at: np.ndarray, context: np.ndarray, alone: np.ndarray, answer: np.ndarray) -> np.ndarray:
     """True for every byte of the block that goes."""
-    edge = np.zeros(len(block.buf) + 1, np.int32)
+    edge = np.zeros(len(block.buf) + 1, np.int16)  # fewer than LENGTH * _SPAN strings, and LENGTH + _WIDTH contexts, lie over a byte
+    one = np.int16(1)
     if len(at):
         text = block.text_of(at)
         ids = block.ids[text]
@@ -562,14 +568,49 @@ def removed_bytes(block: Block, at: np.ndarray, context: np.ndarray, alone: np.n
         bits = answer[context]
         whole = (bits == _ALL) | (ids > lowest)
         p = at[whole]
-        np.add.at(edge, np.where(alone[whole], p, np.maximum(p - (LENGTH - SEED), block.starts[text[whole]])), 1)
-        np.add.at(edge, np.minimum(p + LENGTH, block.ends[text[whole]]), -1)
+        np.add.at(edge, np.where(alone[whole], p, np.maximum(p - (LENGTH - SEED), block.starts[text[whole]])), one)
+        np.add.at(edge, np.minimum(p + LENGTH, block.ends[text[whole]]), -one)
         some = np.flatnonzero(~whole & (bits != 0))
         for shift in range(_SPAN):
             p = at[some[(bits[some] >> _U(shift)) & _U(1) == 1]] - (LENGTH - SEED) + shift
-            np.add.at(edge, p, 1)
-            np.add.at(edge, p + LENGTH, -1)
-    return np.cumsum(edge[:-1], dtype=np.int32) > 0
+            np.add.at(edge, p, one)
+            np.add.at(edge, p + LENGTH, -one)
+    return np.cumsum(edge, dtype=np.int16, out=edge)[:-1] > 0
+
+
+def removed_runs(block: Block, gone: np.ndarray, whole_characters: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, begin, end) of the maximal runs of ``gone``, each in one text; with ``whole_characters`` of characters whose bytes all go."""
+    some = block.starts < block.ends
+    edge = gone.copy()
+    edge[1:] &= ~gone[:-1]
+    edge[block.starts[some]] = gone[block.starts[some]]
+    begin = np.flatnonzero(edge)
+    edge = gone.copy()
+    edge[:-1] &= ~gone[1:]
+    edge[block.ends[some] - 1] = gone[block.ends[some] - 1]
+    end = np.flatnonzero(edge) + 1
+    del edge
+    text = block.text_of(begin)
+    if whole_characters:
+        # only the characters at a run's two ends may stay in part
+        while len(k := np.flatnonzero((begin < end) & (begin > block.starts[text]) & (block.around[begin + LENGTH - SEED] & 0xC0 == 0x80))):
+            begin[k] += 1
+        while len(k := np.flatnonzero((begin < end) & (end < block.ends[text]) & (block.around[end + LENGTH - SEED] & 0xC0 == 0x80))):
+            end[k] -= 1
+        text, begin, end = (x[begin < end] for x in (text, begin, end))
+    return text, begin, end
+
+
+def _kept(block: Block, text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[bytes]:
+    """The texts without their runs."""
+    out = list(block.raw)
+    first = np.flatnonzero(np.r_[True, text[1:] != text[:-1]]) if len(text) else text
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(text)], strict=True) if len(first) else ():
+        k = int(text[a])
+        start = int(block.starts[k])
+        stops, goes_on = (begin[a:b] - start).tolist(), (end[a:b] - start).tolist()
+        out[k] = b"".join([out[k][i:j] for i, j in zip([0, *goes_on], [*stops, len(out[k])], strict=True)])
+    return out
 
 
 def _finish(whole_characters: bool, names: list[str], digest: bool, counts: bool) -> Callable:
@@ -584,20 +625,12 @@ def _finish(whole_characters: bool, names: list[str], digest: bool, counts: bool
                 answer = np.concatenate([_swell(a, n, _U) for n, a in parts])
             gone = removed_bytes(block, at, context, alone, answer)
             del at, context, alone, answer, parts
-            if whole_characters and len(gone):
-                # a character goes only if all its bytes do
-                lead = (block.buf & 0xC0) != 0x80
-                lead[block.starts[block.starts < len(lead)]] = True
-                first = np.flatnonzero(lead)
-                gone = np.repeat(np.logical_and.reduceat(gone, first), np.diff(np.r_[first, len(gone)]))
-            small = np.int32 if len(gone) < 1 << 31 else np.int64
-            count = np.r_[np.zeros(1, small), np.cumsum(gone, dtype=small)]
-            begin = gone & ~np.r_[False, gone[:-1]]
-            begin[block.starts[block.starts < len(gone)]] = gone[block.starts[block.starts < len(gone)]]
-            spans = np.r_[np.zeros(1, small), np.cumsum(begin, dtype=small)]
-            keep = ~gone
-            texts = [block.buf[s:e][keep[s:e]].tobytes() if count[e] > count[s] else raw for s, e, raw in zip(block.starts.tolist(), block.ends.tolist(), block.raw, strict=True)]
-            extra = [pa.array(block.ends - block.starts), pa.array((count[block.ends] - count[block.starts]).astype(np.int64)), pa.array((spans[block.ends] - spans[block.starts]).astype(np.int64))]
+            text, begin, end = removed_runs(block, gone, whole_characters)
+            del gone
+            texts = _kept(block, text, begin, end)
+            removed = np.zeros(len(texts), np.int64)
+            np.add.at(removed, text, end - begin)
+            extra = [pa.array(block.ends - block.starts), pa.array(removed), pa.array(np.bincount(text, minlength=len(texts)).astype(np.int64))]
             for a in range(0, len(texts), 4096):
                 part = block.table.slice(a, 4096).combine_chunks()
                 cols = []
@@ -616,6 +649,22 @@ def _finish(whole_characters: bool, names: list[str], digest: bool, counts: bool
     return run
 
 
+def _lean(run: Callable) -> Callable:
+    """``run`` without other operators' caches; what its arrays took goes back to the system.
+
+    Workers outlive their step, and what one keeps stands beside the executor's own heap.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("suffix dedup")
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
 def remove_repeats(docs: DataFrame, whole_characters: bool = False, digest: bool = False, block_bytes: int = BLOCK_BYTES, counts: bool = True, hot: int = HOT) -> DataFrame:
     """``docs`` with what earlier documents have taken out of ``text``.
 
@@ -633,26 +682,26 @@ def remove_repeats(docs: DataFrame, whole_characters: bool = False, digest: bool
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
     many, folder = partitions(spark), new_folder(spark, "blocks")
     fine = max(LEAST_RANGES, 4 * many)
-    made = materialise(docs.mapInArrow(_make_blocks(folder, fine, block_bytes), _ASKED), "anchors")
+    made = materialise(docs.mapInArrow(_lean(_make_blocks(folder, fine, block_bytes)), _ASKED), "anchors")
     answered = "block string, bucket int, repeated binary, hot binary"
 
     def by_bucket(rows: DataFrame) -> DataFrame:
         return rows.repartition(many, "bucket").sortWithinPartitions("bucket", "block")
 
-    repeated = materialise(by_bucket(made.where(F.col("bucket") >= 0)).mapInArrow(_find_repeated(hot), answered), "repeated")
+    repeated = materialise(by_bucket(made.where(F.col("bucket") >= 0)).mapInArrow(_lean(_find_repeated(hot)), answered), "repeated")
     blocks = materialise(made.where(F.col("bucket") < 0).select("block"), "blocks")
     discard(made)
     told = repeated.withColumn("strings", F.lit(None).cast("binary"))
     much = repeated.where(F.col("hot").isNotNull()).select("block", "bucket", "hot")
     strings = None
     if not much.isEmpty():
-        asked = much.repartition(many, "block").sortWithinPartitions("block", "bucket").mapInArrow(_ask_strings(fine), _ASKED)
-        strings = materialise(by_bucket(asked).mapInArrow(_find_repeated(None), answered), "strings")
+        asked = much.repartition(many, "block").sortWithinPartitions("block", "bucket").mapInArrow(_lean(_ask_strings(fine)), _ASKED)
+        strings = materialise(by_bucket(asked).mapInArrow(_lean(_find_repeated(None)), answered), "strings")
         nothing = F.lit(None).cast("binary")
         told = told.unionByName(strings.select("block", "bucket", nothing.alias("repeated"), nothing.alias("hot"), F.col("repeated").alias("strings")))
     by_block = told.repartition(many, "block").sortWithinPartitions("block", "bucket")
-    sent = by_block.mapInArrow(_send_contexts(fine), "block string, bucket int, n int, seeds binary, lowest binary, rows binary")
-    answers = materialise(by_bucket(sent).mapInArrow(_sort_shards, "block string, bucket int, n int, answer binary"), "answers")
+    sent = by_block.mapInArrow(_lean(_send_contexts(fine)), "block string, bucket int, n int, seeds binary, lowest binary, rows binary")
+    answers = materialise(by_bucket(sent).mapInArrow(_lean(_sort_shards), "block string, bucket int, n int, answer binary"), "answers")
     discard(*([repeated] if strings is None else [repeated, strings]))
     none = blocks.select("block", F.lit(-1).alias("bucket"), F.lit(0).alias("n"), F.lit(None).cast("binary").alias("answer"))
     tasks = answers.unionByName(none).repartition(many, "block").sortWithinPartitions("block", "bucket")
@@ -661,7 +710,7 @@ def remove_repeats(docs: DataFrame, whole_characters: bool = False, digest: bool
     fields = [T.StructField(n, kind if n == "text" else docs.schema[n].dataType) for n in names]
     fields += [T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")] * counts
     plain = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(fields)])
-    return tasks.mapInArrow(_finish(whole_characters, names, digest, counts), plain).toDF(*(f.name for f in fields))
+    return tasks.mapInArrow(_lean(_finish(whole_characters, names, digest, counts)), plain).toDF(*(f.name for f in fields))
 
 
 def oracle() -> str:

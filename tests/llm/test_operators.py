@@ -8,6 +8,7 @@ import math
 import random
 import re
 import textwrap
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -395,6 +396,60 @@ def test_op4_anchors_at_the_end_of_a_step(more):
     assert {low + k + int(h[k : k + span].argmin()) for k in range(len(h) - span + 1)} <= found
 
 
+def test_op4_runs_of_whole_characters():
+    r = random.Random(8)
+    texts = ["".join(r.choice("aé中\U0001f600") for _ in range(r.randrange(9))) for _ in range(60)] + [None, ""]
+    block = suffix_dedup.Block(pa.table({"doc_id": range(62), "text": texts}))
+    raw = [(t or "").encode() for t in texts]
+    for _ in range(30):
+        gone = np.array([r.random() < 0.7 for _ in block.buf], bool)
+        for whole in (False, True):
+            text, begin, end = suffix_dedup.removed_runs(block, gone, whole)
+            got, want = [[] for _ in texts], [[] for _ in texts]
+            for k, a, b in zip(text.tolist(), begin.tolist(), end.tolist(), strict=True):
+                got[k] += range(a, b)
+            for k, t in enumerate(texts):
+                at = int(block.starts[k])
+                for c in t or "":
+                    size = len(c.encode())
+                    want[k] += [i for i in range(at, at + size) if (gone[at : at + size].all() if whole else gone[i])]
+                    at += size
+            assert got == want and len(text) == sum((np.diff(w, prepend=-9) > 1).sum() for w in want)
+            assert suffix_dedup._kept(block, text, begin, end) == [bytes(b for i, b in enumerate(x, s) if i not in w) for x, s, w in zip(raw, block.starts.tolist(), map(set, want), strict=True)]
+
+
+def test_op4_steps_hold_little(tmp_path):
+    """Workers of all steps live side by side with the executor's heap: what a step takes for each byte is bounded."""
+    r = np.random.default_rng(9)
+    passages = r.integers(97, 123, (300, 700)).astype(np.uint8)
+    texts = [np.r_[r.integers(97, 123, 700).astype(np.uint8), *passages[r.integers(0, 300, 5)]].tobytes().decode() for _ in range(1500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1500)), pa.array(texts)], ["doc_id", "text"])
+    n, peak = sum(map(len, texts)), {}
+
+    def held(name, run, batches, *order):
+        tracemalloc.start()
+        out = list(run(iter(batches)))
+        peak[name] = tracemalloc.get_traced_memory()[1] / n
+        tracemalloc.stop()
+        t = pa.Table.from_batches(out)
+        return t.filter(pc.greater_equal(t["bucket"], 0)).sort_by([(c, "ascending") for c in order]).combine_chunks() if order else t
+
+    asked = held("blocks", suffix_dedup._make_blocks(f"file://{tmp_path}", 4, 8 << 20), [batch], "bucket", "block")
+    told = held("repeated", suffix_dedup._find_repeated(40_000), asked.to_batches(), "block", "bucket")
+    told = told.append_column("strings", pa.nulls(len(told), pa.binary()))
+    sent = held("contexts", suffix_dedup._send_contexts(4), told.to_batches(), "bucket", "block")
+    answers = held("sort", suffix_dedup._sort_shards, sent.to_batches(), "block", "bucket")
+    done = held("finish", suffix_dedup._finish(True, ["doc_id", "text"], False, True), answers.to_batches())
+    assert len(done) == 1500 and sum(done["c3"].to_pylist()) > n // 2
+    assert peak["blocks"] < 12 and peak["contexts"] < 16 and peak["finish"] < 12, peak
+    rows_ = np.concatenate([np.tile(np.uint8([32, 50]), (8000, 1)), passages.ravel()[r.integers(0, 200_000, 8000)[:, None] + np.arange(82)]], 1)
+    tracemalloc.start()
+    suffix_dedup.string_classes(rows_)
+    peak["suffixes"] = tracemalloc.get_traced_memory()[1] / (8000 * 83)
+    tracemalloc.stop()
+    assert peak["suffixes"] < 50, peak
+
+
 def test_op4_odd_rows(spark, odd, empty):
     found = sorted((r.doc_id is None, r.doc_id or 0, r.n_removed, r.n_bytes) for r in suffix_dedup.remove_repeats(odd).collect())
     n0, n1 = len(BASE[0].encode()), len(BASE[1].encode())
@@ -418,6 +473,15 @@ def test_suffix_array(text):
     assert suffix_array.common_prefixes(x, order, len(text), 50).tolist() == shared.tolist()
 
 
+@pytest.mark.parametrize("size", [1, 5, 60])
+def test_suffix_array_in_pieces(monkeypatch, size):
+    monkeypatch.setattr(suffix_array, "_OPEN", size)
+    r = np.random.default_rng(size)
+    for text in (b"ab" * 60, b"abcdefghij" * 20, b"\0" * 40, *(r.integers(0, 2, 300).astype(np.uint8).tobytes() * 2 for _ in range(5))):
+        order = suffix_array.suffix_order(np.frombuffer(text, np.uint8))
+        assert order.tolist() == sorted(range(len(text)), key=lambda i: text[i:])
+
+
 def test_op5_files_and_lookup(docs, odd, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     coder = tokens.LibraryCoder(path)
