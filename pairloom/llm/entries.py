@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import bpe, jaccard_join, license_scan, ngram_lm, packing, quality, sstable, suffix_dedup, token_counts, winnow
+from pairloom.llm import bpe, fill_middle, jaccard_join, license_scan, ngram_lm, packing, private_data, quality, sstable, suffix_dedup, token_counts, whitening, winnow
 from pairloom.llm._shared import documents
 
 
@@ -55,6 +55,18 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_data.extract(documents(spark, sf_dir))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.fill_in_middle(documents(spark, sf_dir), digest=True)
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_winnowing": op2_winnowing,
@@ -66,6 +78,9 @@ QUERIES = {
     "op8_license_digests": op8_license_digests,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_whitening": op11_whitening,
+    "op12_private_data": op12_private_data,
+    "op13_fill_middle": op13_fill_middle,
 }
 
 ORACLES: dict[str, str] = {
@@ -73,4 +88,6 @@ ORACLES: dict[str, str] = {
     "op7_stupid_backoff": ngram_lm.oracle(),
     "op8_license_digests": license_scan.oracle(),
     "op9_ngram_jaccard": jaccard_join.oracle(size=3, percent=90),
+    "op12_private_data": private_data.oracle(),
+    "op13_fill_middle": fill_middle.oracle(),
 }
