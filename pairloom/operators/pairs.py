@@ -1,14 +1,17 @@
 """Physical plans of pair queries: which rows i meet which rows j, and where.
 
-* one side small (checked: ``SMALL_BYTES``): it is sent to every task once as
-  numpy arrays, and the other side streams past it.  No shuffle at all.
-* both sides large: each is packed into blocks of rows, blocks meet in a join
-  of blocks, and partial states of a row are merged by a hash aggregate.
-* batches: rows meet within equal keys; blocks join on the keys.
-* ranges: blocks of i meet the blocks of j that a table of pairs lists.
+* the reduced side small (checked: ``SMALL_BYTES``, and for ranges
+  ``SMALL_RANGES``): it is sent to every task once as numpy arrays, cut by batch
+  key and cluster, and the kept side streams past it.  No shuffle at all.
+* both sides large: each is packed into blocks of ``BLOCK_ROWS`` rows, and a
+  small table lists which blocks meet: all, those of one batch key, or those of
+  two clusters that a table of ranges names.  Pairs of blocks are what is dealt
+  to tasks, by a hash of key and both blocks, into a number of tasks that
+  follows from the number of pairs, so a hot key or cluster is as many tasks as
+  its pairs fill.  Partial states of a row are merged by hash aggregates.
 * columns: a plain join and component columns, for short vectors and for SQL.
 
-In the first four, pairs exist only inside a tile: ``TILE`` numbers in the
+In the first two, pairs exist only inside a tile: ``TILE`` numbers in the
 widest part of the formula that has rows of both sides.
 """
 
@@ -25,7 +28,7 @@ from pairloom.functions.ops import Precision
 from pairloom.operators.reductions import EXPONENTIAL, K_LOWEST, VALUE_ARG, Reduction
 from pairloom.plans.evaluate import as_columns, on_blocks, shared_subtrees
 from pairloom.plans.expr import PM, VI, VJ, Expr, Var
-from pairloom.session import ship
+from pairloom.session import checkpoints, ship
 
 #: The streamed-past side may have at most so many bytes of vectors.
 SMALL_BYTES = 64 * 1024 * 1024
@@ -35,6 +38,10 @@ TILE = 4_000_000
 BLOCK_ROWS = 8192
 #: Numbers of pairs that a task folds where one side is small; more are dealt to more tasks.
 TASK = 50_000_000
+#: Rows of a table of ranges that is sent with a small side.
+SMALL_RANGES = 1_000_000
+#: Rows of a list of block pairs, or of keys of more than one block, that is broadcast.
+SMALL_LIST = 200_000
 #: Exponents of one bucket of sums of exponentials: e to this power is far from overflow.
 BUCKET = 500.0
 
@@ -173,12 +180,16 @@ def reduce_pairs(
     in_ranges = ranges is not None
     kept = kept_df.select(*kept_keys, _ids_type(kept_df, kept_id), *([F.col(k_block)] if in_ranges else []), *dict.fromkeys(name_of(v) for v in kept_vars))
     other = other_df.select(*other_keys, _ids_type(other_df, other_id), *([F.col(o_block)] if in_ranges else []), *dict.fromkeys(name_of(v) for v in other_vars))
+    meet = ranges.select(F.col(k_block).alias("_mine_block"), F.col(o_block).alias("_theirs_block")).distinct() if in_ranges else None
+    if in_ranges:
+        kept, other = kept.withColumnRenamed(k_block, "_mine_block"), other.withColumnRenamed(o_block, "_theirs_block")
+    sides = (kernel, kept, other, kept_vars, other_vars, kept_id, other_id, kept_keys, other_keys, keys, meet)
+    if strategy in ("auto", "small") and _fits(other, other_vars) and (meet is None or meet.limit(SMALL_RANGES + 1).count() <= SMALL_RANGES):
+        return _finish(reduction, _by_small_side(spark, *sides), keys, kept_id)
     if strategy == "columns":
-        partial = _by_columns(kernel, kept, other, kept_vars, other_vars, kept_id, other_id, kept_keys, other_keys, keys, ranges)
-    elif not keys and not in_ranges and strategy in ("auto", "small") and _fits(other, other_vars):
-        return _finish(reduction, _by_small_side(spark, kernel, kept, other, kept_vars, other_vars, kept_id, other_id), [], kept_id)
+        partial = _by_columns(*sides)
     else:
-        partial = _by_blocks(kernel, kept, other, kept_vars, other_vars, kept_id, other_id, kept_keys, other_keys, keys, ranges)
+        partial = _fewer(_by_blocks(*sides), [*keys, kept_id], reduction)
     merged = partial.groupBy(*keys, kept_id).agg(reduction.merge("partial").alias("partial"))
     # rows that no pair covers get the neutral value
     base = kept.select(*kept_keys, kept_id)
@@ -188,6 +199,15 @@ def reduce_pairs(
     return _finish(reduction, full, keys, kept_id)
 
 
+def _fewer(partial: DataFrame, by: list[str], reduction: Reduction) -> DataFrame:
+    """A bounded number of states for each row, whatever the number of blocks they come from."""
+    if reduction.name in EXPONENTIAL:
+        return _summed_by_bucket(partial, by, reduction.weight_dim)
+    if reduction.name in K_LOWEST:
+        return _lowest_of_each(partial, by, reduction.dim, reduction.k)
+    return partial
+
+
 def _finish(reduction: Reduction, df: DataFrame, keys: list[str], kept_id: str) -> DataFrame:
     return df.select(*keys, kept_id, *(c.alias(n) for n, c in reduction.finish("partial").items()))
 
@@ -202,26 +222,64 @@ def _table(batch: pa.RecordBatch | pa.Table, variables: list[Var]) -> dict[tuple
     return {v.key: matrix(batch[name_of(v)], v.dim) for v in variables}
 
 
-def _by_small_side(spark, kernel, kept, other, kept_vars, other_vars, kept_id, other_id) -> DataFrame:
+def _by_small_side(spark, kernel, kept, other, kept_vars, other_vars, kept_id, other_id, kept_keys=(), other_keys=(), keys=(), meet=None) -> DataFrame:
+    """(keys, id, partial): the state of every row of the kept side, complete.
+
+    The other side is cut by the tags that have to agree (shared keys, or the
+    cluster) and, within those, by the keys that only it has: a row of the kept
+    side meets each of the latter on its own.  A null key meets nothing.
+    """
     whole = other.toArrow()  # at most SMALL_BYTES of vectors
-    ids, there = _sorted_side(whole[other_id].to_numpy().astype(np.int64), _table(whole, other_vars))
-    sent = spark.sparkContext.broadcast((ids, there))
+    shared, own = [k for k in kept_keys if k in other_keys], [k for k in other_keys if k not in kept_keys]
+    tags = [*shared, *(["_theirs_block"] if meet is not None else []), *own]
+    there: dict[tuple, dict[tuple, tuple]] = {}
+    size = len(tags) - len(own)
+    for tag, rows in _grouped(whole, tags):
+        part = whole.take(rows) if tags else whole
+        there.setdefault(tag[:size], {})[tag[size:]] = _sorted_side(part[other_id].to_numpy().astype(np.int64), _table(part, other_vars))
+    others = sorted({t for x in there.values() for t in x}, key=repr) if own else [()]
+    partners: dict[object, list] = {}
+    if meet is not None:
+        listed = meet.toArrow()  # at most SMALL_RANGES rows
+        for a, b in zip(listed["_mine_block"].to_pylist(), listed["_theirs_block"].to_pylist(), strict=True):
+            partners.setdefault(a, []).append(b)
+    sent = spark.sparkContext.broadcast((there, partners))
     reduction = kernel.reduction
     # a small file is one partition however many pairs its rows make
-    work = len(ids) * max(pair_width(kernel.formula, reduction.name in K_LOWEST or reduction.name in VALUE_ARG), 1)
+    work = max(1, whole.num_rows // max(1, len(there) if meet is None else 1)) * max(pair_width(kernel.formula, reduction.name in K_LOWEST or reduction.name in VALUE_ARG), 1)
     most = 8 * spark.sparkContext.defaultParallelism
     if work * 1000 > TASK and (tasks := -(-kept.select(F.lit(1)).limit(most * TASK // work + 1).count() * work // TASK)) > 1:
         kept = kept.repartition(int(min(tasks, most)))
-    kind = reduction.partial_type
+    kind, ranged = reduction.partial_type, meet is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, there = sent.value
+        there, partners = sent.value
         for b in batches:
-            if b.num_rows:
-                state = kernel.fold(reduction.start(b.num_rows), _table(b, kept_vars), there, ids)
-                yield _rows([b[kept_id]], [kept_id], reduction.partial(state), kind)
+            for tag, rows in _grouped(b, [*shared, *(["_mine_block"] if ranged else [])]) if b.num_rows else ():
+                mine = b.take(rows) if len(rows) < b.num_rows else b
+                places = [(*tag[:-1], block) for block in partners.get(tag[-1], ())] if ranged else [tag]
+                for extra in others:
+                    state = reduction.start(mine.num_rows)
+                    for place in places:
+                        if None not in place and (found := there.get(place, {}).get(extra)) is not None:
+                            state = kernel.fold(state, _table(mine, kept_vars), found[1], found[0])
+                    named = dict(zip(own, extra, strict=True))
+                    columns = [pa.array([named[k]] * mine.num_rows, types[k]) if k in named else mine[k] for k in keys]
+                    yield _rows([*columns, mine[kept_id]], [*keys, kept_id], reduction.partial(state), kind)
+
+    types = {k: whole.schema.field(k).type for k in own}
+    kinds = {f.name: f.dataType.simpleString() for df in (kept, other) for f in df.schema}
+    return kept.mapInArrow(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"{kept_id} long", f"partial {kind}"]))
+
 
-    return kept.mapInArrow(run, f"{kept_id} long, partial {kind}")
+def _grouped(table: pa.RecordBatch | pa.Table, tags: list[str]) -> list[tuple[tuple, pa.Array]]:
+    """Each combination of ``tags`` and the places of its rows."""
+    if not tags:
+        return [((), pa.array(np.arange(table.num_rows)))]
+    found: dict[tuple, list[int]] = {}
+    for at, tag in enumerate(zip(*(table[t].to_pylist() for t in tags), strict=True)):
+        found.setdefault(tag, []).append(at)
+    return [(tag, pa.array(rows)) for tag, rows in found.items()]
 
 
 def _rows(columns: list, names: list[str], partial: list, kind: str) -> pa.RecordBatch:
@@ -233,37 +291,48 @@ def _rows(columns: list, names: list[str], partial: list, kind: str) -> pa.Recor
     return pa.RecordBatch.from_arrays([*columns, pa.array(partial, types[kind])], [*names, "partial"])
 
 
-def _packed(df: DataFrame, keys: list[str], block: str | None, row_id: str, prefix: str) -> DataFrame:
-    """One row per block: its keys and ``rows``, the structs of its rows.
+def _bounded(df: DataFrame) -> DataFrame:
+    """``df``, to be broadcast if its rows are counted to be at most ``SMALL_LIST``."""
+    return F.broadcast(df) if df.select(F.lit(1)).limit(SMALL_LIST + 1).count() <= SMALL_LIST else df
 
-    Batches and clusters of more than ``BLOCK_ROWS`` rows are cut: a hot one is
-    no single block.
-    """
-    if block is not None:
-        df = df.withColumnRenamed(block, "_block")
-    tags = [*keys, *(["_block"] if block is not None else [])]
-    if tags:
-        many = F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("long")
-        df = df.join(df.groupBy(*tags).agg(many.alias("_many")), tags)
-    else:
-        df = df.withColumn("_many", F.lit(max(1, -(-df.count() // BLOCK_ROWS))))
-    df = df.withColumn("_part", F.pmod(F.xxhash64(row_id), F.col("_many"))).drop("_many")
-    cols = [c for c in df.columns if c not in (*tags, "_part")]
-    packed = df.groupBy(*tags, "_part").agg(F.collect_list(F.struct(*cols)).alias(prefix)).drop("_part")
-    return packed.withColumnRenamed("_block", f"_{prefix}_block") if block is not None else packed
-
-
-def _by_blocks(kernel, kept, other, kept_vars, other_vars, kept_id, other_id, kept_keys, other_keys, keys, ranges) -> DataFrame:
-    k_block, o_block = ("bi", "bj") if kernel.keep == VI else ("bj", "bi")
-    ranged = ranges is not None
-    a = _packed(kept, kept_keys, k_block if ranged else None, kept_id, "mine")
-    b = _packed(other, other_keys, o_block if ranged else None, other_id, "theirs")
+
+def _packed(df: DataFrame, tags: list[str], counts: DataFrame, row_id: str, part: str, prefix: str) -> DataFrame:
+    """One row per block: its tags, the number of its part, and the structs of its rows."""
+    # tags of one block need no look-up: what is left has at most a row for each BLOCK_ROWS rows of ``df``
+    large = _bounded(counts.where(F.col("_many") > 1))
+    df = df.join(large, tags, "left") if tags else df.crossJoin(F.broadcast(counts))
+    cols = [c for c in df.columns if c not in (*tags, "_many")]
+    df = df.withColumn(part, F.pmod(F.xxhash64(row_id), F.coalesce("_many", F.lit(1))))
+    return df.groupBy(*tags, part).agg(F.collect_list(F.struct(*cols)).alias(prefix))
+
+
+def _by_blocks(kernel, kept, other, kept_vars, other_vars, kept_id, other_id, kept_keys, other_keys, keys, meet) -> DataFrame:
+    """(keys, id, partial): a state of a kept row for each block that it meets."""
+    mine_tags = [*kept_keys, *(["_mine_block"] if meet is not None else [])]
+    their_tags = [*other_keys, *(["_theirs_block"] if meet is not None else [])]
     shared = [k for k in kept_keys if k in other_keys]
-    if ranged:
-        meet = ranges.select(F.col(k_block).alias("_mine_block"), F.col(o_block).alias("_theirs_block")).distinct()
-        pairs = a.join(meet, "_mine_block").join(b, ["_theirs_block", *shared])
-    else:
-        pairs = a.join(b, shared) if shared else a.crossJoin(b)
+    spark = kept.sparkSession
+    checkpoints(spark)
+    many = F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("long").alias("_many")
+    a_counts, b_counts = kept.groupBy(*mine_tags).agg(many).checkpoint(), other.groupBy(*their_tags).agg(many).checkpoint()
+    # which blocks meet: numbers only; a key's parts are spread before their partners are listed
+    a, b = a_counts.withColumnRenamed("_many", "_a"), b_counts.withColumnRenamed("_many", "_b")
+    if meet is not None:
+        a = a.join(meet, "_mine_block")
+    on = [*shared, *(["_theirs_block"] if meet is not None else [])]
+    both = a.join(b, on) if on else a.crossJoin(b)
+    spread = both.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_a") - 1)).alias("_mine_part")).where("_a > 0 AND _b > 0")
+    tags = list(dict.fromkeys([*mine_tags, *their_tags]))
+    listed = spread.repartition(*tags, "_mine_part").select(*tags, "_mine_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_b") - 1)).alias("_theirs_part")).checkpoint()
+    pairs = listed.count()
+    tasks = max(1, min(pairs, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism)))
+    place = [*tags, "_mine_part", "_theirs_part"]
+    if pairs <= SMALL_LIST:
+        listed = F.broadcast(listed)
+    mine = _packed(kept, mine_tags, a_counts, kept_id, "_mine_part", "mine").join(listed, [*mine_tags, "_mine_part"])
+    theirs = _packed(other, their_tags, b_counts, other_id, "_theirs_part", "theirs").join(listed, [*their_tags, "_theirs_part"])
+    # a number of partitions that is given is not coalesced by bytes, which say nothing about pairs
+    met = mine.repartition(tasks, *place).join(theirs.repartition(tasks, *place), place)
     reduction = kernel.reduction
     kind = reduction.partial_type
 
@@ -278,19 +347,17 @@ def _by_blocks(kernel, kept, other, kept_vars, other_vars, kept_id, other_id, ke
 
     kinds = {f.name: f.dataType.simpleString() for df in (kept, other) for f in df.schema}
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"{kept_id} long", f"partial {kind}"])
-    return pairs.select(*keys, "mine", "theirs").mapInArrow(run, schema)
+    return met.select(*keys, "mine", "theirs").mapInArrow(run, schema)
 
 
-def _by_columns(kernel, kept, other, kept_vars, other_vars, kept_id, other_id, kept_keys, other_keys, keys, ranges) -> DataFrame:
+def _by_columns(kernel, kept, other, kept_vars, other_vars, kept_id, other_id, kept_keys, other_keys, keys, meet) -> DataFrame:
     """A join and component columns: all in the JVM."""
     a = kept.select(*[F.col(c).alias(f"a_{c}") for c in kept.columns])
     b = other.select(*[F.col(c).alias(f"b_{c}") for c in other.columns])
     cond = [F.col(f"a_{k}") == F.col(f"b_{k}") for k in kept_keys if k in other_keys]
-    if ranges is not None:
-        k_block, o_block = ("bi", "bj") if kernel.keep == VI else ("bj", "bi")
-        meet = ranges.select(F.col(k_block).alias("_m"), F.col(o_block).alias("_t")).distinct()
-        a = a.join(meet, F.col(f"a_{k_block}") == F.col("_m"))
-        cond.append(F.col("_t") == F.col(f"b_{o_block}"))
+    if meet is not None:
+        a = a.join(meet, F.col("a__mine_block") == F.col("_mine_block"))
+        cond.append(F.col("_theirs_block") == F.col("b__theirs_block"))
     if cond:
         both = cond[0]
         for c in cond[1:]:

@@ -250,6 +250,62 @@ def test_hot_clusters_are_cut(spark, monkeypatch):
     assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-12 for i in got)
 
 
+@pytest.mark.parametrize("broadcasts", [True, False])
+@pytest.mark.parametrize("kind", ["batch", "ranges", "all"])
+def test_pairs_of_blocks_are_dealt_to_tasks(spark, monkeypatch, kind, broadcasts):
+    """A key, or a cluster, with nearly all rows is as many tasks as its pairs of blocks fill."""
+    from pairloom.operators import pairs
+
+    monkeypatch.setattr(pairs, "BLOCK_ROWS", 128)
+    monkeypatch.setattr(pairs, "SMALL_BYTES", 0)
+    if not broadcasts:
+        monkeypatch.setattr(pairs, "SMALL_LIST", 0)
+    seen = []
+    fewer = pairs._fewer
+    monkeypatch.setattr(pairs, "_fewer", lambda partial, by, reduction: fewer(seen.append(partial) or partial, by, reduction))
+    hot = lambda c: F.when(F.col(c) < 8, F.col(c)).otherwise(F.lit(99)).cast("long")
+    left = spark.range(2048).select(F.col("id").alias("i"), (F.col("id") % 7).cast("double").alias("x"), hot("id").alias("g"), hot("id").alias("bi"))
+    right = spark.range(2048).select(F.col("id").alias("j"), (F.col("id") % 5).cast("double").alias("y"), hot("id").alias("g"), hot("id").alias("bj"))
+    more = {"batch": {"batch": ["g"]}, "ranges": {"ranges": spark.createDataFrame([(99, 99), (1, 99)], "bi long, bj long")}, "all": {}}[kind]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        if not broadcasts:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        out = PairReduce("Square(x-y)", ["x = Vi(1)", "y = Vj(1)"], "Sum", 1).run(left, right, **more)
+        by_task = [r["count"] for r in seen[0].groupBy(F.spark_partition_id()).count().collect()]
+        got = {r.i: r.value[0] for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sum(by_task) > 2000 * 16 and len(by_task) >= 14 and max(by_task) < 0.2 * sum(by_task)
+    meets = {"batch": lambda i, j: (i if i < 8 else 99) == (j if j < 8 else 99), "ranges": lambda i, j: (i >= 8 or i == 1) and j >= 8, "all": lambda i, j: True}[kind]
+    assert len(got) == 2048 and all(got[i] == sum((i % 7 - j % 5) ** 2 for j in range(2048) if meets(i, j)) for i in (0, 1, 3, 8, 77, 2047))
+
+
+@pytest.mark.parametrize("op, k", [("Sum", 0), ("ArgKMin", 3), ("KMin_ArgKMin", 2), ("LogSumExp", 0), ("Min_ArgMin", 0)])
+def test_small_side_by_keys_and_clusters(spark, op, k):
+    """The small side by batch keys, clusters and keys of its own gives what blocks and columns give."""
+    r = np.random.default_rng(6)
+    left = spark.createDataFrame([(i, v.tolist(), i % 3 if i % 11 else None, i % 4) for i, v in enumerate(r.normal(size=(40, 3)))], "i long, x array<double>, g long, bi long").repartition(3)
+    right = spark.createDataFrame([(j, v.tolist(), j % 4 if j % 7 else None, "ab"[j % 2], j % 5) for j, v in enumerate(r.normal(size=(30, 3)))], "j long, y array<double>, g long, h string, bj long")
+    ranges = spark.createDataFrame([(0, 1), (0, 2), (1, 4), (3, 0), (3, 0)], "bi long, bj long")
+    q = PairReduce("-SqDist(x,y)", ["x = Vi(3)", "y = Vj(3)"], op, 1, k=k)
+    for more in ({"batch": ["g"]}, {"ranges": ranges}, {"batch": ["g"], "ranges": ranges}, {"batch": ["h"]}, {"batch": ["h"], "ranges": ranges}):
+        small, blocks, columns = (sorted(repr([np.round(v, 9).tolist() if isinstance(v, list) else v for v in row]) for row in q.run(left, right, strategy=s, **more).collect()) for s in ("auto", "blocks", "columns"))
+        assert small == blocks == columns, more
+
+
+def test_many_blocks_leave_few_states(spark, monkeypatch):
+    """Lowest and exponential states of many blocks are merged without a list of all of them."""
+    from pairloom.operators import pairs
+
+    monkeypatch.setattr(pairs, "BLOCK_ROWS", 2)
+    left, right = _sides(spark)
+    for op, k in (("ArgKMin", 3), ("LogSumExp", 0)):
+        q = PairReduce("-SqDist(x,y)", ["x = Vi(3)", "y = Vj(3)"], op, 1, k=k)
+        a, b = ({r[0]: r[1] for r in q.run(left, right, strategy=s).collect()} for s in ("blocks", "small"))
+        assert a.keys() == b.keys() and all(np.allclose(a[i], b[i], rtol=1e-12) for i in a)
+
+
 def test_ranged_tensor_is_transposed(spark):
     left, right = _sides(spark)
     left, right = left.withColumn("bi", F.col("i") % 3), right.withColumn("bj", F.col("j") % 4)
