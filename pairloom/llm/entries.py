@@ -35,7 +35,7 @@ def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
-    return quality.judge(documents(spark, sf_dir)).select(*counts, "base_failed", "kept")
+    return quality.judge(documents(spark, sf_dir)).select(*counts, "base_failed", "kept", "settled")
 
 
 def op7_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:

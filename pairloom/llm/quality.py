@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.llm._shared import discard, free_name, materialise, prepare
@@ -37,7 +37,8 @@ SYMBOLS = "#*$%&|<>"
 #: Rows a step keeps; half the breakdown of the median start remains.
 KEEP = 0.75
 #: Concentration steps at most; they end as soon as no logarithm of a determinant moves by ``SETTLED``.
-STEPS = 12
+#: A group whose estimate still moves then is marked (column ``settled``).
+STEPS = 40
 SETTLED = 0.01
 #: Random starts beside the median/MAD one, and about how many rows of a group each begins with.
 STARTS = 2
@@ -49,6 +50,10 @@ GROUPS_PER_TASK = 5_000
 #: Groups with fewer rows are estimated with all small groups of their language.
 MIN_ROWS = 100
 DIMENSIONS = 4
+#: Coordinates are multiples of one over this, so that their sums are exact.
+GRID = 2**20
+#: Ranks are exact among multiples of one over this; a bin has ``BIN`` of them, and what is above ``FAR`` counts as that.
+UNIT, BIN, FAR = 2**12, 2**8, 1e9
 #: Standard deviations that a coordinate is allowed at least.  Where the core of a group has no
 #: symbols or repeats these decide: each must let its rate alone pass ``CUTOFF`` (repeated words
 #: at 26 %, before the base rule's 30 %).
@@ -137,15 +142,41 @@ def _joined(rows: DataFrame, small: DataFrame, on: str | list[str], many: int, h
 
 
 def _moments(rows: DataFrame) -> DataFrame:
-    """key, start, n, sums and cross sums."""
-    xs = [F.col(f"x{i}") for i in range(DIMENSIONS)]
+    """key, start, n, sums and cross sums in units of ``GRID`` and its square: exact, as decimals."""
+    xs = [(F.col(f"x{i}") * GRID).cast("long") for i in range(DIMENSIONS)]
+    total = lambda c: F.sum(c.cast("decimal(20,0)"))
     return rows.groupBy("key", "start").agg(
         F.count(F.lit(1)).alias("n"),
-        F.array(*(F.sum(x) for x in xs)).alias("s"),
-        F.array(*(F.sum(a * b) for a in xs for b in xs)).alias("c"),
+        F.array(*(total(x) for x in xs)).alias("s"),
+        F.array(*(total(a * b) for a in xs for b in xs)).alias("c"),
     )
 
 
+def _ranked(rows: DataFrame, by: list[str], value: Column, share: float, many: int) -> DataFrame:
+    """``by``, rank: the least unit that at least ``share`` of a group's rows do not exceed.
+
+    Counted by bins, then by units in the bin that has the rank: two tables of a
+    bounded number of counters for each group, whatever its rows.
+    """
+    units = F.floor(F.least(F.greatest(value, F.lit(-FAR)), F.lit(FAR)) * UNIT)
+    rows = rows.select(*by, units.alias("_u")).withColumn("_b", F.floor(F.col("_u") / BIN))
+    up = Window.partitionBy(*by)
+    bins = rows.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n")).withColumns({"_upto": F.sum("_n").over(up.orderBy("_b")), "_all": F.sum("_n").over(up)})
+    need = F.greatest(F.ceil(F.col("_all") * share), F.lit(1))
+    least = F.min(F.when(F.col("_upto") >= need, F.struct("_b", (need - (F.col("_upto") - F.col("_n"))).alias("_need"))))
+    found = bins.groupBy(*by).agg(least.alias("_f")).select(*by, "_f.*")
+    inside = _joined(rows, found, [*by, "_b"], many).groupBy(*by, "_u").agg(F.count(F.lit(1)).alias("_n"), F.first("_need").alias("_need"))
+    inside = inside.withColumn("_upto", F.sum("_n").over(up.orderBy("_u")))
+    return inside.where(F.col("_upto") >= F.col("_need")).groupBy(*by).agg(F.min("_u").alias("rank"))
+
+
+def _medians(rows: DataFrame, many: int) -> DataFrame:
+    """key, center: the median of each coordinate, to a unit."""
+    tall = rows.select("key", F.posexplode(F.array(*(f"x{i}" for i in range(DIMENSIONS)))).alias("at", "v"))
+    of = lambda i: F.max(F.when(F.col("at") == i, F.col("rank"))) / UNIT
+    return _ranked(tall, ["key", "at"], F.col("v"), 0.5, many * DIMENSIONS).groupBy("key").agg(F.array(*(of(i) for i in range(DIMENSIONS))).alias("center"))
+
+
 def _few(sums: DataFrame, many: int) -> DataFrame:
     """Aggregates of ``many`` groups in as few tasks as they need: one group is one small row."""
     return sums.coalesce(max(1, many // GROUPS_PER_TASK))
@@ -165,8 +196,8 @@ def _estimate(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n = np.maximum(b["n"].to_numpy(zero_copy_only=False), 1)[:, None]
-            s = np.array(b["s"].to_pylist(), float).reshape(-1, p) / n
-            c = np.array(b["c"].to_pylist(), float).reshape(-1, p, p) / n[:, :, None] - s[:, :, None] * s[:, None, :]
+            s = np.array(b["s"].to_pylist(), float).reshape(-1, p) / n / GRID
+            c = np.array(b["c"].to_pylist(), float).reshape(-1, p, p) / n[:, :, None] / GRID**2 - s[:, :, None] * s[:, None, :]
             cov = factor * (c + c.transpose(0, 2, 1)) / 2 + floors
             inv = np.linalg.inv(cov) if len(s) else np.zeros((0, p, p))
             det = np.linalg.slogdet(cov)[1] if len(s) else np.zeros(0)
@@ -183,50 +214,51 @@ def _distance() -> Column:
 
 
 def estimates(vectors: DataFrame) -> DataFrame:
-    """key, center, precision: the minimum-covariance-determinant estimate of each key."""
+    """key, center, precision, settled: the minimum-covariance-determinant estimate of each key."""
     p = DIMENSIONS
     xs = [F.col(f"x{i}") for i in range(p)]
-    middle = vectors.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.array(*(F.percentile_approx(x, 0.5, 1000) for x in xs)).alias("center"))
-    middle = materialise(middle, "mcd")
-    many = middle.count() * (STARTS + 1)  # rows of every small table below, at most
-    apart = _joined(vectors, middle, "key", many).groupBy("key").agg(
-        F.first("center").alias("center"), *(F.percentile_approx(F.abs(x - F.col("center")[i]), 0.5, 1000).alias(f"m{i}") for i, x in enumerate(xs))
-    )
-    apart = _few(apart, many)
+    sizes = materialise(vectors.groupBy("key").agg(F.count(F.lit(1)).alias("rows")), "mcd")
+    many = sizes.count() * (STARTS + 1)  # rows of every small table below, at most
+    middle = materialise(_few(_medians(vectors, many).join(sizes, "key"), many), "mcd")
+    away = _joined(vectors, middle, "key", many).select("key", *(F.abs(x - F.col("center")[i]).alias(f"x{i}") for i, x in enumerate(xs)))
+    apart = _few(_medians(away, many).withColumnRenamed("center", "away").join(middle, "key"), many)
     # a normal deviate is 1.4826 median absolute deviations
-    spread = [F.pow(1.4826 * F.col(f"m{i}"), 2) + FLOORS[i] ** 2 for i in range(p)]
+    spread = [F.pow(1.4826 * F.col("away")[i], 2) + FLOORS[i] ** 2 for i in range(p)]
     mad = F.array(*(1 / spread[i] if i == j else F.lit(0.0) for i in range(p) for j in range(p))).alias("precision")
     now = apart.select("key", F.lit(0).alias("start"), "center", mad, F.lit(None).cast("double").alias("logdet"))
     # rows whose hash falls low: which ones depends on the rows alone, so a lost task makes the same start again
     start = F.explode(F.array(*(F.lit(k) for k in range(1, STARTS + 1)))).alias("start")
-    picked = _joined(vectors, middle, "key", many).select("key", "rows", *xs, start).where(F.pmod(F.xxhash64(*xs, "start"), F.col("rows")) < PICKS)
+    picked = _joined(vectors, sizes, "key", many).select("key", "rows", *xs, start).where(F.pmod(F.xxhash64(*xs, "start"), F.col("rows")) < PICKS)
     now = materialise(now.unionByName(_estimate(_few(_moments(picked), many))), "mcd")
-    for _ in range(STEPS):
+    before, settled = None, now.select("key").distinct().withColumn("settled", F.lit(False))
+    for step in range(1, STEPS + 1):
         near = _joined(vectors, now, "key", many).withColumn("d2", _distance())
-        edge = near.groupBy("key", "start").agg(F.percentile_approx("d2", F.lit(KEEP), F.lit(2000)).alias("edge"))
-        edge = materialise(_few(edge, many), "mcd")
-        core = _joined(near, edge, ["key", "start"], many).where(F.col("d2") <= F.col("edge"))
+        edge = _few(_ranked(near, ["key", "start"], F.col("d2"), KEEP, many), many)
+        core = _joined(near, edge, ["key", "start"], many).where(F.col("d2") * UNIT < F.col("rank") + 1)
         after = materialise(_estimate(_few(_moments(core), many)), "mcd")
-        old = now.select("key", "start", F.col("logdet").alias("before"))
-        moved = after.join(old, ["key", "start"]).agg(F.max(F.coalesce(F.abs(F.col("logdet") - F.col("before")), F.lit(1e9)))).first()[0]
-        discard(now, edge)
-        now = after
-        if moved is None or moved < SETTLED:
+        if before is not None:
+            discard(before)
+        before, now = now, after
+        moved = F.coalesce(F.abs(F.col("logdet") - F.col("old")) >= SETTLED, F.lit(True))
+        old = before.select("key", "start", F.col("logdet").alias("old"))
+        settled = _few(now.join(old, ["key", "start"]).groupBy("key").agg((~F.max(moved)).alias("settled")), many)
+        if step == STEPS or settled.where(~F.col("settled")).isEmpty():
             break
     best = F.min_by(F.struct("center", "precision"), F.struct("logdet", "start")).alias("m")
-    out = materialise(_few(now.groupBy("key").agg(best).select("key", "m.center", "m.precision"), many), "mcd")
-    discard(now, middle)
+    out = materialise(_few(now.groupBy("key").agg(best).select("key", "m.center", "m.precision").join(settled, "key"), many), "mcd")
+    discard(now, middle, sizes, *([before] if before is not None else []))
     return out
 
 
 def judge(docs: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
-    """doc_id, lang, source, ``COUNTS``, base_failed, distance, kept for every row.
+    """doc_id, lang, source, ``COUNTS``, base_failed, distance, kept, settled for every row.
 
     A null text has no words and fails the base rules; null languages and
     sources are kinds of their own; repeated rows are judged alike; an empty
     table gives no rows; other columns are not read.  A document that fails the
-    base rules takes no part in the estimates and has a null distance.  A
-    group of fewer than ``min_rows`` rows is estimated with all such groups of its
+    base rules takes no part in the estimates and has a null distance.
+    ``settled`` is false where a group's estimate still moved after ``STEPS``
+    steps, and null where there is none.  A group of fewer than ``min_rows`` rows is estimated with all such groups of its
     language, and if those together have fewer too, with those of all languages:
     a covariance of four rates from a handful of rows says nothing.
     """
@@ -241,13 +273,13 @@ def judge(docs: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
     renamed = materialise(small.join(by_lang, "lang_key").select("key", pooled.alias("pool")), "pools")
     keyed = _joined(tall, renamed, "key", renamed.count(), "left").withColumn("key", F.coalesce("pool", "key"))
     for i, x in enumerate(vector()):
-        keyed = keyed.withColumn(f"x{i}", x)
+        keyed = keyed.withColumn(f"x{i}", F.round(x * GRID) / GRID)
     vectors = materialise(keyed.where(~F.col("base_failed")).select("key", *(f"x{i}" for i in range(DIMENSIONS))), "vectors")
     model = estimates(vectors)
     discard(vectors)
     judged = _joined(keyed, model, "key", model.count(), "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True))
-    return judged.select("doc_id", "lang", "source", *COUNTS, "base_failed", "distance", kept.alias("kept"))
+    return judged.select("doc_id", "lang", "source", *COUNTS, "base_failed", "distance", kept.alias("kept"), "settled")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:

@@ -10,7 +10,9 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from pairloom.llm import fill_middle, private_data, whitening
+from pyspark.sql import functions as F
+
+from pairloom.llm import fill_middle, private_data, quality, whitening
 
 
 def same(df, sql, rows, schema="doc_id long, text string"):
@@ -271,3 +273,31 @@ def test_marks_are_found_again():
                 assert n == len(text) and p + m + s == text.encode() and before + inside == max(a, b)
                 assert fill_middle.restore_text(b"<P>" + p + b"<S>" + s + b"<M>" + m, "psm") == text.encode()
                 assert fill_middle.restore_text(b"<S>" + s + b"<P>" + p + b"<M>" + m, "spm") == text.encode()
+
+
+# -- robust outliers do not depend on the layout -----------------------------------------
+def test_ranks_are_exact(spark):
+    r = np.random.default_rng(2)
+    values = np.concatenate([np.round(r.normal(size=900) * 3, 2), np.zeros(300), [1e12, -5.5, 1e-9]])
+    df = spark.createDataFrame([("a", float(v)) for v in values] + [("b", 2.0)], "key string, v double").repartition(7)
+    for share in (0.001, 0.5, 0.75, 1.0):
+        got = {x.key: x["rank"] for x in quality._ranked(df, ["key"], F.col("v"), share, 2).collect()}
+        units = np.sort(np.floor(np.clip(values, -quality.FAR, quality.FAR) * quality.UNIT).astype(np.int64))
+        assert got == {"a": units[max(1, math.ceil(len(units) * share)) - 1], "b": 2 * quality.UNIT}
+
+
+def test_estimates_are_the_same_for_any_layout(spark):
+    x = (F.round(F.abs(F.randn(7)) * quality.GRID) / quality.GRID).alias("x0")
+    more = [(F.round(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(9973)) / F.lit(500.0) * quality.GRID) / quality.GRID).alias(f"x{k}") for k in (1, 2, 3)]
+    df = spark.range(200_000, numPartitions=3).select(F.when(F.col("id") % 3 == 0, "b").otherwise("a").alias("key"), x, *more)
+    path = quality.materialise(df, "layout-test")
+    found = [{r.key: (r.center, r.precision, r.settled) for r in quality.estimates(path.repartition(parts)).collect()} for parts in (1, 3, 17)]
+    assert found[0] == found[1] == found[2] and {k: v[2] for k, v in found[0].items()} == {"a": True, "b": True}
+
+
+def test_what_does_not_settle_is_marked(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SETTLED", -1.0)
+    monkeypatch.setattr(quality, "STEPS", 2)
+    rows = [(k, " ".join(f"w{j}" for j in range(30 + k)), "en", "s") for k in range(120)]
+    got = quality.judge(spark.createDataFrame([*rows, (999, "few words", "en", "s")], "doc_id long, text string, lang string, source string")).collect()
+    assert {r.settled for r in got if not r.base_failed} == {False} and len(got) == 121
