@@ -2,18 +2,31 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairloom.operators.pairs import fetched
 from pairloom.session import checkpoints
 
+#: Bins or labels that the driver numbers itself.
+FEW = 50_000
+
 
 def _running(df: DataFrame, order: list[str], amount: Column, name: str) -> DataFrame:
     """Adds the sum of ``amount`` over all rows before each row, in order of ``order``, by ranges.
 
     Every range has a running sum of its own; what lies before a range is one
-    number for each range.  So no task orders more than a range.
+    number for each range.  So no task orders more than a range.  Where there
+    are at most ``FEW`` rows the driver sums them, and they are broadcast.
     """
+    few = fetched(df.withColumn("_amount", amount.cast("long")), FEW)
+    if few is not None:
+        few = few.take(pc.sort_indices(few, [(c, "ascending") for c in order], null_placement="at_start"))
+        own = few["_amount"].to_numpy()
+        return F.broadcast(df.sparkSession.createDataFrame(few.drop_columns("_amount").append_column(name, pa.array(np.cumsum(own) - own, pa.int64()))))
     checkpoints(df.sparkSession)
     placed = df.withColumn("_amount", amount).repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).checkpoint()
     own = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)

@@ -132,6 +132,19 @@ def _ids_type(df: DataFrame, name: str) -> Column:
     return F.col(name).cast("long").alias(name)
 
 
+def bound_parameters(exprs: list[Expr | None], params: dict[str, object] | None) -> dict[tuple, np.ndarray]:
+    """The value of each parameter of the formulas, by its key; a missing one or a wrong length is an error."""
+    given = {k: np.atleast_1d(np.asarray(v, float)) for k, v in (params or {}).items()}
+    own = {}
+    for v in _vars(exprs, PM):
+        if name_of(v) not in given:
+            raise ValueError(f"no value for parameter {name_of(v)}")
+        own[v.key] = given[name_of(v)]
+        if len(own[v.key]) != v.dim:
+            raise ValueError(f"parameter {name_of(v)} has length {len(own[v.key])}, not {v.dim}")
+    return own
+
+
 def reduce_pairs(
     formula: Expr,
     reduction: Reduction,
@@ -158,15 +171,7 @@ def reduce_pairs(
     kept_df, other_df = (left, right) if keep == VI else (right, left)
     kept_id, other_id = (left_id, right_id) if keep == VI else (right_id, left_id)
     kept_vars, other_vars = _vars(exprs, keep), _vars(exprs, VJ if keep == VI else VI)
-    given = {k: np.atleast_1d(np.asarray(v, float)) for k, v in (params or {}).items()}
-    own = {}
-    for v in _vars(exprs, PM):
-        if name_of(v) not in given:
-            raise ValueError(f"no value for parameter {name_of(v)}")
-        own[v.key] = given[name_of(v)]
-        if len(own[v.key]) != v.dim:
-            raise ValueError(f"parameter {name_of(v)} has length {len(own[v.key])}, not {v.dim}")
-    kernel = PairKernel(formula, weight, reduction, keep, own)
+    kernel = PairKernel(formula, weight, reduction, keep, bound_parameters(exprs, params))
     kept_keys = [k for k in batch if k in kept_df.columns]
     other_keys = [k for k in batch if k in other_df.columns]
     keys = list(dict.fromkeys(kept_keys + other_keys))
@@ -184,8 +189,10 @@ def reduce_pairs(
     if in_ranges:
         kept, other = kept.withColumnRenamed(k_block, "_mine_block"), other.withColumnRenamed(o_block, "_theirs_block")
     sides = (kernel, kept, other, kept_vars, other_vars, kept_id, other_id, kept_keys, other_keys, keys, meet)
-    if strategy in ("auto", "small") and _fits(other, other_vars) and (meet is None or meet.limit(SMALL_RANGES + 1).count() <= SMALL_RANGES):
-        return _finish(reduction, _by_small_side(spark, *sides), keys, kept_id)
+    if strategy in ("auto", "small") and (whole := small_side(other, other_vars)) is not None:
+        listed = fetched(meet, SMALL_RANGES) if in_ranges else None
+        if listed is not None or not in_ranges:
+            return _finish(reduction, _by_small_side(spark, *sides[:-1], listed, whole), keys, kept_id)
     if strategy == "columns":
         partial = _by_columns(*sides)
     else:
@@ -212,26 +219,40 @@ def _finish(reduction: Reduction, df: DataFrame, keys: list[str], kept_id: str)
     return df.select(*keys, kept_id, *(c.alias(n) for n, c in reduction.finish("partial").items()))
 
 
-def _fits(df: DataFrame, variables: list[Var]) -> bool:
-    width = 8 * (1 + sum(v.dim for v in variables))
-    most = SMALL_BYTES // width
-    return df.select(F.lit(1)).limit(most + 1).count() <= most
+def fetched(df: DataFrame, most: int) -> pa.Table | None:
+    """All rows, if they are at most ``most``; else None.
+
+    What Spark expects to be small is fetched at once, up to one row too many;
+    anything else is counted first, by rows without columns.
+    """
+    try:
+        expected = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    except ValueError:  # products of sizes may have more digits than a number is read from
+        expected = 5 * SMALL_BYTES
+    if expected > 4 * SMALL_BYTES and df.select(F.lit(1)).limit(most + 1).count() > most:
+        return None
+    rows = df.limit(most + 1).toArrow()
+    return rows if rows.num_rows <= most else None
+
+
+def small_side(df: DataFrame, variables: list[Var]) -> pa.Table | None:
+    return fetched(df, SMALL_BYTES // (8 * (1 + sum(v.dim for v in variables))))
 
 
 def _table(batch: pa.RecordBatch | pa.Table, variables: list[Var]) -> dict[tuple, np.ndarray]:
     return {v.key: matrix(batch[name_of(v)], v.dim) for v in variables}
 
 
-def _by_small_side(spark, kernel, kept, other, kept_vars, other_vars, kept_id, other_id, kept_keys=(), other_keys=(), keys=(), meet=None) -> DataFrame:
-    """(keys, id, partial): the state of every row of the kept side, complete.
+def _by_small_side(spark, kernel, kept, other, kept_vars, other_vars, kept_id, other_id, kept_keys, other_keys, keys, listed: pa.Table | None, whole: pa.Table) -> DataFrame:
+    """(keys, id, partial): the state of every row of the kept side, complete; ``whole`` has all rows of the other.
 
     The other side is cut by the tags that have to agree (shared keys, or the
     cluster) and, within those, by the keys that only it has: a row of the kept
     side meets each of the latter on its own.  A null key meets nothing.
     """
-    whole = other.toArrow()  # at most SMALL_BYTES of vectors
     shared, own = [k for k in kept_keys if k in other_keys], [k for k in other_keys if k not in kept_keys]
-    tags = [*shared, *(["_theirs_block"] if meet is not None else []), *own]
+    ranged = listed is not None
+    tags = [*shared, *(["_theirs_block"] if ranged else []), *own]
     there: dict[tuple, dict[tuple, tuple]] = {}
     size = len(tags) - len(own)
     for tag, rows in _grouped(whole, tags):
@@ -239,18 +260,17 @@ def _by_small_side(spark, kernel, kept, other, kept_vars, other_vars, kept_id, o
         there.setdefault(tag[:size], {})[tag[size:]] = _sorted_side(part[other_id].to_numpy().astype(np.int64), _table(part, other_vars))
     others = sorted({t for x in there.values() for t in x}, key=repr) if own else [()]
     partners: dict[object, list] = {}
-    if meet is not None:
-        listed = meet.toArrow()  # at most SMALL_RANGES rows
+    if ranged:
         for a, b in zip(listed["_mine_block"].to_pylist(), listed["_theirs_block"].to_pylist(), strict=True):
             partners.setdefault(a, []).append(b)
     sent = spark.sparkContext.broadcast((there, partners))
     reduction = kernel.reduction
     # a small file is one partition however many pairs its rows make
-    work = max(1, whole.num_rows // max(1, len(there) if meet is None else 1)) * max(pair_width(kernel.formula, reduction.name in K_LOWEST or reduction.name in VALUE_ARG), 1)
+    work = max(1, whole.num_rows // max(1, 1 if ranged else len(there))) * max(pair_width(kernel.formula, reduction.name in K_LOWEST or reduction.name in VALUE_ARG), 1)
     most = 8 * spark.sparkContext.defaultParallelism
     if work * 1000 > TASK and (tasks := -(-kept.select(F.lit(1)).limit(most * TASK // work + 1).count() * work // TASK)) > 1:
         kept = kept.repartition(int(min(tasks, most)))
-    kind, ranged = reduction.partial_type, meet is not None
+    kind = reduction.partial_type
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         there, partners = sent.value
@@ -306,8 +326,8 @@ def _packed(df: DataFrame, tags: list[str], counts: DataFrame, row_id: str, part
     return df.groupBy(*tags, part).agg(F.collect_list(F.struct(*cols)).alias(prefix))
 
 
-def _by_blocks(kernel, kept, other, kept_vars, other_vars, kept_id, other_id, kept_keys, other_keys, keys, meet) -> DataFrame:
-    """(keys, id, partial): a state of a kept row for each block that it meets."""
+def met_blocks(kept: DataFrame, other: DataFrame, kept_id: str, other_id: str, kept_keys: list[str], other_keys: list[str], meet: DataFrame | None) -> DataFrame:
+    """(tags, mine, theirs): each pair of blocks that meet, dealt to tasks by its tags and parts."""
     mine_tags = [*kept_keys, *(["_mine_block"] if meet is not None else [])]
     their_tags = [*other_keys, *(["_theirs_block"] if meet is not None else [])]
     shared = [k for k in kept_keys if k in other_keys]
@@ -332,14 +352,24 @@ def _by_blocks(kernel, kept, other, kept_vars, other_vars, kept_id, other_id, ke
     mine = _packed(kept, mine_tags, a_counts, kept_id, "_mine_part", "mine").join(listed, [*mine_tags, "_mine_part"])
     theirs = _packed(other, their_tags, b_counts, other_id, "_theirs_part", "theirs").join(listed, [*their_tags, "_theirs_part"])
     # a number of partitions that is given is not coalesced by bytes, which say nothing about pairs
-    met = mine.repartition(tasks, *place).join(theirs.repartition(tasks, *place), place)
+    return mine.repartition(tasks, *place).join(theirs.repartition(tasks, *place), place)
+
+
+def unpacked(batch: pa.RecordBatch, row: int) -> tuple[pa.RecordBatch, pa.RecordBatch]:
+    """The rows of the two blocks that one row of ``met_blocks`` holds."""
+    return tuple(pa.RecordBatch.from_struct_array(batch[c].slice(row, 1).flatten()) for c in ("mine", "theirs"))
+
+
+def _by_blocks(kernel, kept, other, kept_vars, other_vars, kept_id, other_id, kept_keys, other_keys, keys, meet) -> DataFrame:
+    """(keys, id, partial): a state of a kept row for each block that it meets."""
+    met = met_blocks(kept, other, kept_id, other_id, kept_keys, other_keys, meet)
     reduction = kernel.reduction
     kind = reduction.partial_type
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                mine, theirs = (pa.RecordBatch.from_struct_array(batch[c].slice(r, 1).flatten()) for c in ("mine", "theirs"))
+                mine, theirs = unpacked(batch, r)
                 ids, there = _sorted_side(theirs[other_id].to_numpy(), _table(theirs, other_vars))
                 state = kernel.fold(reduction.start(mine.num_rows), _table(mine, kept_vars), there, ids)
                 tags = [batch[k].slice(r, 1).take(pa.array(np.zeros(mine.num_rows, np.int64))) for k in keys]

@@ -294,6 +294,29 @@ def test_small_side_by_keys_and_clusters(spark, op, k):
         assert small == blocks == columns, more
 
 
+def test_a_stream_takes_parameters(spark, tmp_path):
+    from pairloom import streaming
+
+    left, right = _sides(spark)
+    right.select("j", "y").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(right.select("j", "y").schema).parquet(f"{tmp_path}/in")
+    q = PairReduce("Exp(-g*SqDist(x,y))", ["x = Vi(3)", "y = Vj(3)", "g = Pm(1)"], "Sum", 1)
+    got = {r.i: r.value[0] for r in streaming.reduce_available(q, left, stream, f"{tmp_path}/state", params={"g": 2.5}).collect()}
+    want = {r.i: r.value[0] for r in q.run(left, right, params={"g": 2.5}).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-12 for i in got)
+    with pytest.raises(ValueError, match="no value for parameter g"):
+        streaming.fold_stream(q, left, stream, f"{tmp_path}/other")
+
+
+def test_clusters_are_numbered_alike_by_ranges(spark, monkeypatch):
+    df = spark.range(200).select("id", F.array((F.col("id") % 7).cast("double"), (F.col("id") % 5).cast("double")).alias("x"))
+    own = {r.id: r.label for r in cluster.grid_cluster(df, "x", 2.0, 2).collect()}
+    places = sorted(map(tuple, cluster.cluster_ranges(cluster.grid_cluster(df, "x", 2.0, 2), "label").collect()))
+    monkeypatch.setattr(cluster, "FEW", 0)
+    assert own == {r.id: r.label for r in cluster.grid_cluster(df, "x", 2.0, 2).collect()} and len(set(own.values())) == 12
+    assert places == sorted(map(tuple, cluster.cluster_ranges(cluster.grid_cluster(df, "x", 2.0, 2), "label").collect()))
+
+
 def test_many_blocks_leave_few_states(spark, monkeypatch):
     """Lowest and exponential states of many blocks are merged without a list of all of them."""
     from pairloom.operators import pairs
