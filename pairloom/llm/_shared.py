@@ -22,6 +22,16 @@ from pairloom.session import shared_root, ship
 ARROW_BATCH_BYTES = 4 * 1024 * 1024
 
 
+#: Blocks of texts have so many bytes at least; more where there are more ranges, so that what a block
+#: sends to each range stays worth a row, up to the most that a worker's memory should meet.
+BLOCK_BYTES, RANGE_BYTES, MOST_BLOCK_BYTES = 8 * 1024 * 1024, 4096, 32 * 1024 * 1024
+
+
+def block_size(ranges: int) -> int:
+    """Bytes of text in a block that sends a row to each of ``ranges``: rows grow with the texts, not with their square, up to 8192 ranges."""
+    return min(MOST_BLOCK_BYTES, max(BLOCK_BYTES, RANGE_BYTES * ranges))
+
+
 _caches: dict[str, dict] = {}
 
 

@@ -22,22 +22,22 @@ where c() is the number of all words: the count of the empty n-gram.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyarrow.fs import FileType
 from pyspark.sql import DataFrame
 
-from pairloom.llm._shared import filesystem, id_text, new_folder, partitions, prepare
+from pairloom.llm._shared import block_size, filesystem, id_text, new_folder, partitions, prepare
 from pairloom.llm.suffix_dedup import _buckets, _groups, _pack, _read, _squeeze, _swell, _unpack, _write
 from pairloom.llm.words import run_hashes, word_hashes
 
 ORDER = 3
 BACKOFF = 0.4
-#: Bytes of text in a block, unless one document is longer.
-BLOCK_BYTES = 8 * 1024 * 1024
 #: n-grams are told apart by so many bits of their hash.
 _BITS = np.uint64(16)
 _EMPTY = np.uint64(0)
@@ -89,18 +89,33 @@ def _write_once(uri: str, table: pa.Table) -> None:
         fs.delete_file(draft)
 
 
+def _file(folder: str, name: bytes) -> str:
+    """The URI of a block's texts: rows carry sixteen bytes, not a path."""
+    return f"{folder}/{name.hex()}"
+
+
+def _digest(table: pa.Table) -> bytes:
+    """Eight bytes of a hash of the rows, in their order."""
+    h = hashlib.blake2b(repr(table["doc_id"].to_pylist()).encode(), digest_size=8)
+    for t in table["text"].to_pylist():
+        raw = t.encode("utf-8", "surrogatepass")
+        h.update(len(raw).to_bytes(8))
+        h.update(raw)
+    return h.digest()
+
+
 def _ask(folder: str, many: int, block_bytes: int) -> Callable:
     def close(batches: list[pa.RecordBatch], part: int, number: int) -> pa.RecordBatch:
-        # the name says which texts these are, so that a retried task writes the same file again
-        uri = f"{folder}/{part:08d}-{number:06d}"
+        # the name says which texts these are: a retried task writes the same file again, or with other rows another
         table = pa.Table.from_batches(batches)
-        _write_once(uri, table)
+        name = part.to_bytes(4) + number.to_bytes(4) + _digest(table)
+        _write_once(_file(folder, name), table)
         grams, counts = _block_grams(_texts(table))
         bucket = _buckets(grams, many)
         cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]).tolist()
         ends = [*cut[1:], len(grams)]
         cols = (
-            pa.array([uri] * len(cut)), pa.array(bucket[cut].astype(np.int32)), pa.array(np.diff([*cut, len(grams)]).astype(np.int32)),
+            pa.array([name] * len(cut), pa.binary()), pa.array(bucket[cut].astype(np.int32)), pa.array(np.diff([*cut, len(grams)]).astype(np.int32)),
             pa.array([_pack(grams[a:b]) for a, b in zip(cut, ends, strict=True)], pa.binary()),
             pa.array([_squeeze(counts[a:b].astype(np.int64)) for a, b in zip(cut, ends, strict=True)], pa.binary()),
         )
@@ -162,9 +177,9 @@ def _score_text(words: np.ndarray, grams: np.ndarray, totals: np.ndarray) -> tup
     return float(np.log(score).sum()), int(backed.sum())
 
 
-def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for uri, t in _groups(batches, "block"):
-        table = _read(uri)
+def _score(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for name, t in _groups(batches, "block"):
+        table = _read(_file(folder, name))
         words = _texts(table)
         grams, _ = _block_grams(words)
         totals = np.concatenate([_swell(x, n, np.int64) for x, n in zip(t["totals"].to_pylist(), t["n"].to_pylist(), strict=True)])
@@ -175,7 +190,7 @@ def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def score_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score_documents(docs: DataFrame, block_bytes: int | None = None) -> DataFrame:
     """doc_id, n_words, log_score (sum of ln S), n_backed_off for every row.
 
     Words are maximal runs of anything but ASCII white space, ASCII lower case.
@@ -184,12 +199,12 @@ def score_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFram
     rows; other columns are not read.
     """
     spark = prepare(docs.sparkSession)
-    many = partitions(spark)
-    asked = id_text(docs).mapInArrow(_ask(new_folder(spark, "grams"), 4 * many, block_bytes), "block string, bucket int, n int, grams binary, counts binary")
+    many, folder = partitions(spark), new_folder(spark, "grams")
+    asked = id_text(docs).mapInArrow(_ask(folder, 4 * many, block_bytes or block_size(4 * many)), "block binary, bucket int, n int, grams binary, counts binary")
     to_range = asked.repartition(many, "bucket").sortWithinPartitions("bucket", "block")
-    answered = to_range.mapInArrow(_add_up, "block string, bucket int, n int, totals binary")
+    answered = to_range.mapInArrow(_add_up, "block binary, bucket int, n int, totals binary")
     to_block = answered.repartition(many, "block").sortWithinPartitions("block", "bucket")
-    return to_block.mapInArrow(_score, "doc_id long, n_words long, log_score double, n_backed_off long")
+    return to_block.mapInArrow(partial(_score, folder), "doc_id long, n_words long, log_score double, n_backed_off long")
 
 
 def oracle() -> str:

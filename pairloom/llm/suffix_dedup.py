@@ -38,14 +38,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairloom.llm._shared import discard, filesystem, give_back, materialise, new_folder, partitions, prepare, worker_cache
+from pairloom.llm._shared import block_size, discard, filesystem, give_back, materialise, new_folder, partitions, prepare, worker_cache
 from pairloom.llm.suffix_array import common_prefixes, suffix_order
 from pairloom.llm.words import mix
 
 LENGTH = 50
 SEED = 18
-#: Bytes of text in a block, unless one document is longer.
-BLOCK_BYTES = 8 * 1024 * 1024
 #: Contexts in one suffix array.
 SHARD = 40_000
 #: Contexts that an anchor may have before its strings are dealt one by one.
@@ -665,7 +663,7 @@ def _lean(run: Callable) -> Callable:
     return task
 
 
-def remove_repeats(docs: DataFrame, whole_characters: bool = False, digest: bool = False, block_bytes: int = BLOCK_BYTES, counts: bool = True, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, whole_characters: bool = False, digest: bool = False, block_bytes: int | None = None, counts: bool = True, hot: int = HOT) -> DataFrame:
     """``docs`` with what earlier documents have taken out of ``text``.
 
     All columns stay; ``text`` becomes the kept bytes (binary), their SHA-256
@@ -682,7 +680,7 @@ def remove_repeats(docs: DataFrame, whole_characters: bool = False, digest: bool
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
     many, folder = partitions(spark), new_folder(spark, "blocks")
     fine = max(LEAST_RANGES, 4 * many)
-    made = materialise(docs.mapInArrow(_lean(_make_blocks(folder, fine, block_bytes)), _ASKED), "anchors")
+    made = materialise(docs.mapInArrow(_lean(_make_blocks(folder, fine, block_bytes or block_size(fine))), _ASKED), "anchors")
     answered = "block string, bucket int, repeated binary, hot binary"
 
     def by_bucket(rows: DataFrame) -> DataFrame:

@@ -301,3 +301,27 @@ def test_what_does_not_settle_is_marked(spark, monkeypatch):
     rows = [(k, " ".join(f"w{j}" for j in range(30 + k)), "en", "s") for k in range(120)]
     got = quality.judge(spark.createDataFrame([*rows, (999, "few words", "en", "s")], "doc_id long, text string, lang string, source string")).collect()
     assert {r.settled for r in got if not r.base_failed} == {False} and len(got) == 121
+
+
+# -- messages between blocks and ranges ----------------------------------------------------
+def test_blocks_grow_with_ranges():
+    from pairloom.llm import _shared
+
+    rows = lambda size, ranges: size / _shared.block_size(ranges) * ranges
+    assert _shared.block_size(200) == _shared.BLOCK_BYTES
+    few, many = rows(2**40, 2048), rows(2**42, 8192)  # four times the texts and the ranges
+    assert many == 4 * few
+    assert _shared.block_size(10**6) == _shared.MOST_BLOCK_BYTES
+
+
+def test_block_files_tell_texts_apart(tmp_path):
+    """Another attempt with other rows writes another file, with the same rows the same one."""
+    import pyarrow as pa
+
+    from pairloom.llm import ngram_lm
+
+    table = lambda *rows: pa.table({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": [t for _, t in rows]})
+    digests = {ngram_lm._digest(t) for t in (table((1, "a b")), table((1, "a"), (None, " b")), table((2, "a b")), table((1, "a b"), (1, "a b")))}
+    assert len(digests) == 4 and ngram_lm._digest(table((1, "a b"))) in digests
+    ngram_lm._write_once(ngram_lm._file(f"file://{tmp_path}", b"\x00" * 16), table((1, "a")))
+    assert [p.name for p in tmp_path.iterdir()] == ["00" * 16]
