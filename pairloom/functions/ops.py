@@ -31,6 +31,8 @@ class Operation:
     #: (args, params, e) -> adjoint of each argument applied to e; None: not differentiable
     adjoint: Callable | None = None
     rewrite: Callable | None = None
+    #: each component of the result comes from the same component of the arguments (or from one of length 1)
+    by_component: bool = False
 
 
 TABLE: dict[str, Operation] = {}
@@ -70,6 +72,7 @@ def elementwise(name, arity, kernel, column, partials=None, zero_gradient=False,
         return [_fit(e * d if not is_zero(d) else Zero(e.dim), a.dim) for a, d in zip(args, partials(args, params), strict=True)]
 
     register(name, arity, lambda a, p: joint_dim(*a), kernel, columns, adjoint if partials or zero_gradient else None, rewrite)
+    TABLE[name].by_component = True
 
 
 def _c(x) -> Column:

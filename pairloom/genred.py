@@ -20,9 +20,10 @@ class PairReduce:
     ``axis=1`` reduces over j and keeps i, ``axis=0`` the other way round.
     ``k`` is the K of the k-lowest reductions, ``formula2`` the weight of the
     exponential ones.  Indices are the ids of the rows, not their places.
+    ``enable_chunks``: sums over many components are added up slice by slice.
     """
 
-    def __init__(self, formula: str | Expr, aliases=(), reduction_op: str = "Sum", axis: int = 1, k: int = 0, formula2: str | Expr | None = None, sum_scheme: str = "auto"):
+    def __init__(self, formula: str | Expr, aliases=(), reduction_op: str = "Sum", axis: int = 1, k: int = 0, formula2: str | Expr | None = None, sum_scheme: str = "auto", enable_chunks: bool = True):
         if axis not in (0, 1):
             raise ValueError("axis is 0 or 1")
         self.formula, self.variables = (formula, formula.variables()) if isinstance(formula, Expr) else parse(formula, list(aliases))
@@ -32,7 +33,7 @@ class PairReduce:
             known = {v.key for v in self.variables}
             self.variables = [*self.variables, *(v for v in more if v.key not in known)]
         self.op, self.axis, self.keep = reduction_op, axis, VI if axis == 1 else VJ
-        self.k, self.scheme = k, sum_scheme
+        self.k, self.scheme, self.chunks = k, sum_scheme, enable_chunks
         if reduction_op in ("SoftMax", "SumSoftMaxWeight"):
             if self.weight is None:
                 raise ValueError("a soft-max sum needs weights (formula2)")
@@ -43,8 +44,9 @@ class PairReduce:
         if self.reduction.name == "Sum" and str(self.formula).startswith("Zero("):
             self.reduction = Reduction.of("Zero", self.formula.dim)
 
-    def run(self, left: DataFrame, right: DataFrame, params: dict | None = None, ranges: DataFrame | None = None, batch: list[str] = (), left_id: str = "i", right_id: str = "j", strategy: str = "auto") -> DataFrame:
-        return reduce_pairs(self.formula, self.reduction, left, right, self.keep, self.weight, params, left_id, right_id, list(batch), ranges, strategy)
+    def run(self, left: DataFrame, right: DataFrame, params: dict | DataFrame | None = None, ranges: DataFrame | None = None, batch: list[str] = (), left_id: str = "i", right_id: str = "j", strategy: str = "auto", params_key: str | None = None) -> DataFrame:
+        """``params``: values by name, or a table of sets of values named by its column ``params_key``."""
+        return reduce_pairs(self.formula, self.reduction, left, right, self.keep, self.weight, params, left_id, right_id, list(batch), ranges, strategy, params_key, self.chunks)
 
     __call__ = run
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from pairloom.functions.ops import Precision
 from pairloom.operators.reductions import EXPONENTIAL, K_LOWEST, VALUE_ARG, Reduction
-from pairloom.plans.evaluate import as_columns, on_blocks, shared_subtrees
+from pairloom.plans.evaluate import SLICE, as_columns, folded_sums, free_of, on_blocks, shared_subtrees, whole_parts
 from pairloom.plans.expr import PM, VI, VJ, Expr, Var
 from pairloom.session import checkpoints, ship
 
@@ -42,6 +42,8 @@ TASK = 50_000_000
 SMALL_RANGES = 1_000_000
 #: Rows of a list of block pairs, or of keys of more than one block, that is broadcast.
 SMALL_LIST = 200_000
+#: Sets of parameters in one query, and states (rows times sets) that a task has at a time.
+MOST_SETS, STATES = 1000, 1_000_000
 #: Exponents of one bucket of sums of exponentials: e to this power is far from overflow.
 BUCKET = 500.0
 
@@ -64,49 +66,72 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, 1)
 
 
-def pair_width(e: Expr | None, ordered: bool = False) -> int:
+def pair_width(e: Expr | None, ordered: bool = False, folded: frozenset = frozenset()) -> int:
     """Numbers for one pair in the widest subtree that has variables of both sides.
 
     Distances and products of vectors are matrix products, but not where order
-    decides (``ordered``): then they too go through all components.
+    decides (``ordered``): then they too go through all components.  ``folded``
+    sums have a slice of their summands at a time.
     """
     if e is None or len({v.cat for v in e.variables()} & {VI, VJ}) < 2:
         return 0
+    if e.key in folded:
+        return max(SLICE, *(pair_width(c, ordered, folded) for c in whole_parts(e)), 0)
     inner = max((c.dim for c in e.children), default=0) if ordered and e.name in ("SqDist", "Scalprod", "WeightedSqDist", "WeightedSqNorm") else 0
-    return max(e.dim, inner, *(pair_width(c, ordered) for c in e.children))
+    return max(e.dim, inner, *(pair_width(c, ordered, folded) for c in e.children))
 
 
 class PairKernel:
-    """Folds blocks of rows of the kept side against blocks of the reduced side."""
+    """Folds blocks of rows of the kept side against blocks of the reduced side.
 
-    def __init__(self, formula: Expr, weight: Expr | None, reduction: Reduction, keep: int, params: dict[tuple, np.ndarray]):
-        self.formula, self.weight, self.reduction, self.keep, self.params = formula, weight, reduction, keep, params
+    ``params`` has the parameters' values, or a list of sets of them: each set
+    has states of its own, and what does not depend on parameters is computed
+    once for all sets.
+    """
+
+    def __init__(self, formula: Expr, weight: Expr | None, reduction: Reduction, keep: int, params: dict[tuple, np.ndarray] | list[dict[tuple, np.ndarray]], chunks: bool = True):
+        self.formula, self.weight, self.reduction, self.keep = formula, weight, reduction, keep
+        self.sets = params if isinstance(params, list) else [params]
+        self.params = self.sets[0] if self.sets else {}
+        self.folded = folded_sums(formula, weight) if chunks else frozenset()
+        self.free = free_of([formula, weight], PM) if len(self.sets) > 1 else frozenset()
 
-    def values(self, kept: dict[tuple, np.ndarray], other: dict[tuple, np.ndarray]) -> dict[tuple, np.ndarray]:
-        out = {k: v[None, None] for k, v in self.params.items()}
+    def values(self, kept: dict[tuple, np.ndarray], other: dict[tuple, np.ndarray], params: dict | None = None) -> dict[tuple, np.ndarray]:
+        out = {k: v[None, None] for k, v in (self.params if params is None else params).items()}
         return out | {k: v[:, None] for k, v in kept.items()} | {k: v[None] for k, v in other.items()}
 
+    def start(self, rows: int) -> list:
+        return [self.reduction.start(rows) for _ in self.sets]
+
     def fold(self, state, kept, other, ids: np.ndarray):
+        return self.fold_sets([state], kept, other, ids, [self.params])[0]
+
+    def fold_sets(self, states: list, kept, other, ids: np.ndarray, sets: list[dict] | None = None) -> list:
+        """States of each set of parameters after ``ids``."""
+        sets = self.sets if sets is None else sets
         Precision.ordered = self.reduction.name in K_LOWEST or self.reduction.name in VALUE_ARG
-        rows, width = len(next(iter(state))), max(self.formula.dim, pair_width(self.formula, Precision.ordered), pair_width(self.weight), 1)
+        if not states:
+            return states
+        rows, width = len(next(iter(states[0]))), max(self.formula.dim, pair_width(self.formula, Precision.ordered, self.folded), pair_width(self.weight, False, self.folded), 1)
         n = len(ids)
         step = max(1, min(n, TILE // max(1, min(rows, 1024) * width)))
         tall = max(1, TILE // max(1, step * width))
-        parts = []
+        parts = [[] for _ in sets]
         for a in range(0, rows, tall):
-            piece = tuple(x[a : a + tall] for x in state)
+            pieces = [tuple(x[a : a + tall] for x in state) for state in states]
             mine = {k: v[a : a + tall] for k, v in kept.items()}
             size = min(tall, rows - a)
             for b in range(0, n, step):
-                there = self.values(mine, {k: v[b : b + step] for k, v in other.items()})
-                cols = min(step, n - b)
-                f = np.broadcast_to(on_blocks(self.formula, there), (size, cols, self.formula.dim))
-                g = None
-                if self.weight is not None:
-                    g = np.broadcast_to(on_blocks(self.weight, there), (size, cols, self.weight.dim))
-                piece = self.reduction.update(piece, f, ids[b : b + step], g)
-            parts.append(piece)
-        return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else state
+                theirs = {k: v[b : b + step] for k, v in other.items()}
+                cols, same = min(step, n - b), {}
+                for t, params in enumerate(sets):
+                    there = self.values(mine, theirs, params)
+                    evaluate = lambda e: np.broadcast_to(on_blocks(e, there, self.folded, same, self.free), (size, cols, e.dim))  # noqa: B023, E731
+                    g = evaluate(self.weight) if self.weight is not None else None
+                    pieces[t] = self.reduction.update(pieces[t], evaluate(self.formula), ids[b : b + step], g)
+            for found, piece in zip(parts, pieces, strict=True):
+                found.append(piece)
+        return [tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else state for found, state in zip(parts, states, strict=True)]
 
 
 def _sorted_side(ids: np.ndarray, vectors: dict[tuple, np.ndarray]):
@@ -145,6 +170,23 @@ def bound_parameters(exprs: list[Expr | None], params: dict[str, object] | None)
     return own
 
 
+def _parameter_sets(exprs: list[Expr | None], table: DataFrame, key: str | None) -> tuple[tuple[str, pa.Array, DataFrame], list[dict]]:
+    """((key, its values, a table of them), the values of each set)."""
+    if key is None or key not in table.columns:
+        raise ValueError("a table of parameters needs params_key, the column that names its rows")
+    names = list(dict.fromkeys(name_of(v) for v in _vars(exprs, PM)))
+    if missing := [n for n in names if n not in table.columns]:
+        raise ValueError(f"no value for parameter {missing[0]}")
+    rows = fetched(table.select(key, *names), MOST_SETS)
+    if rows is None:
+        raise ValueError(f"more than {MOST_SETS} sets of parameters")
+    keys = rows[key].combine_chunks()
+    if keys.null_count or len(keys.unique()) < len(keys):
+        raise ValueError("names of sets of parameters must be distinct and not null")
+    sets = [bound_parameters(exprs, {n: row[n] for n in names}) for row in rows.to_pylist()]
+    return (key, keys, F.broadcast(table.select(key))), sets
+
+
 def reduce_pairs(
     formula: Expr,
     reduction: Reduction,
@@ -152,12 +194,14 @@ def reduce_pairs(
     right: DataFrame,
     keep: int = VI,
     weight: Expr | None = None,
-    params: dict[str, object] | None = None,
+    params: dict[str, object] | DataFrame | None = None,
     left_id: str = "i",
     right_id: str = "j",
     batch: list[str] = (),
     ranges: DataFrame | None = None,
     strategy: str = "auto",
+    params_key: str | None = None,
+    enable_chunks: bool = True,
 ) -> DataFrame:
     """(batch keys, id of the kept side, value and/or index): every row of the kept side once.
 
@@ -165,13 +209,22 @@ def reduce_pairs(
     and the Vj.  ``ranges`` is a table (bi, bj): only blocks listed meet; then
     ``left`` has a column bi and ``right`` bj.  Batch keys missing on a side
     repeat it for all.  ``strategy``: auto, small, blocks or columns.
+    ``params`` may be a table of at most ``MOST_SETS`` rows, one for each set of
+    values, named by its column ``params_key``, which the result then has: all
+    sets are served by one pass over both sides.  ``enable_chunks``: wide sums
+    over components are folded by slices.
     """
     spark = ship(left.sparkSession)
     exprs = [formula, weight]
     kept_df, other_df = (left, right) if keep == VI else (right, left)
     kept_id, other_id = (left_id, right_id) if keep == VI else (right_id, left_id)
     kept_vars, other_vars = _vars(exprs, keep), _vars(exprs, VJ if keep == VI else VI)
-    kernel = PairKernel(formula, weight, reduction, keep, bound_parameters(exprs, params))
+    named, sets = None, bound_parameters(exprs, params) if not isinstance(params, DataFrame) else None
+    if sets is None:
+        named, sets = _parameter_sets(exprs, params, params_key)
+        if strategy == "columns":
+            raise ValueError("columns take one set of parameters")
+    kernel = PairKernel(formula, weight, reduction, keep, sets, enable_chunks)
     kept_keys = [k for k in batch if k in kept_df.columns]
     other_keys = [k for k in batch if k in other_df.columns]
     keys = list(dict.fromkeys(kept_keys + other_keys))
@@ -179,6 +232,8 @@ def reduce_pairs(
         base = kept_df.select(*kept_keys, _ids_type(kept_df, kept_id))
         if set(keys) - set(kept_keys):
             base = base.crossJoin(other_df.select(*[k for k in keys if k not in kept_keys]).distinct())
+        if named:
+            base, keys = base.crossJoin(named[2]), [named[0], *keys]
         return base.select(*keys, kept_id, F.array_repeat(F.lit(0.0), reduction.dim).alias("value"))
     # column pruning: only ids, keys and bound vectors travel
     k_block, o_block = ("bi", "bj") if keep == VI else ("bj", "bi")
@@ -192,16 +247,21 @@ def reduce_pairs(
     if strategy in ("auto", "small") and (whole := small_side(other, other_vars)) is not None:
         listed = fetched(meet, SMALL_RANGES) if in_ranges else None
         if listed is not None or not in_ranges:
-            return _finish(reduction, _by_small_side(spark, *sides[:-1], listed, whole), keys, kept_id)
+            return _finish(reduction, _by_small_side(spark, *sides[:-1], listed, whole, named), [*([named[0]] if named else []), *keys], kept_id)
     if strategy == "columns":
         partial = _by_columns(*sides)
     else:
-        partial = _fewer(_by_blocks(*sides), [*keys, kept_id], reduction)
+        partial = _fewer(_by_blocks(*sides, named), [*([named[0]] if named else []), *keys, kept_id], reduction)
+    own_keys = [k for k in keys if k not in kept_keys]
+    if named:
+        keys = [named[0], *keys]
     merged = partial.groupBy(*keys, kept_id).agg(reduction.merge("partial").alias("partial"))
     # rows that no pair covers get the neutral value
     base = kept.select(*kept_keys, kept_id)
-    if set(keys) - set(kept_keys):
-        base = base.crossJoin(other.select(*[k for k in keys if k not in kept_keys]).distinct())
+    if own_keys:
+        base = base.crossJoin(other.select(*own_keys).distinct())
+    if named:
+        base = base.crossJoin(named[2])
     full = base.join(merged, [*keys, kept_id], "left").withColumn("partial", F.coalesce("partial", reduction.neutral()))
     return _finish(reduction, full, keys, kept_id)
 
@@ -243,7 +303,7 @@ def _table(batch: pa.RecordBatch | pa.Table, variables: list[Var]) -> dict[tuple
     return {v.key: matrix(batch[name_of(v)], v.dim) for v in variables}
 
 
-def _by_small_side(spark, kernel, kept, other, kept_vars, other_vars, kept_id, other_id, kept_keys, other_keys, keys, listed: pa.Table | None, whole: pa.Table) -> DataFrame:
+def _by_small_side(spark, kernel, kept, other, kept_vars, other_vars, kept_id, other_id, kept_keys, other_keys, keys, listed: pa.Table | None, whole: pa.Table, named: tuple | None = None) -> DataFrame:
     """(keys, id, partial): the state of every row of the kept side, complete; ``whole`` has all rows of the other.
 
     The other side is cut by the tags that have to agree (shared keys, or the
@@ -271,6 +331,7 @@ def _by_small_side(spark, kernel, kept, other, kept_vars, other_vars, kept_id, o
     if work * 1000 > TASK and (tasks := -(-kept.select(F.lit(1)).limit(most * TASK // work + 1).count() * work // TASK)) > 1:
         kept = kept.repartition(int(min(tasks, most)))
     kind = reduction.partial_type
+    named, told = named and named[:2], named
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         there, partners = sent.value
@@ -279,17 +340,32 @@ def _by_small_side(spark, kernel, kept, other, kept_vars, other_vars, kept_id, o
                 mine = b.take(rows) if len(rows) < b.num_rows else b
                 places = [(*tag[:-1], block) for block in partners.get(tag[-1], ())] if ranged else [tag]
                 for extra in others:
-                    state = reduction.start(mine.num_rows)
-                    for place in places:
-                        if None not in place and (found := there.get(place, {}).get(extra)) is not None:
-                            state = kernel.fold(state, _table(mine, kept_vars), found[1], found[0])
-                    named = dict(zip(own, extra, strict=True))
-                    columns = [pa.array([named[k]] * mine.num_rows, types[k]) if k in named else mine[k] for k in keys]
-                    yield _rows([*columns, mine[kept_id]], [*keys, kept_id], reduction.partial(state), kind)
+                    found = [x for place in places if None not in place and (x := there.get(place, {}).get(extra)) is not None]
+                    only = dict(zip(own, extra, strict=True))
+                    columns = [pa.array([only[k]] * mine.num_rows, types[k]) if k in only else mine[k] for k in keys]
+                    yield from _states(kernel, _table(mine, kept_vars), found, mine.num_rows, [*columns, mine[kept_id]], [*keys, kept_id], named and named[:2])
 
     types = {k: whole.schema.field(k).type for k in own}
-    kinds = {f.name: f.dataType.simpleString() for df in (kept, other) for f in df.schema}
-    return kept.mapInArrow(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"{kept_id} long", f"partial {kind}"]))
+    return kept.mapInArrow(run, _schema(kept, other, keys, kept_id, kind, told))
+
+
+def _schema(kept: DataFrame, other: DataFrame, keys: list[str], kept_id: str, kind: str, named: tuple | None) -> str:
+    kinds = {f.name: f.dataType.simpleString() for df in (kept, other, *([named[2]] if named else [])) for f in df.schema}
+    return ", ".join([*(f"{k} {kinds[k]}" for k in ([named[0]] if named else []) + keys), f"{kept_id} long", f"partial {kind}"])
+
+
+def _states(kernel: PairKernel, mine: dict, others: list[tuple], count: int, columns: list, names: list[str], named: tuple | None) -> Iterator[pa.RecordBatch]:
+    """Partial states of ``count`` rows that meet ``others`` (ids, vectors); for each set of parameters where those have names."""
+    kind = kernel.reduction.partial_type
+    few = max(1, STATES // max(1, count))
+    for a in range(0, len(kernel.sets), few):
+        sets = kernel.sets[a : a + few]
+        states = [kernel.reduction.start(count) for _ in sets]
+        for ids, there in others:
+            states = kernel.fold_sets(states, mine, there, ids, sets)
+        for t, state in enumerate(states):
+            name = [named[1].slice(a + t, 1).take(pa.array(np.zeros(count, np.int64)))] if named else []
+            yield _rows([*name, *columns], [*([named[0]] if named else []), *names], kernel.reduction.partial(state), kind)
 
 
 def _grouped(table: pa.RecordBatch | pa.Table, tags: list[str]) -> list[tuple[tuple, pa.Array]]:
@@ -360,23 +436,19 @@ def unpacked(batch: pa.RecordBatch, row: int) -> tuple[pa.RecordBatch, pa.Record
     return tuple(pa.RecordBatch.from_struct_array(batch[c].slice(row, 1).flatten()) for c in ("mine", "theirs"))
 
 
-def _by_blocks(kernel, kept, other, kept_vars, other_vars, kept_id, other_id, kept_keys, other_keys, keys, meet) -> DataFrame:
-    """(keys, id, partial): a state of a kept row for each block that it meets."""
+def _by_blocks(kernel, kept, other, kept_vars, other_vars, kept_id, other_id, kept_keys, other_keys, keys, meet, named: tuple | None = None) -> DataFrame:
+    """(keys, id, partial): a state of a kept row for each block that it meets, and for each set of parameters."""
     met = met_blocks(kept, other, kept_id, other_id, kept_keys, other_keys, meet)
-    reduction = kernel.reduction
-    kind = reduction.partial_type
+    schema, named = _schema(kept, other, keys, kept_id, kernel.reduction.partial_type, named), named and named[:2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
                 mine, theirs = unpacked(batch, r)
-                ids, there = _sorted_side(theirs[other_id].to_numpy(), _table(theirs, other_vars))
-                state = kernel.fold(reduction.start(mine.num_rows), _table(mine, kept_vars), there, ids)
+                side = _sorted_side(theirs[other_id].to_numpy(), _table(theirs, other_vars))
                 tags = [batch[k].slice(r, 1).take(pa.array(np.zeros(mine.num_rows, np.int64))) for k in keys]
-                yield _rows([*tags, mine[kept_id]], [*keys, kept_id], reduction.partial(state), kind)
+                yield from _states(kernel, _table(mine, kept_vars), [side], mine.num_rows, [*tags, mine[kept_id]], [*keys, kept_id], named)
 
-    kinds = {f.name: f.dataType.simpleString() for df in (kept, other) for f in df.schema}
-    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"{kept_id} long", f"partial {kind}"])
     return met.select(*keys, "mine", "theirs").mapInArrow(run, schema)
 
 

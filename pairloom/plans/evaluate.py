@@ -7,29 +7,110 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pairloom.functions import ops
-from pairloom.plans.expr import Const, Expr, Var, Zero
+from pairloom.plans.expr import VI, VJ, Const, Expr, Var, Zero
 
 
-def on_blocks(e: Expr, values: dict[tuple, np.ndarray]) -> np.ndarray:
+#: Components of a slice where a sum over components is folded.
+SLICE = 32
+
+
+def _two_sided(e: Expr) -> bool:
+    return len({v.cat for v in e.variables()} & {VI, VJ}) == 2
+
+
+def _by_component(e: Expr, dim: int) -> bool:
+    """Whether a slice of ``e`` follows from slices of its variables; parts of length 1 are evaluated whole."""
+    if e.dim == 1 or isinstance(e, Zero) or (isinstance(e, Var) and e.dim == dim):
+        return True
+    return e.dim == dim and bool(e.children) and ops.TABLE[e.name].by_component and all(_by_component(c, dim) for c in e.children)
+
+
+def folded_sums(*trees: Expr | None) -> frozenset:
+    """Keys of the sums and products over components that are added up slice by slice.
+
+    Those whose summands stand for pairs and are wider than a slice: so no block
+    of pairs is as wide as the vectors.
+    """
+    found = set()
+
+    def go(e: Expr) -> None:
+        name, dim = getattr(e, "name", ""), max((c.dim for c in e.children), default=0)
+        if name in ("Sum", "Scalprod") and dim > SLICE and any(c.dim == dim and _two_sided(c) for c in e.children) and all(_by_component(c, dim) for c in e.children):
+            found.add(e.key)
+        for c in e.children:
+            go(c)
+
+    for t in trees:
+        if t is not None:
+            go(t)
+    return frozenset(found)
+
+
+def whole_parts(e: Expr) -> list[Expr]:
+    """The parts of length 1 below a folded sum, which are evaluated whole."""
+    return [x for c in e.children for x in ([c] if c.dim == 1 else whole_parts(c))]
+
+
+def free_of(trees: list[Expr | None], cat: int) -> frozenset:
+    """Keys of the subtrees without variables of a category."""
+    found = set()
+
+    def go(e: Expr) -> None:
+        if all(v.cat != cat for v in e.variables()):
+            found.add(e.key)
+        for c in e.children:
+            go(c)
+
+    for t in trees:
+        if t is not None:
+            go(t)
+    return frozenset(found)
+
+
+def on_blocks(e: Expr, values: dict[tuple, np.ndarray], folded: frozenset = frozenset(), kept: dict | None = None, free: frozenset = frozenset()) -> np.ndarray:
     """(i, j, length) array of ``e``; ``values`` by the key of each variable.
 
     Subtrees of one side stay (i, 1, .) or (1, j, .) until they meet, and equal
-    subtrees are evaluated once.
+    subtrees are evaluated once.  ``folded`` sums go slice by slice; subtrees of
+    ``free`` are kept in ``kept`` for the next call on the same blocks.
     """
     memo: dict[tuple, np.ndarray] = {}
+    kept = memo if kept is None else kept
 
     def go(n: Expr) -> np.ndarray:
         k = n.key
-        if k not in memo:
+        held = kept if k in free else memo
+        if k not in held:
             if isinstance(n, Var):
-                memo[k] = values[k]
+                held[k] = values[k]
             elif isinstance(n, Const):
-                memo[k] = np.full((1, 1, 1), float(n.value))
+                held[k] = np.full((1, 1, 1), float(n.value))
             elif isinstance(n, Zero):
-                memo[k] = np.zeros((1, 1, n.dim))
+                held[k] = np.zeros((1, 1, n.dim))
+            elif k in folded:
+                dim = max(c.dim for c in n.children)
+                total = 0.0
+                for a in range(0, dim, SLICE):
+                    parts: dict[tuple, np.ndarray] = {}
+                    # a component that is alone counts for all of the slice
+                    mine = [np.broadcast_to(x, (*x.shape[:-1], min(SLICE, dim - a))) for x in (cut(c, a, min(a + SLICE, dim), parts) for c in n.children)]
+                    total = total + (mine[0].sum(-1, keepdims=True) if n.name == "Sum" else np.einsum("...k,...k->...", *mine)[..., None])
+                held[k] = total
             else:
-                memo[k] = ops.TABLE[n.name].kernel(*map(go, n.children), *n.params)
-        return memo[k]
+                held[k] = ops.TABLE[n.name].kernel(*map(go, n.children), *n.params)
+        return held[k]
+
+    def cut(n: Expr, a: int, b: int, parts: dict) -> np.ndarray:
+        if n.dim == 1:
+            return go(n)
+        if n.key not in parts:
+            if isinstance(n, Var):
+                parts[n.key] = values[n.key][..., a:b]
+            elif isinstance(n, Zero):
+                parts[n.key] = np.zeros((1, 1, b - a))
+            else:
+                parts[n.key] = ops.TABLE[n.name].kernel(*(cut(c, a, b, parts) for c in n.children), *n.params)
+        return parts[n.key]
 
     out = go(e)
     memo.clear()  # ``go`` refers to itself: its blocks would stay until the garbage collector comes

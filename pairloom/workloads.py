@@ -331,6 +331,21 @@ def _parameter(spark, sf_dir):
     return _shown(q.run(suppliers(spark, sf_dir), nations(spark, sf_dir), params={"g": 2.5}), 1)
 
 
+@_query("parameter_table", f"WITH {POINTS_SQL}, g AS (SELECT p_size, p_size::DOUBLE / 10::DOUBLE AS g FROM (SELECT DISTINCT p_size FROM part)), p AS (SELECT i, p_size, g, {_D2} AS f, b FROM l, r, g) SELECT CAST(p_size AS INT) AS p_size, i, {_R('sum(exp(-g * f) * b)')} AS v1 FROM p GROUP BY p_size, i")
+def _parameter_table(spark, sf_dir):
+    """A scale for each size of part, all in one pass over suppliers and nations."""
+    sizes = table(spark, sf_dir, "part").select("p_size").distinct().withColumn("g", F.col("p_size").cast("double") / 10.0)
+    q = PairReduce("Exp(-g*SqDist(x,y))*b", [*ALIASES, "g = Pm(1)"], "Sum", 1)
+    return _shown(q.run(suppliers(spark, sf_dir), nations(spark, sf_dir), params=sizes, params_key="p_size"), 1)
+
+
+@_query("chunked_manhattan", f"WITH {_E}, p AS (SELECT a.id AS i, list_sum(list_transform(list_zip(a.v, c.v), lambda t: abs(t[1]-t[2]))) AS d, c.label AS b FROM e a, e c) SELECT i, {_R('sum(exp(-d) * b)')} AS v1 FROM p GROUP BY i")
+def _chunked(spark, sf_dir):
+    """A kernel of the L1 distance, whose components are added up by slices."""
+    q = PairReduce("Exp(-Sum(Abs(x-y)))*label", ["x = Vi(64)", "y = Vj(64)", "label = Vj(1)"], "Sum", 1)
+    return _shown(q.run(embeddings(spark, sf_dir, "i", "x"), embeddings(spark, sf_dir, "j", "y")), 1)
+
+
 @_query("batch_broadcast", f"WITH {POINTS_SQL}, p AS (SELECT l.i, r.j % 3 AS g, {_D2} AS f, b FROM l, r) SELECT CAST(g AS BIGINT) AS g, i, {_R('sum(exp(-f) * b)')} AS v1 FROM p GROUP BY g, i")
 def _batch_broadcast(spark, sf_dir):
     """Only the j side has the batch key: every i meets every batch."""

@@ -294,6 +294,84 @@ def test_small_side_by_keys_and_clusters(spark, op, k):
         assert small == blocks == columns, more
 
 
+@pytest.mark.parametrize("strategy", ["auto", "blocks"])
+def test_many_sets_of_parameters(spark, strategy):
+    """Each set of a table gives what it gives alone, with batch keys and ranges too."""
+    left, right = _sides(spark)
+    left, right = left.withColumn("bi", F.col("i") % 2), right.withColumn("bj", F.col("j") % 3)
+    scales = [(f"s{k}", 0.1 * k, [float(k), 1.0, 2.0]) for k in range(1, 8)]
+    sets = spark.createDataFrame(scales, "name string, g double, w array<double>")
+    ranges = spark.createDataFrame([(0, 1), (1, 0)], "bi long, bj long")
+    for op, formula2, more in (("Sum", None, {}), ("LogSumExp", None, {"ranges": ranges}), ("ArgKMin", None, {}), ("SumSoftMaxWeight", "y", {})):
+        q = PairReduce("-g*Sum(w*Square(x-y))", ["x = Vi(3)", "y = Vj(3)", "g = Pm(1)", "w = Pm(3)"], op, 1, k=2 if op == "ArgKMin" else 0, formula2=formula2)
+        got = {(r.name, r.i): r[2] for r in q.run(left, right, params=sets, params_key="name", strategy=strategy, **more).collect()}
+        for name, g, w in scales:
+            want = {r.i: r[1] for r in q.run(left, right, params={"g": g, "w": w}, **more).collect()}
+            assert all(np.allclose(got[name, i], v) for i, v in want.items()) and len(got) == len(want) * len(scales)
+    with pytest.raises(ValueError, match="no value for parameter w"):
+        q.run(left, right, params=sets.drop("w"), params_key="name")
+    with pytest.raises(ValueError, match="distinct"):
+        q.run(left, right, params=sets.union(sets), params_key="name")
+    with pytest.raises(ValueError, match="params_key"):
+        q.run(left, right, params=sets)
+
+
+def test_what_parameters_do_not_change_is_computed_once():
+    from pairloom.functions import ops
+    from pairloom.operators import pairs
+    from pairloom.operators.reductions import Reduction
+
+    q = PairReduce("Exp(-g*SqDist(x,y))", ["x = Vi(3)", "y = Vj(3)", "g = Pm(1)"], "Sum", 1)
+    x, y, g = q.variables if [v.name for v in q.variables] == ["x", "y", "g"] else sorted(q.variables, key="xyg".index)
+    sets = [{g.key: np.array([0.1 * k])} for k in range(1, 51)]
+    kernel, calls = pairs.PairKernel(q.formula, None, Reduction.of("Sum", 1), q.keep, sets), []
+    plain = ops.TABLE["SqDist"].kernel
+    try:
+        ops.TABLE["SqDist"].kernel = lambda *a: calls.append(1) or plain(*a)
+        states = kernel.fold_sets(kernel.start(M), {x.key: X}, {y.key: Y}, np.arange(N))
+    finally:
+        ops.TABLE["SqDist"].kernel = plain
+    assert len(calls) == 1 and all(np.allclose(s[0][:, 0], np.exp(-0.1 * k * D).sum(1)) for k, s in enumerate(states, 1))
+
+
+@pytest.mark.parametrize("formula", ["Sum(Abs(x-y))", "Norm2(Abs(x-y)+y)", "Sum(Square(x-y)*Exp(-Elem(x,0)))", "Exp(-Sum(Abs(x-y)))*(Abs(x-y)|y)"])
+def test_components_by_slices(formula):
+    """Vectors of 1000 components take the memory of few, and give the same values."""
+    import tracemalloc
+
+    from pairloom.operators import pairs
+    from pairloom.operators.reductions import Reduction
+
+    r = np.random.default_rng(3)
+
+    def fold(dim, chunks=True):
+        a, b = np.random.default_rng(1).normal(size=(300, dim)) / dim, np.random.default_rng(2).normal(size=(400, dim)) / dim
+        q = PairReduce(formula, [f"x = Vi({dim})", f"y = Vj({dim})"], "Sum", 1)
+        x, y = (next(v for v in q.variables if v.name == n) for n in "xy")
+        kernel = pairs.PairKernel(q.formula, None, Reduction.of("Sum", 1), q.keep, {}, chunks)
+        tracemalloc.start()
+        out = kernel.fold(kernel.reduction.start(300), {x.key: a}, {y.key: b}, np.arange(400))[0]
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return out, peak, kernel
+
+    (wide, high, kernel), (whole, _, plain), (_, low, _) = fold(1000), fold(1000, False), fold(64)
+    assert kernel.folded and not plain.folded and np.allclose(wide, whole, rtol=1e-10)
+    assert pairs.pair_width(kernel.formula, False, kernel.folded) <= 64 and high < 2 * low + 3e6
+
+
+def test_chunks_in_queries(spark):
+    r = np.random.default_rng(1)
+    x, y = r.normal(size=(20, 300)) / 17, r.normal(size=(30, 300)) / 17
+    left = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i long, x array<double>")
+    right = spark.createDataFrame([(j, v.tolist()) for j, v in enumerate(y)], "j long, y array<double>")
+    want = np.abs(x[:, None] - y[None]).sum(-1)
+    for chunks in (True, False):
+        q = PairReduce("Sum(Abs(x-y))", ["x = Vi(300)", "y = Vj(300)"], "KMin_ArgKMin", 1, k=3, enable_chunks=chunks)
+        got = {r.i: r for r in q.run(left, right).collect()}
+        assert all(np.allclose(got[i].value, np.sort(want[i])[:3]) and got[i]["index"] == np.argsort(want[i])[:3].tolist() for i in range(20))
+
+
 def test_a_stream_takes_parameters(spark, tmp_path):
     from pairloom import streaming
 
