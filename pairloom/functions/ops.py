@@ -625,3 +625,6 @@ register("ComplexSum", 1, lambda a, p: 2 + 0 * _half(a, p), lambda x: _r(_z(x).s
          lambda a, p, e: [call("ComplexSumT", e, params=(a[0].dim,))])
 register("ComplexSumT", 1, lambda a, p: p[0], lambda x, d: np.tile(x, d // 2), lambda x, d: list(x) * (d // 2), lambda a, p, e: [call("ComplexSum", e)])
 _rewritten("ComplexScal", 2, lambda a, p: call("ComplexMult", *a))
+
+#: The operations of this package; others that ``register`` adds travel with the formulas that use them.
+BUILT_IN = frozenset(TABLE)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairloom.functions.ops import Precision
+from pairloom.functions.ops import BUILT_IN, TABLE, Precision
 from pairloom.operators.reductions import EXPONENTIAL, K_LOWEST, VALUE_ARG, Reduction
 from pairloom.plans.evaluate import SLICE, as_columns, folded_sums, free_of, on_blocks, shared_subtrees, whole_parts
 from pairloom.plans.expr import PM, VI, VJ, Expr, Var
@@ -81,6 +81,17 @@ def pair_width(e: Expr | None, ordered: bool = False, folded: frozenset = frozen
     return max(e.dim, inner, *(pair_width(c, ordered, folded) for c in e.children))
 
 
+def own_operations(*trees: Expr | None) -> dict[str, object]:
+    """The operations in the formulas that were registered beside those of this package."""
+    found = {}
+    for t in trees:
+        if t is not None:
+            if t.children and t.name in TABLE and t.name not in BUILT_IN:
+                found[t.name] = TABLE[t.name]
+            found |= own_operations(*t.children)
+    return found
+
+
 class PairKernel:
     """Folds blocks of rows of the kept side against blocks of the reduced side.
 
@@ -95,6 +106,7 @@ class PairKernel:
         self.params = self.sets[0] if self.sets else {}
         self.folded = folded_sums(formula, weight) if chunks else frozenset()
         self.free = free_of([formula, weight], PM) if len(self.sets) > 1 else frozenset()
+        self.own = own_operations(formula, weight)  # workers know those of this package only
 
     def values(self, kept: dict[tuple, np.ndarray], other: dict[tuple, np.ndarray], params: dict | None = None) -> dict[tuple, np.ndarray]:
         out = {k: v[None, None] for k, v in (self.params if params is None else params).items()}
@@ -109,6 +121,8 @@ class PairKernel:
     def fold_sets(self, states: list, kept, other, ids: np.ndarray, sets: list[dict] | None = None) -> list:
         """States of each set of parameters after ``ids``."""
         sets = self.sets if sets is None else sets
+        for name, operation in self.own.items():
+            TABLE.setdefault(name, operation)
         Precision.ordered = self.reduction.name in K_LOWEST or self.reduction.name in VALUE_ARG
         if not states:
             return states
@@ -250,6 +264,8 @@ def reduce_pairs(
             return _finish(reduction, _by_small_side(spark, *sides[:-1], listed, whole, named), [*([named[0]] if named else []), *keys], kept_id)
     if strategy == "columns":
         partial = _by_columns(*sides)
+        if reduction.exact:
+            partial = _fewer(partial, [*keys, kept_id], reduction)
     else:
         partial = _fewer(_by_blocks(*sides, named), [*([named[0]] if named else []), *keys, kept_id], reduction)
     own_keys = [k for k in keys if k not in kept_keys]
@@ -272,6 +288,8 @@ def _fewer(partial: DataFrame, by: list[str], reduction: Reduction) -> DataFrame
         return _summed_by_bucket(partial, by, reduction.weight_dim)
     if reduction.name in K_LOWEST:
         return _lowest_of_each(partial, by, reduction.dim, reduction.k)
+    if reduction.exact:
+        return _summed_exactly(partial, by, reduction.dim)
     return partial
 
 
@@ -484,7 +502,7 @@ def _by_columns(kernel, kept, other, kept_vars, other_vars, kept_id, other_id, k
     f = as_columns(kernel.formula, values)
     j = F.col(f"b_{other_id}")
     if r.name == "Sum":
-        partial = F.array(*f)
+        partial = F.array(*f, *([F.lit(0.0)] * len(f) if r.exact else []))
     elif r.name in EXPONENTIAL:
         g = as_columns(kernel.weight, values) if kernel.weight is not None else [F.lit(1.0)]
         # a term on its own: its exponent and its weight
@@ -517,6 +535,45 @@ def _summed_by_bucket(terms: DataFrame, by: list[str], size: int) -> DataFrame:
     return summed.select(*by, F.struct("m", F.array(*(F.col(f"s{d}") * scale for d in range(size))).alias("s")).alias("partial"))
 
 
+def _times_power(x: Column, exponent: Column) -> Column:
+    """x times a power of two, in two steps, as one of them may be beyond the range of numbers."""
+    half = F.floor(exponent / 2)
+    return x * F.pow(F.lit(2.0), half) * F.pow(F.lit(2.0), exponent - half)
+
+
+def _summed_exactly(partial: DataFrame, by: list[str], dim: int) -> DataFrame:
+    """One state for each row: sums and errors of all its states, in any order, without a rounding before the end.
+
+    Numbers of eight neighbouring exponents are whole multiples of one power of
+    two, so their sum is a sum of integers: a row has at most some hundred such
+    sums, by hash aggregation.  Those are added up with compensation.
+    """
+    numbers = partial.select(*by, F.posexplode("partial").alias("_d", "_v")).withColumn("_d", F.col("_d") % dim)
+    odd = F.isnan("_v") | (F.abs("_v") == F.lit(float("inf")))
+    e = F.when(odd | (F.col("_v") == 0), F.lit(None)).otherwise(F.floor(F.log2(F.abs("_v")) / 8) * 8).cast("long")
+    whole = _times_power(F.col("_v"), 54 - F.col("_e")).cast("long").cast("decimal(20,0)")
+    sums = numbers.withColumn("_e", e).groupBy(*by, "_d", "_e").agg(F.sum(F.when(F.col("_e").isNotNull(), whole)).alias("_m"), F.sum(F.when(odd, F.col("_v"))).alias("_odd"))
+    # parts of 30 bits, and what is above, are doubles without rounding
+    low = F.col("_m") % F.lit(2**30)
+    mid = (F.col("_m") - low) % F.lit(2**60).cast("decimal(20,0)")
+    part = lambda c: _times_power(c.cast("double"), F.col("_e") - 54)
+    terms = F.when(F.col("_e").isNotNull(), F.array(part(F.col("_m") - low - mid), part(mid), part(low)))
+    each = sums.select(*by, "_d", "_odd", terms.alias("_t")).groupBy(*by, "_d").agg(F.flatten(F.collect_list("_t")).alias("_t"), F.sum("_odd").alias("_odd"))
+    ordered = F.reverse(F.array_sort(F.transform("_t", lambda t: F.struct(F.abs(t).alias("size"), t.alias("t")))))
+
+    def add(state: Column, x: Column) -> Column:
+        s, t = state["s"], x["t"]
+        total = s + t
+        lost = F.when(F.abs(s) >= F.abs(t), (s - total) + t).otherwise((t - total) + s)
+        return F.struct(total.alias("s"), (state["c"] + lost).alias("c"))
+
+    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("c"))
+    state = F.aggregate(ordered, zero, add)
+    found = each.select(*by, "_d", F.when(F.col("_odd").isNotNull(), F.struct(F.col("_odd").alias("s"), F.lit(0.0).alias("c"))).otherwise(state).alias("_x"))
+    of = lambda d, name: F.max(F.when(F.col("_d") == d, F.col("_x")[name]))
+    return found.groupBy(*by).agg(F.array(*(of(d, name) for name in "sc" for d in range(dim))).alias("partial"))
+
+
 def _lowest_of_each(terms: DataFrame, by: list[str], dim: int, k: int) -> DataFrame:
     """Partial states of the K lowest: a window's limit keeps K rows a group in each task before they move."""
     rows = terms.select(*by, F.posexplode("partial").alias("_d", "_x")).select(*by, "_d", F.explode("_x").alias("_x"))

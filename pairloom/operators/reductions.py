@@ -22,6 +22,24 @@ from pyspark.sql import functions as F
 
 INF = float("inf")
 
+
+def two_sum(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rounded sum and what rounding took from it, exactly."""
+    s = a + b
+    back = s - a
+    return s, (a - (s - back)) + (b - back)
+
+
+def compensated(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sum over axis 1 and the sum of its rounding errors, by halves."""
+    lost = np.zeros((f.shape[0], *f.shape[2:]))
+    while f.shape[1] > 1:
+        half = f.shape[1] // 2
+        s, e = two_sum(f[:, :half], f[:, half : 2 * half])
+        lost += e.sum(1)
+        f = np.concatenate([s, f[:, 2 * half :]], 1) if f.shape[1] % 2 else s
+    return (f[:, 0] if f.shape[1] else np.zeros_like(lost)), lost
+
 #: other names of reductions
 ALIASES = {
     "SoftMax": "SumSoftMaxWeight", "Max_SumShiftExp": "Max_SumShiftExpWeight", "LogSumExpVect": "LogSumExpWeight",
@@ -56,6 +74,11 @@ class Reduction:
             raise ValueError("kahan_scheme is for sums")
         return cls(name, dim, k, weight_dim, scheme)
 
+    @property
+    def exact(self) -> bool:
+        """Whether sums carry their rounding errors: states are sums, then errors, and merge exactly."""
+        return self.scheme == "kahan_scheme" and self.name == "Sum"
+
     # -- block kernel ------------------------------------------------------
     def start(self, rows: int) -> tuple[np.ndarray, ...]:
         shape = (rows, self.dim)
@@ -72,12 +95,11 @@ class Reduction:
         with np.errstate(all="ignore"):
             if self.name == "Sum":
                 total, lost = state
-                part = f.sum(1)
-                if self.scheme != "kahan_scheme":
-                    return total + part, lost
-                y = part - lost
-                t = total + y
-                return t, (t - total) - y
+                if not self.exact:
+                    return total + f.sum(1), lost
+                part, errors = compensated(f)
+                total, e = two_sum(total, part)
+                return total, lost + np.where(np.isfinite(total), errors + e, 0.0)
             if self.name in VALUE_ARG:
                 f = VALUE_ARG[self.name][0] * f
                 f = np.where(np.isnan(f), INF, f)
@@ -119,7 +141,7 @@ class Reduction:
 
     def partial(self, state) -> list:
         if self.name == "Sum":
-            return (state[0] - state[1] if self.scheme == "kahan_scheme" else state[0]).tolist()
+            return (np.concatenate(state, 1) if self.exact else state[0]).tolist()
         if self.name in VALUE_ARG:
             state = tuple(x[..., None] for x in state)
         if self.name in VALUE_ARG or self.name in K_LOWEST:
@@ -133,7 +155,7 @@ class Reduction:
         """Aggregate of partial column ``p``: partial states of one row combined."""
         c = F.col(p)
         if self.name == "Sum":
-            return F.array(*(F.sum(c[d]) for d in range(self.dim)))
+            return F.array(*(F.sum(c[d]) for d in range(self.dim * (1 + self.exact))))
         if self.name in VALUE_ARG:
             return F.array(*(F.array_compact(F.array(F.min(F.get(c[d], F.lit(0))))) for d in range(self.dim)))
         if self.name in K_LOWEST:
@@ -149,7 +171,7 @@ class Reduction:
     def neutral(self) -> Column:
         """The partial state of a row without pairs."""
         if self.name == "Sum":
-            return F.array_repeat(F.lit(0.0), self.dim)
+            return F.array_repeat(F.lit(0.0), self.dim * (1 + self.exact))
         if self.name in VALUE_ARG or self.name in K_LOWEST:
             return F.array_repeat(F.array().cast("array<struct<v:double,i:bigint>>"), self.dim)
         return F.struct(F.lit(-INF).alias("m"), F.array_repeat(F.lit(0.0), self.weight_dim).alias("s"))
@@ -158,7 +180,7 @@ class Reduction:
         """Result columns from the merged partial: ``value`` and/or ``index``, flat over components."""
         c = F.col(p)
         if self.name == "Sum":
-            return {"value": c}
+            return {"value": F.array(*(c[d] + c[self.dim + d] for d in range(self.dim))) if self.exact else c}
         if self.name in VALUE_ARG or self.name in K_LOWEST:
             k = self.k or 1
             sign, value, index = (1, *K_LOWEST[self.name]) if self.name in K_LOWEST else VALUE_ARG[self.name]

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.genred import PairReduce
-from pairloom.operators.pairs import PairKernel, _by_blocks, _by_small_side, _vars, bound_parameters, name_of, small_side
+from pairloom.operators.pairs import PairKernel, _by_blocks, _fewer, _by_small_side, _vars, bound_parameters, name_of, small_side
 from pairloom.plans.expr import VI, VJ
 from pairloom.session import ship
 
@@ -43,7 +43,7 @@ def fold_stream(query: PairReduce, left: DataFrame, stream: DataFrame, folder: s
         new = partial_states(query, left, batch, left_id, right_id, params)
         if number:
             new = new.unionByName(spark.read.parquet(f"{folder}/state/{number - 1}"))
-        merged = new.groupBy(left_id).agg(query.reduction.merge("partial").alias("partial"))
+        merged = _fewer(new, [left_id], query.reduction).groupBy(left_id).agg(query.reduction.merge("partial").alias("partial"))
         merged.write.mode("overwrite").parquet(f"{folder}/state/{number}")
         if number > 1:  # the version before may be needed by a retry, older ones not
             old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/state/{number - 2}")

@@ -247,13 +247,17 @@ class SymTensor:
         return self._with(diff.gradient_matrix(self.expr, self._v(v)), v)
 
     def trace_operator(self, v, w=None):
-        return self._with(diff.trace_operator(self.expr, self._v(v), None if w is None else self.promote(w).expr), v)
+        w = None if w is None else self.promote(w)
+        return self._with(diff.trace_operator(self.expr, self._v(v), None if w is None else w.expr), v, *([] if w is None else [w]))
 
     def adjoint_operator(self, v, u):
         return self._with(diff.adjoint_operator(self.expr, self._v(v), self.promote(u).expr), v)
 
-    def sum_operator(self, v):
-        return self._with(diff.sum_operator(self.expr, self._v(v)), v)
+    def sum_operator(self, v, wl=None, wr=None):
+        """Sum of the entries of the linear map of ``v``, with weights of its rows and columns."""
+        wl, wr = (None if w is None else self.promote(w) for w in (wl, wr))
+        expr = diff.sum_operator(self.expr, self._v(v), *(None if w is None else w.expr for w in (wl, wr)))
+        return self._with(expr, v, *(w for w in (wl, wr) if w is not None))
 
     def divergence(self, v):
         return self._with(diff.divergence(self.expr, self._v(v)), v)
@@ -296,12 +300,12 @@ class SymTensor:
     def rmatvec(self, v: SymTensor) -> DataFrame:
         return self.t() @ v
 
-    def solve(self, b: str, alpha: float = 1e-10, eps: float = 1e-6, max_iterations: int = 500) -> DataFrame:
-        """a with (K + alpha) a = b, where b is a column of the j table; K symmetric positive."""
+    def solve(self, b: str, alpha: float = 1e-10, eps: float = 1e-6, max_iterations: int = 500, preconditioner: str | None = None, landmarks: int = 100) -> DataFrame:
+        """a with (K + alpha) a = b, where b is a column of the j table; K symmetric positive; preconditioners as ``operators.solve`` has them."""
         from pairloom.operators.solve import solve
 
         table = self.tables[VJ]
-        return solve(self, table[0], table[1], b, alpha, eps, max_iterations)
+        return solve(self, table[0], table[1], b, alpha, eps, max_iterations, preconditioner, landmarks)
 
     # -- reductions ------------------------------------------------------------------
     def reduction(self, op: str, axis: int, k: int = 0, weight: SymTensor | None = None, strategy: str = "auto", sum_scheme: str = "auto") -> DataFrame:
@@ -375,8 +379,7 @@ for _method, _name, _n in [
     ("asin", "Asin", 0), ("acos", "Acos", 0), ("atan", "Atan", 0), ("atan2", "Atan2", 1), ("sqrt", "Sqrt", 0), ("rsqrt", "Rsqrt", 0), ("inv", "Inv", 0),
     ("square", "Square", 0), ("sign", "Sign", 0), ("step", "Step", 0), ("relu", "ReLU", 0), ("floor", "Floor", 0), ("ifelse", "IfElse", 2),
     ("sqnorm2", "SqNorm2", 0), ("norm2", "Norm2", 0), ("normalize", "Normalize", 0), ("sqdist", "SqDist", 1), ("matvecmult", "MatVecMult", 1),
-    ("vecmatmult", "VecMatMult", 1), ("tensorprod", "TensorProd", 1), ("softdtw_sqdist", "SoftDTW_SqDist", 2), ("real2complex", "Real2Complex", 0),
-    ("imag2complex", "Imag2Complex", 0), ("exp1j", "ComplexExp1j", 0),
+    ("vecmatmult", "VecMatMult", 1), ("tensorprod", "TensorProd", 1), ("softdtw_sqdist", "SoftDTW_SqDist", 2),
 ]:
     setattr(SymTensor, _method, _plain(_name, _n))
 
@@ -456,6 +459,10 @@ def as_complex(t: SymTensor) -> ComplexSymTensor:
     return ComplexSymTensor(t.expr, t.tables, t.params, t.ranges)
 
 
+for _method, _name in (("real2complex", "Real2Complex"), ("imag2complex", "Imag2Complex"), ("exp1j", "ComplexExp1j")):
+    setattr(SymTensor, _method, lambda self, _name=_name: as_complex(self.op(_name)))
+
+
 def real2complex(t: SymTensor) -> ComplexSymTensor:
     return as_complex(t.op("Real2Complex"))
 

@@ -17,7 +17,7 @@ from pairloom.genred import PairReduce, generic_argkmin, generic_argmin, generic
 from pairloom.operators import cluster, neighbours
 from pairloom.operators.solve import KernelSolve
 from pairloom.sources import components, points, table
-from pairloom.tensor import Pm, Vi, Vj
+from pairloom.tensor import Pm, Vi, Vj, as_complex, exp1j
 
 DIGITS = 6
 ALIASES = ["x = Vi(3)", "y = Vj(3)", "b = Vj(1)"]
@@ -569,13 +569,13 @@ def kmeans(left: DataFrame, centres: DataFrame, x: str, y: str, dim: int, steps:
     return centres
 
 
-def _solved_sql(kernel: str, b: str) -> str:
+def _solved_sql(kernel: str, b: str, shown: str = "round(m[p][n + 1], 4) + 0.0::DOUBLE", rows: str = "r") -> str:
     """j, v1: (K + 0.1) a = ``b`` over the nations by Gauss-Jordan elimination, a row of the matrix and the right-hand side each a list."""
-    return f"""WITH RECURSIVE {POINTS_SQL}, k AS (SELECT s.j AS i, t.j, {kernel} + CASE WHEN s.j = t.j THEN 0.1::DOUBLE ELSE 0 END AS k FROM r s, r t),
-m AS (SELECT list(line ORDER BY i) AS m, count(*) AS n FROM (SELECT i, list_append(list(k ORDER BY j), (SELECT {b} FROM r WHERE r.j = k.i)) AS line FROM k GROUP BY i)),
+    return f"""WITH RECURSIVE {POINTS_SQL}, k AS (SELECT s.j AS i, t.j, {kernel} + CASE WHEN s.j = t.j THEN 0.1::DOUBLE ELSE 0 END AS k FROM {rows} s, {rows} t),
+m AS (SELECT list(line ORDER BY i) AS m, count(*) AS n FROM (SELECT i, list_append(list(k ORDER BY j), (SELECT {b} FROM {rows} r WHERE r.j = k.i)) AS line FROM k GROUP BY i)),
 g AS (SELECT 1 AS step, n, m FROM m
 UNION ALL SELECT step + 1, n, list_transform(m, lambda line, p: CASE WHEN p = step THEN list_transform(line, lambda v: v / line[step]) ELSE list_transform(list_zip(line, m[step]), lambda t: t[1] - line[step] / m[step][step] * t[2]) END) FROM g WHERE step <= n)
-SELECT j, round(m[p][n + 1], 4) + 0.0::DOUBLE AS v1 FROM g, (SELECT j, row_number() OVER (ORDER BY j) AS p FROM r) WHERE step = n + 1"""
+SELECT j, {shown} AS v1 FROM g, (SELECT j, row_number() OVER (ORDER BY j) AS p FROM {rows}) WHERE step = n + 1"""
 
 
 _KERNEL_D2 = "((s.y1-t.y1)*(s.y1-t.y1) + (s.y2-t.y2)*(s.y2-t.y2) + (s.y3-t.y3)*(s.y3-t.y3))"
@@ -658,3 +658,88 @@ def _complex(spark, sf_dir):
     right = nations(spark, sf_dir).withColumn("w", F.slice("y", 1, 2))
     z, w = Vi(left, "z", dim=2), Vj(right, "w", dim=2)
     return _shown((z.op("ComplexMult", w)).sum(axis=1), 2)
+
+
+@_query("complex_tensor_class", _lr("SELECT i, " + ", ".join(f"{_R(f'sum({c})')} AS v{k + 1}" for k, c in enumerate(["(x1 * y1 + x2 * y2) / (y1 * y1 + y2 * y2) + exp(x1) * cos(x2)", "(x2 * y1 - x1 * y2) / (y1 * y1 + y2 * y2) - exp(x1) * sin(x2) + sqrt(y1 * y1 + y2 * y2)"])) + " FROM p GROUP BY i"))
+def _complex_class(spark, sf_dir):
+    """Quotient, conjugate, exponential and modulus of complex tensors: z / w + conj(exp z) + |w| i."""
+    left, right = suppliers(spark, sf_dir).withColumn("z", F.slice("x", 1, 2)), nations(spark, sf_dir).withColumn("w", F.slice("y", 1, 2))
+    z, w = as_complex(Vi(left, "z", dim=2)), as_complex(Vj(right, "w", dim=2))
+    return _shown((z / w + z.exp().conj() + abs(w).imag2complex()).sum(axis=1), 2)
+
+
+@_query("complex_tensor_parts", _lr(f"SELECT i, {_R('sum((x1*x1 + x2*x2) * cos(y3) - atan2(x2, x1) * x1)')} AS v1 FROM p GROUP BY i"))
+def _complex_parts(spark, sf_dir):
+    """Squared modulus, angle, real parts, and exponentials on the unit circle."""
+    left, right = suppliers(spark, sf_dir).withColumn("z", F.slice("x", 1, 2)), nations(spark, sf_dir).withColumn("t", F.col("y")[2])
+    z, t = as_complex(Vi(left, "z", dim=2)), Vj(right, "t", dim=1)
+    return _shown((z.squareabs() * exp1j(t).real - z.angle() * z.real).sum(axis=1), 1)
+
+
+@_query("tensor_functions", _lr("SELECT i, " + ", ".join(_R(f"sum(atan2(x{k}, y{k}) + CASE WHEN x{k} >= y{k} THEN x{k} ELSE y{k} * y{k} END + CASE WHEN x{k} < 0.2::DOUBLE THEN 0.2::DOUBLE WHEN x{k} > y{k} THEN y{k} ELSE x{k} END + pow(y{k}, 1 + x{k}) + x{k} - y{k} * floor(x{k} / y{k}))") + f" AS v{k}" for k in (1, 2, 3)) + " FROM p GROUP BY i"))
+def _tensor_functions(spark, sf_dir):
+    """Methods of two and three arguments."""
+    x, y, _ = _xy(spark, sf_dir)
+    return _shown((x.atan2(y) + (x - y).ifelse(x, y * y) + x.clamp(0.2, y) + y ** (x + 1) + x.mod(y)).sum(axis=1), 3)
+
+
+@_query("tensor_calculus", _lr(f"SELECT i, {_R('sum(-2 * (x1 - y1) * exp(-f) * 2 + y3 * (' + _YY + ') + (y1 + 2 * y2 + 3 * y3) * (x1 * y1 + x2 * y2 + x3 * y3))')} AS v1 FROM p GROUP BY i"))
+def _tensor_calculus(spark, sf_dir):
+    """A gradient, a trace times a weight, and the weighted sum of a linear map, as methods."""
+    x, y, _ = _xy(spark, sf_dir)
+    linear = y.tensorprod(y).matvecmult(x)
+    return _shown(((-x.sqdist(y)).exp().grad(x, 2)[0] + linear.trace_operator(x, y[2]) + linear.sum_operator(x, Pm([1.0, 2.0, 3.0]), x)).sum(axis=1), 1)
+
+
+@_query("operator_rmatvec", _lr(f"SELECT j AS i, {_R('sum(exp(-f) * x2)')} AS v1 FROM p GROUP BY j"))
+def _rmatvec(spark, sf_dir):
+    """The transposed product through the linear operator's own method."""
+    left = suppliers(spark, sf_dir).withColumn("c", F.col("x")[1])
+    x, y = Vi(left, "x", dim=3), Vj(nations(spark, sf_dir), "y", dim=3)
+    kernel = (-x.sqdist(y)).exp()
+    return _shown(kernel.rmatvec(Vj(left, "c", row_id="i", dim=1)).withColumnRenamed("j", "i"), 1)
+
+
+@_query("own_operation", _lr(f"SELECT i, {_R('sum(' + ' + '.join(f'CASE WHEN abs(x{k}-y{k}) <= 0.5::DOUBLE THEN (x{k}-y{k})*(x{k}-y{k}) / 2 ELSE 0.5::DOUBLE * (abs(x{k}-y{k}) - 0.25::DOUBLE) END' for k in (1, 2, 3)) + ')')} AS v1 FROM p GROUP BY i"))
+def _own_operation(spark, sf_dir):
+    """A Huber loss, registered here: operations of one's own travel with the formula."""
+    import numpy as np
+
+    from pairloom.functions import ops
+
+    if "Huber" not in ops.TABLE:
+        ops.elementwise("Huber", 1, lambda d: np.where(np.abs(d) <= 0.5, d * d / 2, 0.5 * (np.abs(d) - 0.25)), lambda d: F.when(F.abs(d) <= 0.5, d * d / 2).otherwise(0.5 * (F.abs(d) - 0.25)))
+    x, y, _ = _xy(spark, sf_dir)
+    return _shown((x - y).op("Huber").sum(-1).sum(axis=1), 1)
+
+
+@_query("exact_sum", "WITH l AS (SELECT CAST(s_suppkey AS BIGINT) AS i, CASE s_suppkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 4 END AS x FROM supplier) SELECT i, round(CAST(x * (SELECT sum(CAST(o_totalprice AS DECIMAL(20, 2))) FROM orders) AS DOUBLE), 2) + 0.0::DOUBLE AS v1 FROM l")
+def _exact_sum(spark, sf_dir):
+    """Prices among numbers of 10^16 that cancel: only sums that keep their rounding errors have the total."""
+    huge = (F.lit(1e16) * (1 + F.col("o_orderkey") % 5)).alias("huge")
+    terms = table(spark, sf_dir, "orders").select("o_orderkey", F.posexplode(F.array(huge, F.col("o_totalprice").cast("double"), -huge)).alias("k", "y"))
+    right = points(terms.withColumn("id", F.col("o_orderkey") * 3 + F.col("k")), "id", {"y": "y"}, "j")
+    scale = F.when(F.col("s_suppkey") % 3 == 0, 1.0).when(F.col("s_suppkey") % 3 == 1, 2.0).otherwise(4.0)
+    left = points(table(spark, sf_dir, "supplier"), "s_suppkey", {"x": scale}, "i")
+    out = PairReduce("x*y", ["x = Vi(1)", "y = Vj(1)"], "Sum", 1, sum_scheme="kahan_scheme").run(left, right, strategy="blocks")
+    return components(out, "value", "v", 1, 2)
+
+
+_SUPPLIER_R = "(SELECT i AS j, x1 AS y1, x2 AS y2, x3 AS y3, x3 + 1 AS b FROM l)"
+
+
+@_query("kriging_preconditioned", _solved_sql(f"exp(-4 * {_KERNEL_D2})", "b", rows=_SUPPLIER_R))
+def _kriging(spark, sf_dir):
+    """Kriging weights of all suppliers by the tensor's own solver, with a Nystrom preconditioner."""
+    left = suppliers(spark, sf_dir)
+    right = left.select(F.col("i").alias("j"), F.col("x").alias("y"), (F.col("x")[2] + 1).alias("b"))
+    x, y = Vi(left, "x", dim=3), Vj(right, "y", dim=3)
+    return components((-(x.sqdist(y) * 4)).exp().solve("b", alpha=0.1, eps=1e-9, preconditioner="nystrom", landmarks=20), "value", "v", 1, 4)
+
+
+@_query("gradient_of_solve_points", f"WITH {POINTS_SQL}, a AS ({_solved_sql(f'exp(-{_KERNEL_D2})', 'b', 'm[p][n + 1]')}), z AS ({_solved_sql(f'exp(-{_KERNEL_D2})', 'y1', 'm[p][n + 1]')}) SELECT s.j AS i, " + ", ".join(f"round(sum(2 * z.v1 * a.v1 * (s.y{k} - t.y{k}) * exp(-{_KERNEL_D2})), 4) + 0.0::DOUBLE AS v{k}" for k in (1, 2, 3)) + " FROM r s, r t, a, z WHERE z.j = s.j AND a.j = t.j GROUP BY s.j")
+def _gradient_of_solve_points(spark, sf_dir):
+    """The gradient of the solution by the points of side i, applied to the first coordinate."""
+    left, right = _both_nations(spark, sf_dir)
+    out = KernelSolve("Exp(-SqDist(x,y))*b", ALIASES, "b").grad("x", left, right.withColumn("eta", F.col("y")[0]), alpha=0.1, eps=1e-10)
+    return components(out, "value", "v", 3, 4)

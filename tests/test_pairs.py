@@ -485,3 +485,35 @@ def test_shared_subtrees_become_columns(spark):
     assert all(abs(a[i] - b[i]) < 1e-12 for i in a)
     with pytest.raises(ValueError, match="no part"):
         PairReduce("Factorize(Exp(-SqDist(x,y)), Square(y))", ["x = Vi(3)", "y = Vj(3)"], "Sum", 1)
+
+
+@pytest.mark.parametrize("strategy", ["small", "blocks", "columns"])
+def test_exact_sums(spark, monkeypatch, strategy):
+    """Sums keep their rounding errors in tiles and over merges, in any order; what is not finite stays so."""
+    import math
+
+    from pairloom.operators import pairs
+
+    monkeypatch.setattr(pairs, "BLOCK_ROWS", 2)
+    left = spark.createDataFrame([(0, 1.0), (1, 0.5)], "i long, x double")
+    r = np.random.default_rng(5)
+    many = np.concatenate([s := r.normal(size=30) * 10.0 ** r.integers(-5, 12, 30), -s[::-1], r.normal(size=7), [5e-324, 1e-310]])
+    q = PairReduce("x*y", ["x = Vi(1)", "y = Vj(1)"], "Sum", 1, sum_scheme="kahan_scheme")
+    for values in ([1e16, 1.0, -1e16, 1.0], [1.0, 1e16, 1.0, -1e16], [1e300, 1.0, -1e300], [1e308, 1e-300, -1e308], many.tolist(), [0.0, -0.0], [float("inf"), 1.0], [float("inf"), float("-inf")], [float("nan"), 1.0]):
+        right = spark.createDataFrame([(j, float(v)) for j, v in enumerate(values)], "j long, y double").repartition(3)
+        got = {r.i: r.value[0] for r in q.run(left, right, strategy=strategy).collect()}
+        for i, x in ((0, 1.0), (1, 0.5)):
+            want = math.fsum(x * v for v in values) if np.isfinite(values).all() else sum(values)
+            assert got[i] == want or (np.isnan(got[i]) and np.isnan(want)) or abs(got[i] - want) < 1e-14 * abs(want)
+
+
+def test_own_operations_reach_the_workers(spark):
+    from pairloom.functions import ops
+
+    name = "Cubed"
+    if name not in ops.TABLE:
+        ops.elementwise(name, 1, lambda x: x * x * x, lambda x: x * x * x)
+    left, right = _sides(spark)
+    x, y = Vi(left, "x", dim=3), Vj(right, "y", dim=3)
+    a, b = ({r.i: r.value for r in t.sum(axis=1).collect()} for t in ((x - y).op(name), (x - y) * (x - y) * (x - y)))
+    assert all(np.allclose(a[i], b[i]) for i in b) and name not in ops.BUILT_IN
