@@ -1,8 +1,9 @@
 """Conjugate gradients for kernel systems: (K + alpha) a = b.
 
 Each iteration is one pair query and two sums over rows.  Vectors are written
-to the checkpoint folder between iterations, so plans stay short; only dot
-products reach the driver.
+to the shared folder between iterations, so plans stay short, and the ones
+before are deleted; only dot products, and for a preconditioner as many numbers
+as it has landmarks, reach the driver.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.plans.expr import VI, VJ, Var, call
-from pairloom.session import checkpoints, ship
+from pairloom.session import Steps, ship
 
 
 def solve(kernel, table: DataFrame, row_id: str, b: str, alpha: float = 1e-10, eps: float = 1e-6, max_iterations: int = 500, preconditioner: str | None = None, landmarks: int = 100) -> DataFrame:
@@ -22,15 +23,16 @@ def solve(kernel, table: DataFrame, row_id: str, b: str, alpha: float = 1e-10, e
     ``kernel`` is a symmetric tensor of dim 1 between the table and itself.
     ``preconditioner``: "diagonal" divides residuals by the diagonal of K + alpha;
     "nystrom" applies the inverse of alpha plus the kernel's approximation by
-    ``landmarks`` rows, chosen by a hash of their id, which is one number for
-    each landmark and row, and pays where alpha is small.
+    ``landmarks`` rows, chosen by a hash of their id, and pays where alpha is
+    small.  The kernel between rows and landmarks is computed where it is
+    needed, never stored: what an iteration writes does not depend on them.
     Raises ``ArithmeticError`` if the residual is still larger after
     ``max_iterations``, and ``ValueError`` for a curvature that isn't positive,
     as the matrix then isn't positive definite.
     """
     from pairloom.tensor import SymTensor
 
-    checkpoints(table.sparkSession)
+    steps = Steps(table.sparkSession, "solve")
     dim = len(table.select(b).first()[0]) if table.schema[b].dataType.typeName() == "array" else 1
     vector = F.col(b) if table.schema[b].dataType.typeName() == "array" else F.array(F.col(b).cast("double"))
     p_var = Var(10_000_000, dim, VJ, "_p")
@@ -66,8 +68,6 @@ def solve(kernel, table: DataFrame, row_id: str, b: str, alpha: float = 1e-10, e
     nystrom = None
     if preconditioner == "nystrom":
         nystrom = _Nystrom(kernel, table, row_id, landmarks, alpha)
-        start = start.join(nystrom.features.withColumnRenamed(nystrom.row_id, row_id), row_id)
-        scale = F.col("features")
     state = start.select(row_id, F.transform("b", lambda x: x * 0.0).alias("a"), F.col("b").alias("r"), scale.alias("m"))
 
     def conditioned(state: DataFrame) -> DataFrame:
@@ -76,7 +76,7 @@ def solve(kernel, table: DataFrame, row_id: str, b: str, alpha: float = 1e-10, e
             return nystrom.apply(state, dim)
         return state.withColumn("z", F.transform("r", lambda x: x / F.col("m")))
 
-    state = conditioned(state).withColumn("p", F.col("z")).checkpoint()
+    state = steps.keep(conditioned(state).withColumn("p", F.col("z")))
     n, rr, rz = state.select(F.count(F.lit(1)), _dot("r", "r"), _dot("r", "z")).first()
     state = state.drop("z")
     done = 0
@@ -84,13 +84,13 @@ def solve(kernel, table: DataFrame, row_id: str, b: str, alpha: float = 1e-10, e
         if done == max_iterations:
             raise ArithmeticError(f"not solved in {max_iterations} iterations: the residual is {(rr / (n * dim)) ** 0.5:.3g}, not {eps:.3g}")
         done += 1
-        state = state.join(apply(state, "p"), row_id).checkpoint()
+        state = steps.keep(state.join(apply(state, "p"), row_id))
         (pq,) = state.select(_dot("p", "q")).first()
         if not pq > 0:
             raise ValueError("the kernel matrix is not positive definite")
         step = rz / pq
         state = state.select(row_id, _axpy("a", "p", step).alias("a"), _axpy("r", "q", -step).alias("r"), "m", "p")
-        state = conditioned(state.checkpoint() if nystrom is not None else state).checkpoint()
+        state = steps.keep(conditioned(steps.keep(state) if nystrom is not None else state))
         rr, new = state.select(_dot("r", "r"), _dot("r", "z")).first()
         state = state.select(row_id, "a", "r", "m", _axpy("z", "p", new / rz).alias("p"))
         rz = new
@@ -108,41 +108,39 @@ class _Nystrom:
         from pairloom.operators.pairs import _table, _vars, name_of
         from pairloom.plans.evaluate import on_blocks
 
-        near, self.row_id, *_ = kernel.tables[VI]
+        near, kept_id, *_ = kernel.tables[VI]
         expr = kernel.expr
         mine, theirs = _vars([expr], VI), _vars([expr], VJ)
         params = {v.key: np.asarray(kernel.params[v.name], float)[None, None] for v in expr.variables() if v.name in kernel.params}
-        chosen = table.orderBy(F.xxhash64(row_id), row_id).limit(landmarks).select(*(name_of(v) for v in theirs)).toArrow()
+        own = table.select(F.col(row_id).cast("long").alias(row_id), *(name_of(v) for v in theirs))
+        chosen = own.orderBy(F.xxhash64(row_id), row_id).limit(landmarks).toArrow()
         there = {k: v[None] for k, v in _table(chosen, theirs).items()}
-        count, kept_id = chosen.num_rows, self.row_id
+        count = chosen.num_rows
 
-        def run(batches):
-            for b in batches:
-                if b.num_rows:
-                    here = {k: v[:, None] for k, v in _table(b, mine).items()}
-                    u = np.broadcast_to(on_blocks(expr, params | here | there), (b.num_rows, count, 1))[..., 0]
-                    yield pa.RecordBatch.from_arrays([b[kept_id].cast(pa.int64()), pa.array(list(u), pa.list_(pa.float64()))], [kept_id, "features"])
+        def features(b) -> np.ndarray:
+            """The kernel between the rows of a batch and the landmarks."""
+            here = {k: v[:, None] for k, v in _table(b, mine).items()}
+            return np.broadcast_to(on_blocks(expr, params | here | there), (b.num_rows, count, 1))[..., 0]
 
         ship(near.sparkSession)
-        self.features = near.select(kept_id, *(name_of(v) for v in mine)).mapInArrow(run, f"{kept_id} long, features array<double>").checkpoint()
-        self.alpha, self.count = alpha, count
-        gram = self._sums(self.features.select(F.col("features").alias("m"), F.col("features").alias("r")), count)
-        own = near.join(table.orderBy(F.xxhash64(row_id), row_id).limit(landmarks).select(F.col(row_id).alias(kept_id), F.xxhash64(row_id).alias("_h")), kept_id)
-        among = own.select(kept_id, "_h").join(self.features, kept_id).orderBy("_h", kept_id).select("features").collect()  # as many rows as landmarks
-        small = np.array([r[0] for r in among]).reshape(count, count)
+        self.row_id, self.alpha, self.features = row_id, alpha, features
+        self.near = near.select(F.col(kept_id).cast("long").alias(row_id), *(name_of(v) for v in mine))
+        gram = self._sums(self.near, count, None)
+        places = table.sparkSession.createDataFrame([(i.as_py(), n) for n, i in enumerate(chosen[row_id])], f"{row_id} long, _place int")  # as many rows as landmarks
+        small = features(self.near.join(F.broadcast(places), row_id).orderBy("_place").toArrow())
         system = alpha * small + gram
         self.inverse = np.linalg.pinv((system + system.T) / 2)
 
-    @staticmethod
-    def _sums(rows: DataFrame, width: int) -> np.ndarray:
-        """Sum over rows of the products of m with r: (length of m, ``width``)."""
+    def _sums(self, rows: DataFrame, width: int, column: str | None) -> np.ndarray:
+        """Sum over rows of the products of their features with ``column`` (or with themselves): (landmarks, ``width``)."""
+        features = self.features
 
         def run(batches):
             total = None
             for b in batches:
                 if b.num_rows:
-                    m, r = (np.array(b[c].to_pylist(), float).reshape(b.num_rows, -1) for c in ("m", "r"))
-                    total = m.T @ r + (0 if total is None else total)
+                    u = features(b)
+                    total = u.T @ (u if column is None else np.array(b[column].to_pylist(), float).reshape(b.num_rows, -1)) + (0 if total is None else total)
             if total is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(list(total), pa.list_(pa.float64()))], ["k", "s"])
 
@@ -150,10 +148,18 @@ class _Nystrom:
         return np.array([r[0] for r in parts.orderBy("k").select("s").collect()]).reshape(-1, width)
 
     def apply(self, state: DataFrame, dim: int) -> DataFrame:
-        sent = (self.inverse @ self._sums(state.select("m", "r"), dim)).tolist()
-        weights = F.array(*(F.array(*(F.lit(float(row[d])) for row in sent)) for d in range(dim)))
-        dot = lambda w: F.aggregate(F.zip_with("m", w, lambda u, v: u * v), F.lit(0.0), lambda u, v: u + v)
-        return state.withColumn("z", F.zip_with("r", F.transform(weights, dot), lambda r, s: (r - s) / F.lit(float(self.alpha))))
+        """``state`` with z."""
+        rows, features, alpha, names = self.near.join(state, self.row_id), self.features, self.alpha, state.columns
+        weights = self.inverse @ self._sums(rows, dim, "r")
+
+        def run(batches):
+            for b in batches:
+                if b.num_rows:
+                    z = (np.array(b["r"].to_pylist(), float).reshape(b.num_rows, -1) - features(b) @ weights) / alpha
+                    yield pa.RecordBatch.from_arrays([*(b[c] for c in names), pa.array(list(z), pa.list_(pa.float64()))], [*names, "z"])
+
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in state.schema)
+        return rows.mapInArrow(run, f"{schema}, z array<double>")
 
 
 class KernelSolve:

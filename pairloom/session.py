@@ -52,3 +52,19 @@ def checkpoints(spark: SparkSession) -> None:
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new URI under the folder that the cluster shares."""
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+class Steps:
+    """Tables of an iteration: each is written to the shared folder and read back, and the one before is deleted."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.path = spark, name, None
+
+    def keep(self, df):
+        path, before = work_folder(self.spark, self.name), self.path
+        df.write.parquet(path)
+        self.path = path
+        if before is not None:
+            old = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(before)
+            old.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+        return self.spark.read.schema(df.schema).parquet(path)
