@@ -7,7 +7,9 @@ rule has cut off by then.  A word is read once from left to right, in time
 linear in its bytes; the sum of the popped counts is its number of pieces.
 
 The automaton runs over all new words of a batch at once, one byte of each per
-round; counts of words are kept in a bounded table.
+round; words of over ``LONG`` bytes, whose rounds would have few words, are
+walked one by one.  Counts of words of up to ``KEPT`` bytes are kept in a table
+of bounded size; longer ones are counted anew in each batch.
 """
 
 from __future__ import annotations
@@ -24,7 +26,8 @@ from pairloom.llm._shared import id_text, prepare, worker_cache
 from pairloom.llm.tokens import MEMO_ENTRIES, byte_symbols
 
 END = 256  # the mark after the last byte of a word
-_ALPHABET = 257
+#: Bytes of a word that is walked on its own, and of the longest word whose count is kept.
+LONG, KEPT = 256, 64
 
 
 class LongestMatch:
@@ -70,6 +73,25 @@ class LongestMatch:
         self.fail, self.pops = np.array(fail), np.array(pops)
         edges = [(v * 512 + c, w) for v in range(n) for c, w in children[v].items()]
         self.edges, self.target = (np.array(x, np.int64) for x in zip(*sorted(edges), strict=True))
+        self._walk: tuple | None = None  # the same as Python's own tables, made with the first long word
+
+    def walk(self, word: bytes) -> int:
+        """Pieces of one word followed by the end mark."""
+        if self._walk is None:
+            self._walk = dict(zip(self.edges.tolist(), self.target.tolist(), strict=True)).get, self.fail.tolist(), self.pops.tolist()
+        find, fail, pops = self._walk
+        node = total = 0
+        for c in (*word, END):
+            while (to := find(node * 512 + c)) is None:
+                total += pops[node]
+                node = fail[node]
+                if node < 0:
+                    return 1
+            node = to
+        while node > 0:
+            total += pops[node]
+            node = fail[node]
+        return 1 if node < 0 else total
 
     def _next(self, node: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         q = node * 512 + symbol
@@ -78,6 +100,14 @@ class LongestMatch:
 
     def count(self, words: list[bytes]) -> np.ndarray:
         """Pieces of each word followed by the end mark."""
+        out = np.empty(len(words), np.int64)
+        long = np.fromiter((len(w) > LONG for w in words), bool, len(words))
+        out[~long] = self._rounds([w for w in words if len(w) <= LONG])
+        out[long] = [self.walk(w) for w in words if len(w) > LONG]
+        return out
+
+    def _rounds(self, words: list[bytes]) -> np.ndarray:
+        """``count``, one byte of every word in each round."""
         size = np.fromiter(map(len, words), np.int64, len(words))
         flat = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
         start = np.cumsum(size) - size
@@ -139,16 +169,18 @@ class Counts:
         if len(self.memo) + len(fresh) > MEMO_ENTRIES:
             self.memo.clear()
             fresh = list(set().union(*words))
-        self.memo.update(zip(fresh, self.automaton.count(fresh).tolist(), strict=True))
-        get = self.memo.__getitem__
-        return [w.total() for w in words], [sum(get(x) * n for x, n in w.items()) for w in words]
+        now = dict(zip(fresh, self.automaton.count(fresh).tolist(), strict=True))
+        counts = [sum((now[x] if x in now else self.memo[x]) * n for x, n in w.items()) for w in words]
+        self.memo.update((x, n) for x, n in now.items() if len(x) <= KEPT)
+        return [w.total() for w in words], counts
 
 
 def count_tokens(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_words, n_tokens of every row, by greedy longest match.
 
     Null and empty texts have no words and no tokens; rows that repeat stay; an
-    empty table gives no rows; other columns are not read.  One pass, no shuffle.
+    empty table gives no rows; other columns are not read; a word of any length
+    is counted whole, in time in proportion to it.  One pass, no shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

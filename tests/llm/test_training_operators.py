@@ -325,3 +325,26 @@ def test_block_files_tell_texts_apart(tmp_path):
     assert len(digests) == 4 and ngram_lm._digest(table((1, "a b"))) in digests
     ngram_lm._write_once(ngram_lm._file(f"file://{tmp_path}", b"\x00" * 16), table((1, "a")))
     assert [p.name for p in tmp_path.iterdir()] == ["00" * 16]
+
+
+# -- long words -----------------------------------------------------------------------------
+def test_long_words_are_walked():
+    """A megabyte without white space takes a second or so; the walk gives what the rounds give; the table stays small."""
+    import time
+
+    from pairloom.llm import token_counts
+
+    public = pytest.importorskip("public_tokenizers")
+    counts = token_counts.Counts(public.path("word_bpe_49k.json"))
+    r = random.Random(7)
+    words = ["".join(r.choice("aeiouxyzé+/09") for _ in range(n)).encode() for n in (0, 1, 5, 63, 64, 255, 256, 257, 258, 2000)]
+    auto = counts.automaton
+    assert [auto.walk(w) for w in words] == auto._rounds(words).tolist() == auto.count(words).tolist()
+    text = "".join(r.choices("abcdefghijklmnopqrstuvwxyz0123456789+/", k=1_000_000))
+    counts.of(["warm " + "x" * 300])
+    began = time.process_time()
+    n, pieces = counts.of([f"{text} short {text}"])
+    assert time.process_time() - began < 5 and n == [3] and pieces[0] == 2 * auto.walk(text.encode()) + auto.walk(b"short")
+    assert set(map(len, counts.memo)) <= set(range(token_counts.KEPT + 1)) and b"short" in counts.memo
+    small = token_counts.LongestMatch([(1,), (2,), (1, 2), (token_counts.END,)])
+    assert small.walk(bytes([1, 2, 9])) == 1 == small._rounds([bytes([1, 2, 9])])[0]
