@@ -130,6 +130,24 @@ class Reduction:
             part = w.sum(1, keepdims=True) if g is None else np.einsum("mn,mnd->md", w, np.broadcast_to(g, (*w.shape, g.shape[-1])))
             return top[:, None], s * np.exp(np.where(np.isfinite(m), m - at[:, None], -INF)) + part
 
+    def combine(self, a, b):
+        """The states of the same rows after what either has seen."""
+        with np.errstate(all="ignore"):
+            if self.name == "Sum":
+                total, lost = two_sum(a[0], b[0])
+                return total, a[1] + b[1] + np.where(np.isfinite(total), lost, 0.0)
+            if self.name in VALUE_ARG:
+                better = (b[0] < a[0]) | ((b[0] == a[0]) & (b[0] < INF) & (b[1] < a[1]))
+                return np.where(better, b[0], a[0]), np.where(better, b[1], a[1])
+            if self.name in K_LOWEST:
+                v, i = np.concatenate([a[0], b[0]], -1), np.concatenate([a[1], b[1]], -1)
+                order = np.lexsort((np.where(v < INF, i, np.iinfo(np.int64).max), v), axis=-1)[..., : self.k]
+                return np.take_along_axis(v, order, -1), np.take_along_axis(i, order, -1)
+            top = np.maximum(a[0], b[0])
+            at = np.where(np.isfinite(top), top, 0.0)
+            scaled = [s * np.exp(np.where(np.isfinite(m), m - at, -INF)) for m, s in (a, b)]
+            return top, scaled[0] + scaled[1]
+
     # -- partial states as columns ---------------------------------------------
     @property
     def partial_type(self) -> str:

@@ -17,6 +17,7 @@ from pairloom.genred import PairReduce, generic_argkmin, generic_argmin, generic
 from pairloom.operators import cluster, neighbours, truncate
 from pairloom.operators.solve import KernelSolve
 from pairloom.sources import components, points, table
+from pairloom.streaming import keyed
 from pairloom.tensor import Pm, Vi, Vj, as_complex, exp1j
 
 DIGITS = 6
@@ -770,3 +771,47 @@ def _truncated_gaussian(spark, sf_dir):
 @_query("truncated_laplacian", f"WITH {_PART_SQL} SELECT s.i, round(sum(exp(-12 * sqrt({_PART_D2})) * t.b), 4) + 0.0::DOUBLE AS v1, true AS within FROM l s, l t GROUP BY s.i")
 def _truncated_laplacian(spark, sf_dir):
     return _truncated("Exp(-12*Norm2(x-y))*b", 0.5, spark, sf_dir)
+
+
+def _kept_by_row(spark: SparkSession, stream: DataFrame, by: list[str]) -> DataFrame:
+    """What a keyed stream has put out once it has taken all there is, latest row by row."""
+    from pairloom.session import work_folder
+
+    folder = work_folder(spark, "keyed")
+    keyed.write_changes(stream, folder).trigger(availableNow=True).start().awaitTermination()
+    return keyed.latest(spark, folder, by)
+
+
+@_query("stream_keyed_logsumexp", _lr(f"SELECT CAST(i % 3 AS BIGINT) AS g, i, {_R('ln(sum(exp(-f)))')} AS v1 FROM p WHERE i % 3 = j % 3 GROUP BY i"))
+def _stream_keyed(spark, sf_dir):
+    """Nations arrive as a stream; each touches the suppliers of its key, whose states Spark keeps by row."""
+    raw = spark.readStream.schema(table(spark, sf_dir, "nation").schema).parquet(f"{sf_dir}/nation*.parquet")
+    y = [(F.col("n_nationkey") + 1).cast("double") / 26.0, (F.col("n_regionkey") + 1).cast("double") / 6.0, F.length("n_name").cast("double") / 20.0]
+    stream = points(raw, "n_nationkey", {"y": y}, "j").withColumn("g", F.col("j") % 3)
+    q = PairReduce("-SqDist(x,y)", ALIASES[:2], "LogSumExp", 1)
+    found = keyed.keyed_stream(q, suppliers(spark, sf_dir).withColumn("g", F.col("i") % 3), stream, batch=["g"])
+    return _shown(_kept_by_row(spark, found, ["g", "i"]), 1)
+
+
+_EVENT_SQL = """WITH l AS (SELECT CAST(n_nationkey AS BIGINT) AS i, n_nationkey * 4::DOUBLE AS x FROM nation), e AS (SELECT event_id AS j, strftime(ts, '%Y-%m-%d') AS day, value AS y FROM events WHERE ts IS NOT NULL AND value IS NOT NULL AND event_id IS NOT NULL)"""
+
+
+def _by_day(op: str, formula: str, k: int, spark, sf_dir) -> DataFrame:
+    raw = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events*.parquet")
+    stream = points(raw, "event_id", {"y": "value"}, "j", ["ts"])
+    left = points(table(spark, sf_dir, "nation"), "n_nationkey", {"x": F.col("n_nationkey") * 4.0}, "i")
+    q = PairReduce(formula, ["x = Vi(1)", "y = Vj(1)"], op, 1, k=k)
+    found = _kept_by_row(spark, keyed.keyed_stream(q, left, stream, time="ts", window="1 day", delay="1 day"), ["window_start", "window_end", "i"])
+    return found.withColumn("day", F.date_format("window_start", "yyyy-MM-dd")).drop("window_start", "window_end")
+
+
+@_query("stream_windowed_sum", f"{_EVENT_SQL} SELECT i, day, round(sum(exp(-(x-y)*(x-y) / 100::DOUBLE)), {DIGITS}) + 0.0::DOUBLE AS v1 FROM l, e GROUP BY i, day")
+def _stream_windowed(spark, sf_dir):
+    """Kernel sums over the events of each day, in windows that a watermark closes."""
+    return _shown(_by_day("Sum", "Exp(-Square(x-y)/100)", 0, spark, sf_dir), 1)
+
+
+@_query("stream_windowed_argkmin", f"{_EVENT_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY i, day ORDER BY abs(x-y), j) AS n FROM l, e) SELECT i, day, " + ", ".join(f"coalesce(min(j) FILTER (n = {k}), 0) AS j{k}" for k in (1, 2, 3)) + " FROM n GROUP BY i, day")
+def _stream_nearest(spark, sf_dir):
+    """The three nearest events of each day."""
+    return _by_day("ArgKMin", "Abs(x-y)", 3, spark, sf_dir).select("i", "day", *(F.col("index")[k].alias(f"j{k + 1}") for k in range(3)))
