@@ -148,6 +148,22 @@ class Reduction:
             scaled = [s * np.exp(np.where(np.isfinite(m), m - at, -INF)) for m, s in (a, b)]
             return top, scaled[0] + scaled[1]
 
+    def result(self, state) -> dict[str, np.ndarray]:
+        """``value`` and/or ``index`` of complete states, flat over components: what ``finish`` is for columns."""
+        with np.errstate(all="ignore"):
+            if self.name == "Sum":
+                return {"value": state[0] + state[1] if self.exact else state[0]}
+            if self.name in VALUE_ARG or self.name in K_LOWEST:
+                sign, value, index = (1, *K_LOWEST[self.name]) if self.name in K_LOWEST else VALUE_ARG[self.name]
+                v, i = (x.reshape(len(x), self.dim * (self.k or 1)) for x in state)
+                return ({"value": sign * v} if value else {}) | ({"index": i} if index else {})
+            m, s = state
+            if self.name == "Max_SumShiftExpWeight":
+                return {"value": np.concatenate([m, s], 1)}
+            if self.name in ("LogSumExp", "LogSumExpWeight"):
+                return {"value": np.where(m == -INF, m, m + np.log(s))}
+            return {"value": np.where(s[:, :1] == 0, np.nan, s[:, 1:] / s[:, :1])}
+
     # -- partial states as columns ---------------------------------------------
     @property
     def partial_type(self) -> str:

@@ -18,6 +18,7 @@ from pairloom.operators import cluster, neighbours, truncate
 from pairloom.operators.solve import KernelSolve
 from pairloom.sources import components, points, table
 from pairloom.streaming import keyed
+from pairloom.table_functions import register_pair_reduce, register_query
 from pairloom.tensor import Pm, Vi, Vj, as_complex, exp1j
 
 DIGITS = 6
@@ -815,3 +816,23 @@ def _stream_windowed(spark, sf_dir):
 def _stream_nearest(spark, sf_dir):
     """The three nearest events of each day."""
     return _by_day("ArgKMin", "Abs(x-y)", 3, spark, sf_dir).select("i", "day", *(F.col("index")[k].alias(f"j{k + 1}") for k in range(3)))
+
+
+@_query("sql_pair_reduce", _lr(f"SELECT i, {_R('sum(exp(-f) * b)')} AS v1 FROM p GROUP BY i"))
+def _sql_pair_reduce(spark, sf_dir):
+    """The formula as text in a SQL statement."""
+    suppliers(spark, sf_dir).createOrReplaceTempView("pairloom_suppliers")
+    register_pair_reduce(spark, {"nations": nations(spark, sf_dir)})
+    return _shown(spark.sql("""SELECT id AS i, value FROM pair_reduce(
+        TABLE(SELECT i AS id, x FROM pairloom_suppliers), 'nations', 'Exp(-SqDist(x,y))*b', 'x = Vi(3); y = Vj(3); b = Vj(1)', 'Sum')"""), 1)
+
+
+@_query("sql_nearest_join", f"WITH {POINTS_SQL}, p AS (SELECT *, {_D2} AS f FROM l, r), n AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY f, j) AS n FROM p) SELECT n.i, n.n AS place, n_name AS name, round(f, {DIGITS}) + 0.0::DOUBLE AS v1 FROM n JOIN nation ON n_nationkey = n.j WHERE n.n <= 2")
+def _sql_nearest_join(spark, sf_dir):
+    """A table function of one query within a larger statement: the two nearest nations by name."""
+    suppliers(spark, sf_dir).createOrReplaceTempView("pairloom_suppliers")
+    table(spark, sf_dir, "nation").createOrReplaceTempView("pairloom_nations")
+    register_query(spark, "nearest_nations", PairReduce("SqDist(x,y)", ALIASES[:2], "KMin_ArgKMin", 1, k=2), nations(spark, sf_dir))
+    return spark.sql(f"""SELECT t.i, CAST(t.place + 1 AS BIGINT) AS place, n.n_name AS name, round(t.value[t.place], {DIGITS}) + 0.0D AS v1
+        FROM (SELECT f.*, posexplode(f.index) AS (place, j) FROM nearest_nations(TABLE(SELECT i, x FROM pairloom_suppliers)) f) t
+        JOIN pairloom_nations n ON n.n_nationkey = t.j""")
