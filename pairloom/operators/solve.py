@@ -1,5 +1,7 @@
 """Conjugate gradients for kernel systems: (K + alpha) a = b.
 
+Several right-hand sides are one block: they share their directions, and a small
+matrix of steps takes the place of a number (after Ji and Li, 2017).
 Each iteration is one pair query and two sums over rows.  Vectors are written
 to the shared folder between iterations, so plans stay short, and the ones
 before are deleted; only dot products, and for a preconditioner as many numbers
@@ -13,12 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.operators.pairs import matrix
 from pairloom.plans.expr import VI, VJ, Var, call
 from pairloom.session import Steps, ship
 
 
 def solve(kernel, table: DataFrame, row_id: str, b: str, alpha: float = 1e-10, eps: float = 1e-6, max_iterations: int = 500, preconditioner: str | None = None, landmarks: int = 100) -> DataFrame:
-    """(row id, value): stops when |r|^2 < size(b) * eps^2, or after ``max_iterations``.
+    """(row id, value): stops when |r|^2 < rows * eps^2 for each right-hand side (component of b), or after ``max_iterations``.
 
     ``kernel`` is a symmetric tensor of dim 1 between the table and itself.
     ``preconditioner``: "diagonal" divides residuals by the diagonal of K + alpha;
@@ -32,16 +35,15 @@ def solve(kernel, table: DataFrame, row_id: str, b: str, alpha: float = 1e-10, e
     """
     from pairloom.tensor import SymTensor
 
-    steps = Steps(table.sparkSession, "solve")
+    steps = Steps(ship(table.sparkSession), "solve")
     dim = len(table.select(b).first()[0]) if table.schema[b].dataType.typeName() == "array" else 1
     vector = F.col(b) if table.schema[b].dataType.typeName() == "array" else F.array(F.col(b).cast("double"))
-    p_var = Var(10_000_000, dim, VJ, "_p")
-    expr = call("Mult", kernel.expr, p_var)
     names = {v.name for v in kernel.expr.variables() if v.cat == VJ}
     k_id = kernel.tables[VI][1]
 
-    def apply(x: DataFrame, column: str) -> DataFrame:
-        """row id, value: (K + alpha) x."""
+    def apply(x: DataFrame, column: str, width: int) -> DataFrame:
+        """row id, q: (K + alpha) x."""
+        expr = call("Mult", kernel.expr, Var(10_000_000, width, VJ, "_p"))
         side = table.select(row_id, *names).join(x.select(row_id, F.col(column).alias("_p")), row_id)
         tables = dict(kernel.tables) | {VJ: (side, row_id, [])}
         out = SymTensor(expr, tables, kernel.params, kernel.ranges).sum(axis=1)
@@ -57,13 +59,19 @@ def solve(kernel, table: DataFrame, row_id: str, b: str, alpha: float = 1e-10, e
     start = table.select(F.col(row_id).cast("long").alias(row_id), vector.alias("b"))
     scale = F.lit(1.0)
     if preconditioner == "diagonal":
-        diag = table.select(F.col(row_id).alias(row_id), *names)
         from pairloom.plans.evaluate import as_columns
 
-        parts = lambda v: [(F.col(v.name)[d] if diag.schema[v.name].dataType.typeName() == "array" else F.col(v.name)).cast("double") for d in range(v.dim)]
-        values = {v.key: parts(v) for v in kernel.expr.variables() if v.name in names}
-        values |= {v.key: [F.lit(float(x)) for x in kernel.params[v.name]] for v in kernel.expr.variables() if v.name in kernel.params}
-        start = start.join(diag.select(F.col(row_id).cast("long").alias(row_id), (as_columns(kernel.expr, values)[0] + alpha).alias("m")), row_id)
+        near, near_id, *_ = kernel.tables[VI]
+        mine = {v.name for v in kernel.expr.variables() if v.cat == VI}
+        diag = table.select(F.col(row_id).cast("long").alias(row_id), *(F.col(c).alias(f"_theirs_{c}") for c in names))
+        diag = diag.join(near.select(F.col(near_id).cast("long").alias(row_id), *(F.col(c).alias(f"_mine_{c}") for c in mine)), row_id)
+
+        def parts(v: Var) -> list:
+            name = f"{'_mine_' if v.cat == VI else '_theirs_'}{v.name}"
+            return [(F.col(name)[d] if diag.schema[name].dataType.typeName() == "array" else F.col(name)).cast("double") for d in range(v.dim)]
+
+        values = {v.key: parts(v) if v.cat in (VI, VJ) else [F.lit(float(x)) for x in kernel.params[v.name]] for v in kernel.expr.variables()}
+        start = start.join(diag.select(row_id, (as_columns(kernel.expr, values)[0] + alpha).alias("m")), row_id)
         scale = F.col("m")
     nystrom = None
     if preconditioner == "nystrom":
@@ -76,6 +84,8 @@ def solve(kernel, table: DataFrame, row_id: str, b: str, alpha: float = 1e-10, e
             return nystrom.apply(state, dim)
         return state.withColumn("z", F.transform("r", lambda x: x / F.col("m")))
 
+    if dim > 1:
+        return _block(state, row_id, dim, apply, conditioned, steps, eps, max_iterations)
     state = steps.keep(conditioned(state).withColumn("p", F.col("z")))
     n, rr, rz = state.select(F.count(F.lit(1)), _dot("r", "r"), _dot("r", "z")).first()
     state = state.drop("z")
@@ -84,7 +94,7 @@ def solve(kernel, table: DataFrame, row_id: str, b: str, alpha: float = 1e-10, e
         if done == max_iterations:
             raise ArithmeticError(f"not solved in {max_iterations} iterations: the residual is {(rr / (n * dim)) ** 0.5:.3g}, not {eps:.3g}")
         done += 1
-        state = steps.keep(state.join(apply(state, "p"), row_id))
+        state = steps.keep(state.join(apply(state, "p", dim), row_id))
         (pq,) = state.select(_dot("p", "q")).first()
         if not pq > 0:
             raise ValueError("the kernel matrix is not positive definite")
@@ -97,6 +107,89 @@ def solve(kernel, table: DataFrame, row_id: str, b: str, alpha: float = 1e-10, e
     return state.select(row_id, F.col("a").alias("value"))
 
 
+def _grams(rows: DataFrame, widths: dict[str, int]) -> dict[tuple[str, str], np.ndarray]:
+    """For each two of the array columns the sum over rows of the products of their entries."""
+    size = sum(widths.values())
+
+    def run(batches):
+        total = np.zeros((size, size))
+        for b in batches:
+            v = np.concatenate([matrix(b[c], w) for c, w in widths.items()], 1)
+            total += v.T @ v
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(list(total), pa.list_(pa.float64()))], ["k", "s"])
+
+    parts = rows.select(*widths).mapInArrow(run, "k long, s array<double>").groupBy("k").agg(F.array(*(F.sum(F.col("s")[d]) for d in range(size))).alias("s"))
+    whole = np.array([r["s"] for r in parts.orderBy("k").collect()]).reshape(size, size)
+    ends = dict(zip(widths, np.cumsum(list(widths.values())), strict=True))
+    at = {c: slice(ends[c] - w, ends[c]) for c, w in widths.items()}
+    return {(c, d): whole[at[c], at[d]] for c in widths for d in widths}
+
+
+def _turned(rows: DataFrame, row_id: str, made: dict[str, list[tuple[str, np.ndarray]]], kept: list[str]) -> DataFrame:
+    """row id, ``kept`` and arrays ``made``: sums of arrays of the row, each times a small matrix."""
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                found = [sum(matrix(b[c], len(m)) @ m for c, m in terms) for terms in made.values()]
+                yield pa.RecordBatch.from_arrays([*(b[c] for c in (row_id, *kept)), *(pa.array(list(x), pa.list_(pa.float64())) for x in found)], [row_id, *kept, *made])
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return rows.mapInArrow(run, ", ".join([*(f"{c} {kinds[c]}" for c in (row_id, *kept)), *(f"{c} array<double>" for c in made)]))
+
+
+def _spanning(gram: np.ndarray) -> np.ndarray:
+    """Weights that make an orthonormal base of the span of some vectors, given their products; fewer where they depend on each other."""
+    size = np.sqrt(np.maximum(np.diag(gram), 0))
+    there = size > 0
+    scaled = gram[np.ix_(there, there)] / np.outer(size[there], size[there])
+    e, q = np.linalg.eigh((scaled + scaled.T) / 2)
+    few = e > 1e-12 * len(e)
+    out = np.zeros((len(gram), int(few.sum())))
+    out[there] = q[:, few] / np.sqrt(e[few]) / size[there][:, None]
+    return out
+
+
+def _block(state: DataFrame, row_id: str, dim: int, apply, conditioned, steps: Steps, eps: float, max_iterations: int) -> DataFrame:
+    """Block conjugate gradients: all right-hand sides, also equal or dependent ones and zeros, by shared directions.
+
+    Directions are orthonormal and span what the residuals still need, so that
+    there are as many as the residuals have dimensions, and it takes no more
+    iterations than the hardest right-hand side alone would.
+    """
+    one = np.eye(dim)
+    state = steps.keep(conditioned(state))
+    n = state.count()
+    sums = _grams(state, {"r": dim, "z": dim}) if n else {}
+    residual = np.diag(sums["r", "r"]) if n else np.zeros(dim)
+    if n:
+        base = _spanning(sums["z", "z"])
+        state = _turned(state, row_id, {"p": [("z", base)]}, ["a", "r", "m"])
+    done = 0
+    while n and (residual >= n * eps * eps).any():
+        if done == max_iterations:
+            raise ArithmeticError(f"not solved in {max_iterations} iterations: the residual is {(residual.max() / n) ** 0.5:.3g}, not {eps:.3g}")
+        done += 1
+        width = base.shape[1]
+        if not width:
+            raise ValueError("the preconditioned residuals vanish: the preconditioner is not positive definite")
+        state = steps.keep(state)
+        state = steps.keep(state.join(apply(state, "p", width), row_id))
+        sums = _grams(state, {"p": width, "q": width, "r": dim})
+        curved = (sums["p", "q"] + sums["p", "q"].T) / 2
+        if not np.linalg.eigvalsh(curved).min() > 0:
+            raise ValueError("the kernel matrix is not positive definite")
+        step = np.linalg.solve(curved, sums["p", "r"])
+        state = _turned(state, row_id, {"a": [("a", one), ("p", step)], "r": [("r", one), ("q", -step)]}, ["m", "p", "q"])
+        state = steps.keep(conditioned(steps.keep(state)))
+        sums = _grams(state, {"p": width, "q": width, "r": dim, "z": dim})
+        residual = np.diag(sums["r", "r"])
+        turn = -np.linalg.solve(curved, sums["q", "z"])
+        base = _spanning(sums["z", "z"] + turn.T @ sums["p", "z"] + sums["z", "p"] @ turn + turn.T @ sums["p", "p"] @ turn)
+        state = _turned(state, row_id, {"p": [("z", base), ("p", turn @ base)]}, ["a", "r", "m"])
+    return state.select(row_id, F.col("a").alias("value"))
+
+
 class _Nystrom:
     """z = (alpha + U M^-1 U') ^-1 r, where U has the kernel between all rows and a few landmarks, M among those.
 

@@ -836,3 +836,16 @@ def _sql_nearest_join(spark, sf_dir):
     return spark.sql(f"""SELECT t.i, CAST(t.place + 1 AS BIGINT) AS place, n.n_name AS name, round(t.value[t.place], {DIGITS}) + 0.0D AS v1
         FROM (SELECT f.*, posexplode(f.index) AS (place, j) FROM nearest_nations(TABLE(SELECT i, x FROM pairloom_suppliers)) f) t
         JOIN pairloom_nations n ON n.n_nationkey = t.j""")
+
+
+_COLUMN = lambda b: "(" + _solved_sql(f"exp(-4 * {_KERNEL_D2})", b, "m[p][n + 1]", rows=_SUPPLIER_R) + ")"
+
+
+@_query("kriging_block", f"WITH {POINTS_SQL}, a AS {_COLUMN('b')}, c AS {_COLUMN('y1')}, d AS {_COLUMN('y2')} SELECT a.j, round(a.v1, 4) + 0.0::DOUBLE AS v1, round(c.v1, 4) + 0.0::DOUBLE AS v2, round(a.v1 - c.v1, 4) + 0.0::DOUBLE AS v3, round(d.v1, 4) + 0.0::DOUBLE AS v4 FROM a JOIN c USING (j) JOIN d USING (j)")
+def _kriging_block(spark, sf_dir):
+    """Kriging weights of all suppliers for four right-hand sides at once, one of them the difference of two others."""
+    left = suppliers(spark, sf_dir)
+    third, x1 = F.col("x")[2] + 1, F.col("x")[0]
+    right = left.select(F.col("i").alias("j"), F.col("x").alias("y"), F.array(third, x1, third - x1, F.col("x")[1]).alias("b"))
+    x, y = Vi(left, "x", dim=3), Vj(right, "y", dim=3)
+    return components((-(x.sqdist(y) * 4)).exp().solve("b", alpha=0.1, eps=1e-9, preconditioner="nystrom", landmarks=20), "value", "v", 4, 4)
