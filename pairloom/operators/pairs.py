@@ -17,6 +17,7 @@ widest part of the formula that has rows of both sides.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pairloom.functions.ops import BUILT_IN, TABLE, Precision
 from pairloom.operators.reductions import EXPONENTIAL, K_LOWEST, VALUE_ARG, Reduction
 from pairloom.plans.evaluate import SLICE, as_columns, folded_sums, free_of, on_blocks, shared_subtrees, whole_parts
-from pairloom.plans.expr import PM, VI, VJ, Expr, Var
+from pairloom.plans.expr import PM, VI, VJ, Expr, IntCst, Var, call
 from pairloom.session import checkpoints, ship
 
 #: The streamed-past side may have at most so many bytes of vectors.
@@ -81,6 +82,20 @@ def pair_width(e: Expr | None, ordered: bool = False, folded: frozenset = frozen
     return max(e.dim, inner, *(pair_width(c, ordered, folded) for c in e.children))
 
 
+def factors(e: Expr) -> list[Expr]:
+    """The factors of a product of products."""
+    return [f for c in e.children for f in factors(c)] if getattr(e, "name", "") == "Mult" else [e]
+
+
+def split_product(e: Expr, keep: int) -> tuple[Expr, Expr | None]:
+    """A product as what needs the kept side or no side, times what needs only the other side (None: nothing does)."""
+    own, other = [], []
+    for f in factors(e):
+        (other if {v.cat for v in f.variables()} & {VI, VJ} == {VJ if keep == VI else VI} else own).append(f)
+    product = lambda parts: functools.reduce(lambda a, b: call("Mult", a, b), parts)
+    return product(own) if own else IntCst(1), product(other) if other else None
+
+
 def own_operations(*trees: Expr | None) -> dict[str, object]:
     """The operations in the formulas that were registered beside those of this package."""
     found = {}
@@ -105,7 +120,14 @@ class PairKernel:
         self.sets = params if isinstance(params, list) else [params]
         self.params = self.sets[0] if self.sets else {}
         self.folded = folded_sums(formula, weight) if chunks else frozenset()
-        self.free = free_of([formula, weight], PM) if len(self.sets) > 1 else frozenset()
+        # a sum of kernels times what only the other side has is a matrix product
+        self.matrix, self.linear = formula, None
+        if reduction.name == "Sum" and not reduction.exact:
+            own, linear = split_product(formula, keep)
+            if linear is not None and own.dim == 1 and linear.dim == formula.dim:
+                self.matrix, self.linear = own, linear
+        self.one_sided = weight is not None and all(v.cat != keep for v in weight.variables())
+        self.free = free_of([self.matrix, self.linear, weight], PM) if len(self.sets) > 1 else frozenset()
         self.own = own_operations(formula, weight)  # workers know those of this package only
 
     def values(self, kept: dict[tuple, np.ndarray], other: dict[tuple, np.ndarray], params: dict | None = None) -> dict[tuple, np.ndarray]:
@@ -126,7 +148,7 @@ class PairKernel:
         Precision.ordered = self.reduction.name in K_LOWEST or self.reduction.name in VALUE_ARG
         if not states:
             return states
-        rows, width = len(next(iter(states[0]))), max(self.formula.dim, pair_width(self.formula, Precision.ordered, self.folded), pair_width(self.weight, False, self.folded), 1)
+        rows, width = len(next(iter(states[0]))), max(self.matrix.dim, pair_width(self.matrix, Precision.ordered, self.folded), pair_width(self.weight, False, self.folded), 1)
         n = len(ids)
         step = max(1, min(n, TILE // max(1, min(rows, 1024) * width)))
         tall = max(1, TILE // max(1, step * width))
@@ -140,9 +162,14 @@ class PairKernel:
                 cols, same = min(step, n - b), {}
                 for t, params in enumerate(sets):
                     there = self.values(mine, theirs, params)
-                    evaluate = lambda e: np.broadcast_to(on_blocks(e, there, self.folded, same, self.free), (size, cols, e.dim))  # noqa: B023, E731
-                    g = evaluate(self.weight) if self.weight is not None else None
-                    pieces[t] = self.reduction.update(pieces[t], evaluate(self.formula), ids[b : b + step], g)
+                    evaluate = lambda e, rows: np.broadcast_to(on_blocks(e, there, self.folded, same, self.free), (rows, cols, e.dim))  # noqa: B023, E731
+                    if self.linear is not None:
+                        with np.errstate(all="ignore"):
+                            total, lost = pieces[t]
+                            pieces[t] = total + evaluate(self.matrix, size)[..., 0] @ evaluate(self.linear, 1)[0], lost
+                        continue
+                    g = evaluate(self.weight, 1 if self.one_sided else size) if self.weight is not None else None
+                    pieces[t] = self.reduction.update(pieces[t], evaluate(self.formula, size), ids[b : b + step], g)
             for found, piece in zip(parts, pieces, strict=True):
                 found.append(piece)
         return [tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else state for found, state in zip(parts, states, strict=True)]
@@ -258,6 +285,8 @@ def reduce_pairs(
     if in_ranges:
         kept, other = kept.withColumnRenamed(k_block, "_mine_block"), other.withColumnRenamed(o_block, "_theirs_block")
     sides = (kernel, kept, other, kept_vars, other_vars, kept_id, other_id, kept_keys, other_keys, keys, meet)
+    if reduction.name == "Sum" and not keys and not in_ranges and not named and strategy != "columns" and (whole := _by_factors(*sides[:7])) is not None:
+        return whole
     if strategy in ("auto", "small") and (whole := small_side(other, other_vars)) is not None:
         listed = fetched(meet, SMALL_RANGES) if in_ranges else None
         if listed is not None or not in_ranges:
@@ -282,6 +311,58 @@ def reduce_pairs(
     return _finish(reduction, full, keys, kept_id)
 
 
+def _by_factors(kernel: PairKernel, kept, other, kept_vars, other_vars, kept_id, other_id) -> DataFrame | None:
+    """(id, value) where each factor of the formula needs one side: its factors times one sum over the other side.
+
+    So no pair is made.  None where a factor needs both sides, or where the sum
+    is not finite or may overflow, which sums over pairs need not.
+    """
+    own, theirs = split_product(kernel.formula, kernel.keep)
+    if theirs is None or any(v.cat not in (kernel.keep, PM) for v in own.variables()) or kernel.own:
+        return None
+    kind, dim = kernel.reduction, kernel.formula.dim
+    part = Reduction("Sum", theirs.dim, scheme=kind.scheme)
+    there = {k: v[None, None] for k, v in kernel.params.items()}
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # sums, the number of rows, whether there are zeros, positive and negative numbers, and the largest in size
+        state, seen = part.start(1), np.zeros((5, theirs.dim))
+        for b in batches:
+            for a in range(0, b.num_rows, TILE // theirs.dim):
+                piece = b.slice(a, TILE // theirs.dim)
+                with np.errstate(all="ignore"):
+                    g = np.broadcast_to(on_blocks(theirs, there | {k: v[None] for k, v in _table(piece, other_vars).items()}), (1, piece.num_rows, theirs.dim))
+                state = part.update(state, g, np.zeros(0, np.int64), None)
+                seen[0] += piece.num_rows
+                seen[1:] = np.maximum(seen[1:], [*(x.any(1)[0] for x in (g == 0, g > 0, g < 0)), np.abs(g).max(1)[0]])
+        yield pa.RecordBatch.from_arrays([pa.array(part.partial(state), pa.list_(pa.float64())), pa.array([seen.ravel().tolist()], pa.list_(pa.float64())), pa.array([0])], ["partial", "seen", "one"])
+
+    found = other.mapInArrow(fold, "partial array<double>, seen array<double>, one long")
+    checkpoints(kept.sparkSession)
+    found = found.checkpoint()  # a row for each task
+    marks = found.agg(*((F.max if n >= theirs.dim else F.sum)(F.col("seen")[n]).alias(f"m{n}") for n in range(5 * theirs.dim))).first()
+    if not marks[0]:
+        return kept.select(kept_id, F.array_repeat(F.lit(0.0), dim).alias("value"))
+    seen = np.array(marks, float).reshape(5, theirs.dim)
+    if not (seen[4] < 1e300 / seen[0]).all():
+        return None
+    sums = _fewer(found.select("one", "partial"), ["one"], part).groupBy("one").agg(part.merge("partial").alias("partial")).first()["partial"]
+    total, lost = np.array(sums[: theirs.dim]), np.array(sums[theirs.dim :] or [0.0] * theirs.dim)
+    # what an infinite factor makes of the sum: its sign, or no number
+    with np.errstate(all="ignore"):
+        endless = np.where((seen[1] > 0) | ((seen[2] > 0) & (seen[3] > 0)), np.nan, np.where(seen[2] > 0, np.inf, -np.inf))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                with np.errstate(all="ignore"):
+                    f = np.broadcast_to(on_blocks(own, there | {k: v[:, None] for k, v in _table(b, kept_vars).items()}), (b.num_rows, 1, own.dim))[:, 0]
+                    v = np.where(np.isfinite(f), f * total + f * lost, f * endless)
+                yield pa.RecordBatch.from_arrays([b[kept_id], pa.array(np.broadcast_to(v, (b.num_rows, dim)).tolist(), pa.list_(pa.float64()))], [kept_id, "value"])
+
+    return kept.mapInArrow(run, f"{kept_id} long, value array<double>")
+
+
 def _fewer(partial: DataFrame, by: list[str], reduction: Reduction) -> DataFrame:
     """A bounded number of states for each row, whatever the number of blocks they come from."""
     if reduction.name in EXPONENTIAL:

@@ -127,7 +127,10 @@ class Reduction:
             top = np.maximum(m[:, 0], np.fmax.reduce(f, 1))
             at = np.where(np.isfinite(top), top, 0.0)
             w = np.exp(f - at[:, None])
-            part = w.sum(1, keepdims=True) if g is None else np.einsum("mn,mnd->md", w, np.broadcast_to(g, (*w.shape, g.shape[-1])))
+            if g is None:
+                part = w.sum(1, keepdims=True)
+            else:  # weights that do not depend on the row: a matrix product
+                part = w @ g[0] if len(g) == 1 else np.einsum("mn,mnd->md", w, np.broadcast_to(g, (*w.shape, g.shape[-1])))
             return top[:, None], s * np.exp(np.where(np.isfinite(m), m - at[:, None], -INF)) + part
 
     def combine(self, a, b):

@@ -507,6 +507,34 @@ def test_exact_sums(spark, monkeypatch, strategy):
             assert got[i] == want or (np.isnan(got[i]) and np.isnan(want)) or abs(got[i] - want) < 1e-14 * abs(want)
 
 
+@pytest.mark.parametrize("scheme", ["auto", "kahan_scheme"])
+def test_factors_of_one_side_make_no_pairs(spark, monkeypatch, scheme):
+    """Sums of products, each factor of one side, are products of sums: no pair is made, and what is not finite stays so."""
+    from pairloom.operators import pairs
+
+    def none(*_):
+        raise AssertionError("pairs were made")
+
+    q = PairReduce("x*y*g*z", ["x = Vi(1)", "y = Vj(2)", "g = Pm(1)", "z = Vj(1)"], "Sum", 1, sum_scheme=scheme)
+    xs, r = [1.5, -2.0, 0.0, float("inf"), float("-inf"), float("nan")], np.random.default_rng(3)
+    left = spark.createDataFrame(list(enumerate(xs)), "i long, x double")
+    ys = np.concatenate([r.random((40, 2)) + 0.5, [[1e16, 1.0], [-1e16, 0.0]]]) if scheme != "auto" else r.random((40, 2)) * [1, -1]
+    right = spark.createDataFrame([(j, y.tolist(), 0.5) for j, y in enumerate(ys)], "j long, y array<double>, z double").repartition(3)
+    with monkeypatch.context() as m:
+        for name in ("_by_blocks", "_by_small_side"):
+            m.setattr(pairs, name, none)
+        got = {v.i: v.value for v in q.run(left, right, {"g": 4.0}, strategy="blocks").collect()}
+        empty = q.run(left, right.where("j < 0"), {"g": 4.0}, strategy="blocks").collect()
+    with np.errstate(all="ignore"):
+        import math
+
+        for i, x in enumerate(xs):
+            terms = x * ys * 2.0
+            want = [math.fsum(t) if np.isfinite(t).all() else t.sum() for t in terms.T]
+            assert np.allclose(got[i], want, rtol=1e-13, atol=0, equal_nan=True)
+    assert len(empty) == 6 and all(v.value == [0.0, 0.0] for v in empty)
+
+
 def test_own_operations_reach_the_workers(spark):
     from pairloom.functions import ops
 
