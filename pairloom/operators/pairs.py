@@ -34,7 +34,7 @@ from pairloom.session import checkpoints, ship
 #: The streamed-past side may have at most so many bytes of vectors.
 SMALL_BYTES = 64 * 1024 * 1024
 #: Numbers in one tile of pairs.
-TILE = 4_000_000
+TILE = 500_000
 #: Rows in a block where both sides are large.
 BLOCK_ROWS = 8192
 #: Numbers of pairs that a task folds where one side is small; more are dealt to more tasks.
@@ -428,7 +428,9 @@ def _by_small_side(spark, kernel, kept, other, kept_vars, other_vars, kept_id, o
     work = max(1, whole.num_rows // max(1, 1 if ranged else len(there))) * max(pair_width(kernel.formula, reduction.name in K_LOWEST or reduction.name in VALUE_ARG), 1)
     most = 8 * spark.sparkContext.defaultParallelism
     if work * 1000 > TASK and (tasks := -(-kept.select(F.lit(1)).limit(most * TASK // work + 1).count() * work // TASK)) > 1:
-        kept = kept.repartition(int(min(tasks, most)))
+        tasks = int(min(tasks, most))
+        # rows of a cluster meet their partners together; ranges of ids cut a hot cluster
+        kept = kept.repartitionByRange(tasks, "_mine_block", kept_id).sortWithinPartitions("_mine_block") if ranged else kept.repartition(tasks)
     kind = reduction.partial_type
     named, told = named and named[:2], named
 
@@ -453,6 +455,23 @@ def _schema(kept: DataFrame, other: DataFrame, keys: list[str], kept_id: str, ki
     return ", ".join([*(f"{k} {kinds[k]}" for k in ([named[0]] if named else []) + keys), f"{kept_id} long", f"partial {kind}"])
 
 
+def _joined(others: list[tuple]) -> Iterator[tuple]:
+    """(ids, vectors) of many small parts as few of up to ``BLOCK_ROWS`` rows, or one that is larger."""
+    held, size = [], 0
+    for part in others:
+        if held and size + len(part[0]) > BLOCK_ROWS:
+            yield _one(held)
+            held, size = [], 0
+        held.append(part)
+        size += len(part[0])
+    if held:
+        yield _one(held)
+
+
+def _one(parts: list[tuple]) -> tuple:
+    return parts[0] if len(parts) == 1 else _sorted_side(np.concatenate([p[0] for p in parts]), {k: np.concatenate([p[1][k] for p in parts]) for k in parts[0][1]})
+
+
 def _states(kernel: PairKernel, mine: dict, others: list[tuple], count: int, columns: list, names: list[str], named: tuple | None) -> Iterator[pa.RecordBatch]:
     """Partial states of ``count`` rows that meet ``others`` (ids, vectors); for each set of parameters where those have names."""
     kind = kernel.reduction.partial_type
@@ -460,7 +479,7 @@ def _states(kernel: PairKernel, mine: dict, others: list[tuple], count: int, col
     for a in range(0, len(kernel.sets), few):
         sets = kernel.sets[a : a + few]
         states = [kernel.reduction.start(count) for _ in sets]
-        for ids, there in others:
+        for ids, there in _joined(others):
             states = kernel.fold_sets(states, mine, there, ids, sets)
         for t, state in enumerate(states):
             name = [named[1].slice(a + t, 1).take(pa.array(np.zeros(count, np.int64)))] if named else []

@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.genred import PairReduce
-from pairloom.operators.pairs import TILE, _bounded, _vars, bound_parameters, fetched, matrix, met_blocks, name_of, own_operations, unpacked
+from pairloom.operators.pairs import TILE, _bounded, _vars, bound_parameters, fetched, matrix, met_blocks, name_of, own_operations, split_product, unpacked
 from pairloom.plans.bounds import bounds
-from pairloom.plans.expr import VI, VJ, Var
+from pairloom.plans.expr import VI, VJ, Expr, Var, call
 from pairloom.session import checkpoints, ship
 
 #: Blocks of the other side whose boxes are sent to every task.
@@ -158,15 +158,65 @@ def _chosen(amounts: _Amounts, mine: pa.RecordBatch, names: pa.Array, rows: np.n
         yield pa.RecordBatch.from_arrays([mine["mine"].slice(k, step), pa.array([g.tolist() for g in gone], pa.list_(pa.float64())), lists], ["mine", "gone", "theirs"])
 
 
+def _signed(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Adds which components are below 0 or -0.0, as Spark takes 0.0 and -0.0 for one key."""
+    array = {c: df.schema[c].dataType.typeName() == "array" for c in columns}
+    below = lambda x: F.atan2(x.cast("double"), F.lit(-1.0)) < 0
+    return df.withColumn("_signs", F.concat(F.array().cast("array<boolean>"), *(F.transform(c, below) if array[c] else F.array(below(F.col(c))) for c in columns)))
+
+
+def _names(e: Expr, cat: int) -> list[str]:
+    return list(dict.fromkeys(name_of(v) for v in _vars([e], cat)))
+
+
+def _over_distinct(query: PairReduce, other: DataFrame, row_id: str, block: str) -> tuple[PairReduce, DataFrame]:
+    """The same sums over the distinct rows of the other side, each with the sum of its weights, or the number of its rows."""
+    side = VJ if query.keep == VI else VI
+    own, weight = split_product(query.formula, query.keep)
+    if not (isinstance(weight, Var) and own.dim == 1 and name_of(weight) not in _names(own, side)):
+        own, weight = query.formula, None
+    if weight is None:
+        sums = F.count(F.lit(1)).cast("double")
+    else:  # null, and so refused later, where one of them is
+        c = F.col(name_of(weight))
+        array = other.schema[name_of(weight)].dataType.typeName() == "array"
+        parts = [F.when(F.size(c) == weight.dim, F.get(c, F.lit(d))) for d in range(weight.dim)] if array else [c]
+        each = [F.when(F.count(x) == F.count(F.lit(1)), F.sum(x.cast("double"))) for x in parts]
+        sums = F.array(*each) if array else each[0]
+    names, column = _names(own, side), Var(10_000_002, weight.dim if weight is not None else 1, side, "_weight")
+    rows = _signed(other, names).groupBy(block, *names, "_signs").agg(F.min(row_id).alias(row_id), sums.alias("_weight"))
+    return query._like(call("Mult", own, column)), rows
+
+
 def truncated_sum(query: PairReduce, left: DataFrame, right: DataFrame, tolerance: float, params: dict | None = None, left_block: str = "bi", right_block: str = "bj", left_id: str = "i", right_id: str = "j") -> DataFrame:
     """(id, value, bound): the sums of ``query``, each component within ``bound`` (at most ``tolerance``) of the whole sum.
 
     ``left`` and ``right`` have a column that names each row's block (``cells``,
     or any clusters); the more alike the rows of a block, the more is left out.
     Null blocks are refused; rows with NaN or infinite components meet all rows.
-    Repeated rows count as often as they come; without rows on the other side
+    Repeated rows count as often as they come, but are evaluated once; without rows on the other side
     sums and bounds are 0.
     """
+    if query.reduction.name != "Sum" or own_operations(query.formula):
+        kept_blocks(query, left, right, tolerance, params, left_block, right_block)  # says what is wrong
+    keep_left = query.keep == VI
+    kept, kept_id, kept_block = (left, left_id, left_block) if keep_left else (right, right_id, right_block)
+    other, other_id, other_block = (right, right_id, right_block) if keep_left else (left, left_id, left_block)
+    # equal rows of either side are one: what grows are the distinct ones
+    checkpoints(ship(left.sparkSession))
+    mine = _names(query.formula, query.keep)
+    whole = _signed(kept.select(F.col(kept_id).cast("long").alias("_id"), kept_block, *mine), mine)
+    rows = whole.select(kept_block, *mine, "_signs").distinct().withColumn(kept_id, F.monotonically_increasing_id()).checkpoint()
+    if not query.reduction.exact:
+        query, other = _over_distinct(query, other, other_id, other_block)
+        other = other.checkpoint()
+    sides = (rows, other) if keep_left else (other, rows)
+    out = _truncated_sum(query, *sides, tolerance, params, left_block, right_block, left_id, right_id)
+    out = rows.join(out, kept_id).drop(kept_id)
+    return whole.join(out, [kept_block, *mine, "_signs"]).select(F.col("_id").alias(kept_id), "value", "bound")
+
+
+def _truncated_sum(query: PairReduce, left: DataFrame, right: DataFrame, tolerance: float, params: dict | None, left_block: str, right_block: str, left_id: str, right_id: str) -> DataFrame:
     chosen = kept_blocks(query, left, right, tolerance, params, left_block, right_block).checkpoint()
     mine, theirs = ("bi", "bj") if query.keep == VI else ("bj", "bi")
     ranges = chosen.select(F.col("mine").alias(mine), F.explode("theirs").alias(theirs))

@@ -93,3 +93,28 @@ def test_odd_rows_and_empty_tables(spark):
         truncated_sum(PairReduce("SqDist(x,y)", ALIASES, "Min", 1), left, right, 0.1)
     with pytest.raises(ValueError, match="no value for parameter"):
         truncated_sum(PairReduce("Exp(-g*SqDist(x,y))", [*ALIASES, "g = Pm(1)"], "Sum", 1), left, right, 0.1)
+
+
+@pytest.mark.parametrize("axis", [1, 0])
+def test_equal_rows_are_evaluated_once(spark, monkeypatch, axis):
+    """Copies of points count with their weights; what is evaluated grows with the distinct rows only."""
+    r = np.random.default_rng(11)
+    points, copies = r.random((30, 2)) * 4, 20
+    points[0] = [0.0, -0.0]
+    rows = [(n, points[n % 30].tolist(), float(n % 7)) for n in range(30 * copies)]
+    left = truncate.cells(spark.createDataFrame([x[:2] for x in rows], "i long, x array<double>"), "x", 0.5, 2, "bi")
+    right = truncate.cells(spark.createDataFrame(rows, "j long, y array<double>, b double"), "y", 0.5, 2, "bj")
+    seen, run = [], PairReduce.run
+
+    def counted(self, a, b, *args, **more):
+        seen.append((a.count(), b.count()))
+        return run(self, a, b, *args, **more)
+
+    monkeypatch.setattr(PairReduce, "run", counted)
+    formula = "Exp(-3*SqDist(x,y))*b" if axis else "Exp(-3*SqDist(x,y))"
+    got = truncate.truncated_sum(PairReduce(formula, ["x = Vi(2)", "y = Vj(2)"] + ["b = Vj(1)"] * axis, "Sum", axis), left, right, 1e-9).collect()
+    assert seen == [(30, 30)] and len(got) == 30 * copies
+    k = np.exp(-3 * ((points[:, None] - points[None]) ** 2).sum(-1))
+    want = k @ [sum(b for n, _, b in rows if n % 30 == p) for p in range(30)] if axis else k.sum(0) * copies
+    for row in got:
+        assert abs(row.value[0] - want[(row.i if axis else row.j) % 30]) <= row.bound[0] + 1e-9 and row.bound[0] <= 1e-9
