@@ -19,6 +19,9 @@ from pairloom.operators.pairs import matrix
 from pairloom.plans.expr import VI, VJ, Var, call
 from pairloom.session import Steps, ship
 
+#: Landmarks at most, unless more are asked for, and the trace in units of alpha that they may leave out.
+LANDMARKS, LEFT = 1280, 10.0
+
 
 def solve(kernel, table: DataFrame, row_id: str, b: str, alpha: float = 1e-10, eps: float = 1e-6, max_iterations: int = 500, preconditioner: str | None = None, landmarks: int = 100) -> DataFrame:
     """(row id, value): stops when |r|^2 < rows * eps^2 for each right-hand side (component of b), or after ``max_iterations``.
@@ -26,8 +29,8 @@ def solve(kernel, table: DataFrame, row_id: str, b: str, alpha: float = 1e-10, e
     ``kernel`` is a symmetric tensor of dim 1 between the table and itself.
     ``preconditioner``: "diagonal" divides residuals by the diagonal of K + alpha;
     "nystrom" applies the inverse of alpha plus the kernel's approximation by
-    ``landmarks`` rows, chosen by a hash of their id, and pays where alpha is
-    small.  The kernel between rows and landmarks is computed where it is
+    ``landmarks`` rows, chosen by a hash of their id, or by up to ``LANDMARKS``
+    where these leave out much, and pays where alpha is small.  The kernel between rows and landmarks is computed where it is
     needed, never stored: what an iteration writes does not depend on them.
     Raises ``ArithmeticError`` if the residual is still larger after
     ``max_iterations``, and ``ValueError`` for a curvature that isn't positive,
@@ -190,60 +193,111 @@ def _block(state: DataFrame, row_id: str, dim: int, apply, conditioned, steps: S
     return state.select(row_id, F.col("a").alias("value"))
 
 
-class _Nystrom:
-    """z = (alpha + U M^-1 U') ^-1 r, where U has the kernel between all rows and a few landmarks, M among those.
+def _added(parts: DataFrame) -> list[list[float]]:
+    """The lists ``s`` of each ``k`` added up, by ``k``."""
+
+    def add(t: pa.Table) -> pa.Table:
+        s = t["s"].combine_chunks()
+        return pa.table({"k": t["k"].slice(0, 1), "s": pa.array([matrix(s, len(s[0])).sum(0).tolist()], pa.list_(pa.float64()))})
+
+    found = parts.groupBy("k").applyInArrow(add, "k long, s array<double>").toArrow().sort_by("k")
+    return found["s"].to_pylist()
+
+
+def left_out(trace: float, alpha: float) -> bool:
+    """Whether the landmarks leave out so much of the kernel that more of them are worth it."""
+    return trace > LEFT * abs(alpha)
 
-    By the identity of Woodbury that is (r - U (alpha M + U'U)^-1 U'r) / alpha:
-    sums over rows of as many numbers as there are landmarks, squared once.
+
+class _Nystrom:
+    """z = (alpha + B B') ^-1 r, where B B' is the kernel's approximation U M^-1 U' by a few landmarks.
+
+    U has the kernel between all rows and the landmarks, M among those; B = U T,
+    where T T' is the inverse of M without its directions that are nothing but
+    rounding.  By the identity of Woodbury z is (r - B (alpha + B'B)^-1 B'r) /
+    alpha: sums over rows of as many numbers as there are landmarks, squared
+    once.  What the approximation leaves out has the trace of K less that of
+    B B'; while that is more than ``LEFT`` times alpha, which would be many
+    iterations, four times as many landmarks are taken.
     """
 
     def __init__(self, kernel, table: DataFrame, row_id: str, landmarks: int, alpha: float):
-        from pairloom.operators.pairs import _table, _vars, name_of
-        from pairloom.plans.evaluate import on_blocks
+        from pairloom.operators.pairs import _vars, name_of
 
         near, kept_id, *_ = kernel.tables[VI]
-        expr = kernel.expr
-        mine, theirs = _vars([expr], VI), _vars([expr], VJ)
-        params = {v.key: np.asarray(kernel.params[v.name], float)[None, None] for v in expr.variables() if v.name in kernel.params}
-        own = table.select(F.col(row_id).cast("long").alias(row_id), *(name_of(v) for v in theirs))
-        chosen = own.orderBy(F.xxhash64(row_id), row_id).limit(landmarks).toArrow()
-        there = {k: v[None] for k, v in _table(chosen, theirs).items()}
-        count = chosen.num_rows
+        self.expr = kernel.expr
+        self.mine, self.theirs = _vars([kernel.expr], VI), _vars([kernel.expr], VJ)
+        self.params = {v.key: np.asarray(kernel.params[v.name], float)[None, None] for v in kernel.expr.variables() if v.name in kernel.params}
+        ship(near.sparkSession)
+        self.row_id, self.alpha = row_id, alpha
+        own = table.select(F.col(row_id).cast("long").alias(row_id), *(name_of(v) for v in self.theirs))
+        self.near = near.select(F.col(kept_id).cast("long").alias(row_id), *(name_of(v) for v in self.mine))
+        rows = self.near.join(own.select(row_id, *(F.col(name_of(v)).alias(f"_own_{name_of(v)}") for v in self.theirs)), row_id)
+        self.count = min(landmarks, most := max(landmarks, LANDMARKS))
+        while True:
+            found = self._fit(own, rows)
+            if not left_out(found, alpha) or self.count >= most:
+                return
+            self.count = min(4 * self.count, most)
+
+    def _fit(self, own: DataFrame, rows: DataFrame) -> float:
+        """Sets ``features`` and ``inverse`` for ``count`` landmarks (or all rows); the trace of what they leave out."""
+        from pairloom.operators.pairs import _table, name_of
+        from pairloom.plans.evaluate import on_blocks
 
-        def features(b) -> np.ndarray:
+        expr, mine, theirs, params, row_id = self.expr, self.mine, self.theirs, self.params, self.row_id
+        chosen = own.orderBy(F.xxhash64(row_id), row_id).limit(self.count).toArrow()
+        there, count = {k: v[None] for k, v in _table(chosen, theirs).items()}, chosen.num_rows
+
+        def kernels(b) -> np.ndarray:
             """The kernel between the rows of a batch and the landmarks."""
             here = {k: v[:, None] for k, v in _table(b, mine).items()}
             return np.broadcast_to(on_blocks(expr, params | here | there), (b.num_rows, count, 1))[..., 0]
 
-        ship(near.sparkSession)
-        self.row_id, self.alpha, self.features = row_id, alpha, features
-        self.near = near.select(F.col(kept_id).cast("long").alias(row_id), *(name_of(v) for v in mine))
-        gram = self._sums(self.near, count, None)
-        places = table.sparkSession.createDataFrame([(i.as_py(), n) for n, i in enumerate(chosen[row_id])], f"{row_id} long, _place int")  # as many rows as landmarks
-        small = features(self.near.join(F.broadcast(places), row_id).orderBy("_place").toArrow())
-        system = alpha * small + gram
-        self.inverse = np.linalg.pinv((system + system.T) / 2)
-
-    def _sums(self, rows: DataFrame, width: int, column: str | None) -> np.ndarray:
-        """Sum over rows of the products of their features with ``column`` (or with themselves): (landmarks, ``width``)."""
+        places = own.sparkSession.createDataFrame([(i.as_py(), n) for n, i in enumerate(chosen[row_id])], f"{row_id} long, _place int")  # as many rows as landmarks
+        small = kernels(self.near.join(F.broadcast(places), row_id).orderBy("_place").toArrow()) if count else np.zeros((0, 0))
+        e, v = np.linalg.eigh((small + small.T) / 2)
+        there_is = e > 1e-12 * max(e.max(initial=0.0), 0.0)
+        turn = v[:, there_is] / np.sqrt(e[there_is])
+        size = turn.shape[1]
+
+        def features(b) -> np.ndarray:
+            return kernels(b) @ turn
+
+        def run(batches):
+            total, left = np.zeros((size, size)), 0.0
+            for b in batches:
+                if b.num_rows:
+                    u = features(b)
+                    total += u.T @ u
+                    here = {k: x[:, None] for k, x in _table(b, mine).items()} | {w.key: matrix(b[f"_own_{name_of(w)}"], w.dim)[:, None] for w in theirs}
+                    left += float(np.broadcast_to(on_blocks(expr, params | here), (b.num_rows, 1, 1)).sum() - (u * u).sum())
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(size + 1)), pa.array([*total.tolist(), [left]], pa.list_(pa.float64()))], ["k", "s"])
+
+        self.features = features
+        sums = _added(rows.mapInArrow(run, "k long, s array<double>"))
+        gram = np.array(sums[:size]).reshape(size, size)
+        self.inverse = np.linalg.inv(self.alpha * np.eye(size) + (gram + gram.T) / 2)
+        return sums[size][0] if len(sums) > size else 0.0
+
+    def _sums(self, rows: DataFrame, column: str) -> np.ndarray:
+        """Sum over rows of the products of their features with ``column``: (features, width)."""
         features = self.features
 
         def run(batches):
             total = None
             for b in batches:
                 if b.num_rows:
-                    u = features(b)
-                    total = u.T @ (u if column is None else np.array(b[column].to_pylist(), float).reshape(b.num_rows, -1)) + (0 if total is None else total)
+                    total = features(b).T @ np.array(b[column].to_pylist(), float).reshape(b.num_rows, -1) + (0 if total is None else total)
             if total is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(list(total), pa.list_(pa.float64()))], ["k", "s"])
 
-        parts = rows.mapInArrow(run, "k long, s array<double>").groupBy("k").agg(F.array(*(F.sum(F.col("s")[d]) for d in range(width))).alias("s"))
-        return np.array([r[0] for r in parts.orderBy("k").select("s").collect()]).reshape(-1, width)
+        return np.array(_added(rows.mapInArrow(run, "k long, s array<double>")))
 
     def apply(self, state: DataFrame, dim: int) -> DataFrame:
         """``state`` with z."""
         rows, features, alpha, names = self.near.join(state, self.row_id), self.features, self.alpha, state.columns
-        weights = self.inverse @ self._sums(rows, dim, "r")
+        weights = self.inverse @ self._sums(rows, "r").reshape(len(self.inverse), -1)
 
         def run(batches):
             for b in batches:

@@ -66,3 +66,15 @@ def test_dependent_and_empty_right_hand_sides(spark):
         module.solve(k, table, "j", "b", alpha=1e-3, max_iterations=1)
     with pytest.raises(ValueError, match="positive definite"):
         module.solve(-k, table, "j", "b", alpha=0.1)
+
+
+@pytest.mark.parametrize("columns", [1, 2])
+def test_more_landmarks_where_few_leave_much_out(spark, monkeypatch, columns):
+    """A small ``alpha`` and few landmarks to begin with: iterations do not grow with what those leave out."""
+    x, b = _system(spark, 400, columns)
+    k, table = _kernel(spark, x, b)
+    seen = _products(monkeypatch)
+    out = module.solve(k, table, "j", "b", alpha=0.01, eps=1e-8, preconditioner="nystrom", landmarks=5)
+    got = np.array([r["value"] for r in out.orderBy("j").collect()])
+    dense = np.exp(-((x[:, None] - x[None]) ** 2).sum(-1)) + 0.01 * np.eye(400)
+    assert np.abs(dense @ got - b).max() < 1e-6 and len(seen) <= 6
