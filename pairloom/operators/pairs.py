@@ -37,6 +37,8 @@ SMALL_BYTES = 64 * 1024 * 1024
 TILE = 500_000
 #: A tile of pairs, and candidates at a time, where the lowest are looked for by matrix products.
 NEAR_ROWS, NEAR_COLUMNS, NEAR_PAIRS = 512, 2048, 20_000
+#: Rows of a tile of L1 distances in bytes, steps that a component is rounded to, and components whose steps a byte adds up.
+L1_ROWS, L1_STEPS, L1_GROUP = 64, 63, 4
 #: Rows in a block where both sides are large.
 BLOCK_ROWS = 8192
 #: Numbers of pairs that a task folds where one side is small; more are dealt to more tasks.
@@ -142,6 +144,17 @@ def product_form(e: Expr, keep: int) -> tuple[Expr, list[tuple[Expr, int]], floa
     return (core, parts, sign) if core is not None and all(f.dim == 1 for f, _ in parts) else None
 
 
+def l1_form(e: Expr, keep: int) -> tuple[Expr, Expr] | None:
+    """The two sides of an L1 distance, the kept one first."""
+    if getattr(e, "name", "") != "Sum" or getattr(e.children[0], "name", "") != "Abs" or getattr(e.children[0].children[0], "name", "") != "Subtract":
+        return None
+    a, b = e.children[0].children[0].children
+    sides = [{v.cat for v in c.variables()} & {VI, VJ} for c in (a, b)]
+    if a.dim != b.dim or not all(len(s) == 1 for s in sides) or sides[0] == sides[1]:
+        return None
+    return (a, b) if keep in sides[0] else (b, a)
+
+
 class PairKernel:
     """Folds blocks of rows of the kept side against blocks of the reduced side.
 
@@ -162,6 +175,7 @@ class PairKernel:
             if linear is not None and own.dim == 1 and linear.dim == formula.dim:
                 self.matrix, self.linear = own, linear
         self.form = product_form(formula, keep) if reduction.name in K_LOWEST and formula.dim == 1 else None
+        self.l1 = l1_form(formula, keep) if reduction.name in K_LOWEST and formula.dim == 1 else None
         self.one_sided = weight is not None and all(v.cat != keep for v in weight.variables())
         self.free = free_of([self.matrix, self.linear, weight], PM) if len(self.sets) > 1 else frozenset()
         self.own = own_operations(formula, weight)  # workers know those of this package only
@@ -186,6 +200,8 @@ class PairKernel:
             return states
         if self.form is not None and len(sets) == 1 and len(ids) and (found := self._nearest(states[0], kept, other, ids, sets[0])) is not None:
             return [found]
+        if self.l1 is not None and len(sets) == 1 and len(ids) and (found := self._nearest_l1(states[0], kept, other, ids, sets[0])) is not None:
+            return [found]
         rows, width = len(next(iter(states[0]))), max(self.matrix.dim, pair_width(self.matrix, Precision.ordered, self.folded), pair_width(self.weight, False, self.folded), 1)
         n = len(ids)
         step = max(1, min(n, TILE // max(1, min(rows, 1024) * width)))
@@ -261,25 +277,97 @@ class PairKernel:
                 if near.shape[1] > k and np.isinf(edge).any():
                     edge = np.minimum(edge, np.partition(near, k - 1, 1)[:, k - 1] + 2 * wide)
                 at = np.flatnonzero(near <= np.nextafter(edge.astype(np.float32), np.float32(np.inf))[:, None])
-                for p in range(0, len(at), NEAR_PAIRS):
-                    row, col = np.divmod(at[p : p + NEAR_PAIRS], near.shape[1])
-                    there = self.values({n: z[r + row] for n, z in kept.items()}, {}, params)
-                    there |= {n: z[c + col][:, None] for n, z in other.items()}
-                    with np.errstate(all="ignore"):
-                        f = np.broadcast_to(on_blocks(self.formula, there), (len(row), 1, 1))[:, 0, 0]
-                    fine = f < np.inf
-                    row, f, j = row[fine], f[fine], ids[c + col[fine]]
-                    touched = np.unique(row)
-                    row = np.concatenate([np.repeat(touched, k), row])
-                    f, j = np.concatenate([v[touched].ravel(), f]), np.concatenate([i[touched].ravel(), j])
-                    order = np.lexsort((np.where(f < np.inf, j, np.iinfo(np.int64).max), f, row))
-                    row, f, j = row[order], f[order], j[order]
-                    first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
-                    rank = np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)]))
-                    v[touched] = f[rank < k].reshape(-1, k)
-                    i[touched] = j[rank < k].reshape(-1, k)
+                self._lowered(v, i, at, near.shape[1], {n: z[mine] for n, z in kept.items()}, {n: z[c : c + NEAR_COLUMNS] for n, z in other.items()}, ids[c : c + NEAR_COLUMNS], params)
+        return values[:, None], places[:, None]
+
+    def _nearest_l1(self, state, kept, other, ids: np.ndarray, params: dict):
+        """The K lowest L1 distances after ``ids``; None where vectors are not finite or very long.
+
+        Components are cut to where most of them are and rounded to ``L1_STEPS``
+        steps, so that sums of a few fit into bytes.  Cutting never lengthens a
+        difference, and what rounding takes from either row is known: so the
+        whole numbers bound the distance from below, and only pairs that may be
+        among the lowest are computed as the formula says.
+        """
+        there = self.values(kept, other, params)
+        x, y = on_blocks(self.l1[0], there)[:, 0], on_blocks(self.l1[1], there)[0]
+        k, dim = self.reduction.k, x.shape[1]
+        if dim * L1_STEPS > np.iinfo(np.int16).max or not (np.isfinite(x).all() and np.isfinite(y).all()):
+            return None
+        with np.errstate(all="ignore"):
+            some = y[:: max(1, len(y) // 1000)]  # where steps lie decides what is computed, not the result
+            middle = np.median(some, 0)
+            step = 2 * np.quantile(np.abs(some - middle), 0.99) / L1_STEPS
+        if not 1e-100 < step < 1e100 or not np.isfinite(middle).all():
+            return None
+        steps, lost = [], []
+        for side in (x, y):
+            cut = np.clip((side - middle) / step + L1_STEPS / 2, 0, L1_STEPS)
+            whole = np.rint(cut)
+            steps.append(np.ascontiguousarray(whole.T.astype(np.uint8)))
+            lost.append(np.abs(cut - whole).sum(1))
+        mine, theirs = steps
+        # the sum of differences is twice the sum of greater ones less both sums; all in steps
+        own, half = mine.sum(0, dtype=np.int64), (theirs.sum(0, dtype=np.int64) // 2).astype(np.int16)
+        # what rounding of doubles may take from cut components; what it takes from the formula's sum is in proportion to that
+        error = lost[0] + lost[1].max() + 1e-12 * dim * (L1_STEPS + np.abs(middle).max() / step)
+        values, places = state[0][:, 0].copy(), state[1][:, 0].copy()
+        for c in range(0, len(ids), NEAR_COLUMNS):
+            columns = slice(c, c + NEAR_COLUMNS)
+            right, some, width = theirs[:, None, columns], {n: z[columns] for n, z in other.items()}, len(ids[columns])
+            for r in range(0, len(x), L1_ROWS):
+                rows = slice(r, r + L1_ROWS)
+                near = _greater_sums(mine[:, rows, None], right)
+                near -= half[columns]
+                v, i, few = values[rows], places[rows], {n: z[rows] for n, z in kept.items()}
+                edge = v[:, k - 1].copy()
+                if width > k and np.isinf(edge).any():  # any k pairs bound the k-th lowest
+                    at = np.argpartition(near, k - 1, 1)[:, :k]
+                    found = self._pairs(np.repeat(np.arange(len(v)), k), at.ravel(), few, some, params).reshape(-1, k)
+                    edge = np.minimum(edge, np.where(np.isnan(found), np.inf, found).max(1))
+                most = ((edge / step) * (1 + 1e-12 * dim) + error[rows] + own[rows]) / 2 + 1
+                at = np.flatnonzero(near <= np.clip(np.floor(most), -1, np.iinfo(np.int16).max).astype(np.int16)[:, None])
+                self._lowered(v, i, at, width, few, some, ids[columns], params)
         return values[:, None], places[:, None]
 
+    def _pairs(self, row: np.ndarray, col: np.ndarray, kept: dict, other: dict, params: dict) -> np.ndarray:
+        """The formula's values of single pairs."""
+        there = self.values({n: z[row] for n, z in kept.items()}, {}, params) | {n: z[col][:, None] for n, z in other.items()}
+        with np.errstate(all="ignore"):
+            return np.broadcast_to(on_blocks(self.formula, there, self.folded), (len(row), 1, 1))[:, 0, 0]
+
+    def _lowered(self, v: np.ndarray, i: np.ndarray, at: np.ndarray, width: int, kept: dict, other: dict, ids: np.ndarray, params: dict) -> None:
+        """Puts the pairs at places ``at`` of a tile into the lowest values ``v`` and their indices ``i``."""
+        k = v.shape[1]
+        for p in range(0, len(at), NEAR_PAIRS):
+            row, col = np.divmod(at[p : p + NEAR_PAIRS], width)
+            f = self._pairs(row, col, kept, other, params)
+            fine = f < np.inf
+            row, f, j = row[fine], f[fine], ids[col[fine]]
+            touched = np.unique(row)
+            row = np.concatenate([np.repeat(touched, k), row])
+            f, j = np.concatenate([v[touched].ravel(), f]), np.concatenate([i[touched].ravel(), j])
+            order = np.lexsort((np.where(f < np.inf, j, np.iinfo(np.int64).max), f, row))
+            row, f, j = row[order], f[order], j[order]
+            first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
+            rank = np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)]))
+            v[touched] = f[rank < k].reshape(-1, k)
+            i[touched] = j[rank < k].reshape(-1, k)
+
+
+def _greater_sums(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """(rows, columns): sums over components of the greater of either side's; (components, rows, 1) and (components, 1, columns) bytes."""
+    shape = (x.shape[1], y.shape[2])
+    total, wide, few, one = np.zeros(shape, np.int16), np.empty(shape, np.int16), np.empty(shape, np.uint8), np.empty(shape, np.uint8)
+    for a in range(0, len(x), L1_GROUP):
+        np.maximum(x[a], y[a], few)
+        for d in range(a + 1, min(a + L1_GROUP, len(x))):
+            np.maximum(x[d], y[d], one)
+            np.add(few, one, few)
+        wide[...] = few
+        np.add(total, wide, total)
+    return total
+
 
 def _sorted_side(ids: np.ndarray, vectors: dict[tuple, np.ndarray]):
     order = np.argsort(ids, kind="stable")
