@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from pairloom.functions.ops import BUILT_IN, TABLE, Precision
 from pairloom.operators.reductions import EXPONENTIAL, K_LOWEST, VALUE_ARG, Reduction
-from pairloom.plans.evaluate import SLICE, as_columns, folded_sums, free_of, on_blocks, shared_subtrees, whole_parts
+from pairloom.plans.evaluate import SLICE, as_columns, folded_sums, free_of, l1_sides, on_blocks, shared_subtrees, whole_parts
 from pairloom.plans.expr import PM, VI, VJ, Expr, IntCst, Var, call
 from pairloom.session import checkpoints, ship
 
@@ -76,11 +76,13 @@ def pair_width(e: Expr | None, ordered: bool = False, folded: frozenset = frozen
 
     Distances and products of vectors are matrix products, but not where order
     decides (``ordered``): then they too go through all components.  ``folded``
-    sums have a slice of their summands at a time.
+    sums have a slice of their summands at a time, L1 distances a component.
     """
     if e is None or len({v.cat for v in e.variables()} & {VI, VJ}) < 2:
         return 0
     if e.key in folded:
+        if l1_sides(e) is not None:
+            return 1
         return max(SLICE, *(pair_width(c, ordered, folded) for c in whole_parts(e)), 0)
     inner = max((c.dim for c in e.children), default=0) if ordered and e.name in ("SqDist", "Scalprod", "WeightedSqDist", "WeightedSqNorm") else 0
     return max(e.dim, inner, *(pair_width(c, ordered, folded) for c in e.children))
@@ -144,15 +146,16 @@ def product_form(e: Expr, keep: int) -> tuple[Expr, list[tuple[Expr, int]], floa
     return (core, parts, sign) if core is not None and all(f.dim == 1 for f, _ in parts) else None
 
 
+def subtrees(e: Expr) -> Iterator[Expr]:
+    yield e
+    for c in e.children:
+        yield from subtrees(c)
+
+
 def l1_form(e: Expr, keep: int) -> tuple[Expr, Expr] | None:
     """The two sides of an L1 distance, the kept one first."""
-    if getattr(e, "name", "") != "Sum" or getattr(e.children[0], "name", "") != "Abs" or getattr(e.children[0].children[0], "name", "") != "Subtract":
-        return None
-    a, b = e.children[0].children[0].children
-    sides = [{v.cat for v in c.variables()} & {VI, VJ} for c in (a, b)]
-    if a.dim != b.dim or not all(len(s) == 1 for s in sides) or sides[0] == sides[1]:
-        return None
-    return (a, b) if keep in sides[0] else (b, a)
+    sides = l1_sides(e)
+    return sides if sides is None or any(v.cat == keep for v in sides[0].variables()) else sides[::-1]
 
 
 class PairKernel:
@@ -176,6 +179,7 @@ class PairKernel:
                 self.matrix, self.linear = own, linear
         self.form = product_form(formula, keep) if reduction.name in K_LOWEST and formula.dim == 1 else None
         self.l1 = l1_form(formula, keep) if reduction.name in K_LOWEST and formula.dim == 1 else None
+        self.l1_trees = [e for t in (formula, weight) if t is not None for e in subtrees(t) if e.key in self.folded]
         self.one_sided = weight is not None and all(v.cat != keep for v in weight.variables())
         self.free = free_of([self.matrix, self.linear, weight], PM) if len(self.sets) > 1 else frozenset()
         self.own = own_operations(formula, weight)  # workers know those of this package only
@@ -204,7 +208,9 @@ class PairKernel:
             return [found]
         rows, width = len(next(iter(states[0]))), max(self.matrix.dim, pair_width(self.matrix, Precision.ordered, self.folded), pair_width(self.weight, False, self.folded), 1)
         n = len(ids)
-        step = max(1, min(n, TILE // max(1, min(rows, 1024) * width)))
+        # the folded sums of L1 distances go along rows of a tile
+        high = 128 if any(l1_sides(e) is not None for e in self.l1_trees) else 1024
+        step = max(1, min(n, TILE // max(1, min(rows, high) * width)))
         tall = max(1, TILE // max(1, step * width))
         parts = [[] for _ in sets]
         for a in range(0, rows, tall):

@@ -79,3 +79,27 @@ def test_linear_parts_are_matrix_products(evaluated):
     kernel, keys = _kernel("-SqDist(x,y)", "SumSoftMaxWeight", 3, formula2="y")
     m, s = kernel.fold(kernel.start(30)[0], {keys["x"]: x}, {keys["y"]: y}, np.arange(40))
     assert np.allclose(s[:, 1:] / s[:, :1], np.exp(-d) @ y / np.exp(-d).sum(1, keepdims=True), rtol=1e-12, atol=1e-13)
+
+
+def test_l1_distances_are_added_in_the_order_of_components(monkeypatch):
+    """On tiles, on lists of pairs and in SQL the sum is the same number; blocks of pairs are not wider than one."""
+    from pairloom.operators import pairs
+    from pairloom.plans import evaluate
+    from pairloom.plans.parse import parse
+
+    monkeypatch.setattr(evaluate, "L1_TILE", 64)
+    r = np.random.default_rng(2)
+    x, y = r.normal(size=(30, 64)), r.normal(size=(50, 64))
+    x[3, 5], y[7, 60] = np.inf, np.nan
+    want = np.zeros((30, 50))
+    for d in range(64):
+        want += np.abs(x[:, d, None] - y[:, d])
+    for text, turn in (("Sum(Abs(x-y))", False), ("Sum(Abs(y-x))", True)):
+        f = parse(text, ["x = Vi(64)", "y = Vj(64)"])[0]
+        folded = evaluate.folded_sums(f)
+        (xv,), (yv,) = pairs._vars([f], pairs.VI), pairs._vars([f], pairs.VJ)
+        assert pairs.pair_width(f, True, folded) == 1
+        got = evaluate.on_blocks(f, {xv.key: x[:, None], yv.key: y[None]}, folded)
+        row, col = np.divmod(np.arange(1500), 50)
+        listed = evaluate.on_blocks(f, {xv.key: x[row][:, None], yv.key: y[col][:, None]}, folded)
+        assert np.array_equal(got[..., 0], want, equal_nan=True) and np.array_equal(listed.ravel(), want.ravel(), equal_nan=True)
