@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from pairloom.operators.mirror import reduce_itself
 from pairloom.operators.pairs import name_of, reduce_pairs
 from pairloom.operators.reductions import EXPONENTIAL, Reduction
 from pairloom.plans import diff
@@ -50,6 +51,13 @@ class PairReduce:
 
     __call__ = run
 
+    def run_itself(self, rows: DataFrame, columns: dict[str, str], params: dict | None = None, row_id: str = "i") -> DataFrame:
+        """Every row of a table with every row of it; ``columns`` names the column that each Vi and Vj is read from.
+
+        Of a kernel that is the same both ways, each pair of rows is computed once.
+        """
+        return reduce_itself(self.formula, self.reduction, rows, columns, self.keep, self.weight, params, row_id, self.chunks)
+
     def transposed(self) -> PairReduce:
         """The query with the roles of i and j exchanged."""
         return self._like(transpose(self.formula), transpose(self.weight) if self.weight is not None else None)

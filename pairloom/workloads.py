@@ -528,7 +528,7 @@ def _attention(spark, sf_dir):
 @_query("varifold_matvec", f"WITH {_E} SELECT a.id AS i, {_R(f'sum(exp(-{_ED}) * {_EDOT} * {_EDOT} * c.label)')} AS v1 FROM e a, e c GROUP BY 1")
 def _varifold(spark, sf_dir):
     q = PairReduce("Exp(-SqDist(x,y)) * Square((x|y)) * label", ["x = Vi(64)", "y = Vj(64)", "label = Vj(1)"], "Sum", 1)
-    return _shown(q.run(embeddings(spark, sf_dir, "i", "x"), embeddings(spark, sf_dir, "j", "y")), 1)
+    return _shown(q.run_itself(embeddings(spark, sf_dir, "i", "x"), {"x": "x", "y": "x", "label": "label"}), 1)
 
 
 @_query("gaussian_mixture", _lr(f"SELECT i, {_R('ln(sum(b * exp(-(b * f))))')} AS v1 FROM p GROUP BY i"))
