@@ -51,12 +51,13 @@ class PairReduce:
 
     __call__ = run
 
-    def run_itself(self, rows: DataFrame, columns: dict[str, str], params: dict | None = None, row_id: str = "i") -> DataFrame:
+    def run_itself(self, rows: DataFrame, columns: dict[str, str], params: dict | None = None, row_id: str = "i", digits: int | None = None) -> DataFrame:
         """Every row of a table with every row of it; ``columns`` names the column that each Vi and Vj is read from.
 
         Of a kernel that is the same both ways, each pair of rows is computed once.
+        ``digits``: values are going to be rounded to so many digits.
         """
-        return reduce_itself(self.formula, self.reduction, rows, columns, self.keep, self.weight, params, row_id, self.chunks)
+        return reduce_itself(self.formula, self.reduction, rows, columns, self.keep, self.weight, params, row_id, self.chunks, digits)
 
     def transposed(self) -> PairReduce:
         """The query with the roles of i and j exchanged."""

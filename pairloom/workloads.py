@@ -522,7 +522,7 @@ def _classifier(spark, sf_dir):
 @_query("attention_softmax", f"WITH {_E}, w AS (SELECT a.id AS i, exp({_EDOT}) AS w, c.v FROM e a, e c) SELECT i, {', '.join(_R(f'sum(w * v[{k}]) / sum(w)') + f' AS v{k}' for k in range(1, 65))} FROM w GROUP BY i")
 def _attention(spark, sf_dir):
     q = PairReduce("(x|y)", ["x = Vi(64)", "y = Vj(64)"], "SumSoftMaxWeight", 1, formula2="y")
-    return _shown(q.run(embeddings(spark, sf_dir, "i", "x"), embeddings(spark, sf_dir, "j", "y")), 64)
+    return _shown(q.run_itself(embeddings(spark, sf_dir, "i", "x"), {"x": "x", "y": "x"}, digits=DIGITS), 64)
 
 
 @_query("varifold_matvec", f"WITH {_E} SELECT a.id AS i, {_R(f'sum(exp(-{_ED}) * {_EDOT} * {_EDOT} * c.label)')} AS v1 FROM e a, e c GROUP BY 1")
