@@ -32,8 +32,8 @@ import pyarrow as pa
 from pyarrow.fs import FileType
 from pyspark.sql import DataFrame
 
-from pairloom.llm._shared import block_size, filesystem, id_text, new_folder, partitions, prepare
-from pairloom.llm.suffix_dedup import _buckets, _groups, _pack, _read, _squeeze, _swell, _unpack, _write
+from pairloom.llm._shared import ARROW_BATCH_BYTES, block_size, filesystem, give_back, id_text, new_folder, partitions, prepare
+from pairloom.llm.suffix_dedup import _groups, _lean, _pack, _read, _squeeze, _swell, _unpack, _write
 from pairloom.llm.words import run_hashes, word_hashes
 
 ORDER = 3
@@ -51,27 +51,42 @@ def _grams(words: np.ndarray) -> list[np.ndarray]:
     return [run_hashes(words, n) >> _BITS if len(words) >= n else words[:0] for n in range(1, ORDER + 1)]
 
 
+def _first(s: np.ndarray) -> np.ndarray:
+    """Whether each of some sorted values is the first of its kind."""
+    first = np.ones(len(s), bool)
+    np.not_equal(s[1:], s[:-1], out=first[1:])
+    return first
+
+
+def _runs(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of sorted ones and how often each occurs."""
+    at = np.flatnonzero(_first(s))
+    return s[at], np.diff(at, append=len(s))
+
+
 def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct values and how often each occurs."""
-    s = np.sort(x)
-    first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.zeros(0, np.int64)
-    return s[first], np.diff(np.r_[first, len(s)])
+    return _runs(np.sort(x))
 
 
 def _texts(table: pa.Table) -> list[np.ndarray]:
-    return word_hashes([t.encode("utf-8", "surrogatepass") for t in table["text"].to_pylist()], lower=True)
+    return word_hashes(_raw(table), lower=True)
 
 
-def _block_grams(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams of a block with their counts; the empty one comes first."""
-    every = [g for w in words for g in _grams(w)]
-    grams, counts = _distinct(np.concatenate(every) if every else np.zeros(0, np.uint64))
-    total = sum(map(len, words))
-    if len(grams) and grams[0] == _EMPTY:
-        counts = counts.copy()
-        counts[0] += total
-        return grams, counts
-    return np.r_[_EMPTY, grams], np.r_[total, counts]
+def _raw(table: pa.Table) -> list[bytes]:
+    return table["text"].cast(pa.binary()).to_pylist()
+
+
+def _block_grams(words: list[np.ndarray]) -> np.ndarray:
+    """Sorted n-grams of a block, as often as they occur; the empty one comes first and once more than hashes are equal to it."""
+    grams = np.empty(1 + sum(max(len(w) - n, 0) for w in words for n in range(ORDER)), np.uint64)
+    grams[0], at = _EMPTY, 1
+    for w in words:
+        for g in _grams(w):
+            grams[at : at + len(g)] = g
+            at += len(g)
+    grams.sort()
+    return grams
 
 
 def _write_once(uri: str, table: pa.Table) -> None:
@@ -97,29 +112,47 @@ def _file(folder: str, name: bytes) -> str:
 def _digest(table: pa.Table) -> bytes:
     """Eight bytes of a hash of the rows, in their order."""
     h = hashlib.blake2b(repr(table["doc_id"].to_pylist()).encode(), digest_size=8)
-    for t in table["text"].to_pylist():
-        raw = t.encode("utf-8", "surrogatepass")
+    for raw in _raw(table):
         h.update(len(raw).to_bytes(8))
         h.update(raw)
     return h.digest()
 
 
+def _by_range(words: list[np.ndarray], many: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(range, distinct n-grams, their counts) of a block whose words are used up; but for its sorted n-grams one range is held at a time."""
+    total = sum(map(len, words))
+    grams = _block_grams(words)
+    words.clear()
+    cut = np.searchsorted(grams, np.arange(1, many, dtype=np.uint64) * np.uint64((1 << 48) // many + 1))
+    for bucket, (a, b) in enumerate(zip([0, *cut.tolist()], [*cut.tolist(), len(grams)], strict=True)):
+        if a < b:
+            some, counts = _runs(grams[a:b])
+            counts[:1] += (total - 1) * (a == 0)
+            yield bucket, some, counts
+
+
+_ASKED = pa.schema([("block", pa.binary()), ("bucket", pa.int32()), ("n", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())])
+
+
 def _ask(folder: str, many: int, block_bytes: int) -> Callable:
-    def close(batches: list[pa.RecordBatch], part: int, number: int) -> pa.RecordBatch:
+    def close(batches: list[pa.RecordBatch], part: int, number: int) -> Iterator[pa.RecordBatch]:
         # the name says which texts these are: a retried task writes the same file again, or with other rows another
         table = pa.Table.from_batches(batches)
+        batches.clear()
         name = part.to_bytes(4) + number.to_bytes(4) + _digest(table)
         _write_once(_file(folder, name), table)
-        grams, counts = _block_grams(_texts(table))
-        bucket = _buckets(grams, many)
-        cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]).tolist()
-        ends = [*cut[1:], len(grams)]
-        cols = (
-            pa.array([name] * len(cut), pa.binary()), pa.array(bucket[cut].astype(np.int32)), pa.array(np.diff([*cut, len(grams)]).astype(np.int32)),
-            pa.array([_pack(grams[a:b]) for a, b in zip(cut, ends, strict=True)], pa.binary()),
-            pa.array([_squeeze(counts[a:b].astype(np.int64)) for a, b in zip(cut, ends, strict=True)], pa.binary()),
-        )
-        return pa.RecordBatch.from_arrays(list(cols), ["block", "bucket", "n", "grams", "counts"])
+        words = _texts(table)
+        del table
+        rows: list[tuple] = []
+        size = 0
+        for bucket, grams, counts in _by_range(words, many):
+            rows.append((name, bucket, len(grams), _pack(grams), _squeeze(counts)))
+            size += len(rows[-1][3]) + len(rows[-1][4])
+            if size >= ARROW_BATCH_BYTES:
+                yield _rows(rows)
+                rows, size = [], 0
+        if rows:
+            yield _rows(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -128,28 +161,53 @@ def _ask(folder: str, many: int, block_bytes: int) -> Callable:
         for b in batches:
             held.append(b)
             size += b["text"].nbytes
+            del b  # else it stays beside the block's n-grams
             if size >= block_bytes:
-                yield close(held, part, number)
-                held, size, number = [], 0, number + 1
+                yield from close(held, part, number)
+                give_back()
+                size, number = 0, number + 1
         if held:
-            yield close(held, part, number)
+            yield from close(held, part, number)
 
     return run
 
 
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _ASKED, strict=True)], schema=_ASKED)
+
+
+def _join(parts: pa.ChunkedArray, sizes: list[int], kind, read: Callable) -> np.ndarray:
+    """What ``read`` makes of each part and its size, one after another."""
+    out, at = np.empty(sum(sizes), kind), 0
+    for x, n in zip(parts, sizes, strict=True):
+        out[at : at + n] = read(x.as_py(), n)
+        at += n
+    return out
+
+
+def _counts(b: bytes, n: int) -> np.ndarray:
+    return _swell(b, n, np.int64)
+
+
+def _totals(bucket: int, t: pa.Table) -> pa.RecordBatch:
+    size = t["n"].to_pylist()
+    grams = _join(t["grams"], size, np.uint64, lambda x, n: _unpack(x))
+    order = np.argsort(grams, kind="stable")
+    grams = grams[order]
+    at = np.flatnonzero(_first(grams))
+    del grams
+    sums = np.add.reduceat(_join(t["counts"], size, np.int64, _counts)[order], at)
+    total = np.empty(len(order), np.int64)
+    total[order] = np.repeat(sums, np.diff(at, append=len(order)))
+    del order, at, sums
+    ends = np.cumsum(size).tolist()
+    parts = [_squeeze(total[e - n : e]) for e, n in zip(ends, size, strict=True)]
+    return pa.RecordBatch.from_arrays([t["block"].combine_chunks(), pa.array([bucket] * len(size), pa.int32()), pa.array(size, pa.int32()), pa.array(parts, pa.binary())], ["block", "bucket", "n", "totals"])
+
+
 def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for bucket, t in _groups(batches, "bucket"):
-        size = t["n"].to_pylist()
-        grams = np.concatenate([_unpack(x) for x in t["grams"].to_pylist()])
-        counts = np.concatenate([_swell(x, n, np.int64) for x, n in zip(t["counts"].to_pylist(), size, strict=True)])
-        order = np.argsort(grams, kind="stable")
-        s = grams[order]
-        new = np.r_[True, s[1:] != s[:-1]]
-        total = np.empty(len(s), np.int64)
-        total[order] = np.add.reduceat(counts[order], np.flatnonzero(new))[np.cumsum(new) - 1]
-        ends = np.cumsum(size)
-        parts = [_squeeze(total[e - n : e]) for e, n in zip(ends.tolist(), size, strict=True)]
-        yield pa.RecordBatch.from_arrays([t["block"].combine_chunks(), pa.array([bucket] * len(size), pa.int32()), pa.array(size, pa.int32()), pa.array(parts, pa.binary())], ["block", "bucket", "n", "totals"])
+        yield _totals(bucket, t)
 
 
 def _score_text(words: np.ndarray, grams: np.ndarray, totals: np.ndarray) -> tuple[float, int]:
@@ -177,17 +235,24 @@ def _score_text(words: np.ndarray, grams: np.ndarray, totals: np.ndarray) -> tup
     return float(np.log(score).sum()), int(backed.sum())
 
 
+def _score_block(folder: str, name: bytes, t: pa.Table) -> pa.RecordBatch:
+    table = _read(_file(folder, name))
+    ids, words = table["doc_id"].combine_chunks(), _texts(table)
+    del table
+    grams = _block_grams(words)
+    grams = grams[_first(grams)]
+    totals = _join(t["totals"], t["n"].to_pylist(), np.int64, _counts)
+    scores = [_score_text(w, grams, totals) for w in words]
+    return pa.RecordBatch.from_arrays(
+        [ids, pa.array([len(w) for w in words], pa.int64()), pa.array([s for s, _ in scores], pa.float64()), pa.array([b for _, b in scores], pa.int64())],
+        ["doc_id", "n_words", "log_score", "n_backed_off"],
+    )
+
+
 def _score(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for name, t in _groups(batches, "block"):
-        table = _read(_file(folder, name))
-        words = _texts(table)
-        grams, _ = _block_grams(words)
-        totals = np.concatenate([_swell(x, n, np.int64) for x, n in zip(t["totals"].to_pylist(), t["n"].to_pylist(), strict=True)])
-        scores = [_score_text(w, grams, totals) for w in words]
-        yield pa.RecordBatch.from_arrays(
-            [table["doc_id"].combine_chunks(), pa.array([len(w) for w in words], pa.int64()), pa.array([s for s, _ in scores], pa.float64()), pa.array([b for _, b in scores], pa.int64())],
-            ["doc_id", "n_words", "log_score", "n_backed_off"],
-        )
+        yield _score_block(folder, name, t)
+        give_back()
 
 
 def score_documents(docs: DataFrame, block_bytes: int | None = None) -> DataFrame:
@@ -200,11 +265,11 @@ def score_documents(docs: DataFrame, block_bytes: int | None = None) -> DataFram
     """
     spark = prepare(docs.sparkSession)
     many, folder = partitions(spark), new_folder(spark, "grams")
-    asked = id_text(docs).mapInArrow(_ask(folder, 4 * many, block_bytes or block_size(4 * many)), "block binary, bucket int, n int, grams binary, counts binary")
+    asked = id_text(docs).mapInArrow(_lean(_ask(folder, 4 * many, block_bytes or block_size(4 * many))), "block binary, bucket int, n int, grams binary, counts binary")
     to_range = asked.repartition(many, "bucket").sortWithinPartitions("bucket", "block")
-    answered = to_range.mapInArrow(_add_up, "block binary, bucket int, n int, totals binary")
+    answered = to_range.mapInArrow(_lean(_add_up), "block binary, bucket int, n int, totals binary")
     to_block = answered.repartition(many, "block").sortWithinPartitions("block", "bucket")
-    return to_block.mapInArrow(partial(_score, folder), "doc_id long, n_words long, log_score double, n_backed_off long")
+    return to_block.mapInArrow(_lean(partial(_score, folder)), "doc_id long, n_words long, log_score double, n_backed_off long")
 
 
 def oracle() -> str:

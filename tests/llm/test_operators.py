@@ -656,6 +656,32 @@ def test_op7_scores_by_definition(docs, odd, empty):
     assert ngram_lm.score_documents(odd).count() == 6 and ngram_lm.score_documents(empty).count() == 0
 
 
+def test_op7_steps_hold_little(tmp_path, monkeypatch):
+    """What a step takes for each byte of a block is bounded, also while the next block follows; and it sends small batches."""
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    r = np.random.default_rng(3)
+    vocabulary = np.array(["".join(map(chr, r.integers(97, 123, k % 8 + 2))) for k in range(20_000)])
+    texts = [" ".join(vocabulary[r.integers(0, 20_000, 4000)].tolist()) for _ in range(600)]
+    n, peak, folder = sum(map(len, texts)) / 2, {}, f"file://{tmp_path}"
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(k, k + 50)), pa.array(texts[k : k + 50])], ["doc_id", "text"]) for k in range(0, 600, 50)]
+    ngram_lm._texts(pa.table({"text": texts[:50]}))  # tables of powers stay, and are not a block's
+
+    def held(name, run, batches, *order):
+        tracemalloc.start()
+        out = list(run(iter(batches)))
+        peak[name] = tracemalloc.get_traced_memory()[1] / n
+        tracemalloc.stop()
+        return out if not order else pa.Table.from_batches(out).sort_by([(c, "ascending") for c in order]).combine_chunks().to_batches()
+
+    asked = held("ask", ngram_lm._ask(folder, 40, int(n) - 1000), batches, "bucket", "block")
+    told = held("add", ngram_lm._add_up, asked, "block", "bucket")
+    done = pa.Table.from_batches(held("score", lambda x: ngram_lm._score(folder, x), told))
+    assert len(set(told[0]["block"].to_pylist())) == 2 and sorted(done["doc_id"].to_pylist()) == list(range(600)) and set(done["n_words"].to_pylist()) == {4000}
+    assert peak["ask"] < 8 and peak["add"] < 2 and peak["score"] < 12, peak
+    sent = list(ngram_lm._ask(folder, 40, int(n) - 1000)(iter(batches)))
+    assert len(sent) > 2 and max(b.nbytes for b in sent) < 5 << 20
+
+
 def test_op8_canonical_digests(spark, docs, odd, empty):
     known = license_scan.known_digests(spark)
     mit = "Copyright (c) 2020 Some One\n\n" + license_scan.MIT.upper().replace("SUBLICENSE", "sub-licence")
