@@ -12,8 +12,10 @@ from pairloom.plans.expr import VI, VJ, Const, Expr, Var, Zero
 
 #: Components of a slice where a sum over components is folded.
 SLICE = 32
-#: Numbers of a tile of L1 distances: two such tiles fit into a core's cache.
-L1_TILE = 16_384
+#: Numbers of a tile of L1 distances, of so many rows: two such tiles fit into a core's cache.
+L1_TILE, L1_ROWS = 32_768, 16
+#: Numbers that numpy copies before it repeats a side; the least it takes, as these copies cost more than the differences.
+L1_BUFFER = 16
 
 
 def _two_sided(e: Expr) -> bool:
@@ -60,19 +62,23 @@ def l1_sides(e: Expr) -> tuple[Expr, Expr] | None:
 def l1_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """(rows, columns) of (rows, length) and (columns, length): component by component, in their order, on tiles that stay in the cache."""
     out = np.zeros((len(x), len(y)))
-    columns = max(1, min(len(y), L1_TILE // 4))
+    columns = max(1, min(len(y), L1_TILE // L1_ROWS))
     rows = L1_TILE // columns
-    with np.errstate(all="ignore"):
-        for s in range(0, x.shape[1], SLICE):
-            u, v = (np.ascontiguousarray(side[:, s : s + SLICE].T) for side in (x, y))
-            for a in range(0, len(x), rows):
-                for b in range(0, len(y), columns):
-                    mine, theirs, total = u[:, a : a + rows, None], v[:, None, b : b + columns], out[a : a + rows, b : b + columns]
-                    one = np.empty(total.shape)
-                    for d in range(len(u)):
-                        np.subtract(mine[d], theirs[d], one)
-                        np.abs(one, one)
-                        np.add(total, one, total)
+    before = np.setbufsize(L1_BUFFER)
+    try:
+        with np.errstate(all="ignore"):
+            for s in range(0, x.shape[1], SLICE):
+                u, v = (np.ascontiguousarray(side[:, s : s + SLICE].T) for side in (x, y))
+                for a in range(0, len(x), rows):
+                    for b in range(0, len(y), columns):
+                        mine, theirs, total = u[:, a : a + rows, None], v[:, None, b : b + columns], out[a : a + rows, b : b + columns]
+                        one = np.empty(total.shape)
+                        for d in range(len(u)):
+                            np.subtract(mine[d], theirs[d], one)
+                            np.abs(one, one)
+                            np.add(total, one, total)
+    finally:
+        np.setbufsize(before)
     return out
 
 
